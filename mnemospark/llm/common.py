@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -28,10 +29,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here, and ids drawn before stay as they are."""
+    """Write ``df`` to the shared folder and read it back: lineage ends here, and ids drawn before stay as they are.
+
+    The driver's garbage goes at once, so that Spark's cleaner can delete the shuffle files that led here.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    gc.collect()
+    spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path).withMetadata(df.columns[0], {"path": path})
 
 

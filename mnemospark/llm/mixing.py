@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 from mnemospark.llm.common import WORD, materialise
 
 KEY_BITS = 60
-RANGE_ROWS = 20_000
+RANGE_ROWS = 1_000
 
 
 def targets(totals: list[tuple[str | None, int]], weights: tuple[int, ...] = (3, 1, 2), share: str = "1.5", most: int = 2) -> list[tuple[str | None, int, float]]:

@@ -9,9 +9,9 @@ only the last sequence of a partition is padded. Only remainders, of less than a
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,17 +24,26 @@ from mnemospark.llm.common import materialise, mix64, small_batches
 SEQUENCE = 1024
 END_ID = 0
 DIMS, BITS, BUCKETS = 4, 8, 1024
-#: Words whose ids a worker remembers; beyond it, the memory starts anew.
-CACHE_WORDS = 400_000
-#: White space beside a space or a line end, where the tokenizer looks past the word.
-_ODD = re.compile(r"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]$")
+#: A worker remembers the ids of so many words, and of those of the generation before it.
+CACHE_WORDS = 300_000
+#: Fixed value of byte-level BPE files: the sign of a space at the beginning of a token.
+SPACE_SIGN = "\u0120"
+
+
+_OTHER_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
+
+
+def _plain(text: str) -> bool:
+    """Whether the only white space is single spaces and line ends between words."""
+    return bool(text) and text[0] not in " \n" and text[-1] not in " \n" and not any(x in text for x in ("  ", "\n\n", " \n", "\n ", *_OTHER_SPACE))
 
 
 class Encoder:
     """Ids of whole texts by a byte-level BPE file of ``tokenizers``, remembered word by word.
 
-    The tokenizer splits before a space that stands between two words, and around a lone line end; so the ids of a text
-    without other white space are those of its words put together. Texts with other white space are encoded whole.
+    The tokenizer splits before a space that stands between two words, and around a lone line end; so the ids of a plain
+    text are those of its words, each with the space or line end before it, put together. Texts with other white space,
+    where the tokenizer looks past the word, are encoded whole.
     """
 
     def __init__(self, path: str, room: int = CACHE_WORDS):
@@ -42,35 +51,56 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.first, self.later, self.room = {}, {}, room
-        self.line = self._ids(["\n"])[0]
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.room = room
+        self.line = self._ids("\n")
+        vocabulary = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.spaced[[i for token, i in vocabulary.items() if token[0] == SPACE_SIGN]] = True
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _spaced_ids(self, words: list[str]) -> list[bytes]:
+        """Ids of each word with a space before it: encoded in a row, and cut where an id begins with a space."""
+        out = []
+        for at in range(0, len(words), 1000):
+            raw = self._ids(" " + " ".join(words[at : at + 1000]))
+            cut = (4 * np.append(np.flatnonzero(self.spaced[np.frombuffer(raw, "<u4")]), len(raw) // 4)).tolist()
+            out += [raw[a:b] for a, b in zip(cut, cut[1:], strict=False)]
+        return out
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text as unsigned 32-bit integers."""
-        if len(self.first) + len(self.later) > self.room:
-            self.first, self.later = {}, {}
-        plain = [t if t and not _ODD.search(t) else None for t in texts]
-        lines = [t.split("\n") if t else [] for t in plain]
-        words = [[line.split(" ") for line in x] for x in lines]
-        for known, new in ((self.first, {w[0] for x in words for w in x}), (self.later, {p for x in words for w in x for p in w[1:]})):
-            lead = " " if known is self.later else ""
-            fresh = [w for w in new if w not in known]
-            known.update(zip(fresh, self._ids([lead + w for w in fresh]), strict=True))
-        first, later = self.first, self.later
+        if len(self.known) > self.room:
+            self.known, self.older = {}, self.known
+        get = self.known.get
+        words = [("\n" + t).replace("\n", " \n").split(" ")[1:] if _plain(t) else None for t in texts]
+        parts = [list(map(get, x)) if x else [] for x in words]
+        fresh = {w for x, p in zip(words, parts, strict=True) if None in p for w, i in zip(x, p, strict=True) if i is None}
+        self.known.update((w, self.older[w]) for w in fresh & self.older.keys())
+        fresh -= self.known.keys()
+        lines = [w for w in fresh if w[0] == "\n"]
+        others = [w for w in fresh if w[0] != "\n"]
+        self.known.update((w, self.line + self._ids(w[1:])) for w in lines)
+        self.known.update(zip(others, self._spaced_ids(others), strict=True))
         out = []
-        for t, p, x in zip(texts, plain, words, strict=True):
-            if p is None:
-                ids = self._ids([t])[0] if t else b""
+        for t, x, p in zip(texts, words, parts, strict=True):
+            if x is None:
+                ids = self._ids(t) if t else b""
             else:
-                ids = self.line.join(first[w[0]] + b"".join([later[p] for p in w[1:]]) for w in x)
+                ids = b"".join(map(get, x) if None in p else p)[4:]
             out.append(np.frombuffer(ids, "<u4"))
         return out
 
 
+@lru_cache(maxsize=1)
+def _encoder(path: str) -> Encoder:
+    """The worker's own encoder, which later tasks find with its memory."""
+    return Encoder(path)
+
+
 def hilbert_key(points: np.ndarray, bits: int) -> np.ndarray:
     """Index along the Hilbert curve of integer points (rows; ``bits`` bits a dimension), by transposing Gray codes."""
     x = points.astype(np.int64).T.copy()
@@ -98,12 +128,13 @@ def hilbert_key(points: np.ndarray, bits: int) -> np.ndarray:
     return key
 
 
+_BUCKET = (mix64(np.arange(1 << 16, dtype=np.uint64)) % np.uint64(BUCKETS)).astype(np.int64)
 _DIRECTIONS = np.random.default_rng(7).standard_normal((BUCKETS, DIMS)).astype(np.float32)
 
 
 def curve_keys(ids: list[np.ndarray]) -> np.ndarray:
     """Hilbert keys of hashed, normalised id counts projected to ``DIMS`` dimensions."""
-    vectors = np.stack([np.bincount((mix64(x.astype(np.uint64)) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS) for x in ids]).astype(np.float32)
+    vectors = np.stack([np.bincount(_BUCKET[x & 0xFFFF], minlength=BUCKETS) for x in ids]).astype(np.float32)
     vectors = np.sqrt(vectors)
     vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
     points = np.clip((np.tanh(vectors @ _DIRECTIONS * 0.8) + 1) * (1 << BITS - 1), 0, (1 << BITS) - 1)
@@ -116,7 +147,7 @@ def _crc(ids: np.ndarray) -> int:
 
 def _tokenise(path: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end, sequence = Encoder(path), np.array([END_ID], "<u4"), TaskContext.get().partitionId() << 33
+        encoder, end, sequence = _encoder(path), np.array([END_ID], "<u4"), TaskContext.get().partitionId() << 33
         for batch in small_batches(batches, "text"):
             ids = [np.concatenate((x, end)) for x in encoder.encode(batch["text"].tolist())]
             cut = [len(x) // SEQUENCE * SEQUENCE for x in ids]

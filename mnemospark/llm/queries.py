@@ -5,34 +5,84 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from mnemospark.llm import language_id, toxicity
+from mnemospark.llm.common import fold, materialise
+from mnemospark.llm.embedding_dedup import link_vectors
 from mnemospark.llm.exact_dedup import exact_dedup
+from mnemospark.llm.lm_scoring import score_held_out
 from mnemospark.llm.mixing import mix
+from mnemospark.llm.near_dedup import near_dedup
 from mnemospark.llm.packing import pack
+from mnemospark.llm.substring_dedup import repeated_spans
+from mnemospark.llm.warc import read_archives, write_archives
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language_id.learn(docs.where(fold("doc_id", 3) != 1))
+    found = language_id.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = toxicity.learn(docs, _table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0))
+    return toxicity.score(docs, weights).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(_table(spark, sf_dir, "documents"), words=4).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_held_out(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = materialise(write_archives(_table(spark, sf_dir, "pages")), "archives")
+    return read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op5_source_mixing, op10_packing)}
+QUERIES = {f.__name__: f for f in (
+    op1_language_id, op2_toxicity, op3_exact_dedup, op4_substring_dedup, op5_source_mixing, op6_minhash_dedup,
+    op7_embedding_dedup, op8_lm_scoring, op9_warc, op10_packing,
+)}
 
 ORACLES = {
     "op3_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept,
                sha256(coalesce(text, '')) AS text_sha256, CAST(greatest(1, ceil(strlen(coalesce(text, '')) / 4096.0)) AS INTEGER) AS n_blocks
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))""",
+    "op9_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages),
+        g AS (SELECT *, max(page_id) OVER (PARTITION BY html) AS top FROM p)
+        SELECT page_id, n AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN n >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN n >= 1000 AND page_id <> top THEN top END AS refers_to FROM g""",
     "op5_source_mixing": r"""
         WITH sized AS (
           SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
