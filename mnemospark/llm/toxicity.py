@@ -1,6 +1,6 @@
 """Toxicity by a counterfactually regularised classifier.
 
-A text is the set of its words and of its adjacent word pairs, hashed into ``FEATURES`` places. A logistic regression is
+A text is the set of its words and of their beginnings, hashed into ``FEATURES`` places. A logistic regression is
 fitted to labelled texts; for each labelled text that names a group of people, copies with the identity terms swapped for
 others of their kind are made, and the squared change of the score from swap to swap is penalised with the loss. So the
 weight of an identity term cannot carry what its neighbours in the sample say, and neutral mentions stay low.
@@ -22,8 +22,10 @@ from mnemospark.llm.common import small_batches
 FEATURES = 1 << 20
 #: The classifier is fitted to at most about so many labelled texts of each class, chosen by a hash of the id.
 SAMPLE = 6000
+STEMS = (4, 5, 6)
 SWAPS = 3
 LEAST_TEXTS = 4
+LEAST_HELD = 30
 #: Identity terms by kind; a term is swapped for another of its line.
 IDENTITY_TERMS = [
     ["women", "men", "girls", "boys"],
@@ -45,8 +47,11 @@ def words(text: str) -> list[str]:
 
 
 def features(tokens: list[str]) -> np.ndarray:
-    """Sorted places of the words and adjacent pairs of a text."""
-    seen = {zlib.crc32(w.encode()) for w in set(tokens)} | {zlib.crc32(f"{a} {b}".encode()) for a, b in set(zip(tokens, tokens[1:], strict=False))}
+    """Sorted places of the words of a text and of their first ``STEMS`` letters, which inflected forms share."""
+    whole = set(tokens)
+    seen = {zlib.crc32(w.encode()) for w in whole}
+    for n in STEMS:
+        seen.update([zlib.crc32(w.encode(), n) for w in {w[:n] for w in whole if len(w) > n}])
     return np.unique(np.fromiter(seen, np.int64, len(seen)) % FEATURES)
 
 
@@ -61,11 +66,8 @@ def _rows(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.empty(0, np.int64), *sets]), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
 
 
-def fit(texts: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[int, np.ndarray]], rates: tuple[float, float] = (1.0, 1.0), fairness: float = 1.0, ridge: float = 2e-4, steps: int = 300) -> np.ndarray:
-    """Weights of all places, the bias last. ``swaps``: (number of the text, features of a swapped copy).
-
-    ``rates``: at which share negative and positive texts were drawn, to give the bias back what sampling took.
-    """
+def fit(texts: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[int, np.ndarray]], fairness: float = 1.0, ridge: float = 1e-3, steps: int = 300) -> np.ndarray:
+    """Weights of all places, the bias last. ``swaps``: (number of the text, features of a swapped copy)."""
     weights = np.zeros(FEATURES + 1)
     if not len(labels):
         return weights
@@ -107,10 +109,21 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[int, np.n
     return weights
 
 
+def threshold(scores: np.ndarray, labels: np.ndarray) -> float:
+    """The middle of the range of thresholds that part the classes best: the mean of both classes' error shares is least."""
+    order = np.argsort(scores, kind="stable")
+    scores, labels = scores[order], labels[order]
+    errors = np.concatenate(([0.0], np.cumsum(labels) / labels.sum() - np.cumsum(1 - labels) / (1 - labels).sum()))
+    best = np.flatnonzero(errors <= errors.min() + 1e-12)
+    edges = np.concatenate(([scores[0] - 1], scores, [scores[-1] + 1]))
+    return float((edges[best[0]] + edges[best[-1] + 1]) / 2)
+
+
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> np.ndarray:
     """Fit on at most about ``sample`` texts of each class. ``labels``: id and label; null labels and texts are left out.
 
-    An id with several labels counts as toxic if one of them says so.
+    Every fourth text of each class is held back to set the threshold, as far as there are ``LEAST_HELD`` of each. An id
+    with several labels counts as toxic if one of them says so.
     """
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_label"))
     counts = {r["_label"]: r["n"] for r in marked.groupBy("_label").agg(F.count("*").alias("n")).collect()}
@@ -127,8 +140,16 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # the sample is bounded by its parameter, so it may be broadcast
     found = texts.join(F.broadcast(chosen), "_id").mapInPandas(sets, "label int, places array<int>, swaps array<array<int>>").toPandas()
     found = found.iloc[sorted(range(len(found)), key=lambda i: (found["label"].iat[i], list(found["places"].iat[i])))].reset_index(drop=True)
-    pairs = [(i, np.asarray(s, np.int64)) for i, x in enumerate(found["swaps"]) for s in x]
-    return fit([np.asarray(p, np.int64) for p in found["places"]], found["label"].to_numpy(float), pairs, rates)
+    texts, labels = [np.asarray(p, np.int64) for p in found["places"]], found["label"].to_numpy(float)
+    held = np.arange(len(labels)) % 4 == 3
+    if min((held & (labels == k)).sum() for k in (0, 1)) < LEAST_HELD:
+        held[:] = False
+    used = np.flatnonzero(~held)
+    pairs = [(i, np.asarray(s, np.int64)) for i, x in enumerate(found["swaps"].iloc[used]) for s in x]
+    weights = fit([texts[i] for i in used], labels[used], pairs)
+    if held.any():
+        weights[-1] -= threshold(np.array([weights[t].sum() for t, h in zip(texts, held, strict=True) if h]) + weights[-1], labels[held])
+    return weights
 
 
 def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataFrame:
