@@ -9,6 +9,7 @@ only the last sequence of a partition is padded. Only remainders, of less than a
 
 from __future__ import annotations
 
+import string
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,7 +26,7 @@ SEQUENCE = 1024
 END_ID = 0
 DIMS, BITS, BUCKETS = 4, 8, 1024
 #: A worker remembers the ids of so many words, and of those of the generation before it.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 #: Fixed value of byte-level BPE files: the sign of a space at the beginning of a token.
 SPACE_SIGN = "\u0120"
 
@@ -53,6 +54,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
+        self.ends: dict[str, bytes] = {}
         self.room = room
         self.line = self._ids("\n")
         vocabulary = self.tokenizer.get_vocab()
@@ -74,7 +76,7 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text as unsigned 32-bit integers."""
         if len(self.known) > self.room:
-            self.known, self.older = {}, self.known
+            self.known, self.older, self.ends = {}, self.known, {}
         get = self.known.get
         words = [("\n" + t).replace("\n", " \n").split(" ")[1:] if _plain(t) else None for t in texts]
         parts = [list(map(get, x)) if x else [] for x in words]
@@ -82,9 +84,16 @@ class Encoder:
         self.known.update((w, self.older[w]) for w in fresh & self.older.keys())
         fresh -= self.known.keys()
         lines = [w for w in fresh if w[0] == "\n"]
-        others = [w for w in fresh if w[0] != "\n"]
         self.known.update((w, self.line + self._ids(w[1:])) for w in lines)
+        # punctuation behind a letter or digit is tokens of its own
+        ended = {w: c for w in fresh if w[0] != "\n" and (c := w.rstrip(string.punctuation)) != w and c and c[-1].isalnum()}
+        others = [w for w in fresh | set(ended.values()) if w[0] != "\n" and w not in ended and w not in self.known]
         self.known.update(zip(others, self._spaced_ids(others), strict=True))
+        for w, c in ended.items():
+            end = w[len(c) :]
+            if end not in self.ends:
+                self.ends[end] = self._ids(end)
+            self.known[w] = self.known[c] + self.ends[end]
         out = []
         for t, x, p in zip(texts, words, parts, strict=True):
             if x is None:
