@@ -25,6 +25,8 @@ from mnemospark.llm.common import connected_components, materialise, mix64
 CELL, MISS, BLOCK = 1.2, 1e-3, 1024
 THRESHOLD = 0.95
 FEW_BUCKETS = 10_000
+#: Up to this size, the pairs of a unit are checked in a sweep over all units.
+SMALL = 48
 
 
 def _meet(distance: float, cell: float = CELL) -> float:
@@ -79,63 +81,86 @@ def _find(parent: dict[int, int], x: int) -> int:
     return x
 
 
+def _near(x: np.ndarray, unit: np.ndarray, side: np.ndarray, split: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one unit with a cosine of at least the threshold. Rows stand by unit, and in split units by side.
+
+    In split units only pairs of different sides count. Small units meet offset by offset in one sweep over all of them,
+    large ones in matrix products.
+    """
+    cuts = np.concatenate(([0], np.flatnonzero(unit[1:] != unit[:-1]) + 1, [len(unit)]))
+    sizes = np.diff(cuts)
+    large = (sizes > SMALL) | split[cuts[:-1]]
+    few = np.repeat(~large, sizes)
+    left, right = [], []
+    for k in range(1, SMALL):
+        at = np.flatnonzero(few[:-k] & (unit[k:] == unit[:-k])) if k < len(unit) else []
+        if not len(at):
+            break
+        for chunk in np.array_split(at, -(-len(at) // 50_000)):
+            hit = chunk[np.einsum("ij,ij->i", x[chunk], x[chunk + k]) >= threshold]
+            left.append(hit)
+            right.append(hit + k)
+    for u in np.flatnonzero(large):
+        a, b = cuts[u], cuts[u + 1]
+        if split[a]:
+            m = a + int((side[a:b] == 0).sum())
+            i, j = np.nonzero(x[a:m] @ x[m:b].T >= threshold)
+            left.append(a + i)
+            right.append(m + j)
+        else:
+            i, j = np.nonzero(np.triu(x[a:b] @ x[a:b].T, 1) >= threshold)
+            left.append(a + i)
+            right.append(a + j)
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
 def _check(depth: int, tables: int, threshold: float):
-    def unit_rows(table: int, left: pd.DataFrame, right: pd.DataFrame | None) -> pd.DataFrame | None:
-        """Counts and links of one unit: all pairs in ``left``, or those between ``left`` and ``right``."""
-        other = left if right is None else right
-        if not len(left) or not len(other) or len(left) + len(other) < 3 and right is None:
-            return None
-        x = _scaled(_stack(left["v"]))
-        y = x if right is None else _scaled(_stack(other["v"]))
-        i, j = np.nonzero((np.triu(x @ y.T, 1) if right is None else x @ y.T) >= threshold)
+    def found(rows: pd.DataFrame) -> pd.DataFrame | None:
+        """Counts and links of whole units of vectors of one length."""
+        x = _scaled(_stack(rows["v"]))
+        marks = rows[["t", "key", "p", "q"]].to_numpy()
+        unit = np.concatenate(([0], np.cumsum((marks[1:] != marks[:-1]).any(1))))
+        i, j = _near(x, unit, rows["side"].to_numpy(), marks[:, 2] != marks[:, 3], threshold)
         if not len(i):
             return None
-        if table:  # an earlier table that has both in one bucket has counted them
-            a, ai = np.unique(i, return_inverse=True)
-            b, bi = np.unique(j, return_inverse=True)
-            ka, kb = bucket_keys(x[a], depth, tables)[:, :table], bucket_keys(y[b], depth, tables)[:, :table]
-            new = np.concatenate([~(ka[ai[s : s + 65536]] == kb[bi[s : s + 65536]]).any(1) for s in range(0, len(i), 65536)])
-            i, j = i[new], j[new]
-            if not len(i):
-                return None
-        ci, cj = left["cid"].to_numpy(), other["cid"].to_numpy()
-        mi, mj = left["copies"].to_numpy(), other["copies"].to_numpy()
-        ids = np.concatenate((ci[i], cj[j]))
-        nodes, place = np.unique(ids, return_inverse=True)
-        links = np.bincount(place, np.concatenate((mj[j], mi[i])), len(nodes)).astype(np.int64)
-        parent = {int(n): int(n) for n in nodes}
-        for p, q in zip(ci[i].tolist(), cj[j].tolist(), strict=True):
+        # a pair counts in the first table that has both in one bucket
+        table = marks[i, 0]
+        used, place = np.unique(np.concatenate((i, j)), return_inverse=True)
+        keys = np.concatenate([bucket_keys(x[used[s : s + 512]], depth, tables) for s in range(0, len(used), 512)])
+        a, b = place[: len(i)], place[len(i) :]
+        first = np.concatenate([(keys[a[s : s + 20_000]] == keys[b[s : s + 20_000]]).argmax(1) for s in range(0, len(i), 20_000)])
+        i, j = i[first == table], j[first == table]
+        cid, copies = rows["cid"].to_numpy(), rows["copies"].to_numpy()
+        nodes, place = np.unique(np.concatenate((cid[i], cid[j])), return_inverse=True)
+        links = np.bincount(place, np.concatenate((copies[j], copies[i])), len(nodes)).astype(np.int64)
+        parent = {n: n for n in nodes.tolist()}
+        for p, q in zip(cid[i].tolist(), cid[j].tolist(), strict=True):
             p, q = _find(parent, p), _find(parent, q)
             if p != q:
                 parent[max(p, q)] = min(p, q)
-        return pd.DataFrame({"cid": nodes, "links": links, "root": [_find(parent, int(n)) for n in nodes]})
+        return pd.DataFrame({"cid": nodes, "links": links, "root": [_find(parent, n) for n in nodes.tolist()]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, held = None, []
-
-        def closed() -> Iterator[pd.DataFrame]:
-            rows = pd.concat(held)
-            table = int(rows["t"].iat[0])
-            for _, same in rows.groupby(rows["v"].str.len()):
-                side = same["side"].to_numpy()
-                out = unit_rows(table, same[side == 0], same[side == 1] if (rows["p"].iat[0] != rows["q"].iat[0]) else None)
-                if out is not None:
+        names = ["dim", "t", "key", "p", "q"]
+        held: pd.DataFrame | None = None
+
+        def closed(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            for _, same in rows.groupby("dim", sort=False):
+                if (out := found(same)) is not None:
                     yield out
 
         for batch in batches:
-            marks = batch[["t", "key", "p", "q"]].to_numpy()
-            cuts = np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1
-            for part in np.split(np.arange(len(batch)), cuts):
-                if not len(part):
-                    continue
-                now = tuple(marks[part[0]])
-                if now != key and held:
-                    yield from closed()
-                    held = []
-                key = now
-                held.append(batch.iloc[part])
-        if held:
-            yield from closed()
+            rows = batch if held is None or not len(held) else pd.concat((held, batch))
+            if not len(rows):
+                continue
+            marks = rows[names].to_numpy()
+            last = int(np.argmax((marks == marks[-1]).all(1)))  # the last unit may go on
+            if last:
+                yield from closed(rows.iloc[:last])
+            held = rows.iloc[last:]
+        if held is not None and len(held):
+            yield from closed(held)
 
     return run
 
@@ -162,16 +187,16 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     packed = classes.select("cid", "copies", "v").mapInPandas(pack, "cid long, copies long, v binary")
     hashed = materialise(packed.mapInPandas(_hash(depth, tables), "cid long, copies long, v binary, keys array<long>"), "hashed")
-    spread = hashed.select("cid", "copies", "v", F.posexplode("keys").alias("t", "key"))
+    spread = hashed.select("cid", "copies", "v", F.octet_length("v").alias("dim"), F.posexplode("keys").alias("t", "key"))
     large = hashed.select(F.posexplode("keys").alias("t", "key")).groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > block)
     large = materialise(large.select("t", "key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "large")
     if large.count() <= FEW_BUCKETS:
         large = F.broadcast(large)
     own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     dealt = spread.join(large, ["t", "key"]).withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("cid", "copies", "v", "t", "key", F.least("own", "with").alias("p"), F.greatest("own", "with").alias("q"), (F.col("own") > F.col("with")).cast("int").alias("side"))
-    plain = spread.join(large, ["t", "key"], "left_anti").select("cid", "copies", "v", "t", "key", F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(0).alias("side"))
-    units = plain.union(dealt).repartition("t", "key", "p", "q").sortWithinPartitions("t", "key", "p", "q")
+    dealt = dealt.select("cid", "copies", "v", "dim", "t", "key", F.least("own", "with").alias("p"), F.greatest("own", "with").alias("q"), (F.col("own") > F.col("with")).cast("int").alias("side"))
+    plain = spread.join(large, ["t", "key"], "left_anti").select("cid", "copies", "v", "dim", "t", "key", F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(0).alias("side"))
+    units = plain.union(dealt).repartition("dim", "t", "key", "p", "q").sortWithinPartitions("dim", "t", "key", "p", "q", "side")
     found = materialise(units.mapInPandas(_check(depth, tables, threshold), "cid long, links long, root long"), "found")
 
     parts = connected_components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
