@@ -84,7 +84,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **rules) -> DataFrame:
-    """The mix itself: each row of ``docs`` as many times as it is taken (``copies``), with all its columns."""
+    """The mix itself: each row of ``docs`` as many times as it is taken (``copies``), with all its columns.
+
+    Rows that repeat id, source and size are taken alike, each as often as the one of them taken most.
+    """
     plan = mix(docs, id_col, text_col, source_col, **rules).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("_most"))
     plan = plan.where("_most > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_words"), "_most")
     words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
