@@ -149,7 +149,7 @@ def age_days(ts: Column, as_of: Column) -> Column:
 def decay(ts: Column, as_of: Column, half_life: float = P.HALF_LIFE_DAYS) -> Column:
     """Exponential decay with a floor; 1 for the future, a neutral value without a time."""
     factor = F.greatest(F.lit(P.LEAST_DECAY), F.least(F.lit(1.0), F.exp(-math.log(2) / half_life * age_days(ts, as_of))))
-    return F.coalesce(factor, F.lit(P.NEUTRAL_DECAY))
+    return F.when(ts.isNull(), P.NEUTRAL_DECAY).otherwise(factor)
 
 
 def rule_decay(age: Column, confidence: Column, frequency: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BLOCKS = "array<struct<type:string,text:string,name:string,input:struct<file_path:string,path:string,content:string,old_string:string,new_string:string,replace_all:boolean,todos:array<struct<content:string,task:string,status:string>>>>>"
+BLOCK = "struct<type:string,text:string,name:string,input:struct<file_path:string,path:string,content:string,old_string:string,new_string:string,replace_all:boolean,todos:array<struct<content:string,task:string,status:string>>>>"
 
 
 def discover(spark: SparkSession, root: str, project: str | None = None) -> DataFrame:
@@ -47,10 +47,11 @@ def typed(lines: DataFrame) -> DataFrame:
     items = F.try_variant_get("data", "$.message.content", "array<variant>")
     text_of = lambda b: F.when(F.schema_of_variant(b) == "STRING", F.try_variant_get(b, "$", "string")).when(F.try_variant_get(b, "$.type", "string") == "text", F.try_variant_get(b, "$.text", "string"))
     listed = F.array_join(F.filter(F.transform(items, text_of), lambda t: t.isNotNull()), "\n")
+    blocks = F.transform(F.filter(items, lambda b: F.startswith(F.schema_of_variant(b), F.lit("OBJECT"))), lambda b: F.from_json(F.to_json(b), BLOCK))
     return lines.select(
         "session_id", "project", "line", "last_modified", get("$.type").alias("type"), F.try_to_timestamp(get("$.timestamp")).alias("ts"), get("$.slug").alias("slug"),
         get("$.gitBranch").alias("git_branch"), get("$.cwd").alias("cwd"), get("$.summary").alias("summary"), get("$.message.model").alias("model"),
-        F.coalesce(F.when(plain, get("$.message.content")).otherwise(listed), F.lit("")).alias("text"), F.when(~plain, F.from_json(F.to_json(F.try_variant_get("data", "$.message.content", "variant")), BLOCKS)).alias("blocks"),
+        F.coalesce(F.when(plain, get("$.message.content")).otherwise(listed), F.lit("")).alias("text"), blocks.alias("blocks"),
     )
 
 
