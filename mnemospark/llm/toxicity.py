@@ -109,11 +109,11 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[int, np.n
     return weights
 
 
-def threshold(scores: np.ndarray, labels: np.ndarray) -> float:
-    """The middle of the range of thresholds that part the classes best: the mean of both classes' error shares is least."""
+def threshold(scores: np.ndarray, labels: np.ndarray, rates: tuple[float, float] = (1.0, 1.0)) -> float:
+    """The middle of the range of thresholds with the fewest errors, given at which rates negative and positive texts were drawn."""
     order = np.argsort(scores, kind="stable")
     scores, labels = scores[order], labels[order]
-    errors = np.concatenate(([0.0], np.cumsum(labels) / labels.sum() - np.cumsum(1 - labels) / (1 - labels).sum()))
+    errors = np.concatenate(([0.0], np.cumsum(labels) / rates[1] - np.cumsum(1 - labels) / rates[0]))
     best = np.flatnonzero(errors <= errors.min() + 1e-12)
     edges = np.concatenate(([scores[0] - 1], scores, [scores[-1] + 1]))
     return float((edges[best[0]] + edges[best[-1] + 1]) / 2)
@@ -148,7 +148,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     pairs = [(i, np.asarray(s, np.int64)) for i, x in enumerate(found["swaps"].iloc[used]) for s in x]
     weights = fit([texts[i] for i in used], labels[used], pairs)
     if held.any():
-        weights[-1] -= threshold(np.array([weights[t].sum() for t, h in zip(texts, held, strict=True) if h]) + weights[-1], labels[held])
+        weights[-1] -= threshold(np.array([weights[t].sum() for t, h in zip(texts, held, strict=True) if h]) + weights[-1], labels[held], rates)
     return weights
 
 
