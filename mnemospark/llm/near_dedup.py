@@ -140,7 +140,7 @@ def link_unit(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, percent
 def _verify(words: int, percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher, key = Hasher(), None
-        ids, sets, sides = [], [], []
+        ids, sets, sides, seen = [], [], [], set()
 
         def closed() -> pd.DataFrame:
             left = np.array(sides) == 0
@@ -153,6 +153,10 @@ def _verify(words: int, percent: int):
                     if key is not None:
                         yield closed()
                     key, ids, sets, sides = (cluster, p, q), [], [], []
+                    seen = set()
+                if cid in seen:  # a row that repeats in the input
+                    continue
+                seen.add(cid)
                 ids.append(cid)
                 sets.append(shingles(text, words, hasher))
                 sides.append(side)
