@@ -205,6 +205,6 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         "doc_id", (F.col("i") * SEQUENCE).cast("long").alias("start"), F.lit(SEQUENCE).cast("long").alias("length"), "ids_crc32", "doc_tokens",
         (2 * (F.col("sequence") + F.col("i"))).alias("sequence_id"), F.lit(0).cast("long").alias("offset"),
     )
-    rests = made.where(F.octet_length("rest") > 0).select("doc_id", "doc_tokens", "place", "rest")
-    poured = rests.repartitionByRange("place", "doc_id", "rest").sortWithinPartitions("place", "doc_id", "rest").drop("place")
+    rests = made.where(F.octet_length("rest") > 0).select("doc_id", "doc_tokens", "place", "rest", F.xxhash64("rest").alias("tie"))
+    poured = rests.repartitionByRange("place", "doc_id", "tie").sortWithinPartitions("place", "doc_id", "tie").drop("place", "tie")
     return whole.unionByName(poured.mapInPandas(_pour, PIECES))
