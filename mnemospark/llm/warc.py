@@ -39,7 +39,8 @@ CHUNK = 1 << 15
 def train_dictionary(pages: DataFrame, html_col: str = "html") -> bytes:
     """A Zstandard dictionary from a bounded sample; empty if the sample is too small for one."""
     html = F.substring(F.coalesce(F.col(html_col), F.lit("")), 1, SAMPLE_CHARS)
-    rows = pages.select(html.alias("html")).where("html <> ''").orderBy(F.xxhash64("html"), "html").limit(SAMPLE_PAGES).collect()
+    drawn = F.pmod(F.xxhash64("html"), F.lit(1 << 30)) < int(min(1.0, 2 * SAMPLE_PAGES / max(1, pages.count())) * (1 << 30))
+    rows = pages.select(html.alias("html")).where("html <> ''").where(drawn).orderBy(F.xxhash64("html"), "html").limit(SAMPLE_PAGES).collect()
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, [r["html"].encode() for r in rows]).as_bytes()
     except (zstandard.ZstdError, ValueError):
