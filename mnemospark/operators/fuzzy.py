@@ -66,6 +66,8 @@ def closest(terms: DataFrame, words: DataFrame, most: int = P.FUZZY_MOST_EDITS)
     """
     asked = terms.select("term").distinct().where((F.length("term") >= P.FUZZY_LEAST_LENGTH) & ~F.col("term").isin(P.FUZZY_STOPWORDS) & ~F.regexp_like("term", F.lit(r"^\d+$")))
     asked = asked.join(words.select("term"), "term", "left_anti")
+    lengths = asked.agg((F.min(F.length("term")) - most).alias("shortest"), (F.max(F.length("term")) + most).alias("longest"))
+    words = words.crossJoin(F.broadcast(lengths)).where(F.length("term").between(F.col("shortest"), F.col("longest")))  # lengths is one row
     left = asked.select("term", F.explode(_remainders(F.col("term"))).alias("key"))
     right = words.select(F.col("term").alias("word"), "frequency", F.explode(_remainders(F.col("term"))).alias("key"))
     pairs = left.join(right, "key").where((F.abs(F.length("term") - F.length("word")) <= most) & (F.levenshtein("term", "word", 2 * most) >= 0)).select("term", "word", "frequency").distinct()
