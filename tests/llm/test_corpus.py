@@ -225,6 +225,50 @@ def test_lm_learns():
     assert model > -0.8 > -math.log(4)
 
 
+def test_lm_learns_contexts_of_content_words(spark):
+    """Each of 400 words has one successor, which only a model that tells all of them apart can know."""
+    rng = random.Random(4)
+    after = rng.sample(range(400), 400)
+
+    def chain(at):
+        out = []
+        for _ in range(40):
+            out.append(f"w{at}")
+            at = after[at]
+        return " ".join(out)
+
+    df = spark.createDataFrame([(i, chain(rng.randrange(400))) for i in range(500)], "doc_id long, text string")
+    held = [r for r in lm_scoring.score_held_out(df, steps=400).collect() if r.held_out]
+    per_token = sum(r.score for r in held) / sum(r.n_tokens for r in held)
+    assert sum(r.base_score for r in held) / sum(r.n_tokens for r in held) < -2.5 and per_token > -1.5
+
+
+def test_lm_symbols_follow_the_corpus_and_sum_to_one(spark):
+    """Words from the least count on are symbols, rarer and unknown ones share symbols; all events after a pair sum to 1."""
+    rng = random.Random(5)
+    rows = [(i, " ".join([f"w{rng.randrange(300)}" for _ in range(30)] + [f"rare{i}"])) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = Counter(w for _, t in rows for w in t.split())
+    model, tail = lm_scoring.learn(df, head=10, steps=20)
+    least = max(lm_scoring.LEAST, math.ceil(math.sqrt(sum(counts.values()) + 200) / lm_scoring.FINE))
+    own = {w for w, n in counts.items() if n >= least}
+    assert {w.decode() for w, i in model.head.items() if i < model.own} == own and len(own) > 200
+    shares = np.zeros(model.shared)
+    for w in counts.keys() - own:
+        shares[zlib.crc32(w.encode()) % model.shared] += counts[w] + 0.5
+    assert model.mass == pytest.approx(shares + 0.5)
+    targets = np.arange(model.own + model.shared + 1)
+    for u, v in ((0, 1), (model.own + 3, 250), (len(targets), len(targets))):
+        logs = model.table.logs(np.full(len(targets), u), np.full(len(targets), v), targets)
+        assert np.exp(logs).sum() == pytest.approx(1, abs=1e-4)
+    # a rare word beyond the head has its symbol's probability times its share, whether it comes by broadcast or by the join
+    wide, _ = lm_scoring.learn(df, steps=20)
+    assert len(wide.head) > len(model.head)
+    few, many = ({r.doc_id: r for r in lm_scoring.score(df, *x).collect()} for x in ((model, tail), (wide, tail.where("false"))))
+    for i, r in few.items():
+        assert (r.n_known, r.base_score, r.score) == pytest.approx((many[i].n_known, many[i].base_score, many[i].score))
+
+
 def test_pipeline_stages(spark, sf_dir):
     """Every stage against what its input says by brute force."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
