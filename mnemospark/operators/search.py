@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -99,6 +103,65 @@ def vector_top(vectors: DataFrame, query: Column, session: str, chunk: str, vect
     return best.orderBy(F.desc("score"), "session_id").limit(limit)
 
 
+def vector_top_all(vectors: DataFrame, queries: DataFrame, session: str, chunk: str, vector: str, limit: int = 10, block: int = 2048) -> DataFrame:
+    """(query_id, session_id, chunk, score, rank): for every query, the best chunk of each session, best sessions first.
+
+    ``queries`` has query_id and query. They are broadcast in blocks of ``block`` rows; each partition scores its vectors by a
+    matrix product and hands on the best ``limit`` sessions a query. Scores are compared to 12 digits, as sums of products
+    depend on their order. Vectors without direction match nothing.
+    """
+    kind = f"query_id {queries.schema['query_id'].dataType.simpleString()}, session_id {vectors.schema[session].dataType.simpleString()}, chunk {vectors.schema[chunk].dataType.simpleString()}, score double"
+    given = vectors.where(F.col(vector).isNotNull()).select(F.col(session).alias("session_id"), F.col(chunk).alias("chunk"), F.col(vector).alias("vector"))
+
+    def unit(rows) -> tuple[np.ndarray, np.ndarray]:
+        x = np.array([np.asarray(r, np.float64) for r in rows])
+        length = np.sqrt((x * x).sum(1))
+        kept = length > 0
+        return x[kept] / length[kept, None], kept
+
+    def by(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["query_id", "score", "chunk"], ascending=[True, False, True]).drop_duplicates(["query_id", "session_id"])
+        return frame.sort_values(["query_id", "score", "session_id"], ascending=[True, False, True]).groupby("query_id").head(limit)
+
+    def scored(ids: list, rows: list) -> DataFrame:
+        directions, kept = unit(rows)
+        shared = vectors.sparkSession.sparkContext.broadcast((np.array(ids)[kept], directions))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names, q = shared.value
+            best = None
+            for batch in batches:
+                for at in range(0, len(batch) if len(names) else 0, 512):
+                    part = batch.iloc[at : at + 512]
+                    x, some = unit(part["vector"])
+                    part = part[some]
+                    if len(part):
+                        cosines = np.round(x @ q.T, 12)
+                        found = []
+                        for _, own in part.reset_index(drop=True).sort_values("chunk").groupby("session_id", dropna=False):
+                            top = cosines[own.index].argmax(0)  # the least chunk at a tie
+                            found.append(pd.DataFrame({"query_id": names, "session_id": own["session_id"].iloc[0], "chunk": own["chunk"].to_numpy()[top], "score": cosines[own.index[top], np.arange(len(names))]}))
+                        best = by(pd.concat(found if best is None else [best, *found]))
+            if best is not None:
+                yield best
+
+        return given.mapInPandas(run, kind)
+
+    out, ids, rows = None, [], []
+    for r in queries.where("query is not null").toLocalIterator():
+        ids.append(r["query_id"])
+        rows.append(r["query"])
+        if len(ids) == block:
+            full = scored(ids, rows)
+            out, ids, rows = full if out is None else out.union(full), [], []
+    if ids or out is None:
+        last = scored(ids, rows) if ids else vectors.sparkSession.createDataFrame([], kind)
+        out = last if out is None else out.union(last)
+    best = out.groupBy("query_id", "session_id").agg(F.max_by(F.struct("chunk", "score"), F.struct("score", -F.col("chunk"))).alias("best")).select("query_id", "session_id", "best.*")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "session_id"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= limit)
+
+
 def chunks(docs: DataFrame, key: str, text: str, size: int = P.CHUNK_CHARS, overlap: int = P.CHUNK_OVERLAP, most: int = P.CHUNK_MOST) -> DataFrame:
     """Overlapping chunks of a text; of more than ``most``, the first, the last, and evenly spaced ones between."""
     step = size - overlap

@@ -117,6 +117,18 @@ def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select(F.col("session_id").cast("long").alias("session_id"), "chunk", F.round("score", 6).alias("score"))
 
 
+@query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0),
+  s AS (SELECT query_id, label AS session_id, vec_id AS chunk, round(list_cosine_similarity(embedding::DOUBLE[], q), 12) AS score FROM embeddings, q),
+  b AS (SELECT query_id, session_id, arg_max(chunk, (score, -chunk)) AS chunk, max(score) AS score FROM s GROUP BY query_id, session_id),
+  r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, session_id) AS rank FROM b)
+  SELECT query_id, session_id::BIGINT AS session_id, chunk, round(score, 6) AS score, rank FROM r WHERE rank <= 10""")
+def vector_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings")
+    queries = v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    top = search.vector_top_all(v, queries, "label", "vec_id", "embedding")
+    return top.select("query_id", F.col("session_id").cast("long").alias("session_id"), "chunk", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 def _chunks_sql(size: int, overlap: int, most: int) -> str:
     step = size - overlap
     return f"""WITH d AS (SELECT doc_id, text, greatest(1, ceil((length(text) - {overlap}) / {step}.0))::BIGINT AS n FROM documents WHERE length(text) > 0),

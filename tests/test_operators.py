@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -188,3 +189,23 @@ def test_transcripts(spark, tmp_path):
     assert use.tools_used == {"Read": 1, "Edit": 1, "TodoWrite": 1, "Write": 1} and use.files_touched == ["a.py", "b.py"]
     assert [(r.task, r.status) for r in transcripts.todos(raw).orderBy("place").collect()] == [("t1", "done"), ("t2", "pending")]
     assert [(r.seq, r.op, r.file_path) for r in transcripts.file_operations(raw).orderBy("seq").collect()] == [(0, "edit", "a.py"), (1, "write", "b.py")]
+
+
+def test_vector_top_all_answers_every_query(spark):
+    """All queries of several blocks, with copies of vectors, a vector without direction and a null one, against brute force."""
+    rng = np.random.default_rng(3)
+    rows = [(i, i % 14, [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(300)] + [(300, 3, [0.0] * 4), (301, 4, None)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").repartition(5)
+    queries = df.where("vec_id % 10 = 0").selectExpr("vec_id AS query_id", "embedding AS query")
+    got = {(r.query_id, r["rank"]): (r.session_id, r.chunk, r.score) for r in search.vector_top_all(df, queries, "label", "vec_id", "embedding", block=7).collect()}
+    sound = [(i, s, np.array(x) / np.linalg.norm(x)) for i, s, x in rows if x and any(x)]
+    want = {}
+    for k, _, q in sound:
+        if k % 10 == 0:
+            best = {}
+            for i, s, x in sound:
+                best[s] = min(best.get(s, (9, 0)), (-round(float(x @ q), 9), i))
+            for rank, (score, s, i) in enumerate(sorted((a, s, i) for s, (a, i) in best.items())[:10], 1):
+                want[k, rank] = (s, i, -score)
+    assert len(want) > 250 and got.keys() == want.keys()
+    assert all(got[k][:2] == want[k][:2] and abs(got[k][2] - want[k][2]) < 1e-8 for k in want)
