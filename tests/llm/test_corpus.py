@@ -106,7 +106,6 @@ def _tokens(path, text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return [*t.encode(text or "", add_special_tokens=False).ids, 0]
 
 
@@ -135,6 +134,22 @@ def test_packing_round_trip(spark, sf_dir):
     assert packing.pack(df.where("false"), TOKENIZER).count() == 0
 
 
+def test_encoder_gives_the_tokenizer_s_ids():
+    """The ranked encoder against the library the file is for, over odd white space, scripts and added tokens."""
+    from tokenizers import Tokenizer
+
+    whole, mine = Tokenizer.from_file(TOKENIZER), packing.Encoder(TOKENIZER)
+    assert mine.ranked is not None
+    rng = random.Random(6)
+    pool = [*" \n\t\r\u0085\u00a0\u2028\u3000\ufeffabcXYZ019.,!-_'\"éßжα日本😀", "'s", "'LL", "  ", "\n\n", " \n", "<|endoftext|>", *(chr(rng.randrange(0xD800)) for _ in range(300))]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 50))) for _ in range(4000)] + ["ab" * 50_000, "hello <|endoftext|> world"]
+    for t, e in zip(texts, whole.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert mine.ids(t) == e.ids
+    assert mine.ids(texts[-1]) == [31373, 220, 50256, 995]
+    mine.ranked = None  # files of another kind
+    assert all(mine.ids(t) == whole.encode(t, add_special_tokens=False).ids for t in texts[:50])
+
+
 def test_hilbert_curve_is_one_path():
     points = np.array([(x, y, z) for x in range(8) for y in range(8) for z in range(8)])
     keys = packing.hilbert_key(points, 3)
