@@ -9,6 +9,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,7 +64,10 @@ def row_key(id_col: Column, text: Column) -> Column:
 
 
 def small_batches(batches: Iterator[pd.DataFrame], text_col: str, rows: int = 256, size: int = 4_000_000) -> Iterator[pd.DataFrame]:
-    """The same rows in batches of at most ``rows`` rows and about ``size`` characters, so that a worker's memory is bounded."""
+    """The same rows in batches of at most ``rows`` rows and about ``size`` characters, so that what a worker makes of them is bounded.
+
+    Spark itself bounds the batches that come in (``spark.sql.execution.arrow.maxBytesPerBatch``, 64 MB) beyond a single row.
+    """
     for batch in batches:
         ends = batch[text_col].str.len().fillna(0).astype(int).cumsum().to_numpy()
         at = 0
@@ -73,6 +78,17 @@ def small_batches(batches: Iterator[pd.DataFrame], text_col: str, rows: int = 25
             at = to
 
 
+def small_slices(batches: Iterator[pa.RecordBatch], text_col: str, rows: int = 1024, size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The same for Arrow batches, by bytes."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(text_col)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, min(at + rows, int(np.searchsorted(ends, (int(ends[at - 1]) if at else 0) + size, "right"))))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """Components of an undirected graph by alternating large-star and small-star rounds.
 
