@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -16,6 +17,34 @@ WORDS = r"[\p{L}\p{N}_]+(?:-+[\p{L}\p{N}_]+)*"
 
 
 # --- texts ----------------------------------------------------------------------------------------------------------
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
+def squeeze(text: Column) -> Column:
+    """Runs of white space as one space, none at the ends."""
+    return strip(F.regexp_replace(text, r"(?U)\s+", " "))
+
+
+def any_of(text: Column, words: list[str]) -> Column:
+    """Whether the text holds one of the words, as it stands."""
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words], F.lit(False))
+
+
+def starts_with_any(text: Column, beginnings: list[str]) -> Column:
+    return reduce(lambda a, b: a | b, [F.startswith(text, F.lit(w)) for w in beginnings], F.lit(False))
+
+
+def letter_share(text: Column) -> Column:
+    """Share of letters and white space."""
+    return F.length(F.regexp_replace(text, r"(?U)[^\p{L}\s]", "")) / F.greatest(F.lit(1), F.length(text))
+
+
+def count_of(text: Column, part: str) -> Column:
+    return (F.length(text) - F.length(F.replace(text, F.lit(part), F.lit("")))) / len(part)
+
+
 def query_terms(query: Column, most: int = 10) -> Column:
     """The first lower-cased words of three or more ASCII letters and digits; repeats stay."""
     words = F.regexp_extract_all(F.lower(query), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
@@ -27,6 +56,20 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
+#: Endings that an English stem loses, our own rule: the longest that leaves three letters.
+_ENDINGS = "ational|ations|ation|ingly|edly|ings|ness|ment|able|ing|ies|ied|est|ed|es|er|ly|s|e|y"
+
+
+def stem(word: str) -> str:
+    return re.sub(rf"^([a-z]{{3,}}?)(?:{_ENDINGS})$", r"\1", word)
+
+
+def stems(text: Column) -> Column:
+    """English stems of the lower-cased words of a text, without stopwords."""
+    kept = F.filter(tokens(text), lambda w: ~w.isin(P.SEARCH_STOPWORDS))
+    return F.transform(kept, lambda w: F.regexp_replace(w, f"^([a-z]{{3,}}?)(?:{_ENDINGS})$", "$1"))
+
+
 def vocabulary_terms(text: Column) -> Column:
     """Distinct lower-cased ASCII words of four or more characters that are no stopwords."""
     found = F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0))
@@ -34,18 +77,58 @@ def vocabulary_terms(text: Column) -> Column:
 
 
 def excerpt_around(text: Column, terms: Column, context: int = 200) -> Column:
-    """The text around the earliest term, widened to spaces and marked where cut; without a term, its beginning."""
+    """The text around the earliest term, cut at spaces and marked where cut; without a term, its beginning.
+
+    Of terms that begin at one place, the first counts.
+    """
     lower = F.lower(text)
-    at = F.array_min(F.filter(F.transform(terms, lambda t: F.position(t, lower)), lambda p: p > 0))
-    begin = F.greatest(F.lit(1), at - context)
-    end = F.least(F.length(text), at + context)
-    head, tail = F.substring(text, F.lit(1), begin - 1), F.substring(text, end + 1, F.length(text))
-    left = F.when(begin > 1, F.length(F.regexp_extract(head, r"[^ ]*$", 0))).otherwise(0)
-    right = F.when(end < F.length(text), F.length(F.regexp_extract(tail, r"^[^ ]*", 0))).otherwise(0)
-    start, stop = begin - left, end + right
-    cut = F.substring(text, start, stop - start + 1)
-    around = F.concat(F.when(start > 1, "...").otherwise(""), F.trim(cut), F.when(stop < F.length(text), "...").otherwise(""))
-    return F.when(at.isNull(), F.substring(text, 1, 2 * context)).otherwise(around)
+    hits = F.filter(F.transform(terms, lambda t, i: F.struct(F.position(t, lower).alias("at"), i.alias("i"), F.length(t).alias("n"))), lambda h: h["at"] > 0)
+    first = F.array_min(hits)
+    at, size, n = first["at"] - 1, F.length(text), first["n"]
+    begin = F.greatest(F.lit(0), at - context)
+    word = begin - F.length(F.regexp_extract(F.substring(text, F.lit(1), begin), r"[\p{L}\p{N}]*$", 0))
+    space = F.position(F.lit(" "), F.substring(text, word + 1, at - word))
+    start = F.when(begin > 0, F.when(space > 0, word + space).otherwise(word)).otherwise(0)
+    end = F.least(size, at + n + context)
+    back = F.position(F.lit(" "), F.reverse(F.substring(text, at + 1, end - at)))
+    stop = F.when((end < size) & (back > 0), end - back).otherwise(end)
+    around = F.concat(F.when(start > 0, "...").otherwise(""), strip(F.substring(text, start + 1, stop - start)), F.when(stop < size, "...").otherwise(""))
+    beginning = F.concat(F.substring(text, 1, 2 * context), F.when(size > 2 * context, "...").otherwise(""))
+    return F.when(F.size(hits) == 0, beginning).otherwise(around)
+
+
+def excerpts_of(text: Column, query: str, most: int = 3, context: int = 100) -> Column:
+    """The text around each of the first places where the query stands, whatever the case; places do not overlap."""
+    if not query:
+        return F.array().cast("array<string>")
+    parts = F.split(F.lower(text), "\\Q" + query.lower().replace("\\E", "\\E\\\\E\\Q") + "\\E")
+    size, n = F.length(text), len(query)
+
+    def one(i: Column) -> Column:
+        at = F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda s, p: s + F.length(p)) + (i - 1) * n
+        begin, end = F.greatest(F.lit(0), at - context), F.least(size, at + n + context)
+        back = F.position(F.lit(" "), F.reverse(F.substring(text, begin + 1, at - begin)))
+        start = F.when((begin > 0) & (back > 0) & (at - back > begin), at - back + 1).otherwise(begin)
+        return F.concat(F.when(start > 0, "...").otherwise(""), strip(F.substring(text, start + 1, end - start)), F.when(end < size, "...").otherwise(""))
+
+    found = F.least(F.size(parts) - 1, F.lit(most))
+    return F.when(found > 0, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), found)), one)).otherwise(F.array().cast("array<string>"))
+
+
+def topics(keywords: Column, terms: Column, most: int = 5) -> Column:
+    """Keywords that say something, those of the query first."""
+    kept = F.filter(keywords, lambda k: ~F.lower(k).isin(P.SEARCH_STOPWORDS) & (F.length(k) > 2))
+    asked = lambda k: F.array_contains(F.transform(terms, F.lower), F.lower(k))
+    return F.slice(F.concat(F.filter(kept, asked), F.filter(kept, lambda k: ~asked(k))), 1, most)
+
+
+def short_summary(summary: Column, task: Column, most: int = 100) -> Column:
+    """The outcome that a summary names, else the shorter of summary and task, cut with dots."""
+    cut = lambda x: F.when(F.length(x) <= most, x).otherwise(F.concat(F.substring(x, 1, most - 3), F.lit("...")))
+    summary, task = F.coalesce(summary, F.lit("")), F.coalesce(task, F.lit(""))
+    outcome = F.split_part(summary, F.lit(" | Outcome: "), F.lit(2))
+    shorter = F.when((task != "") & ((summary == "") | (F.length(task) < F.length(summary))), task).otherwise(summary)
+    return F.when(F.contains(summary, F.lit(" | Outcome: ")), cut(outcome)).otherwise(cut(shorter))
 
 
 def truncate_words(text: Column, most: int, least: int) -> Column:
@@ -57,22 +140,22 @@ def truncate_words(text: Column, most: int, least: int) -> Column:
 
 def clean_task(text: Column) -> Column:
     """A task description: greetings and polite prefixes removed, first letter raised, at most about 200 characters."""
-    out = F.trim(text)
+    out = strip(text)
     for pattern in P.TASK_GREETINGS:
-        out = F.trim(F.regexp_replace(out, pattern, ""))
+        out = strip(F.regexp_replace(out, pattern, ""))
     sentences = F.split(out, r"(?<=[.!?])\s+")
     greeting = r"(?i)^(?:hi|hello|hey|thanks?|good\s+(?:morning|afternoon|evening))"
-    first = F.filter(F.transform(sentences, F.trim), lambda s: (F.length(s) >= 15) & ~F.regexp_like(s, F.lit(greeting)))
+    first = F.filter(F.transform(sentences, strip), lambda s: (F.length(s) >= 15) & ~F.regexp_like(s, F.lit(greeting)))
     out = F.when((F.size(sentences) > 1) & (F.size(first) > 0), F.element_at(first, 1)).otherwise(out)
     out = F.regexp_replace(out, "(?i)^(?:" + "|".join(P.TASK_PREFIXES) + ")+", "")
     out = F.concat(F.upper(F.substring(out, 1, 1)), F.substring(out, 2, 1 << 30))
-    return F.coalesce(F.trim(truncate_words(out, 200, 100)), F.lit(""))
+    return F.coalesce(strip(truncate_words(out, 200, 100)), F.lit(""))
 
 
 def normalise_error(message: Column) -> Column:
     for pattern, to in P.ERROR_REWRITES:
         message = F.regexp_replace(message, pattern, to)
-    return F.trim(message)
+    return strip(message)
 
 
 def error_type(message: Column) -> Column:
@@ -80,11 +163,12 @@ def error_type(message: Column) -> Column:
 
 
 def error_signature(kind: Column, normalised: Column) -> Column:
-    return F.substring(F.sha2(F.concat(F.coalesce(kind, F.lit("unknown")), F.lit(":"), F.substring(normalised, 1, 200)), 256), 1, 16)
+    """Of the type and the text; of the text alone if there is no type."""
+    return F.substring(F.sha2(F.concat(F.coalesce(F.concat(kind, F.lit(":")), F.lit("")), F.substring(normalised, 1, 200)), 256), 1, 16)
 
 
 def decision_hash(text: Column) -> Column:
-    return F.substring(F.sha2(F.substring(F.lower(F.trim(text)), 1, 200), 256), 1, 16)
+    return F.substring(F.sha2(F.substring(F.lower(strip(text)), 1, 200), 256), 1, 16)
 
 
 def decision_category(text: Column) -> Column:
@@ -114,9 +198,10 @@ def jaccard(a: Column, b: Column) -> Column:
 
 
 def text_similarity(a: Column, b: Column) -> Column:
-    """The larger of the Jaccard similarities of words and of character pairs."""
-    words = lambda x: F.array_distinct(F.filter(F.split(F.lower(x), r"\s+"), lambda w: w != ""))
-    return F.greatest(jaccard(words(a), words(b)), jaccard(bigrams(F.lower(a)), bigrams(F.lower(b))))
+    """The larger of the Jaccard similarities of words and of character pairs of squeezed, lower-cased texts; 0 for an empty one."""
+    a, b = F.lower(squeeze(a)), F.lower(squeeze(b))
+    words = lambda x: F.array_distinct(F.filter(F.split(x, " "), lambda w: w != ""))
+    return F.when(a == b, F.when(a != "", 1.0).otherwise(0.0)).otherwise(F.greatest(jaccard(words(a), words(b)), jaccard(bigrams(a), bigrams(b))))
 
 
 def decode_project(name: Column) -> Column:
@@ -125,10 +210,10 @@ def decode_project(name: Column) -> Column:
 
 
 def normalise_remote(url: Column) -> Column:
-    """host/owner/name of a git remote, whatever its form."""
-    out = F.regexp_replace(F.trim(url), r"^(?:ssh|git|https?)://", "")
-    out = F.regexp_replace(F.regexp_replace(out, r"^[^@/]*@", ""), r"^([^/:]+):(?=\D)", "$1/")
-    return F.lower(F.regexp_replace(out, r"(?:\.git)?/*$", ""))
+    """host/owner/name of a git remote, as SSH or web address; letters keep their case."""
+    url = F.regexp_replace(url, r"\.git$", "")
+    plain = F.regexp_replace(url, "^(?:ssh://(?:git@)?|https://|http://)", "")
+    return F.when(F.startswith(url, F.lit("git@")), F.regexp_replace(F.substring(url, 5, 1 << 30), "^([^:]*):", "$1/")).otherwise(plain)
 
 
 def line_count(text: Column) -> Column:
@@ -153,7 +238,8 @@ def decay(ts: Column, as_of: Column, half_life: float = P.HALF_LIFE_DAYS) -> Col
 
 
 def rule_decay(age: Column, confidence: Column, frequency: Column) -> Column:
-    step = F.when(age <= 7, 1.0).when(age <= 30, 0.85).when(age <= 90, 0.70).otherwise(0.50)
+    """Steps at 7, 30 and 90 days; a rule that is exactly so old is beyond the step."""
+    step = F.when(age < 7, 1.0).when(age < 30, 0.85).when(age < 90, 0.70).otherwise(0.50)
     return F.round(F.least(F.lit(1.0), confidence * step * F.least(F.lit(1.2), 1 + 0.05 * (frequency - 1))), 2)
 
 

@@ -6,6 +6,7 @@ included, always share such a remainder. So no query word is compared with the w
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,9 +48,34 @@ def distance(a: str, b: str) -> int:
     return rows[len(a), len(b)]
 
 
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The same for many pairs at once: rows of ``a`` and of ``b`` are words as code points, all of one length on either side."""
+    count, n, m = len(a), a.shape[1], b.shape[1]
+    most, every = n + m, np.arange(count)
+    rows = np.full((count, n + 2, m + 2), most, np.int32)
+    rows[:, 1:, 1], rows[:, 1, 1:] = np.arange(n + 1), np.arange(m + 1)
+    seen = np.zeros((count, m), np.int64)  # of each letter of b, the last row of a that has it
+    for i in range(1, n + 1):
+        last = np.zeros(count, np.int64)
+        for j in range(1, m + 1):
+            up, equal = seen[:, j - 1], a[:, i - 1] == b[:, j - 1]
+            swap = np.where((up > 0) & (last > 0), rows[every, up, last] + i - up - 1 + 1 + j - last - 1, most)
+            rows[:, i + 1, j + 1] = np.minimum(np.minimum(rows[:, i, j] + ~equal, np.minimum(rows[:, i + 1, j], rows[:, i, j + 1]) + 1), swap)
+            last = np.where(equal, j, last)
+        seen = np.where(b == a[:, i - 1 : i], i, seen)
+    return rows[:, n + 1, m + 1]
+
+
 @F.pandas_udf(T.IntegerType())
 def damerau_levenshtein(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([distance(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
+    out = np.zeros(len(a), np.int32)
+    codes = lambda words, size: np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), size)
+    lengths = pd.DataFrame({"n": a.str.len().to_numpy(), "m": b.str.len().to_numpy()})
+    for (n, m), rows in lengths.groupby(["n", "m"]).indices.items():
+        for at in range(0, len(rows), 5000):
+            some = rows[at : at + 5000]
+            out[some] = distances(codes(a.iloc[some].tolist(), n), codes(b.iloc[some].tolist(), m))
+    return pd.Series(out)
 
 
 def _remainders(word: Column) -> Column:

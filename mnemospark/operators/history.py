@@ -4,33 +4,68 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from mnemospark.functions import columns as C
+
+
+def snapshots(ops: DataFrame) -> DataFrame:
+    """What writes leave: operation_id, content, line_count, byte_size."""
+    return ops.where("op = 'write'").select(F.col("event_id").alias("operation_id"), "content", C.line_count(F.col("content")).cast("long").alias("line_count"), F.octet_length("content").cast("long").alias("byte_size"))
 
 
 def timeline(ops: DataFrame, path: str | None = None, limit: int | None = None) -> DataFrame:
-    """Operations with the size of what they wrote, newest first. ``path``: a LIKE pattern, whatever the case."""
+    """Operations, with lines and bytes of what they wrote if they wrote a file, newest first. ``path``: a LIKE pattern, whatever the case."""
     out = ops if path is None else ops.where(F.ilike("file_path", F.lit(path)))
-    out = out.select("event_id", "session_id", "op", "file_path", "ts", F.length("content").cast("long").alias("chars"))
+    sizes = snapshots(out).select(F.col("operation_id").alias("event_id"), "line_count", "byte_size")
+    out = out.select("event_id", "session_id", "op", "file_path", "ts").join(sizes, "event_id", "left")
     return out if limit is None else out.orderBy(F.desc("ts"), F.desc("event_id")).limit(limit)
 
 
+def symbol_history(ops: DataFrame, symbol: str | None = None, limit: int | None = None) -> DataFrame:
+    """Where symbols are defined, by a join of symbols, snapshots and operations: symbol_name, symbol_type, line_number, file_path, session_id, event_id, ts."""
+    found = symbols(ops) if symbol is None else symbols(ops).where(F.contains(F.lower("symbol_name"), F.lit(symbol.lower())))
+    made = snapshots(ops).select("operation_id")
+    done = ops.select(F.col("event_id").alias("operation_id"), "file_path", "session_id", "ts")
+    out = found.join(made, "operation_id").join(done, "operation_id").withColumnRenamed("operation_id", "event_id")
+    return out if limit is None else out.orderBy(F.desc("ts"), "file_path", "line_number").limit(limit)
+
+
+def symbols(ops: DataFrame) -> DataFrame:
+    """Functions and classes that written files define: operation_id, symbol_type, symbol_name, line_number."""
+    lines = ops.where("op = 'write'").select(F.col("event_id").alias("operation_id"), F.posexplode(F.split("content", "\n")).alias("line", "text"))
+    name = lambda p: F.nullif(F.regexp_extract("text", p, 1), F.lit(""))
+    function, kind = name(r"^\s*(?:async\s+)?(?:def|function|func|fn)\s+(\w+)"), name(r"^\s*(?:class|struct|interface)\s+(\w+)")
+    out = lines.select("operation_id", F.when(function.isNotNull(), "function").otherwise("class").alias("symbol_type"), F.coalesce(function, kind).alias("symbol_name"), (F.col("line") + 1).cast("long").alias("line_number"))
+    return out.where("symbol_name is not null")
+
+
 def snapshot_as_of(ops: DataFrame, targets: DataFrame) -> DataFrame:
     """For each (file_path, target) the last write not after it: target_id, file_path, target, snapshot_ts, content.
 
-    Writes and targets of a file meet in one sort by time, and the last write is carried on; no pair of them is formed.
+    Writes and targets of a file's day meet in one sort by time, and the last write is carried on; where a day has none
+    before the target, that of the last earlier day counts, which goes from day to day with one row a file and day. So a
+    file with very many writes is spread over its days, and no pair of write and target is formed.
     """
-    from pyspark.sql.window import Window
-
-    writes = ops.where("op = 'write'").select("file_path", "ts", F.lit(0).alias("side"), "event_id", F.struct("ts", "content").alias("w"), F.lit(None).cast("long").alias("target_id"))
-    asked = targets.select("file_path", F.col("target").alias("ts"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("event_id"), F.lit(None).cast("struct<ts:timestamp,content:string>").alias("w"), "target_id")
-    line = Window.partitionBy("file_path").orderBy("ts", "side", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    both = writes.unionByName(asked).withColumn("last", F.last("w", ignorenulls=True).over(line)).where("side = 1")
-    return both.select("target_id", "file_path", F.col("ts").alias("target"), F.col("last.ts").alias("snapshot_ts"), F.col("last.content").alias("content"))
+    day = F.to_date("ts")
+    writes = ops.where("op = 'write'").select("file_path", "ts", F.lit(0).alias("side"), "event_id", F.struct("ts", "event_id").alias("w"), F.lit(None).cast("long").alias("target_id"))
+    asked = targets.select("file_path", F.col("target").alias("ts"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("event_id"), F.lit(None).cast(writes.schema["w"].dataType).alias("w"), "target_id")
+    line = Window.partitionBy("file_path", "day").orderBy("ts", "side", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    both = writes.unionByName(asked).withColumn("day", day)
+    days = both.groupBy("file_path", "day").agg(F.max("w").alias("last"))
+    before = Window.partitionBy("file_path").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    carried = days.select("file_path", "day", F.last("last", ignorenulls=True).over(before).alias("carried"))
+    found = both.withColumn("own", F.last("w", ignorenulls=True).over(line)).where("side = 1").join(carried, ["file_path", "day"])
+    found = found.select("target_id", "file_path", F.col("ts").alias("target"), F.coalesce("own", "carried").alias("w"))
+    contents = ops.where("op = 'write'").select(F.col("event_id").alias("wrote"), "content")
+    return found.join(contents, found["w.event_id"] == contents["wrote"], "left").select("target_id", "file_path", "target", F.col("w.ts").alias("snapshot_ts"), "content")
 
 
 def edits_between(ops: DataFrame, spans: DataFrame) -> DataFrame:
-    """Edits with start < ts <= end of a file's spans (span_id, file_path, start, end)."""
-    edits = ops.where("op = 'edit'")
-    return edits.join(spans, "file_path").where("ts > start and ts <= end").select("span_id", "file_path", "event_id", "ts", "old_string", "new_string")
+    """Edits with start < ts <= end of a file's spans (span_id, file_path, start, end), by an equi-join on file and day."""
+    edits = ops.where("op = 'edit'").withColumn("day", F.to_date("ts"))
+    days = spans.where("start < end").withColumn("day", F.explode(F.sequence(F.to_date("start"), F.to_date("end"))))
+    return edits.join(days, ["file_path", "day"]).where("ts > start and ts <= end").select("span_id", "file_path", "event_id", "ts", "old_string", "new_string")
 
 
 def apply_edits(content: Column, edits: Column) -> Column:
@@ -60,13 +95,6 @@ def reconstruct(ops: DataFrame, as_of: Column | None = None) -> DataFrame:
     return out.select("file_path", F.col("r.content").alias("content"), F.col("r.applied").cast("long").alias("edits_applied"), F.col("r.failed").cast("long").alias("edits_failed"), confidence.alias("confidence"))
 
 
-def symbols(ops: DataFrame) -> DataFrame:
-    """Functions and classes that written files define: file_path, ts, kind, name."""
-    defined = lambda p, kind: F.transform(F.regexp_extract_all("content", F.lit(p), F.lit(1)), lambda n: F.struct(F.lit(kind).alias("kind"), n.alias("name")))
-    found = F.concat(defined(r"(?m)^\s*(?:async\s+)?(?:def|function|func|fn)\s+(\w+)", "function"), defined(r"(?m)^\s*(?:class|struct|interface)\s+(\w+)", "class"))
-    return ops.where("op = 'write'").select("file_path", "session_id", "ts", F.explode(found).alias("s")).select("file_path", "session_id", "ts", "s.*")
-
-
 def journey(ops: DataFrame) -> DataFrame:
     """One row: created, edited and unique files, lines written."""
     return ops.agg(
@@ -78,3 +106,24 @@ def journey(ops: DataFrame) -> DataFrame:
 def most_active(ops: DataFrame, limit: int = 10) -> DataFrame:
     out = ops.groupBy("file_path").agg(F.count_if(F.col("op") == "write").alias("writes"), F.count_if(F.col("op") == "edit").alias("edits"), F.max("ts").alias("last_ts"))
     return out.orderBy(F.desc(F.col("writes") + F.col("edits")), "file_path").limit(limit)
+
+
+def recent_files(ops: DataFrame, limit: int = 15) -> DataFrame:
+    """Distinct files, the latest touched first."""
+    return ops.groupBy("file_path").agg(F.max("ts").alias("last_ts")).orderBy(F.desc("last_ts"), "file_path").limit(limit)
+
+
+def totals(ops: DataFrame) -> DataFrame:
+    """One row: operations, snapshots, edits, files."""
+    return ops.agg(
+        F.count("*").alias("total_operations"), F.count_if((F.col("op") == "write") & F.col("content").isNotNull()).alias("snapshots"), F.count_if((F.col("op") == "edit") & F.col("old_string").isNotNull()).alias("edits"),
+        F.count_distinct("file_path").alias("unique_files"),
+    )
+
+
+def shown_changes(ops: DataFrame, limit: int = 20, most: int = 200) -> DataFrame:
+    """Edits, newest first, before and after cut with a mark of the cut."""
+    cut = lambda c: F.substring(F.coalesce(c, F.lit("")), 1, most)
+    over = lambda c: F.coalesce(F.length(c) > most, F.lit(False))
+    rows = ops.where("op = 'edit'").orderBy(F.desc("ts"), F.desc("event_id")).limit(limit)
+    return rows.select("event_id", "file_path", "ts", cut("old_string").alias("before"), cut("new_string").alias("after"), over("old_string").alias("before_truncated"), over("new_string").alias("after_truncated"))

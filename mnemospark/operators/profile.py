@@ -1,53 +1,119 @@
-"""What messages say of their user: names, preferences, rules, lifecycle, prerequisites."""
+"""What messages say of their user: names, preferences, rules, ways of working, prerequisites."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from mnemospark.functions import columns as C
+from mnemospark.functions import gates as G
 from mnemospark.functions import patterns as P
-from mnemospark.operators.extract import any_contains
+from mnemospark.operators import graph
+from mnemospark.operators.staging import materialise
+
+ORDER = ("session_id", "msg_idx")
+LATEST = 64
+
+
+# --- names -----------------------------------------------------------------------------------------------------------
+def _is_name(name: Column, blocked: list[str]) -> Column:
+    return F.regexp_like(name, F.lit("^[A-Z][a-z]{2,14}$")) & ~F.lower(name).isin(blocked)
 
 
 def name_candidates(messages: DataFrame, blocked: list[str] | None = None) -> DataFrame:
-    """Names that users give themselves: session_id, name, pattern, confidence; the surest of a session for each name."""
-    none = F.lit(None).cast("struct<name:string,pattern:string,confidence:double>")
-    found = F.coalesce(*[F.when(F.regexp_like("content", F.lit(p)), F.struct(F.regexp_extract("content", p, 1).alias("name"), F.lit(kind).alias("pattern"), F.lit(c).alias("confidence"))) for p, kind, c in P.NAME_PATTERNS], none)
-    out = messages.where("role = 'user'").select("session_id", "msg_idx", found.alias("f")).where("f is not null and length(f.name) between 3 and 15")
-    if blocked:
-        out = out.where(~F.lower("f.name").isin([b.lower() for b in blocked]))
-    best = F.max_by(F.struct("f.pattern", "f.confidence"), F.struct("f.confidence", -F.col("msg_idx")))
-    return out.groupBy("session_id", F.col("f.name").alias("name")).agg(best.alias("b")).select("session_id", "name", "b.*")
+    """Names that users give themselves: session_id, name, pattern, confidence.
+
+    The first pattern of a message that gives a name counts. A sign-off counts only in the first message of a session that
+    names anybody. A session keeps for each name the best confidence and its last pattern. ``blocked``: words that are no
+    names, by default technologies, stopwords, words of other domains and some of our own.
+    """
+    blocked = blocked if blocked is not None else sorted({*P.NO_NAMES, *P.TECHNOLOGIES, *P.FUZZY_STOPWORDS, *P.FILTER_WORDS})
+    pick = lambda text, p, kind, c: F.when(_is_name(F.regexp_extract(text, p, 1), blocked), F.struct(F.regexp_extract(text, p, 1).alias("name"), F.lit(kind).alias("pattern"), F.lit(c).alias("confidence")))
+    intro = F.coalesce(*[pick(F.col("content"), *p) for p in P.NAME_PATTERNS])
+    tail = F.when(F.length("content") > 100, F.substring("content", -100, 100)).otherwise(F.col("content"))
+    said = messages.where((F.col("role") == "user") & (F.length("content") >= 10)).select(*ORDER, intro.alias("intro"), pick(tail, *P.SIGN_OFF).alias("off")).where("intro is not null or off is not null")
+    first = F.min("msg_idx").over(Window.partitionBy("session_id")) == F.col("msg_idx")
+    found = said.withColumn("f", F.coalesce("intro", F.when(first, F.col("off")))).where("f is not null")
+    return found.groupBy("session_id", F.col("f.name").alias("name")).agg(F.max_by("f.pattern", "msg_idx").alias("pattern"), F.max("f.confidence").alias("confidence"))
 
 
 def name_scores(candidates: DataFrame) -> DataFrame:
     """Names by sum of confidences, best pattern and number of sessions."""
-    weight = F.coalesce(*[F.when(F.col("pattern") == k, w) for k, w in P.NAME_WEIGHTS.items()], F.lit(0.7))
+    weight = F.coalesce(*[F.when(F.col("pattern") == k, w) for k, w in P.NAME_WEIGHTS.items()], F.lit(P.OTHER_NAME_WEIGHT))
     out = candidates.groupBy("name").agg(F.sum("confidence").alias("total"), F.count_distinct("session_id").alias("sessions"), F.max(weight).alias("weight"))
     return out.select("name", "sessions", F.round(F.col("total") * F.col("weight") + F.log(F.col("sessions") + 1.0), 4).alias("score"))
 
 
-def _matches(text: Column, pattern: str, kind: str, name: str, found: str, confidence: float) -> Column:
-    """All matches of a pattern as structs of its kind, the match and a confidence."""
-    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda m: F.struct(F.lit(name).alias(kind), F.trim(m).alias(found), F.lit(confidence).alias("confidence")))
+# --- preferences -----------------------------------------------------------------------------------------------------
+def _found(messages: DataFrame, matches: Column, *more: Column) -> DataFrame:
+    """A row a match; ``matches`` is an array of structs with a field ``place``, its pattern's number."""
+    return messages.select(*ORDER, *more, F.posexplode(matches).alias("at", "f")).select(*ORDER, *[F.col(c) for c in messages.select(*more).columns], "at", "f.*")
+
+
+def _of_pattern(text: Column, i: int, pattern: str, group: int, **extra) -> Column:
+    constant = [F.lit(v).alias(k) for k, v in extra.items()]
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda m: F.struct(F.lit(i).alias("place"), *constant, C.strip(m).alias("found")))
 
 
-def preferences(messages: DataFrame, patterns: list[tuple[str, str, float]]) -> DataFrame:
-    """Preferences by (category, pattern, confidence) on user messages: frequency, and a confidence that grows with it."""
-    found = F.concat(*[_matches(F.lower("content"), p, "category", c, "preference", s) for c, p, s in patterns])
-    out = messages.where("role = 'user'").select("session_id", F.explode(found).alias("f")).where("length(f.preference) between 3 and 50")
-    out = out.groupBy("f.category", "f.preference").agg(F.count("*").alias("frequency"), F.max("f.confidence").alias("first"), F.count_distinct("session_id").alias("sessions"))
+def preferences(messages: DataFrame, patterns: list[tuple[str, str, float]] | None = None, noise: list[str] | None = None, filtered: list[str] | None = None) -> DataFrame:
+    """Preferences of user messages: category, preference, frequency, sessions, confidence.
+
+    The first sighting gives the confidence, each further one adds a tenth. Messages with a word of ``noise`` tell
+    nothing; preferences with a word of ``filtered`` are none.
+    """
+    patterns, noise, filtered = patterns or P.PREFERENCE_PATTERNS, P.PREFERENCE_NOISE if noise is None else noise, P.FILTER_WORDS if filtered is None else filtered
+    text = F.lower("content")
+    matches = F.concat(*[_of_pattern(text, i, p, 1, category=c, confidence=s) for i, (c, p, s) in enumerate(patterns)])
+    out = _found(messages.where((F.col("role") == "user") & ~C.any_of(text, noise)), matches).withColumnRenamed("found", "preference")
+    out = out.where(F.length("preference").between(3, 50) & ~C.any_of(F.col("preference"), [*filtered, "**", "`", "("]))
+    first = F.min_by("confidence", F.struct(*ORDER, "at"))
+    out = out.groupBy("category", "preference").agg(F.count("*").alias("frequency"), F.count_distinct("session_id").alias("sessions"), first.alias("first"))
     return out.select("category", "preference", "frequency", "sessions", F.round(F.least(F.lit(1.0), F.col("first") + 0.1 * (F.col("frequency") - 1)), 4).alias("confidence"))
 
 
-def rules(messages: DataFrame) -> DataFrame:
-    """Rules of user messages: session_id, msg_idx, rule_type, rule_text, confidence."""
-    found = F.concat(*[_matches(F.col("content"), p, "rule_type", t, "rule_text", c) for t, p, c in P.RULE_PATTERNS])
-    return messages.where("role = 'user'").select("session_id", "msg_idx", F.explode(found).alias("r")).select("session_id", "msg_idx", "r.*")
+def is_approval(preference: Column) -> Column:
+    return F.lower(C.strip(preference)).isin(P.APPROVALS)
+
+
+# --- rules -----------------------------------------------------------------------------------------------------------
+def _rule_matches(i: int, kind: str, pattern: str, confidence: float, conditional: bool) -> Column:
+    """All matches of a pattern; of two captures, a conditional rule's first is its scope, and alternatives are joined."""
+    found = lambda group: F.regexp_extract_all("content", F.lit(pattern), F.lit(group))
+
+    def shape(text: Column, own: Column) -> Column:
+        return F.struct(F.lit(i).alias("place"), F.lit(kind).alias("rule_type"), F.lit(confidence).alias("confidence"), C.strip(text).alias("rule_text"), own.alias("own"))
+
+    if conditional:
+        return F.zip_with(found(1), found(2), lambda scope, rule: shape(rule, C.strip(scope)))
+    none = F.lit(None).cast("string")
+    if pattern.count("([a-zA-Z0-9_-]+)") == 2:
+        return F.zip_with(found(1), found(2), lambda a, b: shape(F.concat(a, F.lit(" over "), b), none))
+    return F.transform(found(1), lambda m: shape(m, none))
+
+
+def rules(messages: DataFrame, noise: list[str] | None = None) -> DataFrame:
+    """Rules that users state, with false ones left out: session_id, msg_idx, at, rule_type, rule_text, scope, confidence."""
+    noise = P.RULE_NOISE if noise is None else noise
+    plain = [_rule_matches(i, *rule, conditional=i >= len(P.RULE_PATTERNS)) for i, rule in enumerate([*P.RULE_PATTERNS, *P.CONDITIONAL_PATTERNS])]
+    user = messages.where((F.col("role") == "user") & ~C.any_of(F.lower("content"), noise))
+    out = _found(user, F.concat(*plain), F.col("content"))
+    out = out.where(~G.states_no_rule(F.col("content"), F.col("rule_text")))
+    return out.select(*ORDER, "at", "rule_type", F.substring("rule_text", 1, 200).alias("rule_text"), F.coalesce("own", F.when(F.col("place") < len(P.RULE_PATTERNS), G.scope(F.col("content")))).alias("scope"), "confidence")
+
+
+def revocations(messages: DataFrame, noise: list[str] | None = None) -> DataFrame:
+    """What users say no longer holds: session_id, msg_idx, at, words."""
+    noise = P.RULE_NOISE if noise is None else noise
+    text = F.lower("content")
+    matches = F.concat(*[_of_pattern(text, i, p, 1) for i, p in enumerate(P.REVOCATION_PATTERNS)])
+    out = _found(messages.where((F.col("role") == "user") & ~C.any_of(text, noise)), matches)
+    out = out.withColumn("words", F.array_distinct(G.rule_words(F.col("found"))))
+    return out.where(F.length(G.normalised_rule(F.col("found"))) >= 5).select(*ORDER, "at", "words")
 
 
 def rule_frequencies(found: DataFrame) -> DataFrame:
@@ -56,61 +122,111 @@ def rule_frequencies(found: DataFrame) -> DataFrame:
     return out.select("rule_type", "rule_text", "frequency", F.round(F.least(F.lit(1.0), F.col("c") + 0.05 * (F.col("frequency") - 1)), 4).alias("confidence"))
 
 
-def similar_pairs(texts: DataFrame, key: str, text: str, least: float = 0.7) -> DataFrame:
-    """Pairs of different texts whose word sets have at least this Jaccard similarity: a, b, similarity.
+def similar_sets(sets: DataFrame, least: float = 0.7) -> DataFrame:
+    """Pairs of different word sets of one kind (id, kind, words) with at least this Jaccard similarity: a, b, similarity.
 
-    Texts with equal word sets are one class, so that copies make no pairs. Candidates share one of the rarest words of
-    each set: sets this similar have a word in common among the first ``n - ceil(least * n) + 1`` in order of frequency.
+    Sets this similar have a word in common among the first ``n - ceil(least * n) + 1`` of each in order of frequency, and
+    sizes within the same bound. A pair is formed at its first common word only, where the rest of both sets can still
+    reach the overlap, and checked there, so that no pair is shuffled before it is one.
     """
+    counts = sets.select("kind", F.explode("words").alias("word")).groupBy("kind", "word").agg(F.count("*").alias("df"))
+    ranked = sets.select("id", "kind", F.explode("words").alias("word")).join(counts, ["kind", "word"])
+    order = ranked.groupBy("id", "kind").agg(F.array_sort(F.collect_list(F.struct("df", "word")))["word"].alias("o")).withColumn("n", F.size("o"))
+    first = order.select("id", "kind", "n", "o", F.posexplode(F.slice("o", F.lit(1), F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1)).alias("i", "word"))
+    other = first.select(F.col("id").alias("b"), "kind", F.col("n").alias("nb"), F.col("o").alias("ob"), F.col("i").alias("ib"), "word")
+    pairs = first.withColumnRenamed("id", "a").join(other, ["kind", "word"]).where("a < b").where(F.least("n", "nb") >= F.greatest("n", "nb") * least - 1e-9)
+    overlap = F.ceil((F.col("n") + F.col("nb")) * least / (1 + least) - 1e-9)
+    pairs = pairs.where(1 + F.least(F.col("n") - F.col("i") - 1, F.col("nb") - F.col("ib") - 1) >= overlap)
+    met = F.size(F.array_intersect(F.slice("o", F.lit(1), F.col("i")), F.slice("ob", F.lit(1), F.col("ib")))) == 0
+    found = pairs.where(met).withColumn("similarity", C.jaccard(F.col("o"), F.col("ob")))
+    return found.where(F.col("similarity") >= least).select("a", "b", F.round("similarity", 4).alias("similarity"))
+
+
+def similar_pairs(texts: DataFrame, key: str, text: str, least: float = 0.7) -> DataFrame:
+    """Pairs of different texts whose word sets have at least this Jaccard similarity; texts with equal sets are one class."""
     words = F.array_sort(F.array_distinct(F.filter(F.split(F.lower(text), r"[^a-z0-9]+"), lambda w: w != "")))
     sets = texts.select(F.col(key).alias("id"), words.alias("words")).where(F.size("words") > 0).groupBy("words").agg(F.min("id").alias("id"))
-    counts = sets.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("df"))
-    ranked = sets.select("id", F.size("words").alias("n"), F.explode("words").alias("word")).join(counts, "word")
-    order = ranked.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("o"))
-    first = order.select("id", "n", F.explode(F.slice(F.col("o.word"), F.lit(1), F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1)).alias("word"))
-    other = first.select(F.col("id").alias("b"), F.col("n").alias("nb"), "word")
-    pairs = first.withColumnRenamed("id", "a").join(other, "word").where("a < b").where(F.least("n", "nb") >= F.greatest("n", "nb") * least - 1e-9).select("a", "b").distinct()
-    side = lambda x: sets.select(F.col("id").alias(x), F.col("words").alias(f"w{x}"))
-    found = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("similarity", C.jaccard(F.col("wa"), F.col("wb")))
-    return found.where(F.col("similarity") >= least).select("a", "b", F.round("similarity", 4).alias("similarity"))
+    return similar_sets(sets.withColumn("kind", F.lit("")), least)
 
 
-def cluster_rules(found: DataFrame, least: float = 0.7) -> DataFrame:
-    """Rules folded in order into those kept before them of their type: rule_type, rule_text, frequency, confidence.
+RULES = "rule_type string, rule_text string, scope string, frequency long, confidence double, first_seen struct<session_id:{0},msg_idx:bigint>, last_seen struct<session_id:{0},msg_idx:bigint>, revoked boolean"
 
-    A rule joins the kept rule it resembles most, by words, from ``least`` on. Equal texts are folded before, so that a
-    group holds distinct rules only; the fold depends on order, hence one group a type.
-    """
-    distinct = found.groupBy("rule_type", F.lower("rule_text").alias("rule_text")).agg(F.min(F.struct("session_id", "msg_idx")).alias("first"), F.count("*").alias("frequency"), F.max("confidence").alias("confidence"))
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        kept: list[list] = []
-        for text, n, c in rows.sort_values("place")[["rule_text", "frequency", "confidence"]].itertuples(index=False, name=None):
-            words = set(text.split())
-            best, score = None, 0.0
+def learned_rules(found: DataFrame, revoked: DataFrame, least: float = 0.7, revoking: float = 0.5) -> DataFrame:
+    """Rules folded in order of statement into similar ones of their type that hold, and revoked when users take them back.
+
+    A rule joins the kept one it resembles most, by Jaccard similarity of its words from ``least`` on, and strengthens it; a
+    revocation ends those that have at least ``revoking`` of their words in it, and a later statement starts anew. Only rules
+    within one component of similar wordings can meet, so a component is folded by itself, over runs: statements of one
+    wording and confidence between two of the component's revocations count as one, at the place of the first.
+    """
+    session = found.schema["session_id"].dataType.simpleString()
+    place = F.struct(*ORDER, "at")
+    stated = found.select(place.alias("place"), "rule_type", "rule_text", "scope", "confidence", F.array_sort(F.array_distinct(G.rule_words(F.col("rule_text")))).alias("words"))
+    stated = materialise(stated.where(F.size("words") > 0), "stated")
+    sets = materialise(stated.groupBy(F.col("rule_type").alias("kind"), "words").agg(F.min("place").alias("first")).select("kind", "words", F.monotonically_increasing_id().alias("id")), "wordings")
+    parts = graph.components(similar_sets(sets, least).select("a", "b"))
+    placed = sets.join(parts.withColumnRenamed("node", "id"), "id", "left").select(F.col("kind").alias("rule_type"), "words", "id", F.coalesce("component", "id").alias("component"))
+
+    # a wording of n words that shares half of them with a revocation shares one of its n - ceil(n / 2) + 1 first
+    some = placed.select("id", "component", "words", F.explode(F.slice("words", F.lit(1), F.size("words") - F.ceil(F.size("words") * revoking).cast("int") + 1)).alias("word"))
+    ends = revoked.select(place.alias("ended"), F.col("words").alias("gone"))
+    met = some.join(ends.select("ended", "gone", F.explode("gone").alias("word")), "word").where(F.size(F.array_intersect("words", "gone")) >= revoking * F.size("words"))
+    events = met.select("component", "ended", "gone").distinct().groupBy("component").agg(F.array_sort(F.collect_list(F.struct("ended", "gone"))).alias("ends"))
+
+    rows = stated.join(placed, ["rule_type", "words"]).join(events, "component", "left")
+    epoch = F.size(F.filter(F.coalesce("ends", F.array().cast(events.schema["ends"].dataType)), lambda e: e["ended"] < F.col("place")))
+    runs = rows.withColumn("epoch", epoch).groupBy("component", "rule_type", "words", "confidence", "epoch").agg(
+        F.min_by("rule_text", "place").alias("rule_text"), F.min_by("scope", "place").alias("scope"), F.min("place").alias("place"), F.max("place").alias("last"), F.count("*").alias("n"), F.first("ends").alias("ends")
+    )
+    runs = runs.withColumn("key", F.concat_ws(":", F.col("epoch"), F.format_string("%020d", F.row_number().over(Window.partitionBy("component").orderBy("place")))))
+
+    def fold(part: pd.DataFrame) -> pd.DataFrame:
+        kept: list[dict] = []
+        at, ends = 0, part["ends"].iloc[0]
+        ends = [] if ends is None else [set(e["gone"]) for e in ends]
+        pick = lambda p: {"session_id": p["session_id"], "msg_idx": p["msg_idx"]}
+
+        def end(gone: set) -> None:
+            for rule in kept:
+                if not rule["revoked"] and len(gone & rule["words"]) >= revoking * len(rule["words"]):
+                    rule["revoked"] = True
+
+        part = part.assign(order=[int(k.split(":")[0]) for k in part["key"]]).sort_values(["order", "key"])
+        for row in part.itertuples(index=False):
+            while at < row.epoch:
+                end(ends[at])
+                at += 1
+            words, best, score = set(row.words), None, 0.0
             for rule in kept:
-                union = len(words | rule[0])
-                s = len(words & rule[0]) / union if union else 0.0
-                if s > score:
-                    best, score = rule, s
-            if best is not None and score >= least:
-                best[2] += n
-                best[3] = min(1.0, max(best[3], c) + 0.05)
+                if not rule["revoked"]:
+                    s = len(words & rule["words"]) / len(words | rule["words"])
+                    if s > score and s >= least:
+                        best, score = rule, s
+            if best is None:
+                kept.append({"words": words, "rule_type": row.rule_type, "rule_text": row.rule_text, "scope": row.scope, "frequency": row.n, "confidence": min(1.0, row.confidence + 0.05 * (row.n - 1)), "first_seen": pick(row.place), "last_seen": pick(row.last), "revoked": False})
             else:
-                kept.append([words, text, n, c])
-        return pd.DataFrame([(rows["rule_type"].iat[0], *r[1:]) for r in kept], columns=["rule_type", "rule_text", "frequency", "confidence"])
+                best["frequency"] += row.n
+                best["confidence"] = min(1.0, max(best["confidence"], row.confidence) + 0.05 * row.n)
+                best["last_seen"] = max(best["last_seen"], pick(row.last), key=lambda p: (p["session_id"], p["msg_idx"]))
+        for gone in ends[at:]:
+            end(gone)
+        return pd.DataFrame(kept)[["rule_type", "rule_text", "scope", "frequency", "confidence", "first_seen", "last_seen", "revoked"]]
+
+    return runs.groupBy("component").applyInPandas(fold, RULES.format(session))
+
 
-    place = F.format_string("%020d:%012d", F.col("first.session_id").cast("long"), F.col("first.msg_idx").cast("long"))
-    return distinct.withColumn("place", place).drop("first").groupBy("rule_type").applyInPandas(fold, "rule_type string, rule_text string, frequency long, confidence double")
+def decayed_rules(found: DataFrame, as_of: Column, limit: int | None = None) -> DataFrame:
+    out = found.withColumn("effective", C.rule_decay(C.age_days(F.col("last_seen"), as_of), F.col("confidence"), F.col("frequency")))
+    return out if limit is None else out.orderBy(F.desc("frequency"), F.desc("confidence"), "rule_text").limit(limit)
 
 
+# --- ways of working -------------------------------------------------------------------------------------------------
 def lifecycle(messages: DataFrame) -> DataFrame:
     """How users go about their work, from where each phase first comes up: session_id, sequence, confidence."""
-    from pyspark.sql.window import Window
-
     user = messages.where("role = 'user'").withColumn("at", F.row_number().over(Window.partitionBy("session_id").orderBy("msg_idx")) - 1)
     text = F.lower("content")
-    first = [F.min(F.when(any_contains(text, words), F.col("at"))).alias(phase) for phase, words in P.LIFECYCLE_SIGNALS]
+    first = [F.min(F.when(C.any_of(text, words), F.col("at"))).alias(phase) for phase, words in P.LIFECYCLE_SIGNALS]
     out = user.groupBy("session_id").agg(F.count("*").alias("n"), *first).where("n >= 3")
     names = {"plan": "Plan", "test_first": "Write Tests", "implement": "Implement", "test_after": "Test", "commit": "Commit"}
     usable = {p: F.col(p).isNotNull() & ((F.col(p) > 1) & (F.col(p) <= F.col("n") * 0.8) if p == "commit" else F.lit(True)) for p in names}
@@ -123,50 +239,152 @@ def lifecycle(messages: DataFrame) -> DataFrame:
     return out.select("session_id", named.alias("sequence"), F.round(F.least(confidence, F.lit(1.0)), 2).alias("confidence"))
 
 
-def zones_of_files(files: DataFrame, zones: DataFrame, path: str = "file_path") -> DataFrame:
-    """Files that a zone's pattern names, by a join on the last part of the path, then the whole pattern."""
-    last = lambda c: F.lower(F.element_at(F.split(c, "/"), -1))
-    z = zones.select(last(F.col("path_pattern")).alias("_last"), "path_pattern", "issue_count")
-    return files.withColumn("_last", last(F.col(path))).join(z, "_last").where(F.contains(F.lower(path), F.lower("path_pattern"))).drop("_last")
+def session_patterns(messages: DataFrame) -> DataFrame:
+    """What each session of at least three user messages says of its user's way of working: session_id, pattern_type, description, confidence."""
+    user = F.col("role") == "user"
+    at = F.sum(user.cast("int")).over(Window.partitionBy("session_id").orderBy("msg_idx"))
+    text = F.lower("content")
+    m = messages.withColumn("at", F.when(user, at))
+    opening = F.array_join(F.array_sort(F.collect_list(F.when(F.col("at") <= 3, F.struct("at", F.lower(F.substring("content", 1, 200)).alias("t")))))["t"], " ")
+    per = m.groupBy("session_id").agg(F.count("at").alias("n"), F.count_if(F.contains(text, F.lit("edit"))).alias("edits"), opening.alias("opening"), F.max(F.when(F.col("at") == 1, F.substring(text, 1, 100))).alias("first")).where("n >= 3")
+    hits = [F.col("edits") > 3, C.any_of(F.col("opening"), P.EARLY_TESTS), C.any_of(F.col("opening"), P.EARLY_PLANS), C.any_of(F.col("first"), P.DIRECT_WORDS)]
+    found = F.filter(F.array(*[F.when(h, F.lit(d)) for h, d in zip(hits, P.WORK_PATTERNS, strict=True)]), lambda d: d.isNotNull())
+    workflow = per.select("session_id", F.explode(found).alias("description")).select("session_id", F.lit("workflow").alias("pattern_type"), "description", F.lit(0.5).alias("confidence"))
+    cycle = lifecycle(messages).where("confidence >= 0.3").select("session_id", F.lit("lifecycle").alias("pattern_type"), F.col("sequence").alias("description"), "confidence")
+    return workflow.unionByName(cycle)
+
+
+def work_patterns(found: DataFrame) -> DataFrame:
+    """Patterns over all sessions: pattern_type, description, frequency, confidence.
+
+    The confidence of a lifecycle is the running mean of old and new plus 0.05, at most 1, session by session. As the
+    weight of a session halves with every later one, the last ``LATEST`` give it to the last bit of a double; they are
+    found in two steps, so that a pattern of very many sessions is no hot group.
+    """
+    latest = lambda *key: F.row_number().over(Window.partitionBy("pattern_type", "description", *key).orderBy(F.desc("session_id")))
+    some = found.withColumn("salt", F.pmod(F.xxhash64("session_id"), F.lit(64))).withColumn("late", latest("salt")).where(F.col("late") <= LATEST).withColumn("late", latest())
+    listed = some.where(F.col("late") <= LATEST).groupBy("pattern_type", "description").agg(F.array_sort(F.collect_list(F.struct("session_id", "confidence")))["confidence"].alias("c"))
+    out = found.groupBy("pattern_type", "description").agg(F.count("*").alias("frequency")).join(listed, ["pattern_type", "description"])
+    folded = F.aggregate(F.slice("c", 2, 1 << 30), F.element_at("c", 1), lambda s, x: F.least(F.lit(1.0), (s + x) / 2 + 0.05))
+    return out.select("pattern_type", "description", "frequency", F.when(F.col("pattern_type") == "lifecycle", folded).otherwise(F.element_at("c", 1)).alias("confidence"))
+
+
+def best_lifecycle(patterns: DataFrame, last_seen: str, as_of: Column) -> DataFrame:
+    """The lifecycle with the highest product of frequency, confidence and recency, as one row at most."""
+    age = C.age_days(F.col(last_seen), as_of)
+    score = F.col("frequency") * F.col("confidence") * F.when(age <= 7, 2.0).when(age <= 30, 1.5).otherwise(1.0)
+    return patterns.where("pattern_type = 'lifecycle' and confidence >= 0.5").withColumn("score", score).orderBy(F.desc("score"), "description").limit(1)
+
 
+# --- zones and prerequisites -----------------------------------------------------------------------------------------
+def zones_of_files(files: DataFrame, zones: DataFrame, path: str = "file_path") -> DataFrame:
+    """Files whose path holds a zone's pattern anywhere, whatever the case: the file's columns, path_pattern, issue_count.
 
-def applicable(prerequisites: DataFrame, environments: list[str]) -> DataFrame:
+    Distinct paths and patterns meet on the pattern's first four characters, which stand somewhere in the path if the whole
+    pattern does; shorter patterns meet on what they have.
+    """
+    lower = F.lower("path_pattern")
+    z = zones.where("path_pattern <> ''").select(F.substring(lower, 1, 4).alias("gram"), lower.alias("low"), "path_pattern", "issue_count")
+    low = F.lower(F.col(path))
+    some = lambda n: F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda i: F.substring(low, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    grams = F.array_distinct(reduce(lambda a, b: F.concat(a, b), [some(n) for n in (1, 2, 3, 4)]))
+    paths = files.select(path).distinct().select(F.col(path), low.alias("whole"), F.explode(grams).alias("gram"))
+    met = paths.join(z, "gram").where(F.contains("whole", F.col("low"))).select(path, "path_pattern", "issue_count")
+    return files.join(met, path)
+
+
+def zone_alerts(zones: DataFrame, recent_files: DataFrame, path: str = "file_path") -> DataFrame:
+    """Zones that a recently changed file touches, each once."""
+    touched = zones_of_files(recent_files.select(path).distinct(), zones, path).select("path_pattern").distinct()
+    return zones.join(touched, "path_pattern", "left_semi")
+
+
+def statements(messages: DataFrame) -> DataFrame:
+    """Prerequisites that messages state: session_id, msg_idx, at, environment, action, command, reason, service, confidence."""
+    text, lower = F.col("content"), F.lower("content")
+    pairs = [F.zip_with(F.regexp_extract_all(text, F.lit(p), F.lit(1)), F.regexp_extract_all(text, F.lit(p), F.lit(2)), lambda a, b: F.struct(C.strip(a).alias("a"), C.strip(b).alias("b"))) for p in P.PREREQUISITE_PATTERNS]
+    m = messages.where((F.length("content") >= 20) & C.any_of(lower, P.PREREQUISITE_WORDS))
+    found = m.select(*ORDER, "role", "content", F.posexplode(F.concat(*pairs)).alias("at", "f")).where("f.a <> '' and f.b <> ''")
+    shorter = F.length("f.a") < F.length("f.b")
+    env, action = F.when(shorter, F.col("f.a")).otherwise(F.col("f.b")), F.when(shorter, F.col("f.b")).otherwise(F.col("f.a"))
+    found = found.select(*ORDER, "at", "role", "content", F.lower(env).alias("environment"), action.alias("action"))
+    found = found.where(F.length("action").between(5, 200) & F.length("environment").between(2, 40) & G.is_prerequisite(F.col("environment"), F.col("action")))
+    first = lambda p: C.strip(F.regexp_extract("content", p, 1))
+    command = F.coalesce(*[F.when((F.length(first(p)) > 3) & (F.length(first(p)) < 500), first(p)) for p in P.PREREQUISITE_COMMANDS])
+    reason = F.coalesce(*[F.when(F.regexp_like("content", F.lit(p)), first(p)) for p in P.PREREQUISITE_REASONS])
+    found = found.withColumn("command", command).withColumn("reason", reason)
+    both = F.concat_ws("\n", F.lower("action"), F.lower("command"))
+    service = F.coalesce(*[F.when(F.contains(both, F.lit(s)), F.lit(s)) for s in P.CHECKED_SERVICES])
+    has = lambda c, w: F.when(F.col(c).isNotNull(), w).otherwise(0.0)
+    confidence = 0.5 + F.when(F.col("role") == "user", 0.15).otherwise(0.0) + has("command", 0.10) + has("service", 0.05) + has("reason", 0.05)
+    return found.withColumn("service", service).withColumn("confidence", confidence).drop("role", "content")
+
+
+def prerequisites(stated: DataFrame) -> DataFrame:
+    """One row an environment and action: frequency, first confidence plus a tenth a repetition, latest known command, reason and service."""
+    place = F.struct(*ORDER, "at")
+    last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(c)
+    out = stated.groupBy("environment", "action").agg(F.count("*").alias("frequency"), F.min_by("confidence", place).alias("first"), last("command"), last("reason"), last("service"))
+    return out.withColumn("confidence", F.round(F.least(F.lit(1.0), F.col("first") + 0.1 * (F.col("frequency") - 1)), 4)).drop("first")
+
+
+def applicable(found: DataFrame, environments: list[str]) -> DataFrame:
     """Prerequisites for an environment: equal, one within the other, or for all."""
     env = F.lower("environment")
     hit = env.isin("all", "always", "any", "everywhere")
     for e in environments:
         hit = hit | F.contains(env, F.lit(e.lower())) | F.contains(F.lit(e.lower()), env)
-    return prerequisites.where(hit)
+    return found.where(hit)
 
 
-def distinct_tasks(tasks: DataFrame, least: float = 0.5) -> DataFrame:
-    """Tasks of a session in groups of similar ones, the shortest of each: session_id, task, n.
+def prerequisite_alerts(found: DataFrame, environments: list[str]) -> DataFrame:
+    """Alerts for the prerequisites of an environment that are sure enough and not suppressed; commands to check them are not run."""
+    sure = found.where("confidence >= 0.5")
+    if "suppressed" in found.columns:
+        sure = sure.where("not coalesce(suppressed, false)")
+    priority = F.when(F.col("confidence") > 0.75, "high").otherwise("medium")
+    return applicable(sure, environments).select(
+        F.lit("prerequisite").alias("type"), priority.alias("priority"), F.col("action").alias("message"), "environment",
+        F.when(F.col("command") != "", F.concat(F.lit("Run: "), "command")).alias("suggestion"), F.col("reason").alias("context"), "confidence", "frequency",
+    )
+
+
+# --- tasks and vectors -----------------------------------------------------------------------------------------------
+def _bigrams(t: str) -> set[str]:
+    return {t[i : i + 2] for i in range(len(t) - 1)}
+
+
+def _alike(a: str, b: str) -> float:
+    """As ``columns.text_similarity``, of texts in lower case with single spaces."""
+    if not a or not b:
+        return 0.0
+    if a == b:
+        return 1.0
+    share = lambda x, y: len(x & y) / len(x | y) if x and y else 0.0
+    return max(share(set(a.split()), set(b.split())), share(_bigrams(a), _bigrams(b)))
 
-    Groups depend on order; each session is folded on its own, and equal tasks are one before.
-    """
-    once = tasks.groupBy("session_id", "task").agg(F.min("place").alias("place"))
 
-    def bigrams(t: str) -> set[str]:
-        return {t[i : i + 2] for i in range(len(t) - 1)}
+def distinct_tasks(tasks: DataFrame, least: float = 0.5, key: str = "session_id") -> DataFrame:
+    """Tasks of a session, or of another ``key``, in groups of similar ones, the shortest of each: key, task, n, place.
+
+    Groups depend on order; each key is folded on its own, and tasks that compare equal are one before.
+    """
+    once = tasks.groupBy(key, G.task_key(F.col("task")).alias("norm")).agg(F.min_by("task", F.struct(F.length("task"), "place")).alias("task"), F.min("place").alias("place"), F.count("*").alias("n"))
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        groups: list[list[str]] = []
-        for task in rows.sort_values("place")["task"]:
+        groups: list[list] = []  # the first one's comparison text, place, count, shortest
+        for norm, task, place, n in rows.sort_values("place")[["norm", "task", "place", "n"]].itertuples(index=False, name=None):
             for group in groups:
-                a, b = bigrams(task.lower()), bigrams(group[0].lower())
-                if task[:35].lower() == group[0][:35].lower() or a | b and len(a & b) / len(a | b) > least:
-                    group.append(task)
+                if norm.startswith(group[0][:35]) or group[0].startswith(norm[:35]) or _alike(norm, group[0]) > least:
+                    group[2] += n
+                    group[3] = min(group[3], task, key=len)
                     break
             else:
-                groups.append([task])
-        return pd.DataFrame([(rows["session_id"].iat[0], min(g, key=len), len(g)) for g in groups], columns=["session_id", "task", "n"])
-
-    return once.groupBy("session_id").applyInPandas(fold, "session_id long, task string, n long")
-
+                groups.append([norm, place, n, task])
+        return pd.DataFrame([(rows[key].iat[0], g[3], g[2], g[1]) for g in groups], columns=[key, "task", "n", "place"])
 
-def decayed_rules(found: DataFrame, as_of: Column, limit: int | None = None) -> DataFrame:
-    out = found.withColumn("effective", C.rule_decay(C.age_days(F.col("last_seen"), as_of), F.col("confidence"), F.col("frequency")))
-    return out if limit is None else out.orderBy(F.desc("frequency"), F.desc("confidence"), "rule_text").limit(limit)
+    kinds = {f.name: f.dataType.simpleString() for f in tasks.schema.fields}
+    return once.groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, task string, n long, place {kinds['place']}")
 
 
 def embed(texts: DataFrame, text: str, width: int = 64) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,26 +15,27 @@ from mnemospark.functions import columns as C
 from mnemospark.functions import patterns as P
 
 
-def postings(docs: DataFrame, key: str, text: Column) -> DataFrame:
-    """The inverted index: term, key, tf."""
-    return docs.select(key, F.explode(C.tokens(text)).alias("term")).groupBy("term", key).agg(F.count("*").alias("tf"))
+def parse(query: str) -> tuple[list[str], bool]:
+    """The distinct terms of a query, and whether all must be there: they must unless the query joins terms with OR."""
+    any_term = " OR " in query
+    return sorted({w for w in re.findall("[a-z0-9]+", query.replace(" OR ", " ").lower())}), not any_term
 
 
 def _equals(term: str):
     return lambda x: x == F.lit(term)
 
 
-def bm25(docs: DataFrame, key: str, text: Column, terms: list[str], all_terms: bool = False) -> DataFrame:
-    """(key, score) of the documents that hold a term, or all of them.
+def bm25(docs: DataFrame, key: str, text: Column, terms: list[str], all_terms: bool = False, analyse=C.tokens) -> DataFrame:
+    """(key, score) of the documents that hold a term, or all of them. Rows of one key are one document.
 
-    Only postings of the query's terms are built; a document's length comes from the same pass over its tokens. The corpus
-    statistics are one row. The document frequency of a term is a count over one row a document, so no task sees a term
-    whole.
+    Every row counts the query's terms and its own length, and rows of a key are added up with map-side sums, so that no
+    document is ever put together. The corpus statistics are one row. ``analyse`` makes the terms of a text.
     """
     wanted = sorted(set(t.lower() for t in terms))
-    counted = docs.select(key, C.tokens(text).alias("tokens")).select(
+    counted = docs.select(key, analyse(text).alias("tokens")).select(
         key, F.size("tokens").alias("dl"), *[F.size(F.filter("tokens", _equals(t))).alias(f"tf{i}") for i, t in enumerate(wanted)]
     )
+    counted = counted.groupBy(key).agg(F.sum("dl").alias("dl"), *[F.sum(f"tf{i}").alias(f"tf{i}") for i in range(len(wanted))])
     totals = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))])
     scored = counted.crossJoin(F.broadcast(totals))  # totals is one row
     score, hits = F.lit(0.0), F.lit(0)
@@ -45,6 +47,20 @@ def bm25(docs: DataFrame, key: str, text: Column, terms: list[str], all_terms: b
     return scored.where(hits == len(wanted) if all_terms else hits > 0).select(key, score.alias("score"))
 
 
+def keyword_top(docs: DataFrame, key: str, columns: list[str], query: str, limit: int = 10, stems: bool = False) -> DataFrame:
+    """(key, score): the best rows for a query over some columns, texts or lists of them, best first; equal scores by key.
+
+    All terms must be there, or any of those joined by OR. With ``stems``, terms are English stems and stopwords do not count.
+    """
+    terms, every = parse(query)
+    parts = [F.array_join(c, " ") if dict(docs.dtypes)[c].startswith("array") else F.col(c) for c in columns]
+    if stems:
+        terms = sorted({C.stem(t) for t in terms if t not in P.SEARCH_STOPWORDS})
+    if not terms:
+        return docs.select(key, F.lit(0.0).alias("score")).limit(0)
+    return bm25(docs, key, F.concat_ws(" ", *parts), terms, every, C.stems if stems else C.tokens).orderBy(F.desc("score"), key).limit(limit)
+
+
 def with_decay(results: DataFrame, score: str, ts: str, as_of: Column, half_life: float = P.HALF_LIFE_DAYS) -> DataFrame:
     factor = C.decay(F.col(ts), as_of, half_life)
     return results.withColumn("decay_factor", F.round(factor, 3)).withColumn("decayed_score", F.round(F.coalesce(F.col(score), F.lit(0.5)) * factor, 4))
@@ -55,38 +71,56 @@ def recent(results: DataFrame, ts: str, as_of: Column, days: int) -> DataFrame:
     return results.where(F.col(ts).isNull() | (F.col(ts) >= as_of - F.make_dt_interval(F.lit(days))))
 
 
-def merge_hybrid(vector: DataFrame, keyword: DataFrame, key: str = "session_id") -> DataFrame:
-    """Vector results, and the keyword results of sessions that these do not hold, each with its source."""
+def merge_hybrid(vector: DataFrame, keyword: DataFrame, key: str = "session_id", limit: int | None = None) -> DataFrame:
+    """Vector results, and the keyword results of sessions that these do not hold, each with its source; the best ``limit``."""
     rest = keyword.join(vector.select(key), key, "left_anti")
-    return vector.withColumn("search_source", F.lit("vector")).unionByName(rest.withColumn("search_source", F.lit("keyword")))
+    out = vector.withColumn("search_source", F.lit("vector")).unionByName(rest.withColumn("search_source", F.lit("keyword")))
+    return out if limit is None else out.orderBy(F.desc("score"), key).limit(limit)
 
 
-def merge_archive(existing: DataFrame, archive: DataFrame, key: str = "session_id") -> DataFrame:
-    """Excerpts of archive matches replace those of known results; other archive matches come first."""
-    a = archive.select(key, F.col("excerpt").alias("archive_excerpt"), F.lit(1.0).alias("archive_score"))
-    out = existing.join(a, key, "full_outer")
-    return out.select(
-        key, F.coalesce("score", "archive_score").alias("score"), F.coalesce("archive_excerpt", "excerpt").alias("excerpt"),
-        F.col("archive_excerpt").isNotNull().alias("has_archive_matches"), F.when(F.col("score").isNull(), 0).otherwise(1).alias("rank_group"),
+def merge_archive(existing: DataFrame, archive: DataFrame, key: str = "session_id", limit: int | None = None) -> DataFrame:
+    """Excerpts of archive matches (lists) replace those of known results; other archive matches come first."""
+    a = archive.select(key, F.col("excerpts").alias("archive_excerpts"), F.lit(1.0).alias("archive_score"))
+    out = existing.join(a, key, "full_outer").select(
+        key, F.coalesce("score", "archive_score").alias("score"), F.coalesce("archive_excerpts", "excerpts").alias("excerpts"),
+        F.col("archive_excerpts").isNotNull().alias("has_archive_matches"), F.when(F.col("score").isNull(), 0).otherwise(1).alias("rank_group"),
     )
+    return out if limit is None else out.orderBy("rank_group", F.desc("score"), key).limit(limit)
+
 
+def substring_matches(docs: DataFrame, key: str, text: str, query: str, newest: str | None = None, limit: int | None = None) -> DataFrame:
+    """Documents that hold the query as it stands, whatever the case, with score 1 and up to three excerpts; newest first.
 
-def substring_matches(docs: DataFrame, key: str, text: str, query: str) -> DataFrame:
-    """Documents that hold the query as it stands, whatever the case; % and _ mean themselves."""
-    return docs.where(F.contains(F.lower(text), F.lit(query.lower()))).withColumn("score", F.lit(1.0))
+    % and _ mean themselves.
+    """
+    out = docs.where(F.contains(F.lower(text), F.lit(query.lower()))).withColumn("score", F.lit(1.0)).withColumn("excerpts", C.excerpts_of(F.col(text), query))
+    return out if limit is None else out.orderBy(*([F.desc_nulls_last(newest)] if newest else []), key).limit(limit)
 
 
 def excerpts(messages: DataFrame, terms: list[str], per_session: int = 3) -> DataFrame:
-    """The first messages of each session that hold a term, with the text around it; equal beginnings once."""
+    """The first messages of each session that hold a term, with the text around it; equal beginnings once, whatever the case."""
     wanted = F.array(*[F.lit(t.lower()) for t in terms])
     hit = F.filter(wanted, lambda t: F.contains(F.lower("content"), t))
-    found = messages.withColumn("matched_terms", hit).where(F.size("matched_terms") > 0).withColumn("excerpt", C.excerpt_around(F.col("content"), wanted))
-    once = Window.partitionBy("session_id", F.substring("excerpt", 1, 100)).orderBy("msg_idx")
+    found = messages.withColumn("matched_terms", hit).where(F.size("matched_terms") > 0).withColumn("excerpt", C.excerpt_around(F.col("content"), F.col("matched_terms")))
+    once = Window.partitionBy("session_id", F.lower(F.substring("excerpt", 1, 100))).orderBy("msg_idx")
     found = found.withColumn("again", F.row_number().over(once)).where("again = 1")
     rank = F.row_number().over(Window.partitionBy("session_id").orderBy("msg_idx"))
     return found.withColumn("rank", rank).where(F.col("rank") <= per_session).select("session_id", "msg_idx", "role", "excerpt", "matched_terms", "rank")
 
 
+def with_excerpts(results: DataFrame, messages: DataFrame, terms: list[str], per_session: int = 3) -> DataFrame:
+    """Results with the list of their sessions' excerpts; empty if there is none."""
+    found = excerpts(messages.join(results.select("session_id").distinct(), "session_id", "left_semi"), terms, per_session)
+    listed = found.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("rank", "role", "excerpt", "matched_terms"))).alias("excerpts"))
+    return results.join(listed, "session_id", "left").withColumn("excerpts", F.coalesce("excerpts", F.array().cast(listed.schema["excerpts"].dataType)))
+
+
+def fulltext(messages: DataFrame, terms: list[str], limit: int = 10, per_session: int = 5) -> DataFrame:
+    """The last resort: sessions with most excerpts that hold a term: session_id, score, n_excerpts."""
+    found = excerpts(messages, terms, per_session).groupBy("session_id").agg(F.count("*").alias("n_excerpts"))
+    return found.orderBy(F.desc("n_excerpts"), "session_id").limit(limit).select("session_id", F.lit(0.5).alias("score"), "n_excerpts")
+
+
 def best_excerpt(found: DataFrame) -> DataFrame:
     """The best excerpt of each session: assistant +2, matched terms, length up to 2; the first at a tie."""
     score = F.when(F.col("role") == "assistant", 2.0).otherwise(0.0) + F.size("matched_terms") + F.least(F.length("excerpt") / 150.0, F.lit(2.0))
@@ -94,8 +128,10 @@ def best_excerpt(found: DataFrame) -> DataFrame:
     return found.groupBy("session_id").agg(best.alias("best")).select("session_id", "best.*")
 
 
-def vector_top(vectors: DataFrame, query: Column, session: str, chunk: str, vector: str, limit: int = 10, recency_cap: int | None = None) -> DataFrame:
-    """The best chunk of each session by cosine to a query vector, best sessions first."""
+def vector_top(vectors: DataFrame, query: Column, session: str, chunk: str, vector: str, limit: int = 10, recency_cap: int | None = None, scope: Column | None = None) -> DataFrame:
+    """The best chunk of each session by cosine to a query vector, best sessions first. ``scope``: a condition on the rows, as of a project."""
+    if scope is not None:
+        vectors = vectors.where(scope)
     if recency_cap is not None:
         vectors = vectors.orderBy(F.desc(chunk)).limit(recency_cap)
     scored = vectors.select(F.col(session).alias("session_id"), F.col(chunk).alias("chunk"), C.cosine(F.col(vector), query).alias("score"))
@@ -162,14 +198,24 @@ def vector_top_all(vectors: DataFrame, queries: DataFrame, session: str, chunk:
     return best.withColumn("rank", rank).where(F.col("rank") <= limit)
 
 
-def chunks(docs: DataFrame, key: str, text: str, size: int = P.CHUNK_CHARS, overlap: int = P.CHUNK_OVERLAP, most: int = P.CHUNK_MOST) -> DataFrame:
-    """Overlapping chunks of a text; of more than ``most``, the first, the last, and evenly spaced ones between."""
-    step = size - overlap
-    n = F.greatest(F.lit(1), F.ceil((F.length(text) - overlap) / step)).cast("int")
-    spaced = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda j: F.floor(j * (n - 1) / (most - 1)).cast("int"))
-    index = F.when(n <= most, F.sequence(F.lit(0), n - 1)).otherwise(spaced)
-    cut = docs.where(F.length(text) > 0).select(key, text, F.posexplode(index).alias("chunk_index", "i"))
-    return cut.select(key, F.col("chunk_index").cast("long"), F.substring(F.col(text), F.col("i") * step + 1, F.lit(size)).alias("chunk_text"))
+def chunks(docs: DataFrame, key: str, text: str, size: int = P.CHUNK_CHARS, overlap: int = P.CHUNK_OVERLAP, most: int = P.CHUNK_MOST, snap: int = 200) -> DataFrame:
+    """Overlapping chunks of a text: key, chunk_index, chunk_text; an empty text has none.
+
+    A chunk that is not the last ends behind the last line end of its final ``snap`` characters, if there is one behind
+    their first. Of a text with more than ``most`` chunks, the first, the last, and others evenly spaced by characters
+    between them are taken whole.
+    """
+    step, n = size - overlap, F.length(text)
+    few = F.floor((n - overlap) / step) + 1 <= most
+    count = F.when(n <= size, 1).when(few, F.least(F.lit(most), F.ceil(n / step).cast("int"))).otherwise(most)
+    cut = docs.where(n > 0).select(key, text, F.posexplode(F.sequence(F.lit(0), count - 1)).alias("chunk_index", "i"), (few | (n <= size)).alias("few"))
+    spaced = F.when(F.col("i") == most - 1, n - size).otherwise(F.floor((n - size) / float(most - 1) * F.col("i")))
+    start = F.when(F.col("few"), F.col("i") * step).otherwise(spaced).cast("int")
+    part = F.substring(F.col(text), start + 1, F.lit(size))
+    zone = F.when(F.length(part) > snap, F.substring(part, -snap, snap)).otherwise(part)
+    back = F.position(F.lit("\n"), F.reverse(zone))
+    line = F.col("few") & (start + size < n) & (back > 0) & (F.length(zone) - back > 0)
+    return cut.select(key, F.col("chunk_index").cast("long"), F.when(line, F.substring(part, F.lit(1), F.length(part) - back + 1)).otherwise(part).alias("chunk_text"))
 
 
 def unknown_terms(queries: DataFrame, text: str, vocabulary: DataFrame) -> DataFrame:

@@ -31,12 +31,20 @@ def group_by_project(sessions: DataFrame) -> DataFrame:
     return sessions.groupBy("project_path").agg(nested.alias("sessions"), F.max("started_at").alias("latest")).withColumn("n_sessions", F.size("sessions"))
 
 
-def topic_shifts(messages: DataFrame, gap_seconds: int = P.TOPIC_GAP_SECONDS) -> DataFrame:
-    """User messages that come more than the gap after the user message before them."""
-    user = messages.where("role = 'user'")
+def shift_marks(messages: DataFrame, gap_seconds: int = P.TOPIC_GAP_SECONDS) -> DataFrame:
+    """Messages with gap (seconds to the message before, of whatever role) and shift: whether a user changes the topic.
+
+    A change is a gap of more than ``gap_seconds`` or a phrase in the first 500 characters.
+    """
     before = F.lag("ts").over(Window.partitionBy("session_id").orderBy("msg_idx"))
-    gapped = user.withColumn("gap", (F.unix_micros("ts") - F.unix_micros(before)) / 1e6)
-    return gapped.where(F.col("gap") > gap_seconds).select("session_id", "msg_idx", F.round("gap", 3).alias("gap_seconds"))
+    gapped = messages.withColumn("gap", (F.unix_micros("ts") - F.unix_micros(before)) / 1e6)
+    phrase = C.any_of(F.substring(F.lower("content"), 1, 500), P.TOPIC_SHIFTS)
+    return gapped.withColumn("shift", F.coalesce((F.col("role") == "user") & (phrase | F.coalesce(F.col("gap") > gap_seconds, F.lit(False))), F.lit(False)))
+
+
+def topic_shifts(messages: DataFrame, gap_seconds: int = P.TOPIC_GAP_SECONDS) -> DataFrame:
+    """Messages in which a user changes the topic: session_id, msg_idx, gap_seconds."""
+    return shift_marks(messages, gap_seconds).where("shift").select("session_id", "msg_idx", F.round("gap", 3).alias("gap_seconds"))
 
 
 def gap_sessions(events: DataFrame, key: str, ts: str, gap: str = "2 hours") -> DataFrame:
@@ -46,17 +54,18 @@ def gap_sessions(events: DataFrame, key: str, ts: str, gap: str = "2 hours") ->
 
 
 def sampled(messages: DataFrame, head: int = 5, tail: int = 10, middle: int = 20, all_up_to: int = 30) -> DataFrame:
-    """Messages that stand for a session: its first and last, every k-th between, and those around shifts of topic."""
-    w = Window.partitionBy("session_id").orderBy("msg_idx")
-    n = F.count("*").over(Window.partitionBy("session_id"))
-    place = F.row_number().over(w) - 1
-    user_ts = F.last(F.when(F.col("role") == "user", F.col("ts")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    shift = ((F.col("role") == "user") & ((F.unix_micros("ts") - F.unix_micros(user_ts)) / 1e6 > P.TOPIC_GAP_SECONDS)).cast("int")
-    out = messages.select("session_id", "msg_idx", n.alias("n"), place.alias("place"), F.coalesce(shift, F.lit(0)).alias("shift"))
-    near = F.max("shift").over(Window.partitionBy("session_id").orderBy("msg_idx").rowsBetween(-2, 1))
-    every = F.greatest(F.lit(1), F.expr(f"n div {middle}"))
-    keep = (F.col("n") <= all_up_to) | (F.col("place") < head) | (F.col("place") >= F.col("n") - tail) | ((F.col("place") - head) % every == 0) | (near == 1)
-    return out.withColumn("keep", keep).where("keep").select("session_id", "msg_idx")
+    """Messages that stand for a session: its first and last, those around shifts of topic, and every k-th of the others between.
+
+    k is a ``middle``-th of the number of those others, at least 1; a session of up to ``all_up_to`` messages stays whole.
+    """
+    own = Window.partitionBy("session_id")
+    line = own.orderBy("msg_idx")
+    near = F.max(F.col("shift").cast("int")).over(line.rowsBetween(-2, 1))
+    out = shift_marks(messages).select("session_id", "msg_idx", F.count("*").over(own).alias("n"), (F.row_number().over(line) - 1).alias("place"), near.alias("near"))
+    kept = (F.col("place") < head) | (F.col("place") >= F.col("n") - tail) | (F.col("near") == 1)
+    out = out.withColumn("kept", kept).withColumn("others", F.count_if(~F.col("kept")).over(own)).withColumn("other", F.count_if(~F.col("kept")).over(line.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    every = F.greatest(F.lit(1), F.expr(f"others div {middle}"))
+    return out.where((F.col("n") <= all_up_to) | F.col("kept") | (F.col("other") % every == 0)).select("session_id", "msg_idx")
 
 
 def keyword_counts(messages: DataFrame, most: int = 30, least: int = 2, stopwords: list[str] = P.FUZZY_STOPWORDS) -> DataFrame:
@@ -68,16 +77,62 @@ def keyword_counts(messages: DataFrame, most: int = 30, least: int = 2, stopword
     return counted.withColumn("rank", rank.cast("long")).where(F.col("rank") <= most)
 
 
-def summary(first: Column, outcome: Column) -> Column:
-    """Task and outcome in a line."""
-    task = F.concat(F.lit("Task: "), C.truncate_words(C.clean_task(first), 100, 50))
-    return F.concat_ws(" | ", task, F.when(F.length(outcome) > 0, F.concat(F.lit("Outcome: "), F.substring(outcome, 1, 100))))
+def outcomes(messages: DataFrame, last: int = 10) -> DataFrame:
+    """What the assistant says came out, from the last messages of a session: session_id, outcome.
+
+    The latest message that speaks of success and has, among its first three sentences, one of 21 to 199 characters that does.
+    """
+    late = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("msg_idx")))
+    m = messages.withColumn("late", late).where((F.col("late") <= last) & (F.col("role") == "assistant") & C.any_of(F.lower("content"), P.OUTCOME_WORDS))
+    sentences = F.filter(F.transform(F.slice(F.split("content", r"\."), 1, 3), C.strip), lambda s: (F.length(s) > 20) & (F.length(s) < 200) & C.any_of(F.lower(s), P.OUTCOME_SENTENCE_WORDS))
+    said = m.select("session_id", "msg_idx", F.try_element_at(sentences, F.lit(1)).alias("outcome")).where("outcome is not null")
+    return said.groupBy("session_id").agg(F.max_by("outcome", "msg_idx").alias("outcome"))
+
+
+def summary(first: Column, outcome: Column, existing: Column | None = None) -> Column:
+    """A session in a line: the summary it has if that is longer than 20 characters, else task and outcome."""
+    first = C.strip(first)
+    task = F.when(first != "", F.concat(F.lit("Task: "), C.truncate_words(first, 100, 50)))
+    done = F.when(F.length(outcome) > 0, F.concat(F.lit("Outcome: "), outcome))
+    made = F.when(task.isNotNull() | done.isNotNull(), F.concat_ws(" | ", task, done)).otherwise(F.lit("No summary available"))
+    return made if existing is None else F.when(F.length(existing) > 20, existing).otherwise(made)
 
 
 def document_text(parts: Column, most: int = 900) -> Column:
-    """Parts joined by " | " as far as they fit; a part that does not is left out, and later ones are still tried."""
+    """Parts joined by empty lines as far as they fit; a part that does not is left out, and later ones are still tried."""
     fold = F.aggregate(
         F.filter(parts, lambda p: p.isNotNull() & (p != "")), F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("size")),
         lambda s, p: F.when(s["size"] + F.length(p) + 2 <= most, F.struct(F.array_append(s["kept"], p).alias("kept"), (s["size"] + F.length(p) + 2).alias("size"))).otherwise(s),
     )
-    return F.array_join(fold["kept"], " | ")
+    return F.array_join(fold["kept"], "\n\n")
+
+
+def metadata(messages: DataFrame, files: DataFrame | None = None, todos: DataFrame | None = None) -> DataFrame:
+    """One row a session: summary, task_description, keywords, key_facts, accomplishments, todo_topics, message_count.
+
+    ``files``: session_id, file_path; ``todos``: session_id, task.
+    """
+    from mnemospark.operators import extract
+
+    listed = lambda rows, what: rows.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.col(what).alias("x"))))["x"].alias("x"))
+    user = F.col("role") == "user"
+    out = messages.groupBy("session_id").agg(F.count("*").alias("message_count"), F.min_by(F.when(user, F.col("content")), F.when(user, F.col("msg_idx"))).alias("first"))
+    out = out.join(outcomes(messages), "session_id", "left")
+    for name, rows in (
+        ("keywords", listed(extract.keywords(messages, files=files), "term")), ("key_facts", listed(extract.facts(messages), "fact")), ("accomplishments", listed(extract.accomplishments(messages), "text")),
+        ("todo_topics", (todos if todos is not None else messages.select("session_id", F.lit("").alias("task")).limit(0)).where("task <> ''").groupBy("session_id").agg(F.slice(F.array_sort(F.collect_set("task")), 1, 20).alias("x"))),
+    ):
+        out = out.join(rows.withColumnRenamed("x", name), "session_id", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    return out.select("session_id", summary(F.col("first"), F.col("outcome")).alias("summary"), C.clean_task(F.col("first")).alias("task_description"), "keywords", "key_facts", "accomplishments", "todo_topics", "message_count")
+
+
+def documents(sessions: DataFrame) -> DataFrame:
+    """The text that stands for a session in an index: session_id, text, from a row of ``metadata`` with the column git_branch."""
+    part = lambda label, text, n, there: F.when(there, F.substring(F.concat(F.lit(f"{label}: "), text), 1, n))
+    joined = lambda c, n, by: F.array_join(F.slice(c, 1, n), by)
+    parts = F.array(
+        part("Summary", F.col("summary"), 300, F.col("summary") != ""), part("Task", F.col("task_description"), 150, (F.col("task_description") != "") & (F.col("task_description") != F.col("summary"))),
+        part("Keywords", joined("keywords", 20, ", "), 200, F.size("keywords") > 0), part("Tasks", joined("todo_topics", 5, "; "), 150, F.size("todo_topics") > 0),
+        part("Facts", joined("key_facts", 3, " | "), 150, F.size("key_facts") > 0), part("Branch", F.col("git_branch"), 50, F.coalesce(F.col("git_branch"), F.lit("")) != ""),
+    )
+    return sessions.select("session_id", document_text(parts).alias("text"))

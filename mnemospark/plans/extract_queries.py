@@ -98,9 +98,9 @@ def most_active_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return history.most_active(operations(spark, sf_dir)).select("file_path", "writes", "edits", F.unix_micros("last_ts").alias("last_us"))
 
 
-@query(f"WITH {OPERATIONS} SELECT event_id, session_id, op, file_path, length(content) AS chars FROM o WHERE file_path ILIKE '%m3.py'")
+@query(f"WITH {OPERATIONS}, sn AS (SELECT event_id, length(content) - length(replace(content, chr(10), '')) + 1 AS line_count, strlen(content) AS byte_size FROM o WHERE op = 'write') SELECT o.event_id, session_id, op, file_path, line_count, byte_size FROM o LEFT JOIN sn ON o.event_id = sn.event_id WHERE file_path ILIKE '%m3.py'")
 def file_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.timeline(operations(spark, sf_dir), C.like_pattern("M3.py")).select("event_id", "session_id", "op", "file_path", "chars")
+    return history.timeline(operations(spark, sf_dir), C.like_pattern("M3.py")).select("event_id", "session_id", "op", "file_path", "line_count", "byte_size")
 
 
 _TARGETS = "tg AS (SELECT event_id AS target_id, 'src/m' || (user_id % 7) || '.py' AS file_path, ts AS target FROM e WHERE event_type = 'error')"
@@ -162,7 +162,7 @@ def rules_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {EVENTS}, r AS (SELECT user_id, count(*) AS frequency, (epoch_us(TIMESTAMP '2024-02-01 00:00:00') - epoch_us(max(ts))) / 86400e6 AS age FROM e GROUP BY user_id)
-  SELECT user_id, frequency, round(least(1.0, 0.6::DOUBLE * CASE WHEN age <= 7 THEN 1.0::DOUBLE WHEN age <= 30 THEN 0.85 WHEN age <= 90 THEN 0.70 ELSE 0.50 END * least(1.2::DOUBLE, 1 + 0.05::DOUBLE * (frequency - 1))), 2) AS effective FROM r""")
+  SELECT user_id, frequency, round(least(1.0, 0.6::DOUBLE * CASE WHEN age < 7 THEN 1.0::DOUBLE WHEN age < 30 THEN 0.85 WHEN age < 90 THEN 0.70 ELSE 0.50 END * least(1.2::DOUBLE, 1 + 0.05::DOUBLE * (frequency - 1))), 2) AS effective FROM r""")
 def rules_decay(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = events(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("frequency"), F.max("ts").alias("last_seen")).withColumn("confidence", F.lit(0.6))
     return profile.decayed_rules(r, F.lit("2024-02-01 00:00:00").cast("timestamp")).select("user_id", "frequency", "effective")
@@ -212,6 +212,7 @@ def lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.lifecycle(m)
 
 
+#: Two patterns on the derived messages, to show the accumulation; preferences_all has all patterns of the library.
 _PREFERENCES = [("tools", r"(?:restart|worker)\s+(\w+ ?\w*)", 0.8), ("naming", r"my name is (\w+)", 0.7)]
 
 

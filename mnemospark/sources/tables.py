@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from mnemospark.sources.samples import SENTENCES
+
 NAMES = ["Alice", "Bruno", "Carla", "Dmitri", "Elena"]
 
 
@@ -37,7 +39,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == "purchase", text("Decision: use ", F.col("p_name"), " for ", F.col("p_type")))
         .when(kind == "view", text("The fix is: restart worker ", user % 5, " and clear the ", k, " cache"))
         .when((kind == "click") & (event % 2 == 0), text("See this\n```python\ndef f", k, "(x):\n    return x + ", k, "\n```\n"))
-        .when(kind == "click", text("never commit directly to the release", k % 10, " branch, issue in src/m", user % 7, ".py"))
+        .when(kind == "click", text("never commit straight into release", k % 10, " branches, issue in src/m", user % 7, ".py"))
         .otherwise(text("Hello, my name is ", name, "."))
     )
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
@@ -67,3 +69,14 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     start = F.timestamp_seconds(F.lit(1704067200) + F.col("conv_id") % 365 * 86400)
     return c.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("msg_idx"), "role", F.col("text").alias("content"), start.alias("ts"))
+
+
+def said(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events told in the sentences of ``samples``: session_id, msg_idx, event_id, role, ts, content. A session is a user's eight days."""
+    e = events(spark, sf_dir)
+    pick = lambda i: F.element_at(F.array(*[F.lit(s[i]) for s in SENTENCES]), (F.col("event_id") % len(SENTENCES) + 1).cast("int"))
+    path = F.concat(F.lit("src/m"), (F.col("user_id") % 7).cast("string"), F.lit(".py"))
+    content = F.replace(F.replace(pick(1), F.lit("{k}"), F.col("k").cast("string")), F.lit("{p}"), path)
+    e = e.withColumn("session_id", F.col("user_id") * 4 + F.floor((F.dayofmonth("ts") - 1) / 8))
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("ts", "event_id")) - 1
+    return e.select("session_id", place.cast("long").alias("msg_idx"), "event_id", pick(0).alias("role"), "ts", content.alias("content"))

@@ -28,16 +28,16 @@ def discover(spark: SparkSession, root: str, project: str | None = None) -> Data
 
 
 def raw_lines(spark: SparkSession, root: str) -> DataFrame:
-    """Every JSON object with its place: session_id, project, line, last_modified, data (variant)."""
+    """Every JSON object with its place: session_id, project, line (of the file, from 0, blank and malformed ones counted), last_modified, data (variant)."""
     lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(root)
     parts = F.split("_metadata.file_path", "/")
     out = lines.select(
-        F.regexp_replace(F.element_at(parts, -1), r"\.jsonl$", "").alias("session_id"), F.element_at(parts, -2).alias("project"),
-        (F.col("_metadata.file_block_start") * (1 << 20) + F.monotonically_increasing_id()).alias("at"), F.col("_metadata.file_modification_time").alias("last_modified"),
+        F.regexp_replace(F.element_at(parts, -1), r"\.jsonl$", "").alias("session_id"), F.element_at(parts, -2).alias("project"), F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("_metadata.file_modification_time").alias("last_modified"),
         F.try_parse_json("value").alias("data"),
     )
-    number = F.row_number().over(Window.partitionBy("session_id", "project").orderBy("at")) - 1
-    return out.where("data is not null").withColumn("line", number.cast("long")).drop("at")
+    number = F.row_number().over(Window.partitionBy("path").orderBy("block", "at")) - 1  # a block is read by one task, in order
+    return out.withColumn("line", number.cast("long")).where("data is not null").drop("path", "block", "at")
 
 
 def typed(lines: DataFrame) -> DataFrame:

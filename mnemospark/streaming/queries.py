@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mnemospark.operators.staging import shared_dir
+
 
 def event_stream(spark: SparkSession, sf_dir: str, watermark: str = "10 minutes") -> DataFrame:
     """The events table as a stream with event time."""
@@ -28,6 +30,66 @@ def sessionised(stream: DataFrame, gap: str = "2 hours") -> DataFrame:
     return out.select("user_id", F.col("w.start").alias("session_start"), "n")
 
 
+def sliding(stream: DataFrame, width: str = "2 hours", step: str = "1 hour") -> DataFrame:
+    out = stream.groupBy(F.window("ts", width, step).alias("w")).agg(F.count("*").alias("n"))
+    return out.select(F.col("w.start").alias("window_start"), "n")
+
+
+def transcript_stream(spark: SparkSession, root: str) -> DataFrame:
+    """Lines of new transcript files below a folder, as they come: session_id, last_modified, data (variant). Files grow by new increments."""
+    lines = spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").format("text").load(root)
+    name = F.element_at(F.split("_metadata.file_path", "/"), -1)
+    return lines.select(F.regexp_replace(name, r"\.jsonl$", "").alias("session_id"), F.col("_metadata.file_modification_time").alias("last_modified"), F.try_parse_json("value").alias("data")).where("data is not null")
+
+
+def settled(changes: DataFrame, key: str, ts: str = "ts", quiet: str = "5 seconds") -> DataFrame:
+    """Bursts of changes of a file that are followed by quiet: key, first_change, last_change, changes. A burst is one piece of work."""
+    out = changes.groupBy(key, F.session_window(ts, quiet).alias("w")).agg(F.count("*").alias("changes"), F.max(ts).alias("last_change"))
+    return out.select(key, F.col("w.start").alias("first_change"), "last_change", "changes")
+
+
+def fresh(messages: DataFrame, key: str = "session_id", place: str = "msg_idx") -> DataFrame:
+    """Messages beyond the last one seen of their session, however often its file is read again: key, place. State holds one number a session."""
+    kind = messages.schema[key].dataType.simpleString()
+
+    def update(name: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        seen = state.get[0] if state.exists else -1
+        new = sorted({int(p) for batch in batches for p in batch[place] if p > seen})
+        if new:
+            state.update((new[-1],))
+        yield pd.DataFrame({key: [name[0]] * len(new), place: new})
+
+    return messages.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, {place} long", "last long", "append", "NoTimeout")
+
+
+def waiting(changes: DataFrame, key: str, ttl: str = "1 hour", ts: str = "ts") -> DataFrame:
+    """Entries that changed, and those that no change came for within ``ttl`` of event time, which state forgets: key, status, changes.
+
+    ``changes`` needs a watermark on ``ts``.
+    """
+    kind, length = changes.schema[key].dataType.simpleString(), pd.Timedelta(ttl)
+
+    def update(name: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            n = state.get[0]
+            state.remove()
+            yield pd.DataFrame({key: [name[0]], "status": ["expired"], "changes": [n]})
+            return
+        n, last = state.get if state.exists else (0, 0)
+        for batch in batches:
+            n, last = n + len(batch), max(last, int(batch[ts].max().timestamp() * 1000))
+        state.update((n, last))
+        state.setTimeoutTimestamp(max(last + int(length.total_seconds() * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({key: [name[0]], "status": ["pending"], "changes": [n]})
+
+    return changes.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, status string, changes long", "n long, last long", "update", "EventTimeTimeout")
+
+
+def progress(query) -> list[dict]:
+    """What the last batches of a running stream did: batch, rows, rows a second, seconds."""
+    return [{"batch": p["batchId"], "rows": p["numInputRows"], "rows_per_second": p["processedRowsPerSecond"], "seconds": p["batchDuration"] / 1000} for p in query.recentProgress]
+
+
 def deduplicated(stream: DataFrame, keys: list[str]) -> DataFrame:
     return stream.dropDuplicatesWithinWatermark(keys)
 
@@ -63,6 +125,8 @@ def run_available(stream: DataFrame, checkpoint: str, mode: str = "append", key:
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
     out = spark.read.option("basePath", f"{folder}/rows").parquet(f"{folder}/rows")
+    if mode == "complete":
+        return out.where(F.col("batch") == out.agg(F.max("batch")).first()[0]).drop("batch")
     if key:
         rest = [c for c in out.columns if c not in (*key, "batch")]
         out = out.groupBy(*key).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*key, "r.*")
@@ -83,7 +147,5 @@ def ingest(stream: DataFrame, checkpoint: str, stages: dict[str, Callable[[DataF
 
 
 def folder(spark: SparkSession) -> str:
-    """Where streams keep their state: the shared checkpoint folder, or a temporary one where the session names none."""
-    import tempfile
-
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-")).rstrip("/")
+    """Where streams keep their state: the shared folder."""
+    return shared_dir(spark)
