@@ -2,54 +2,31 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mnemospark.operators.staging import discard, materialise
+
 #: A word is a maximal run of bytes other than space, tab, LF, VT, FF and CR.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    A temporary folder stands in only where the session names none, as in local tests.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here, and ids drawn before stay as they are.
-
-    The driver's garbage goes at once, so that Spark's cleaner can delete the shuffle files that led here.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    gc.collect()
-    spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path).withMetadata(df.columns[0], {"path": path})
-
-
-def discard(df: DataFrame) -> None:
-    """Remove a table that ``materialise`` wrote and that nothing will read again."""
-    path = next((f.metadata["path"] for f in df.schema.fields if "path" in f.metadata), None)
-    if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of ``df`` has, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"{name}_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def fold(id_col: str | Column, parts: int) -> Column:
@@ -157,14 +134,11 @@ class Hasher:
         return mix64((prefix[ends] - prefix[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Any key will do, as long as it stays the same.
+_SIP_KEY = "9e3779b97f4a7c15"
 
 
-def word_hashes(text: bytes, hasher: Hasher) -> np.ndarray:
-    """A 64-bit hash of each word of ``text``, in order."""
-    data = np.frombuffer(text, np.uint8)
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], _SPACE[data], [True])).view(np.int8)))
-    if not len(edge):
-        return np.empty(0, np.uint64)
-    return hasher.slices(hasher.prefix(data), edge[0::2], edge[1::2])
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit keyed hash (SipHash) of each word of ``text``, in order."""
+    words = text.split()
+    return pd.util.hash_array(np.array(words, object), hash_key=_SIP_KEY, categorize=False) if words else np.empty(0, np.uint64)

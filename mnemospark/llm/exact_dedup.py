@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import materialise
+from mnemospark.llm.common import discard, materialise, unused
 
 BLOCK_BYTES = 4096
 
@@ -84,12 +84,18 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that exact dedup keeps, with all their columns."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    hashed = docs.withColumn("_key", F.col(id_col)).withColumn("_text", F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
-    found = hashed.join(kept, F.col("_key").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_sha")), "left_semi")
-    repeated = hashed.groupBy("_key", "_text").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("_key").alias("_rk"), F.col("_text").alias("_rt"))
-    same = F.col("_key").eqNullSafe(F.col("_rk")) & (F.col("_text") == F.col("_rt"))
+    """The rows of ``docs`` that exact dedup keeps, with all their columns, of whatever names and types.
+
+    Null texts are empty ones, a null id is smaller than any other. Of rows that repeat id and text, that with the first
+    JSON form stays. An empty table gives no rows.
+    """
+    key, text, found_key, found_text, rows = unused(docs, "key", "text_sha", "found_key", "found_sha", "rows")
+    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(found_key), F.col("text_sha256").alias(found_text))
+    hashed = docs.withColumn(key, F.col(id_col).cast("long")).withColumn(text, F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
+    same = F.col(key).eqNullSafe(F.col(found_key)) & (F.col(text) == F.col(found_text))
+    found = hashed.join(kept, same, "left_semi")
+    repeated = hashed.groupBy(key, text).agg(F.count("*").alias(rows)).where(F.col(rows) > 1).select(F.col(key).alias(found_key), F.col(text).alias(found_text))
     once = found.join(repeated, same, "left_anti").select(docs.columns)
-    again = found.join(repeated, same, "left_semi").groupBy("_key", "_text").agg(F.min(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+    whole = F.struct(*docs.columns)
+    again = found.join(repeated, same, "left_semi").groupBy(key, text).agg(F.min_by(whole, F.to_json(whole)).alias(rows)).select(f"{rows}.*")
     return once.union(again)

@@ -22,6 +22,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts and those without a letter are und with score 0; repeated rows each get a row; an empty table gives none."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.learn(docs.where(fold("doc_id", 3) != 1))
     found = language_id.identify(docs.select("doc_id", "text"), model)
@@ -29,42 +30,51 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts have the score of a text without words; repeated rows each get a row; an empty table gives none."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     weights = toxicity.learn(docs, _table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0))
     return toxicity.score(docs, weights).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts are empty; of repeated rows with the largest id one stays; an empty table gives no rows."""
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts are empty; rows that repeat id and text are one document with a row each; an empty table gives no rows."""
     return repeated_spans(_table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts have size 0, a null source is one of its own, the last; repeated rows each take part; an empty table gives no rows."""
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts and those without words link with nothing; repeated rows each get a row; an empty table gives none."""
     return near_dedup(_table(spark, sf_dir, "documents"), words=4).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors that are null, zero or hold null or non-finite components link with nothing; repeated rows each get a row; an empty table gives none."""
     return link_vectors(_table(spark, sf_dir, "embeddings"))
 
 
 def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts are empty, their only token is the end; repeated rows each get a row; an empty table gives none."""
     scored = score_held_out(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null html is an empty payload; repeated rows are records of their own; an empty table gives no rows."""
     archives = materialise(write_archives(_table(spark, sf_dir, "pages")), "archives")
     return read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts are empty, their only id is 0; repeated rows are documents of their own; an empty table gives no rows."""
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -86,7 +96,7 @@ ORACLES = {
     "op5_source_mixing": r"""
         WITH sized AS (
           SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-                 CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS k FROM documents),
+                 CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 15) AS BIGINT) AS k FROM documents),
         s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
         n AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS i FROM s),
         w AS (SELECT *, CASE (i - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w, 2 * source_size AS lim,
