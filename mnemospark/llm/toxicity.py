@@ -22,10 +22,13 @@ from mnemospark.llm.common import small_batches
 FEATURES = 1 << 20
 #: The classifier is fitted to at most about so many labelled texts of each class, chosen by a hash of the id.
 SAMPLE = 6000
+#: The sample ends where its texts and their swapped copies have so many features in all.
+PLACES = 8_000_000
 STEMS = (4, 5, 6)
 SWAPS = 3
 LEAST_TEXTS = 4
 LEAST_HELD = 30
+FOLDS = 4
 #: Identity terms by kind; a term is swapped for another of its line.
 IDENTITY_TERMS = [
     ["women", "men", "girls", "boys"],
@@ -82,7 +85,7 @@ def fit(texts: list[np.ndarray], labels: np.ndarray, swaps: list[tuple[int, np.n
     to = np.full(FEATURES, -1)
     to[columns] = np.arange(len(columns))
     keep = to[places] >= 0
-    places, row = to[places[keep]], row[keep]
+    places, row = to[places[keep]].astype(np.int32), row[keep].astype(np.int32)
     swap_places, swap_row = _rows([to[s] for _, s in swaps])
     parent = np.array([i for i, _ in swaps], int)
     n, m = len(labels), max(1, len(swaps))
@@ -119,11 +122,13 @@ def threshold(scores: np.ndarray, labels: np.ndarray, rates: tuple[float, float]
     return float((edges[best[0]] + edges[best[-1] + 1]) / 2)
 
 
-def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> np.ndarray:
+def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, places: int = PLACES) -> np.ndarray:
     """Fit on at most about ``sample`` texts of each class. ``labels``: id and label; null labels and texts are left out.
 
-    Every fourth text of each class is held back to set the threshold, as far as there are ``LEAST_HELD`` of each. An id
-    with several labels counts as toxic if one of them says so.
+    The threshold is set by the scores that texts get from models fitted without them, a ``FOLDS``-th of each class at a
+    time, as far as there are ``LEAST_HELD`` texts of each. An id with several labels counts as toxic if one of them says
+    so. A model is fitted in one task, of which there is one more than folds: the sample is bounded by ``sample`` texts,
+    and by ``places`` features, up to which texts are taken in the order of a hash. The driver gets weights and scores only.
     """
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_label"))
     counts = {r["_label"]: r["n"] for r in marked.groupBy("_label").agg(F.count("*").alias("n")).collect()}
@@ -133,29 +138,47 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("text")).where("text is not null")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pack = lambda x: x.astype(np.int32).tobytes()
         for batch in small_batches(batches, "text"):
             tokens = [words(t) for t in batch["text"]]
-            yield pd.DataFrame({"label": batch["_label"], "places": [features(t) for t in tokens], "swaps": [[features(s) for s in swapped(t)] for t in tokens]})
-
-    # the sample is bounded by its parameter, so it may be broadcast
-    found = texts.join(F.broadcast(chosen), "_id").mapInPandas(sets, "label int, places array<int>, swaps array<array<int>>").toPandas()
-    found = found.iloc[sorted(range(len(found)), key=lambda i: (found["label"].iat[i], list(found["places"].iat[i])))].reset_index(drop=True)
-    texts, labels = [np.asarray(p, np.int64) for p in found["places"]], found["label"].to_numpy(float)
-    held = np.arange(len(labels)) % 4 == 3
-    if min((held & (labels == k)).sum() for k in (0, 1)) < LEAST_HELD:
-        held[:] = False
-    used = np.flatnonzero(~held)
-    pairs = [(i, np.asarray(s, np.int64)) for i, x in enumerate(found["swaps"].iloc[used]) for s in x]
-    weights = fit([texts[i] for i in used], labels[used], pairs)
-    if held.any():
-        weights[-1] -= threshold(np.array([weights[t].sum() for t, h in zip(texts, held, strict=True) if h]) + weights[-1], labels[held], rates)
+            yield pd.DataFrame({"label": batch["_label"], "places": [pack(features(t)) for t in tokens], "swaps": [[pack(features(s)) for s in swapped(t)] for t in tokens]})
+
+    def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, fold = [], None
+        for b in batches:
+            for k, label, p, s in b[["k", "label", "places", "swaps"]].itertuples(index=False, name=None):
+                fold = int(k)
+                rows.append((zlib.crc32(p), p, int(label), list(s)))
+        if fold is None:
+            return
+        rows.sort()
+        size = np.cumsum([len(p) // 4 + sum(len(x) for x in s) // 4 for _, p, _, s in rows])
+        rows = sorted(rows[: int(np.searchsorted(size, places, "right"))], key=lambda r: r[2])
+        unpack = lambda x: np.frombuffer(x, np.int32)
+        texts, labels = [unpack(p) for _, p, _, _ in rows], np.array([r[2] for r in rows], float)
+        out = np.arange(len(rows)) % FOLDS == fold
+        used = np.flatnonzero(~out)
+        weights = fit([texts[i] for i in used], labels[used], [(j, unpack(x)) for j, i in enumerate(used) for x in rows[i][3]])
+        held = [float(weights[texts[i]].sum() + weights[-1]) for i in np.flatnonzero(out)]
+        yield pd.DataFrame({"k": [fold], "labels": [labels[out]], "scores": [np.array(held)], "weights": [weights.astype(np.float32).tobytes() if fold == FOLDS else b""]})
+
+    # the sample is bounded by its parameter, so it may be broadcast, and each fold may hold all of it
+    found = texts.join(F.broadcast(chosen), "_id").mapInPandas(sets, "label int, places binary, swaps array<binary>")
+    dealt = found.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(FOLDS)))).repartitionById(FOLDS + 1, F.col("k"))
+    out = {r["k"]: r for r in dealt.mapInPandas(fitted, "k int, labels array<double>, scores array<double>, weights binary").collect()}
+    if not out:
+        return np.zeros(FEATURES + 1)
+    weights = np.frombuffer(out[FOLDS]["weights"], np.float32).astype(np.float64)
+    held, scores = (np.array([x for k in range(FOLDS) for x in out[k][c]]) for c in ("labels", "scores"))
+    if min((held == k).sum() for k in (0, 1)) >= LEAST_HELD:
+        weights[-1] -= threshold(scores, held, rates)
     return weights
 
 
 def score(docs: DataFrame, weights: np.ndarray, text_col: str = "text") -> DataFrame:
     """``docs`` with score (0 to 1) and predicted (1 from 0.5 on) added, replacing columns of these names.
 
-    Null and empty texts have the score of a text without words.
+    Null and empty texts have the score of a text without words. Repeated rows each get theirs; an empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
