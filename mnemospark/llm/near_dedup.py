@@ -5,12 +5,14 @@ element falls into a bin drawn by that round's hash; in the later rounds, as man
 bin i. A bin keeps the least (round, hash) it has seen, and sketching a set stops once all its bins are filled, which the
 later rounds guarantee. Two sets agree in a bin with a probability of their Jaccard similarity, with concentration.
 
-``ROWS`` bins form a band; documents that agree in a band are candidates. Documents with equal sets are one class, so that
-copies are sketched and compared once. The candidates' graph is cut into clusters by linking the members of a band's
-bucket to its least one, without any pair. All pairs of a cluster are then verified on full sets: a cluster is dealt into
-blocks of ``BLOCK`` classes, each pair of blocks is a unit of work, and a unit's intersections are products of its
-presence matrix; it passes on a spanning forest of its links. No link between candidates is lost, as every pair of
-classes in a cluster meets in a unit.
+``ROWS`` bins form a band; documents that agree in a band share a bucket. Documents with equal sets are one class, so that
+copies are sketched and compared once. Inside a bucket, sketches (a byte a bin) are compared: members that agree in fewer
+bins than ``AGREE`` are far from the threshold and are no candidates. A bucket passes on a spanning forest of its
+candidates, found by a search that compares each member only with those not reached yet; a large bucket is dealt out as
+pairs of blocks. The forests' components are clusters, all pairs of which are then verified on full sets of the words
+themselves: a cluster is dealt into blocks bounded in classes and shingles, each pair of blocks is a unit of work, and a
+unit's intersections are products of its presence matrix; it passes on a spanning forest of its links. No link between
+candidates is lost, as every pair of classes in a cluster meets in a unit.
 """
 
 from __future__ import annotations
@@ -23,20 +25,26 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import Hasher, connected_components, materialise, mix64, row_key, small_batches, word_hashes
+from mnemospark.llm.common import connected_components, discard, materialise, mix64, row_key, small_batches, unused, word_hashes
 
 COORDINATES, ROWS = 192, 6
 SIMILAR_PERCENT = 80
 BLOCK = 256
+#: A block of a cluster has about so many shingles at most, unless one text has more.
+SHINGLES = 400_000
 COLUMNS = 8192
+#: Bins in which the sketches of candidates agree; a pair at the threshold has fewer with a probability of about 1e-10.
+AGREE = 115
+#: Members of a bucket that meet in one task.
+BUCKET = 2048
 
 
-def shingles(text: str | bytes | None, words: int, hasher: Hasher) -> np.ndarray:
+def shingles(text: str | bytes | None, words: int) -> np.ndarray:
     """The sorted 64-bit hashes of the distinct shingles of a whole text; a shorter text is one shingle, none without words."""
     if not text:
         return np.empty(0, np.uint64)
     data = text.encode() if isinstance(text, str) else text
-    h = word_hashes(data.lower(), hasher)
+    h = word_hashes(data.lower())
     if not len(h):
         return h
     n = min(words, len(h))
@@ -46,6 +54,27 @@ def shingles(text: str | bytes | None, words: int, hasher: Hasher) -> np.ndarray
     return np.unique(out)
 
 
+def named_shingles(texts: list[str], words: int) -> list[np.ndarray]:
+    """The shingle sets of some texts as numbers that stand for the words themselves: pairs of names are named, word by word."""
+    number: dict[bytes, int] = {}
+    said = [t.encode().lower().split() for t in texts]
+    sizes = np.array([len(x) for x in said])
+    word = np.array([number.setdefault(w, len(number)) for x in said for w in x], np.uint64)
+    begin = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    place = np.arange(len(word)) - begin[owner]
+    long = sizes >= words
+    starts = np.flatnonzero(long[owner] & (place <= sizes[owner] - words))
+    name = word[starts]
+    for i in range(1, words):
+        _, name = np.unique((name << np.uint64(32)) | word[starts + i], return_inverse=True)
+        name = name.astype(np.uint64)
+    cut = np.searchsorted(owner[starts], np.arange(len(texts) + 1))
+    short: dict[tuple, int] = {}
+    alone = lambda x: np.array([(1 << 62) + short.setdefault(tuple(x), len(short))], np.uint64)
+    return [np.unique(name[cut[i] : cut[i + 1]]) if long[i] else alone(x) if x else np.empty(0, np.uint64) for i, x in enumerate(said)]
+
+
 def sketches(sets: list[np.ndarray], size: int = COORDINATES) -> np.ndarray:
     """[set, bin] sketches of non-empty sets, all sets of a batch in one sweep of rounds."""
     out = np.full(len(sets) * size, np.uint64(0xFFFFFFFFFFFFFFFF), np.uint64)
@@ -83,21 +112,71 @@ def bands(sketch: np.ndarray, rows: int = ROWS) -> np.ndarray:
 
 def _sketch(words: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher = Hasher()
         for batch in small_batches(batches, "text"):
-            sets = [shingles(t, words, hasher) for t in batch["text"]]
+            sets = [shingles(t, words) for t in batch["text"]]
             some = [i for i, s in enumerate(sets) if len(s)]
-            keys = [None] * len(sets)
-            for i, k in zip(some, bands(sketches([sets[i] for i in some])) if some else [], strict=True):
-                keys[i] = k
+            keys, bytes_ = [None] * len(sets), [None] * len(sets)
+            if some:
+                made = sketches([sets[i] for i in some])
+                low = (made & np.uint64(255)).astype(np.uint8)
+                for i, k, b in zip(some, bands(made), low, strict=True):
+                    keys[i], bytes_[i] = k, b.tobytes()
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"], "row_key": batch["row_key"], "n_shingles": [len(s) for s in sets],
-                "same": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], "bands": keys,
+                "same": [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], "bands": keys, "sketch": bytes_,
             })
 
     return run
 
 
+def forest(sketch: np.ndarray, side: np.ndarray | None = None, least: int = AGREE) -> list[tuple[int, int]]:
+    """A spanning forest of the rows that agree in ``least`` places, of different sides only if there are two.
+
+    Every row is compared once, with the rows not reached yet, so that a bucket of rows that are all alike takes one pass.
+    """
+    out, left = [], np.arange(len(sketch))
+    while len(left):
+        at, left = [int(left[0])], left[1:]
+        while at and len(left):
+            x = at.pop()
+            near = (sketch[left] == sketch[x]).sum(1) >= least
+            if side is not None:
+                near &= side[left] != side[x]
+            found = left[near].tolist()
+            out += [(x, y) for y in found]
+            at += found
+            left = left[~near]
+    return out
+
+
+def _candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Forests of whole buckets, or of pairs of blocks of a large one; the rows of a unit stand together."""
+    held: pd.DataFrame | None = None
+
+    def closed(rows: pd.DataFrame) -> pd.DataFrame:
+        marks = rows[["band", "p", "q"]].to_numpy()
+        cuts = np.concatenate(([0], np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1, [len(rows)]))
+        cid, side = rows["cid"].to_numpy(), rows["side"].to_numpy()
+        table = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(len(rows), -1)
+        links = []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b - a > 1:
+                links += [(cid[a + x], cid[a + y]) for x, y in forest(table[a:b], None if marks[a, 1] == marks[a, 2] else side[a:b])]
+        return pd.DataFrame(links, columns=["a", "b"]).astype("int64").drop_duplicates()
+
+    for batch in batches:
+        rows = batch if held is None or not len(held) else pd.concat((held, batch))
+        if not len(rows):
+            continue
+        marks = rows[["band", "p", "q"]].to_numpy()
+        last = int(np.argmax((marks == marks[-1]).all(1)))  # the last unit may go on
+        if last:
+            yield closed(rows.iloc[:last])
+        held = rows.iloc[last:]
+    if held is not None and len(held):
+        yield closed(held)
+
+
 def link_unit(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the links of one unit: between the sets marked ``left`` and the others, or, if all are, among all."""
     n = len(sets)
@@ -139,12 +218,12 @@ def link_unit(ids: np.ndarray, sets: list[np.ndarray], left: np.ndarray, percent
 
 def _verify(words: int, percent: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hasher, key = Hasher(), None
-        ids, sets, sides, seen = [], [], [], set()
+        key, ids, texts, sides, seen = None, [], [], [], set()
 
         def closed() -> pd.DataFrame:
             left = np.array(sides) == 0
-            links = link_unit(np.array(ids), sets, left, percent) if len(ids) > 1 and left.any() and (key[1] == key[2] or not left.all()) else []
+            meets = len(ids) > 1 and left.any() and (key[1] == key[2] or not left.all())
+            links = link_unit(np.array(ids), named_shingles(texts, words), left, percent) if meets else []
             return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
         for batch in batches:
@@ -152,13 +231,12 @@ def _verify(words: int, percent: int):
                 if (cluster, p, q) != key:
                     if key is not None:
                         yield closed()
-                    key, ids, sets, sides = (cluster, p, q), [], [], []
-                    seen = set()
+                    key, ids, texts, sides, seen = (cluster, p, q), [], [], [], set()
                 if cid in seen:  # a row that repeats in the input
                     continue
                 seen.add(cid)
                 ids.append(cid)
-                sets.append(shingles(text, words, hasher))
+                texts.append(text)
                 sides.append(side)
         if key is not None:
             yield closed()
@@ -166,6 +244,13 @@ def _verify(words: int, percent: int):
     return run
 
 
+def _dealt(rows: DataFrame, blocks: str) -> DataFrame:
+    """Members of a group to the pairs of its blocks: p, q and the side in the pair; each member's block follows from its cid."""
+    own = F.pmod(F.xxhash64("cid"), F.col(blocks)).cast("int")
+    out = rows.withColumn("own", own).withColumn("with", F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)))
+    return out.withColumns({"p": F.least("own", "with"), "q": F.greatest("own", "with"), "side": (F.col("own") > F.col("with")).cast("int")}).drop("own", "with", blocks)
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = SIMILAR_PERCENT, block: int = BLOCK) -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept, row_key.
 
@@ -176,23 +261,27 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     row by id and whole text.
     """
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), row_key(F.col(id_col).cast("long"), F.col(text_col)).alias("row_key"))
-    rows = given.mapInPandas(_sketch(words), "doc_id long, row_key string, n_shingles long, same binary, bands array<long>")
+    rows = given.mapInPandas(_sketch(words), "doc_id long, row_key string, n_shingles long, same binary, bands array<long>, sketch binary")
     rows = materialise(rows.withColumn("rid", F.monotonically_increasing_id()), "sketches")
 
     # a class is named by one of its rows; cid and row_key belong to the same row
-    classes = rows.where("same is not null").groupBy("same").agg(F.min(F.struct("rid", "row_key")).alias("first"), F.min("doc_id").alias("least"))
-    classes = materialise(classes.select("same", F.col("first.rid").alias("cid"), F.col("first.row_key").alias("row_key"), "least"), "classes")
-    keyed = rows.join(classes.select(F.col("cid").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("cid"), F.explode("bands").alias("band"))
-    buckets = keyed.groupBy("band").agg(F.min("cid").alias("least"), F.count("*").alias("n")).where("n > 1").select("band", "least")
-    candidates = keyed.join(buckets, "band").where("cid <> least").select(F.col("cid").alias("a"), F.col("least").alias("b")).distinct()
+    classes = rows.where("same is not null").groupBy("same").agg(F.min(F.struct("rid", "row_key")).alias("first"), F.min("doc_id").alias("least"), F.max("n_shingles").alias("n_shingles"))
+    classes = materialise(classes.select("same", F.col("first.rid").alias("cid"), F.col("first.row_key").alias("row_key"), "least", "n_shingles"), "classes")
+    named = rows.join(classes.select(F.col("cid").alias("rid")), "rid", "left_semi")
+    keyed = named.select(F.col("rid").alias("cid"), F.explode("bands").alias("band"))
+    buckets = keyed.groupBy("band").agg(F.ceil(F.count("*") / BUCKET).cast("int").alias("blocks"), F.count("*").alias("n")).where("n > 1").select("band", "blocks")
+    shared = materialise(_dealt(keyed.join(buckets, "band"), "blocks"), "buckets")
+    sketch = named.select(F.col("rid").alias("cid"), "sketch")
+    units = shared.join(sketch, "cid").repartition("band", "p", "q").sortWithinPartitions("band", "p", "q")
+    candidates = materialise(units.mapInPandas(_candidates, "a long, b long").distinct(), "candidates")
+    discard(shared)
     clusters = materialise(connected_components(candidates).select(F.col("node").alias("cid"), F.col("component").alias("cluster")), "clusters")
+    discard(candidates)
 
-    sizes = clusters.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
-    member = clusters.join(sizes, "cluster").join(classes.select("cid", "row_key"), "cid").select("cluster", "cid", "row_key", "blocks", own.alias("own"))
-    texts = given.select("row_key", "text").join(member, "row_key")
-    dealt = texts.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = dealt.select("cluster", F.least("own", "with").alias("p"), F.greatest("own", "with").alias("q"), (F.col("own") > F.col("with")).cast("int").alias("side"), "cid", "text")
+    members = clusters.join(classes.select("cid", "row_key", "n_shingles"), "cid")
+    sizes = members.groupBy("cluster").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n_shingles") / SHINGLES)).cast("int").alias("blocks"))
+    member = _dealt(members.drop("n_shingles").join(sizes, "cluster"), "blocks")
+    units = given.select("row_key", "text").join(member, "row_key").select("cluster", "p", "q", "side", "cid", "text")
     units = units.repartition("cluster", "p", "q").sortWithinPartitions("cluster", "p", "q")
     links = materialise(units.mapInPandas(_verify(words, percent), "a long, b long"), "links")
 
@@ -206,6 +295,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **rules) -> DataFrame:
-    """The rows of ``docs`` that near dedup keeps, with all their columns."""
-    kept = near_dedup(docs, id_col, text_col, **rules).where("kept").select(F.col("row_key").alias("_kept"))
-    return docs.withColumn("_row", row_key(F.col(id_col).cast("long"), F.col(text_col))).join(kept, F.col("_row") == F.col("_kept"), "left_semi").select(docs.columns)
+    """The rows of ``docs`` that near dedup keeps, with all their columns, of whatever names.
+
+    Null and empty texts have no words, link with nothing and stay, if their id is known; so does each of repeated rows
+    with the smallest id. An empty table gives no rows.
+    """
+    row, kept = unused(docs, "row", "kept_row")
+    found = near_dedup(docs, id_col, text_col, **rules).where("kept").select(F.col("row_key").alias(kept))
+    return docs.withColumn(row, row_key(F.col(id_col).cast("long"), F.col(text_col))).join(found, F.col(row) == F.col(kept), "left_semi").select(docs.columns)
