@@ -4,8 +4,10 @@ A byte goes if a string of ``WINDOW`` bytes that covers it also starts earlier i
 be sorted for this: in every window, the ``GRAM``-byte string with the least hash is an anchor, and equal windows have
 their anchors at equal places. So only anchors are compared, and only those whose gram occurs more than once.
 
-1. Anchors are shuffled and sorted by gram and by a hash of their context (all windows that hold the anchor). What repeats
-   an earlier context is covered as a whole. First occurrences whose gram also has other contexts are edges of repeats.
+1. Anchors are sorted by gram and by a hash of their context (all windows that hold the anchor), by each task for what it
+   read, then, after a shuffle, for all that came first in a task; so a passage that very many documents share reaches the
+   task of its gram once a task. What repeats an earlier context is covered as a whole. First occurrences whose gram also
+   has other contexts are edges of repeats.
 2. The suffixes at the edges, and the reversed texts before them, are sorted: multikey quicksort, with eight bytes as a
    character, to the depth ``SHALLOW``; groups that still agree there are ordered by blind tries. In both orders, common
    prefixes of neighbours give for each offset of a window the classes of equal right and left parts, hence the classes of
@@ -26,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import Hasher, materialise, mix64
+from mnemospark.llm.common import Hasher, discard, materialise, mix64
 
 WINDOW, GRAM = 100, 32
 REACH = WINDOW - GRAM
 SHALLOW = 3
 SEGMENT = 1 << 19
 GROUPED = 8192
+#: Anchors that a task sorts at a time before the shuffle.
+LOCAL = 400_000
 HOT = 200_000
 
 
@@ -68,30 +72,42 @@ def anchors(data: np.ndarray, hasher: Hasher) -> tuple[np.ndarray, np.ndarray, n
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+ANCHORS = "key long, ctx long, doc_id long, dk long, pos long"
+
+
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Anchors; those that repeat the context of an earlier one of the same task come without key and context."""
     hasher = Hasher(1 << 16)
-    for batch in batches:
-        texts = batch.column("bytes")
-        rows, held = [], 0
+    parts: list[tuple] = []
+    held = 0
 
-        def made() -> pa.RecordBatch:
-            owner = np.concatenate([np.full(len(p), i) for i, (p, _, _) in rows])
-            pos, key, ctx = (np.concatenate([x[j] for _, x in rows]) for j in range(3))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(ctx.view(np.int64)), batch.column("doc_id").take(pa.array(owner)), batch.column("dk").take(pa.array(owner)), pa.array(pos)],
-                names=["key", "ctx", "doc_id", "dk", "pos"],
-            )
+    def made() -> pa.RecordBatch:
+        key, ctx, doc, known, dk, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((pos, dk, doc, known, ctx, key))
+        key, ctx, doc, known, dk, pos = (x[order] for x in (key, ctx, doc, known, dk, pos))
+        before = lambda x: np.concatenate(([False], x[1:] == x[:-1]))
+        same = before(key) & before(ctx)
+        twice = same & before(dk) & before(pos) & before(doc) & before(known)  # where segments meet, or a row repeats
+        kept = ~twice
+        null = same[kept]
+        values = lambda x, mask=None: pa.array(x[kept], pa.int64(), mask=mask)
+        return pa.RecordBatch.from_arrays([values(key, null), values(ctx, null), values(doc, ~known[kept]), values(dk), values(pos)], names=[x.split()[0] for x in ANCHORS.split(", ")])
 
+    for batch in batches:
+        texts, docs, dks = batch.column("bytes"), batch.column("doc_id"), batch.column("dk").to_numpy(zero_copy_only=False)
+        known, docs = docs.is_valid().to_numpy(zero_copy_only=False), docs.fill_null(0).to_numpy(zero_copy_only=False)
         for i in range(len(texts)):
             data = np.frombuffer(texts[i].as_buffer(), np.uint8)
             if len(data) >= WINDOW:
-                rows.append((i, anchors(data, hasher)))
-                held += len(rows[-1][1][0])
-            if held > 100_000:
+                pos, key, ctx = anchors(data, hasher)
+                n = len(pos)
+                parts.append((key.view(np.int64), ctx.view(np.int64), np.full(n, docs[i]), np.full(n, known[i]), np.full(n, dks[i]), pos))
+                held += n
+            if held > LOCAL:
                 yield made()
-                rows, held = [], 0
-        if rows:
-            yield made()
+                parts, held = [], 0
+    if held:
+        yield made()
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,6 +117,10 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     single = False  # whether it belongs to the first context of its gram
     first: pa.RecordBatch | None = None  # that context's first row
     for batch in batches:
+        known = batch.column("key").is_valid()
+        if batch.column("key").null_count:
+            yield _marks(batch, np.flatnonzero(~known.to_numpy(zero_copy_only=False)), False)
+            batch = batch.filter(known)
         if not batch.num_rows:
             continue
         whole = batch if waiting is None else pa.Table.from_batches([waiting, batch]).combine_chunks().to_batches()[0]
@@ -366,14 +386,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     given = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), text).alias("dk"), text.cast("binary").alias("bytes"))
-    found = given.mapInArrow(_anchor_rows, "key long, ctx long, doc_id long, dk long, pos long")
-    found = found.repartition("key").sortWithinPartitions("key", "ctx", "doc_id", "dk", "pos")
+    found = given.mapInArrow(_anchor_rows, ANCHORS)
+    found = found.repartition(F.coalesce("key", F.xxhash64("dk", "pos"))).sortWithinPartitions("key", "ctx", "doc_id", "dk", "pos")
     marks = materialise(found.mapInArrow(_resolve, "doc_id long, dk long, pos long, key long"), "marks")
     per = marks.groupBy("doc_id", "dk").agg(F.collect_list(F.struct("pos", "key")).alias("marks"))
     edge = F.filter("marks", lambda m: m["key"].isNotNull())
     per = per.select(F.col("doc_id").alias("_id"), F.col("dk").alias("_dk"), F.filter("marks", lambda m: m["key"].isNull())["pos"].alias("full"), edge["pos"].alias("pos"), edge["key"].alias("keys"))
     joined = given.join(per, (F.col("dk") == F.col("_dk")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id", "_dk")
     covered = materialise(joined.mapInPandas(_cover, COVERED).withColumn("rid", F.monotonically_increasing_id()), "covered")
+    discard(marks)
 
     open_ = covered.where("bytes is not null")
     edges = open_.mapInPandas(_contexts, EDGES)
