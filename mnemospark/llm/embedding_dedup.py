@@ -2,8 +2,9 @@
 
 Vectors are scaled to length 1, where a cosine of at least c is a distance of at most sqrt(2 - 2c). A hash is a Gaussian
 projection, shifted and cut into cells of ``CELL``; ``depth`` of them make a bucket, and there are ``tables`` sets of
-buckets. Both numbers follow from the count of vectors by one rule: random vectors meet about once a table, and a pair
-just at the threshold is missed with a probability of at most ``MISS``. Pairs that share a bucket are checked by their
+buckets. Both numbers follow from the count of vectors by one rule: random vectors meet about ``MEET`` others a table, which
+a matrix product settles for less than a further copy of the vectors costs, and a pair just at the threshold is missed with
+a probability of at most ``MISS``. Vectors travel in the precision they were given in. Pairs that share a bucket are checked by their
 cosine in double precision, in blocks of matrix products; no pair leaves its task, only counts and a spanning star.
 
 Equal vectors are one class, hashed once, so copies never meet. A bucket of more than ``BLOCK`` classes is dealt out as
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.llm.common import connected_components, materialise, mix64
 
-CELL, MISS, BLOCK = 1.2, 1e-3, 1024
+CELL, MISS, BLOCK, MEET = 1.2, 1e-3, 1024, 32
 THRESHOLD = 0.95
 FEW_BUCKETS = 10_000
 #: Up to this size, the pairs of a unit are checked in a sweep over all units.
@@ -38,7 +39,7 @@ def _meet(distance: float, cell: float = CELL) -> float:
 def plan(vectors: int, threshold: float = THRESHOLD) -> tuple[int, int]:
     """(depth, tables) for so many vectors."""
     near, far = _meet(math.sqrt(max(1e-6, 2 - 2 * threshold))), _meet(math.sqrt(2))
-    depth = max(2, round(math.log(max(2, vectors)) / -math.log(far)))
+    depth = max(2, round(math.log(max(2, vectors / MEET)) / -math.log(far)))
     return depth, math.ceil(math.log(1 / MISS) / near**depth)
 
 
@@ -53,8 +54,8 @@ def bucket_keys(unit: np.ndarray, depth: int, tables: int, seed: int = 5) -> np.
     return key.view(np.int64)
 
 
-def _stack(vectors) -> np.ndarray:
-    return np.stack([np.frombuffer(v, np.float64) for v in vectors])
+def _stack(vectors, kind: str) -> np.ndarray:
+    return np.stack([np.frombuffer(v, kind) for v in vectors]).astype(np.float64)
 
 
 def _scaled(x: np.ndarray) -> np.ndarray:
@@ -62,13 +63,13 @@ def _scaled(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _hash(depth: int, tables: int):
+def _hash(depth: int, tables: int, kind: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for _, same in batch.groupby(batch["v"].str.len()):
                 for at in range(0, len(same), 512):
                     part = same.iloc[at : at + 512]
-                    keys = bucket_keys(_scaled(_stack(part["v"])), depth, tables)
+                    keys = bucket_keys(_scaled(_stack(part["v"], kind)), depth, tables)
                     yield pd.DataFrame({"cid": part["cid"].to_numpy(), "copies": part["copies"].to_numpy(), "v": part["v"].to_numpy(), "keys": list(keys)})
 
     return run
@@ -115,10 +116,10 @@ def _near(x: np.ndarray, unit: np.ndarray, side: np.ndarray, split: np.ndarray,
     return np.concatenate([none, *left]), np.concatenate([none, *right])
 
 
-def _check(depth: int, tables: int, threshold: float):
+def _check(depth: int, tables: int, threshold: float, kind: str):
     def found(rows: pd.DataFrame) -> pd.DataFrame | None:
         """Counts and links of whole units of vectors of one length."""
-        x = _scaled(_stack(rows["v"]))
+        x = _scaled(_stack(rows["v"], kind))
         marks = rows[["t", "key", "p", "q"]].to_numpy()
         unit = np.concatenate(([0], np.cumsum((marks[1:] != marks[:-1]).any(1))))
         i, j = _near(x, unit, rows["side"].to_numpy(), marks[:, 2] != marks[:, 3], threshold)
@@ -173,9 +174,11 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     reachable (null if none is known), kept says whether the row has it; of repeated rows with that id, each is kept. An
     empty table gives no rows.
     """
+    single = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    kind = "<f4" if single else "<f8"
     v = F.col("v")
     sound = F.coalesce(v.isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0), F.lit(False))
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).withColumn("sound", sound)
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>" if single else "array<double>").alias("v")).withColumn("sound", sound)
     rows = materialise(rows.withColumn("rid", F.monotonically_increasing_id()), "vectors")
     classes = rows.where("sound").groupBy("v").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least"), F.min("rid").alias("cid"))
     classes = materialise(classes, "classes")
@@ -183,10 +186,10 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"cid": batch["cid"], "copies": batch["copies"], "v": [np.asarray(x, np.float64).tobytes() for x in batch["v"]]})
+            yield pd.DataFrame({"cid": batch["cid"], "copies": batch["copies"], "v": [np.asarray(x, kind).tobytes() for x in batch["v"]]})
 
     packed = classes.select("cid", "copies", "v").mapInPandas(pack, "cid long, copies long, v binary")
-    hashed = materialise(packed.mapInPandas(_hash(depth, tables), "cid long, copies long, v binary, keys array<long>"), "hashed")
+    hashed = materialise(packed.mapInPandas(_hash(depth, tables, kind), "cid long, copies long, v binary, keys array<long>"), "hashed")
     spread = hashed.select("cid", "copies", "v", F.octet_length("v").alias("dim"), F.posexplode("keys").alias("t", "key"))
     large = hashed.select(F.posexplode("keys").alias("t", "key")).groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > block)
     large = materialise(large.select("t", "key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "large")
@@ -197,7 +200,7 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     dealt = dealt.select("cid", "copies", "v", "dim", "t", "key", F.least("own", "with").alias("p"), F.greatest("own", "with").alias("q"), (F.col("own") > F.col("with")).cast("int").alias("side"))
     plain = spread.join(large, ["t", "key"], "left_anti").select("cid", "copies", "v", "dim", "t", "key", F.lit(0).alias("p"), F.lit(0).alias("q"), F.lit(0).alias("side"))
     units = plain.union(dealt).repartition("dim", "t", "key", "p", "q").sortWithinPartitions("dim", "t", "key", "p", "q", "side")
-    found = materialise(units.mapInPandas(_check(depth, tables, threshold), "cid long, links long, root long"), "found")
+    found = materialise(units.mapInPandas(_check(depth, tables, threshold, kind), "cid long, links long, root long"), "found")
 
     parts = connected_components(found.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     linked = classes.join(found.groupBy("cid").agg(F.sum("links").alias("links")), "cid", "left").join(parts.withColumnRenamed("node", "cid"), "cid", "left")
