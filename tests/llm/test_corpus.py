@@ -6,6 +6,7 @@ import random
 import struct
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -39,6 +40,48 @@ def test_language_id_odd_rows(spark):
     assert language_id.identify(spark.createDataFrame([], schema), model).count() == 0
 
 
+def test_language_id_counts_copies_once(spark):
+    """Two texts of very many copies are two texts of the sample, and rare languages are learned beside them."""
+    rows = [("the cat sat on the mat", "en")] * 4000 + [("a dog ran over the hill", "en")] * 4000 + [(f"der hund {w} lief ueber den berg", "de") for w in "abcdefghijkl"]
+    model = language_id.learn(spark.createDataFrame(rows, "text string, lang string").repartition(4))
+    assert model.labels == ["de", "en"]
+    got = {r.text: r.lang_pred for r in language_id.identify(spark.createDataFrame([("the cat ran over the hill",), ("der hund lief",)], "text string"), model).collect()}
+    assert got == {"the cat ran over the hill": "en", "der hund lief": "de"}
+
+
+@pytest.mark.parametrize("languages", [2, 4, 12])
+def test_language_evidence_does_not_depend_on_the_number_of_languages(languages):
+    """Held-out texts of learned languages have evidence above the level; those of an unlearned script have none."""
+    rng = random.Random(languages)
+    words = {k: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(200)] for k in range(languages)}
+    text = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    model = language_id.fit_kernel([(str(k), language_id.grams(text(k, rng.randint(20, 200)))) for k in words for _ in range(60)])
+    held = [(str(k), language_id.grams(text(k, rng.randint(20, 300)))) for k in words for _ in range(40)]
+    shares, evidence = model.scores([g for _, g in held])
+    assert (evidence >= model.level).all() and np.mean([model.labels[i] == k for i, (k, _) in zip(shares.argmax(1), held, strict=True)]) > 0.97
+    strange = [language_id.grams("".join(chr(rng.randrange(0x430, 0x450)) for _ in range(5)) + " " + "".join(chr(rng.randrange(0x3041, 0x3090)) for _ in range(60))) for _ in range(20)]
+    assert (model.scores(strange)[1] < model.level).all()
+
+
+def test_ridge_against_its_normal_equations():
+    """Weights of the fit solve the ridge problem on the Nyström features."""
+    rng = random.Random(5)
+    samples = [(lang, language_id.grams(" ".join(rng.choice(words) for _ in range(30)))) for lang, words in (("x", ["aba", "cada", "bra"]), ("y", ["kuku", "ruku", "zu"]), ("z", ["aba", "zu", "mim"])) for _ in range(20)]
+    model = language_id.fit_kernel(samples, landmarks=5, ridge=0.1)
+    chosen = [g for k in "xyz" for g in [g for lang, g in samples if lang == k][:5]]
+    k = lambda a, b: len(np.intersect1d(a, b)) / math.sqrt(len(a) * len(b))
+    gram = np.array([[k(a, b) for b in chosen] for a in chosen])
+    values, vectors = np.linalg.eigh(gram)
+    good = values > 1e-8 * values[-1]
+    z = np.array([[k(g, c) for c in chosen] for _, g in samples]) @ (vectors[:, good] / np.sqrt(values[good]))
+    y = np.array([[float(lang == x) for x in "xyz"] for lang, _ in samples])
+    zc, yc = z - z.mean(0), y - y.mean(0)
+    w = np.linalg.solve(zc.T @ zc + 0.1 * len(z) / 3 * np.eye(z.shape[1]), zc.T @ yc)
+    want = zc @ w + y.mean(0)
+    got = np.hstack((model.kernel([g for _, g in samples]), np.ones((len(samples), 1)))) @ model.weights
+    assert np.allclose(got, want, atol=1e-3)
+
+
 def test_kernel_is_that_of_presences():
     a, b = language_id.grams("Hello, World"), language_id.grams("hello there")
     model = language_id.fit_kernel([("x", a), ("y", b)], landmarks=1)
@@ -66,6 +109,24 @@ def test_toxicity_counterfactuals():
     assert fair[insult].sum() + fair[-1] > 0
 
 
+def test_toxicity_held_out_on_the_given_labels(spark):
+    """Trained on four folds of the given labels, the fifth is told apart."""
+    sf = "/root/testdata/sf0.1"
+    from mnemospark.llm.queries import op2_toxicity
+
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where("toxic is not null").groupBy("doc_id").agg({"toxic": "max"}).withColumnRenamed("max(toxic)", "toxic")
+    rows = op2_toxicity(spark, sf).where("held_out").join(labels, "doc_id").collect()
+    hit = sum(r.predicted == 1 and r.toxic == 1 for r in rows)
+    assert hit >= 0.8 * sum(r.toxic == 1 for r in rows) and hit >= 0.8 * sum(r.predicted == 1 for r in rows)
+
+
+def test_toxicity_sample_ends_at_its_features(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{chr(97 + (i * j) % 26)}" for j in range(30)) + (" idiot" if i % 2 else "")) for i in range(60)], "doc_id long, text string")
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 2 as int) toxic")
+    some = toxicity.learn(docs, labels, places=300)
+    assert np.count_nonzero(some) < np.count_nonzero(toxicity.learn(docs, labels))
+
+
 def test_toxicity_threshold_and_odd_rows(spark):
     assert 0.3 < toxicity.threshold(np.array([0.1, 0.2, 0.3, 0.4, 0.9]), np.array([0, 0, 0, 1, 1.0])) < 0.4
     docs = spark.createDataFrame([(1, "nice day", 9), (2, "you idiot", 9), (3, None, 9), (4, "", 9), (None, "fine", 9)], "doc_id long, text string, score int")
@@ -76,11 +137,26 @@ def test_toxicity_threshold_and_odd_rows(spark):
     assert [r.score for r in toxicity.score(docs, empty).collect()] == [0.5] * 5
 
 
-def test_targets_share_the_excess():
-    assert mixing.targets([("a", 100), ("b", 100), (None, 100)]) == [("a", 100, 200.0), ("b", 100, 250 / 3), (None, 100, 500 / 3)]
-    assert sum(t for _, _, t in mixing.targets([("a", 10), ("b", 1000), ("é", 10), (None, 10)])) == pytest.approx(1.5 * 1030)
-    assert mixing.targets([]) == []
-    assert mixing.targets([("a", 0), ("b", 0)]) == [("a", 0, 0.0), ("b", 0, 0.0)]
+def _targets(totals, weights=(3, 1, 2)):
+    """The contract, source by source."""
+    order = sorted(totals, key=lambda x: (x[0] is None, (x[0] or "").encode()))
+    w = {i: weights[i % 3] for i in range(len(order))}
+    budget, full = Fraction(3, 2) * sum(n for _, n in order), set()
+    while True:
+        left, open_ = budget - sum(2 * order[i][1] for i in full), sum(w[i] for i in w if i not in full)
+        over = {i for i in w if i not in full and 2 * order[i][1] * open_ <= left * w[i]}
+        if not over:
+            return [(name, n, float(2 * n) if i in full else float(left * w[i] / open_)) for i, (name, n) in enumerate(order)]
+        full |= over
+
+
+def test_targets_share_the_excess(spark):
+    rng = random.Random(3)
+    cases = [[("a", 100), ("b", 100), (None, 100)], [("a", 10), ("b", 1000), ("é", 10), (None, 10)], [], [("a", 0), ("b", 0)], [(f"s{i}", rng.randrange(1000)) for i in range(40)]]
+    for totals in cases:
+        got = mixing.targets(spark.createDataFrame(totals, "source string, source_size long")).collect()
+        want = {name: (n, t) for name, n, t in _targets(totals)}
+        assert {r.source: (r.source_size, pytest.approx(r.target)) for r in got} == want and len(got) == len(totals)
 
 
 def test_mixing_cuts_exactly(spark, monkeypatch):
@@ -100,6 +176,9 @@ def test_mixing_cuts_exactly(spark, monkeypatch):
     for r in got:
         most[r.doc_id, r.source, r.size] = max(most.get((r.doc_id, r.source, r.size), 0), r.copies)
     assert len(whole) == sum(most[r.doc_id, r.source, r.size] for r in got) and whole[0].size == "x"
+    clash = df.withColumnsRenamed({"size": "key"}).withColumns({c: mixing.F.lit("y") for c in ("_id", "times", "again", "mix_size", "copies")})
+    again = mixing.mixed(clash)
+    assert again.columns == clash.columns and again.count() == len(whole) and {r["times"] for r in again.collect()} == {"y"}
 
 
 def _tokens(path, text):
@@ -220,10 +299,13 @@ def test_lm_base_and_normalisation(spark):
 
 def test_lm_with_a_small_head(spark):
     """Words beyond the broadcast head are found by the join."""
-    rows = [(i, " ".join(f"w{(i * 7 + k) % 200}" for k in range(40))) for i in range(80)]
+    rows = [(i, " ".join(f"w{(i * 7 + k) % 200}" for k in range(40)) + f" rare{i}") for i in range(80)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    full = {r.doc_id: r for r in lm_scoring.score_held_out(df, steps=50).collect()}
-    small = {r.doc_id: r for r in lm_scoring.score_held_out(df, steps=50, head=130).collect()}
+    model = lm_scoring.learn(df, steps=50)
+    full = {r.doc_id: r for r in lm_scoring.score(df, model).collect()}
+    known, tail = lm_scoring.lexicon(df, head=230)
+    small = {r.doc_id: r for r in lm_scoring.score(df, lm_scoring.Model(known, tail, model.table)).collect()}
+    assert len(known.head) < len(model.known.head)
     for i, r in full.items():
         assert (r.n_known, r.base_score, r.score) == pytest.approx((small[i].n_known, small[i].base_score, small[i].score))
 
@@ -334,3 +416,24 @@ def test_pipeline_stages(spark, sf_dir):
     empty = docs.where("false")
     for stage in kept[:-1]:
         assert stage(spark, empty, sf_dir).count() == 0
+
+
+def test_pipeline_stages_with_odd_rows(spark, sf_dir):
+    """Nulls in every column, empty, repeated and very long texts, and columns with the names that stages use inside."""
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    odd = [(None, None, None, None, None), (10**6, "", "en", None, 0), (10**6 + 1, "12 34 --", None, "web", 8), (10**6 + 2, "word " * 60_000, "en", "web", 300_000), (None, "the end of the long story", "en", "web", 3)]
+    docs = docs.union(spark.createDataFrame(odd, docs.schema))
+    docs = docs.union(docs.where("doc_id % 7 = 0 or doc_id is null"))
+    clash = ("_key", "_text", "key", "rows", "row", "kept_row", "lang_pred", "score", "evidence", "found", "times", "again", "rid", "kept", "size")
+    docs = docs.withColumns({c: F.lit("x") for c in clash}).withColumn("props", F.create_map(F.lit("a"), F.col("doc_id")))
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        n = docs.count()
+        docs = stage(spark, docs, sf_dir).cache()
+        assert docs.columns == columns and {r[c] for r in docs.select(*clash).collect() for c in clash} == {"x"}, name
+        assert name == "source_mixing" or docs.count() <= n
+    texts = [r.text for r in docs.collect()]
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir).collect()
+    assert sum(p.length for p in pieces) == sum(len(_tokens(TOKENIZER, t)) for t in texts)

@@ -75,6 +75,16 @@ def test_exact_dedup_odd_rows(spark):
     assert sorted((r.doc_id, r.text, r.rid, r.kept) for r in kept) == [(1, "c", 7, "clash"), (3, "b", 7, "clash")]
 
 
+def test_keep_one_with_columns_of_any_kind(spark):
+    """Maps can't be compared, and names may clash with those used inside."""
+    from pyspark.sql import functions as F
+
+    rows = [(1, "a"), (2, "a"), (2, "a"), (None, "b"), (None, None), (3, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in ("_id", "_key", "KEY", "rows", "found_sha", "text_sha")}).withColumn("m", F.create_map(F.lit("k"), F.rand()))
+    got = exact_dedup.keep_one(df)
+    assert got.columns == df.columns and sorted((str(r.doc_id), r.text, r.KEY) for r in got.collect()) == [("2", "a", "KEY"), ("3", "", "KEY"), ("None", "b", "KEY")]
+
+
 def test_exact_dedup_shared_hashes(spark, monkeypatch):
     """Distinct blocks under one hash are told apart by their contents."""
     from pyspark.sql import functions as F
@@ -110,6 +120,17 @@ def test_substring_dedup(spark, hot, monkeypatch):
     assert sum(r[1] for r in got.values()) > 3000
 
 
+@pytest.mark.parametrize("local", [1, 50, 10**6])
+def test_substring_dedup_with_repeats_inside_tasks(spark, local, monkeypatch):
+    """Anchors that repeat inside a task's own lot are settled there, whatever its size."""
+    monkeypatch.setattr(substring_dedup, "LOCAL", local)
+    rows = [(i, t) for i, t in ROWS if i < 320]
+    anchors = list(substring_dedup._anchor_rows(iter([substring_dedup.pa.RecordBatch.from_pydict({"doc_id": [1, 2], "dk": [5, 6], "bytes": [b"abcdefgh" * 5 + bytes(range(100))] * 2}, schema=substring_dedup.pa.schema([("doc_id", "int64"), ("dk", "int64"), ("bytes", "binary")]))])))
+    assert sum(b.column("key").null_count for b in anchors) == (0 if local == 1 else sum(b.num_rows for b in anchors) // 2)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substring_dedup.repeated_spans(_frame(spark, rows)).collect()}
+    assert got == _brute_spans(rows)
+
+
 def test_substring_dedup_odd_rows(spark):
     assert substring_dedup.repeated_spans(_frame(spark, [])).count() == 0
     text = "0123456789" * 5 + "the quick brown fox jumps over the lazy dog and runs away into the deep dark forest at night"
@@ -163,6 +184,63 @@ def test_near_dedup_odd_rows(spark):
     assert len(kept) == sum(i == c for i, (_, c) in _brute_near(ROWS, 5).items()) and kept[0].kept == "clash"
 
 
+def test_near_dedup_tells_words_apart_that_fool_polynomials(spark):
+    """Thue-Morse words of 1024 letters and their complements have one hash under any polynomial modulo 2**64."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = near_dedup.near_dedup(_frame(spark, [(1, word), (2, other), (3, word)])).collect()
+    assert sorted((r.doc_id, r.component_id) for r in rows) == [(1, 1), (2, 2), (3, 1)]
+
+
+def test_shingles_named_by_the_words_themselves():
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcd") for _ in range(rng.randint(0, 12))) for _ in range(60)]
+    sets = near_dedup.named_shingles(texts, 3)
+    plain = [{tuple(w[k : k + 3]) for k in range(len(w) - 2)} if len(w) >= 3 else ({tuple(w)} if w else set()) for w in (t.split() for t in texts)]
+    for i in range(60):
+        assert len(sets[i]) == len(plain[i])
+        for j in range(i):
+            assert len(np.intersect1d(sets[i], sets[j])) == len(plain[i] & plain[j])
+
+
+def test_forest_spans_what_agrees():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 256, (6, 192)).astype(np.uint8)
+    rows = np.concatenate([base[rng.integers(0, 6, 40)], rng.integers(0, 256, (10, 192)).astype(np.uint8)])
+    rows[rng.random(rows.shape) < 0.15] = 0
+    for side in (None, rng.integers(0, 2, len(rows))):
+        agree = (rows[:, None] == rows[None]).sum(2) >= near_dedup.AGREE
+        pairs = [(i, j) for i in range(50) for j in range(i) if agree[i, j] and (side is None or side[i] != side[j])]
+        got = near_dedup.forest(rows, side)
+        assert _components(range(50), got) == _components(range(50), pairs) and len(got) == 50 - len(set(_components(range(50), pairs).values()))
+
+
+@pytest.mark.parametrize("bucket", [3, 2048])
+def test_near_dedup_in_blocks_of_buckets(spark, bucket, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BUCKET", bucket)
+    monkeypatch.setattr(near_dedup, "SHINGLES", 500)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_dedup(_frame(spark, ROWS), words=4).collect()}
+    assert got == _brute_near(ROWS, 4)
+
+
+def test_recall_on_the_given_tables(spark):
+    """Links of ids divisible by 100 with all other rows, by brute force, are all found."""
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    found = {r.doc_id: r.component_id for r in near_dedup.near_dedup(docs, words=4).collect()}
+    sets = {r.doc_id: frozenset(near_dedup.shingles(r.text, 4).tolist()) for r in docs.collect()}
+    links = [(a, b) for a in sets if a % 100 == 0 and sets[a] for b in sets if a != b and len(sets[a] & sets[b]) * 100 >= 80 * len(sets[a] | sets[b])]
+    assert links and all(found[a] == found[b] for a, b in links)
+    v = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
+    x = np.array([r.embedding for r in v], float)
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    count = {r.vec_id: r.n_links for r in embedding_dedup.link_vectors(spark.read.parquet(f"{sf}/embeddings.parquet")).collect()}
+    want = {r.vec_id: int((x @ x[i] >= 0.95).sum()) - 1 for i, r in enumerate(v) if r.vec_id % 100 == 0}
+    assert sum(count[i] for i in want) >= 0.998 * sum(want.values()) and all(count[i] <= n for i, n in want.items())
+
+
 def test_sketches_fill_and_estimate():
     rng = np.random.default_rng(1)
     pool = rng.integers(0, 1 << 63, 2000).astype(np.uint64)
