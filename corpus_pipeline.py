@@ -9,41 +9,42 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from mnemospark.llm import language_id
-from mnemospark.llm.common import fold, materialise
+from mnemospark.llm.common import fold, materialise, unused
 from mnemospark.llm.exact_dedup import keep_one
 from mnemospark.llm.mixing import mixed
 from mnemospark.llm.near_dedup import keep_representatives
 from mnemospark.llm.packing import pack
 
-#: A document whose best language has less than this share of the scores has no recognisable language.
-LEAST_SHARE = 0.3
-
 
 def recognised_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter, and those where no language stands out."""
+    """Drop documents without a letter, null texts among them, and those that are like no learned language.
+
+    Repeated rows are judged alike; columns of any name stay as they are; an empty table stays empty.
+    """
     model = language_id.learn(docs.where(fold("doc_id", 3) != 1))
-    marked = language_id.identify(docs.withColumnsRenamed({"lang_pred": "_lang_pred", "score": "_score"}), model)
-    kept = marked.where((marked["lang_pred"] != language_id.UNKNOWN) & (marked["score"] >= LEAST_SHARE)).drop("lang_pred", "score")
-    return kept.withColumnsRenamed({"_lang_pred": "lang_pred", "_score": "score"})
+    again = dict(zip(("lang_pred", "score", "evidence"), unused(docs, "had_lang_pred", "had_score", "had_evidence"), strict=True))
+    marked = language_id.identify(docs.withColumnsRenamed(again), model)
+    kept = marked.where((marked["lang_pred"] != language_id.UNKNOWN) & (marked["evidence"] >= model.level)).drop("lang_pred", "score", "evidence")
+    return kept.withColumnsRenamed({v: k for k, v in again.items()}).select(docs.columns)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, keep the one with the largest id."""
+    """Of equal texts, keep the one with the largest id; null is an empty text, a null id the smallest, one of repeated rows stays."""
     return keep_one(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by their five-word shingles, keep the one with the smallest id."""
+    """Of documents linked by their five-word shingles, keep the one with the smallest id, and those without words."""
     return keep_representatives(docs)
 
 
 def source_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents as often as the mix of sources takes them."""
+    """Whole documents as often as the mix of sources takes them; a null source is one of its own, texts without words are left."""
     return mixed(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
+    """Pieces of token sequences; a null or empty text is its end alone, repeated rows are documents of their own."""
     return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
