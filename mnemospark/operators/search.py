@@ -50,6 +50,8 @@ def bm25(docs: DataFrame, key: str, text: Column, terms: list[str], all_terms: b
 def keyword_top(docs: DataFrame, key: str, columns: list[str], query: str, limit: int = 10, stems: bool = False) -> DataFrame:
     """(key, score): the best rows for a query over some columns, texts or lists of them, best first; equal scores by key.
 
+    Scores are compared to nine digits, as sums depend on their order.
+
     All terms must be there, or any of those joined by OR. With ``stems``, terms are English stems and stopwords do not count.
     """
     terms, every = parse(query)
@@ -58,7 +60,7 @@ def keyword_top(docs: DataFrame, key: str, columns: list[str], query: str, limit
         terms = sorted({C.stem(t) for t in terms if t not in P.SEARCH_STOPWORDS})
     if not terms:
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
-    return bm25(docs, key, F.concat_ws(" ", *parts), terms, every, C.stems if stems else C.tokens).orderBy(F.desc("score"), key).limit(limit)
+    return bm25(docs, key, F.concat_ws(" ", *parts), terms, every, C.stems if stems else C.tokens).orderBy(F.desc(F.round("score", 9)), key).limit(limit)
 
 
 def with_decay(results: DataFrame, score: str, ts: str, as_of: Column, half_life: float = P.HALF_LIFE_DAYS) -> DataFrame:
@@ -75,7 +77,7 @@ def merge_hybrid(vector: DataFrame, keyword: DataFrame, key: str = "session_id",
     """Vector results, and the keyword results of sessions that these do not hold, each with its source; the best ``limit``."""
     rest = keyword.join(vector.select(key), key, "left_anti")
     out = vector.withColumn("search_source", F.lit("vector")).unionByName(rest.withColumn("search_source", F.lit("keyword")))
-    return out if limit is None else out.orderBy(F.desc("score"), key).limit(limit)
+    return out if limit is None else out.orderBy(F.desc(F.round("score", 9)), key).limit(limit)
 
 
 def merge_archive(existing: DataFrame, archive: DataFrame, key: str = "session_id", limit: int | None = None) -> DataFrame:

@@ -52,7 +52,7 @@ def recent_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.recent(events(spark, sf_dir), "ts", F.lit("2024-01-31 00:00:00").cast("timestamp"), 7).select("event_id")
 
 
-@query("WITH" + _BM25 + " SELECT conv_id, round(score, 4) AS score FROM s WHERE hits > 0 ORDER BY score DESC, conv_id LIMIT 25")
+@query("WITH" + _BM25 + " SELECT conv_id, round(score, 4) AS score FROM s WHERE hits > 0 ORDER BY round(s.score, 9) DESC, conv_id LIMIT 25")
 def search_keyword_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.keyword_top(table(spark, sf_dir, "conversations"), "conv_id", ["text"], "with OR avec OR der", 25).select("conv_id", F.round("score", 4).alias("score"))
 
@@ -61,7 +61,7 @@ _STEM = lambda w: f"regexp_replace({w}, '^([a-z]{{3,}}?)(?:{C._ENDINGS})$', '\\1
 _STEMMED = _BM25_OF.replace("regexp_extract_all(lower(text), '[a-z0-9]+')", f"list_transform(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: x NOT IN ({', '.join(repr(w) for w in P.SEARCH_STOPWORDS)})), lambda x: {_STEM('x')})")
 
 
-@query("WITH" + _STEMMED.replace("TERMS", ", ".join(repr(w) for w in sorted({C.stem("thtion"), C.stem("threedin")}))) + " SELECT conv_id, round(score, 4) AS score FROM s WHERE hits > 0 ORDER BY score DESC, conv_id LIMIT 25")
+@query("WITH" + _STEMMED.replace("TERMS", ", ".join(repr(w) for w in sorted({C.stem("thtion"), C.stem("threedin")}))) + " SELECT conv_id, round(score, 4) AS score FROM s WHERE hits > 0 ORDER BY round(s.score, 9) DESC, conv_id LIMIT 25")
 def search_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.keyword_top(table(spark, sf_dir, "conversations"), "conv_id", ["text"], "thtions OR threedin", 25, stems=True).select("conv_id", F.round("score", 4).alias("score"))
 
@@ -79,7 +79,7 @@ def _nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH" + _BM25 + f""", {_NEAREST},
   k AS (SELECT conv_id AS session_id, score FROM s WHERE hits > 0),
   m AS (SELECT session_id::BIGINT AS session_id, score, 'vector' AS search_source FROM v UNION ALL SELECT session_id, score, 'keyword' FROM k WHERE session_id NOT IN (SELECT session_id FROM v))
-  SELECT session_id, round(score, 4) AS score, search_source FROM m ORDER BY m.score DESC, session_id LIMIT 30""")
+  SELECT session_id, round(score, 4) AS score, search_source FROM m ORDER BY round(m.score, 9) DESC, session_id LIMIT 30""")
 def search_hybrid_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = search.bm25(table(spark, sf_dir, "conversations"), "conv_id", F.col("text"), TERMS).withColumnRenamed("conv_id", "session_id")
     return search.merge_hybrid(_nearest(spark, sf_dir), k, limit=30).select("session_id", F.round("score", 4).alias("score"), "search_source")
@@ -184,7 +184,7 @@ def search_fulltext(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.fulltext(turns(spark, sf_dir), TERMS).withColumn("score", F.col("score").cast("double"))
 
 
-@query(f"WITH b25 AS (WITH{_BM25} SELECT conv_id AS session_id, round(score, 4) AS score FROM s WHERE hits > 0 ORDER BY s.score DESC, conv_id LIMIT 25), {_EXCERPTS} SELECT b25.session_id, score, coalesce(string_agg(excerpt, '|' ORDER BY rank) FILTER (WHERE rank <= 3), '') AS excerpts FROM b25 LEFT JOIN z ON b25.session_id = z.session_id GROUP BY b25.session_id, score")
+@query(f"WITH b25 AS (WITH{_BM25} SELECT conv_id AS session_id, round(score, 4) AS score FROM s WHERE hits > 0 ORDER BY round(s.score, 9) DESC, conv_id LIMIT 25), {_EXCERPTS} SELECT b25.session_id, score, coalesce(string_agg(excerpt, '|' ORDER BY rank) FILTER (WHERE rank <= 3), '') AS excerpts FROM b25 LEFT JOIN z ON b25.session_id = z.session_id GROUP BY b25.session_id, score")
 def search_enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = search.keyword_top(table(spark, sf_dir, "conversations"), "conv_id", ["text"], " OR ".join(TERMS), 25).select(F.col("conv_id").alias("session_id"), F.round("score", 4).alias("score"))
     found = search.with_excerpts(top, turns(spark, sf_dir), TERMS)
