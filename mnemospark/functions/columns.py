@@ -216,6 +216,11 @@ def normalise_remote(url: Column) -> Column:
     return F.when(F.startswith(url, F.lit("git@")), F.regexp_replace(F.substring(url, 5, 1 << 30), "^([^:]*):", "$1/")).otherwise(plain)
 
 
+def json_list(text: Column) -> Column:
+    """A JSON list of texts; empty if it is none."""
+    return F.coalesce(F.from_json(text, "array<string>"), F.array().cast("array<string>"))
+
+
 def line_count(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
 

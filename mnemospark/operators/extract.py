@@ -68,6 +68,12 @@ def decisions(messages: DataFrame) -> DataFrame:
     return first_of(out, ["session_id", "hash"], ["msg_idx", "pattern", "match"]).drop("pattern", "match")
 
 
+def insights(messages: DataFrame) -> DataFrame:
+    """One row: how many errors, how many of them solved, and how many decisions messages hold."""
+    found = with_solutions(errors(messages), messages).agg(F.count("*").alias("errors"), F.count("solution").alias("solved"))
+    return found.crossJoin(decisions(messages).agg(F.count("*").alias("decisions")))  # one row each
+
+
 def artifacts(messages: DataFrame) -> DataFrame:
     """Code blocks, lists, tables, configurations, errors and links: session_id, msg_idx, artifact_type, content, language, hash, line_count, char_count.
 

@@ -22,6 +22,12 @@ def vocabulary(docs: DataFrame, text: Column, source: str) -> DataFrame:
     return terms.groupBy("term").agg(F.count("*").alias("frequency")).withColumn("sources", F.array(F.lit(source)))
 
 
+def session_vocabulary(sessions: DataFrame) -> DataFrame:
+    """The vocabulary of sessions (keywords, summary, task_description): a term counts once a session and source."""
+    keyword = vocabulary(sessions, F.array_join("keywords", " "), "keywords")
+    return merge_vocabulary(merge_vocabulary(keyword, vocabulary(sessions, F.col("summary"), "summary")), vocabulary(sessions, F.col("task_description"), "task"))
+
+
 def merge_vocabulary(old: DataFrame, new: DataFrame) -> DataFrame:
     both = old.unionByName(new)
     return both.groupBy("term").agg(F.sum("frequency").alias("frequency"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("sources")))).alias("sources"))

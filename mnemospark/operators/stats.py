@@ -63,3 +63,10 @@ def operation_stats(ops: DataFrame, top: int = 10) -> DataFrame:
 def outcomes(rows: DataFrame, status: str) -> DataFrame:
     """How many items of a batch ended in each way."""
     return counts(rows, status, "pending")
+
+
+def versions(known: DataFrame, applied: DataFrame) -> DataFrame:
+    """One row on a schema's versions: the current one, how many are applied, how many of the known ones are not."""
+    done = applied.where("success").select("version")
+    pending = known.join(done, "version", "left_anti").agg(F.count("*").alias("pending"))
+    return done.agg(F.max("version").alias("current"), F.count("*").alias("applied")).crossJoin(pending)  # one row each

@@ -42,6 +42,11 @@ def not_indexed(sessions: DataFrame, vectors: DataFrame) -> DataFrame:
     return sessions.join(vectors.select("session_id").distinct(), "session_id", "left_anti")
 
 
+def of_indexed(vectors: DataFrame, indexed: DataFrame) -> DataFrame:
+    """Vectors of sessions that are on record as indexed."""
+    return vectors.join(indexed.select("session_id"), "session_id", "left_semi")
+
+
 def stale(sessions: DataFrame, archives: DataFrame, limit: int = 10) -> DataFrame:
     """Sessions to index: those never indexed (indexed_at null) or whose archive is newer, the latest updated first.
 

@@ -47,6 +47,9 @@ SAID = EVENTS + f""",
   s AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) - 1 AS msg_idx, event_id, role, ts,
         replace(replace(text, '{{k}}', k::VARCHAR), '{{p}}', 'src/m' || (user_id % 7) || '.py') AS content FROM sm)"""
 
+LINES = EVENTS + """,
+  l AS (SELECT user_id::VARCHAR AS session_id, '-home-p' || (user_id % 3) AS project, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS line, event_id, event_type, ts, k, 'src/m' || (user_id % 7) || '.py' AS path FROM e)"""
+
 
 def matches(rows: str, patterns: list[tuple], text: str = "content", columns: str = "session_id, msg_idx") -> str:
     """SQL for all matches of patterns: (pattern, group, {column: constant}); place is the pattern's number, pos the match's."""

@@ -80,3 +80,27 @@ def said(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = e.withColumn("session_id", F.col("user_id") * 4 + F.floor((F.dayofmonth("ts") - 1) / 8))
     place = F.row_number().over(Window.partitionBy("session_id").orderBy("ts", "event_id")) - 1
     return e.select("session_id", place.cast("long").alias("msg_idx"), "event_id", pick(0).alias("role"), "ts", content.alias("content"))
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as parsed transcript lines, as ``transcripts.raw_lines`` gives them: session_id, project, line, last_modified, data.
+
+    Errors are user messages of text; clicks messages of text blocks, bare strings and an edit; purchases write a file;
+    signups read one and note two tasks; views are summaries.
+    """
+    e = events(spark, sf_dir)
+    text = lambda *x: F.concat(*[F.lit(i) if isinstance(i, str) else i.cast("string") for i in x])
+    kind, k, user = F.col("event_type"), F.col("k"), F.col("user_id")
+    time = F.concat(F.lit('"timestamp":"'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit('Z",'))
+    path = text("src/m", user % 7, ".py")
+    said = text('{"type":"assistant",', time, '"message":{"model":"m', k % 2, '","content":[')
+    line = (
+        F.when(kind == "error", text('{"type":"user",', time, '"gitBranch":"b', k % 3, '","message":{"content":"failed with code ', k, '"}}'))
+        .when(kind == "click", text(said, '{"type":"text","text":"edit ', k, '"},"bare ', k, '",{"type":"tool_use","name":"Edit","input":{"file_path":"', path, '","old_string":"a', k, '","new_string":"b"}}]}}'))
+        .when(kind == "purchase", text(said, '{"type":"tool_use","name":"Write","input":{"file_path":"', path, '","content":"c', k, '"}}]}}'))
+        .when(kind == "view", text('{"type":"summary","summary":"seen ', F.col("event_id"), '"}'))
+        .otherwise(text(said, '{"type":"tool_use","name":"Glob","input":{"path":"', path, '"}},{"type":"tool_use","name":"TodoWrite","input":{"todos":[{"content":"task ', k, '","status":"done"},{"content":"task ', k + 1, '"},{"content":""}]}}]}}'))
+    )
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    project = text("-home-p", user % 3)
+    return e.select(user.cast("string").alias("session_id"), project.alias("project"), place.cast("long").alias("line"), "ts", F.try_parse_json(line).alias("data")).withColumnRenamed("ts", "last_modified")

@@ -27,6 +27,15 @@ def discover(spark: SparkSession, root: str, project: str | None = None) -> Data
     return out
 
 
+def changed(files: DataFrame, done: DataFrame) -> DataFrame:
+    """Files of users that are new or not as they were when they were read: those of agents and unchanged ones are left.
+
+    ``files``: session_id, last_modified, is_agent; ``done``: session_id, last_modified.
+    """
+    read = done.select("session_id", F.col("last_modified").alias("_read"))
+    return files.where("not is_agent").join(read, "session_id", "left").where("_read is null or _read <> last_modified").drop("_read")
+
+
 def raw_lines(spark: SparkSession, root: str) -> DataFrame:
     """Every JSON object with its place: session_id, project, line (of the file, from 0, blank and malformed ones counted), last_modified, data (variant)."""
     lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(root)
