@@ -18,7 +18,8 @@ from pyspark.sql.window import Window
 from mnemospark.llm.common import WORD, discard, materialise, unused
 
 KEY_BITS = 60
-RANGE_ROWS = 1_000
+#: A range of keys holds about so many documents of the largest source, more where there would be more ranges than ``RANGES``.
+RANGE_ROWS, RANGES = 256, 100_000
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: str = "1.5", most: int = 2) -> DataFrame:
@@ -71,7 +72,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
     found = materialise(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")), "sources")
     goals = targets(found, weights, share, most)
-    ranges = max(1, -(-(found.agg(F.max("n")).first()[0] or 0) // RANGE_ROWS))
+    ranges = max(1, min(RANGES, -(-(found.agg(F.max("n")).first()[0] or 0) // RANGE_ROWS)))
     width = -(-(1 << KEY_BITS) // ranges)
     sized = sized.withColumn("range", F.expr(f"key div {width}"))
 
