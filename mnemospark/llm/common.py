@@ -17,6 +17,9 @@ from mnemospark.operators.staging import discard, materialise
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+HOT_ROWS, HOT_SHARE = 1_000, 10_000
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Names like these that no column of ``df`` has, whatever the case."""
     taken = {c.lower() for c in df.columns}
@@ -66,25 +69,36 @@ def small_slices(batches: Iterator[pa.RecordBatch], text_col: str, rows: int = 1
             at = to
 
 
+def join_to_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, total: int) -> DataFrame:
+    """Inner join of rows with one row a group, where ``size`` is a group's number of rows.
+
+    Groups of more than ``HOT_ROWS`` rows and a ``HOT_SHARE``-th of all are fewer than ``HOT_SHARE``, so they are broadcast, and
+    their rows stay where they are; the other rows are shuffled, and no key of theirs is hot.
+    """
+    hot = F.col(size) > max(HOT_ROWS, total // HOT_SHARE)
+    large = F.broadcast(groups.where(hot))
+    return rows.join(large, on).unionByName(rows.join(F.broadcast(groups.where(hot).select(on)), on, "left_anti").join(groups.where(~hot), on))
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """Components of an undirected graph by alternating large-star and small-star rounds.
 
     ``links`` has long columns a and b. Returns (node, component) for every node that has a link; the component is its
-    smallest node. Every round groups by node with map-side minima, so that a node with very many links is no hot task
-    in the aggregation, and the join back meets one row a node, which adaptive execution can split.
+    smallest node. Every round groups by node with map-side minima; in the join back, the links of nodes that have very
+    many do not move.
     """
     edges = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    seen = None
+    seen, count = None, edges.count()
     while True:
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_to_groups(both.where("v > u"), least, ["u"], "n", 2 * count).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lower.select("u", F.col("m").alias("v"))).distinct()
         after = materialise(small, "links")
         sign = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         discard(edges)
-        edges = after
+        edges, count = after, sign[0]
         if sign == seen or not sign[0]:
             break
         seen = sign

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import discard, materialise, unused
+from mnemospark.llm.common import join_to_groups, materialise, unused
 
 BLOCK_BYTES = 4096
 
@@ -43,12 +43,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "rows",
     )
     parts = given.select(F.explode(_blocks(block_bytes)).alias("block")).select(F.xxhash64("block").alias("h"), "block")
-    names = materialise(_named(parts.distinct(), ["h", "block"], "name").select("h", "name"), "names")
+    counted = parts.groupBy("h", "block").agg(F.count("*").alias("rows"))
+    names = materialise(_named(counted, ["h", "block"], "name").select("h", "name", "rows"), "names")
 
     shared = names.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     placed = rows.select("rid", F.posexplode("hashes").alias("i", "h"))
     if shared.isEmpty():
-        level = placed.join(names.select("h", "name"), "h").select("rid", "i", "name")
+        level = join_to_groups(placed, names, ["h"], "rows", names.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]).select("rid", "i", "name")
     else:  # distinct blocks under one hash: go by their contents
         full = _named(parts.join(shared, "h", "left_semi").distinct(), ["h", "block"], "name").select("h", "block", (-1 - F.col("name")).alias("name"))
         full = materialise(full, "names")
@@ -77,8 +78,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         level = level.join(sizes.where(f"n_blocks > {1 << depth}").select("rid"), "rid", "left_semi")
 
     named = materialise(rows.select("rid", "doc_id", "text_sha256", F.size("hashes").alias("n_blocks")).join(done, "rid"), "identities")
-    groups = named.groupBy("level", "name").agg(F.max(F.struct("doc_id", "rid")).alias("keep"), F.count("*").alias("group_size"))
-    return named.join(groups, ["level", "name"]).select(
+    groups = materialise(named.groupBy("level", "name").agg(F.max(F.struct("doc_id", "rid")).alias("keep"), F.count("*").alias("group_size")), "groups")
+    return join_to_groups(named, groups, ["level", "name"], "group_size", named.count()).select(
         "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("rid") == F.col("keep.rid")).alias("kept"), "text_sha256", "n_blocks"
     )
 
