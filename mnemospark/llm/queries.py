@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mnemospark.llm import language_id, toxicity
-from mnemospark.llm.common import fold, materialise
+from mnemospark.llm.common import fold
 from mnemospark.llm.embedding_dedup import link_vectors
 from mnemospark.llm.exact_dedup import exact_dedup
 from mnemospark.llm.lm_scoring import score_held_out
@@ -14,7 +17,8 @@ from mnemospark.llm.mixing import mix
 from mnemospark.llm.near_dedup import near_dedup
 from mnemospark.llm.packing import pack
 from mnemospark.llm.substring_dedup import repeated_spans
-from mnemospark.llm.warc import read_archives, write_archives
+from mnemospark.llm.warc import export, read_archives, read_files, write_archives
+from mnemospark.operators.staging import shared_dir, shuffles_removed
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,8 +73,11 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null html is an empty payload; repeated rows are records of their own; an empty table gives no rows."""
-    archives = materialise(write_archives(_table(spark, sf_dir, "pages")), "archives")
-    return read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    with shuffles_removed(spark):
+        written = export(write_archives(_table(spark, sf_dir, "pages")), folder).agg(F.count("*")).first()[0]
+    found = read_files(spark, folder) if written else read_archives(spark.createDataFrame([], "content binary"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

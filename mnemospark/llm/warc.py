@@ -5,20 +5,20 @@ record is a frame of its own. The reader takes the dictionary from that frame, d
 record: version line, header fields, Content-Length against the block, the record's end, the length that the HTTP header
 names, and the digest of the payload. A record that fails raises ValueError.
 
-Spark holds archives as rows (name, content) of a table, cut at ``ARCHIVE_BYTES``, which any store can take;
-``export`` puts them out as files, and ``read_files`` reads such files through Spark's binaryFile source.
+Tasks make archives as rows (name, content), cut at ``ARCHIVE_BYTES``; ``export`` puts them out as files, and ``read_files``
+reads such files through Spark's binaryFile source.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import os
 import struct
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -113,7 +113,9 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     largest = keyed.groupBy("digest", "second").agg(F.max("page_id").alias("refers_to"))
     known = keyed.join(largest, ["digest", "second"]).select("page_id", "url", "html", "refers_to", (~F.col("page_id").eqNullSafe(F.col("refers_to"))).alias("is_revisit"))
     short = given.where(~long).select("page_id", "url", "html", F.lit(None).cast("long").alias("refers_to"), F.lit(False).alias("is_revisit"))
-    return known.union(short).mapInPandas(_write(train_dictionary(pages, html_col), date, prefix, limit), "name string, content binary")
+    # in order, so that a task that runs again makes the same files
+    ordered = known.union(short).sortWithinPartitions("page_id", "url", F.xxhash64("html"))
+    return ordered.mapInPandas(_write(train_dictionary(pages, html_col), date, prefix, limit), "name string, content binary")
 
 
 def frames(content: bytes) -> Iterator[bytes]:
@@ -215,16 +217,20 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def export(archives: DataFrame, folder: str) -> DataFrame:
-    """Write each archive as a file into ``folder``, a mount that all executors share; returns (name, size)."""
+    """Write each archive as a file into ``folder``, a path or address that all executors share; returns (name, size).
+
+    A file is whole when it gets its name, and a task that runs again replaces its own files.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.makedirs(folder, exist_ok=True)
+        store, root = pyarrow.fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
         for batch in batches:
             for name, content in zip(batch["name"], batch["content"], strict=True):
-                part = os.path.join(folder, f".{name}.{uuid.uuid4().hex}")
-                with open(part, "wb") as f:
+                part = f"{root}/.{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(part, compression=None) as f:
                     f.write(content)
-                os.replace(part, os.path.join(folder, name))  # a task that runs twice leaves one whole file
+                store.move(part, f"{root}/{name}")
             yield pd.DataFrame({"name": batch["name"], "size": [len(x) for x in batch["content"]]})
 
     return archives.mapInPandas(run, "name string, size long")

@@ -254,7 +254,9 @@ def test_warc_round_trip(spark, tmp_path):
         ref = last.get(h) if last.get(h) != i else None
         want.append((str(i), len(b), hashlib.sha1(b).hexdigest(), "revisit" if ref else "response", ref))
     assert got == sorted(want)
-    warc.export(archives, str(tmp_path / "out")).collect()
+    names = {r.name for r in warc.export(archives, str(tmp_path / "out")).collect()}
+    warc.export(archives, f"file://{tmp_path}/out").collect()  # a second run replaces the files
+    assert {f.name for f in (tmp_path / "out").iterdir() if f.suffix == ".zst"} == names
     again = warc.read_files(spark, str(tmp_path / "out"))
     assert sorted(map(str, again.collect())) == sorted(map(str, rows))
     assert warc.read_archives(warc.write_archives(df.where("false"))).count() == 0
