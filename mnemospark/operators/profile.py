@@ -277,19 +277,26 @@ def best_lifecycle(patterns: DataFrame, last_seen: str, as_of: Column) -> DataFr
 
 
 # --- zones and prerequisites -----------------------------------------------------------------------------------------
+def _grams(text: Column, n: int) -> Column:
+    """All runs of ``n`` characters."""
+    return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+
 def zones_of_files(files: DataFrame, zones: DataFrame, path: str = "file_path") -> DataFrame:
     """Files whose path holds a zone's pattern anywhere, whatever the case: the file's columns, path_pattern, issue_count.
 
-    Distinct paths and patterns meet on the pattern's first four characters, which stand somewhere in the path if the whole
-    pattern does; shorter patterns meet on what they have.
+    A path that holds a pattern holds each run of four characters of it (a shorter pattern as a whole). Distinct paths and
+    patterns meet on the one of the pattern's runs that the fewest paths have, then the whole pattern is looked for.
     """
-    lower = F.lower("path_pattern")
-    z = zones.where("path_pattern <> ''").select(F.substring(lower, 1, 4).alias("gram"), lower.alias("low"), "path_pattern", "issue_count")
-    low = F.lower(F.col(path))
-    some = lambda n: F.when(F.length(low) >= n, F.transform(F.sequence(F.lit(1), F.length(low) - n + 1), lambda i: F.substring(low, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    grams = F.array_distinct(reduce(lambda a, b: F.concat(a, b), [some(n) for n in (1, 2, 3, 4)]))
-    paths = files.select(path).distinct().select(F.col(path), low.alias("whole"), F.explode(grams).alias("gram"))
-    met = paths.join(z, "gram").where(F.contains("whole", F.col("low"))).select(path, "path_pattern", "issue_count")
+    low = F.lower("path_pattern")
+    runs = F.coalesce(F.when(F.length(low) >= 4, _grams(low, 4)), F.array(low))
+    z = zones.where("path_pattern <> ''").select("path_pattern", "issue_count", F.explode(F.array_distinct(runs)).alias("gram"))
+    whole = F.lower(F.col(path))
+    grams = F.array_distinct(reduce(lambda a, b: F.concat(a, b), [_grams(whole, n) for n in (1, 2, 3, 4)]))
+    paths = files.select(path).distinct().select(F.col(path), whole.alias("whole"), F.explode(grams).alias("gram"))
+    counts = paths.join(z.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = z.join(counts, "gram", "left").groupBy("path_pattern", "issue_count").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("gram"))
+    met = paths.join(rarest, "gram").where(F.contains("whole", F.lower("path_pattern"))).select(path, "path_pattern", "issue_count")
     return files.join(met, path)
 
 
