@@ -195,14 +195,17 @@ def _phase(words: list[str]) -> str:
 _LIFE = ", ".join(f"{_phase(w)} AS {p}" for p, w in P.LIFECYCLE_SIGNALS)
 
 
+#: From user messages lm (session_id, pos, content) the lifecycle of each session, as the last of several tables.
+LIFECYCLE = f"""lf AS (SELECT session_id, count(*) AS n, {_LIFE} FROM lm GROUP BY session_id HAVING count(*) >= 3),
+  lp AS (SELECT session_id, list_sort(list_filter([{{'pos': plan, 'o': 0, 'p': 'plan'}}, {{'pos': test_first, 'o': 1, 'p': 'test_first'}}, {{'pos': implement, 'o': 2, 'p': 'implement'}}, {{'pos': test_after, 'o': 3, 'p': 'test_after'}},
+       {{'pos': CASE WHEN "commit" > 1 AND "commit" <= n * 0.8 THEN "commit" END, 'o': 6, 'p': 'commit'}}], lambda x: x.pos IS NOT NULL))[1:4] AS ph FROM lf),
+  lq AS (SELECT session_id, list_transform(ph, lambda x: x.p) AS ph FROM lp WHERE len(ph) >= 2),
+  lc AS (SELECT session_id, array_to_string(list_transform(ph, lambda x: CASE x WHEN 'plan' THEN 'Plan' WHEN 'test_first' THEN 'Write Tests' WHEN 'implement' THEN 'Implement' WHEN 'test_after' THEN 'Test' ELSE 'Commit' END), ' -> ') AS sequence,
+    round(least(1.0::DOUBLE, least(len(ph) / 4.0::DOUBLE, 1.0) * 0.55::DOUBLE + CASE WHEN ph[1] = 'plan' THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN list_contains(ph, 'test_first') THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN list_contains(ph, 'commit') THEN 0.1::DOUBLE ELSE 0 END), 2) AS confidence FROM lq)"""
+
+
 @query(f"""WITH {EVENTS}, lm AS (SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos,
-    CASE event_type WHEN 'error' THEN 'let me think about the design' WHEN 'click' THEN 'implement it' WHEN 'signup' THEN 'write test cases' WHEN 'view' THEN 'push it' ELSE 'nothing' END AS content FROM e),
-  f AS (SELECT session_id, count(*) AS n, {_LIFE} FROM lm GROUP BY session_id HAVING count(*) >= 3),
-  p AS (SELECT session_id, list_sort(list_filter([{{'pos': plan, 'o': 0, 'p': 'plan'}}, {{'pos': test_first, 'o': 1, 'p': 'test_first'}}, {{'pos': implement, 'o': 2, 'p': 'implement'}}, {{'pos': test_after, 'o': 3, 'p': 'test_after'}},
-       {{'pos': CASE WHEN "commit" > 1 AND "commit" <= n * 0.8 THEN "commit" END, 'o': 6, 'p': 'commit'}}], lambda x: x.pos IS NOT NULL))[1:4] AS ph FROM f),
-  q AS (SELECT session_id, list_transform(ph, lambda x: x.p) AS ph FROM p WHERE len(ph) >= 2)
-  SELECT session_id, array_to_string(list_transform(ph, lambda x: CASE x WHEN 'plan' THEN 'Plan' WHEN 'test_first' THEN 'Write Tests' WHEN 'implement' THEN 'Implement' WHEN 'test_after' THEN 'Test' ELSE 'Commit' END), ' -> ') AS sequence,
-    round(least(1.0::DOUBLE, least(len(ph) / 4.0::DOUBLE, 1.0) * 0.55::DOUBLE + CASE WHEN ph[1] = 'plan' THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN list_contains(ph, 'test_first') THEN 0.15::DOUBLE ELSE 0 END + CASE WHEN list_contains(ph, 'commit') THEN 0.1::DOUBLE ELSE 0 END), 2) AS confidence FROM q""")
+    CASE event_type WHEN 'error' THEN 'let me think about the design' WHEN 'click' THEN 'implement it' WHEN 'signup' THEN 'write test cases' WHEN 'view' THEN 'push it' ELSE 'nothing' END AS content FROM e), {LIFECYCLE} SELECT session_id, sequence, confidence FROM lc""")
 def lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = {"error": "let me think about the design", "click": "implement it", "signup": "write test cases", "view": "push it"}
     said = F.lit("nothing")
