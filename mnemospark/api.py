@@ -39,7 +39,8 @@ class Memory:
     def from_transcripts(cls, spark: SparkSession, root: str, **more) -> Memory:
         lines = transcripts.raw_lines(spark, root)
         said = transcripts.sessions(lines).select("session_id", C.decode_project(F.col("project")).alias("project_path"))
-        ops = transcripts.file_operations(lines).withColumnRenamed("seq", "event_id")
+        ops = transcripts.file_operations(lines)  # event_id names an operation and keeps the order of its session's
+        ops = ops.withColumn("event_id", F.concat_ws(":", "session_id", F.lpad(F.col("seq").cast("string"), 9, "0")))
         return cls(transcripts.messages(lines), ops, projects=said, **more)
 
     @cached_property

@@ -49,7 +49,7 @@ def snapshot_as_of(ops: DataFrame, targets: DataFrame) -> DataFrame:
     """
     day = F.to_date("ts")
     writes = ops.where("op = 'write'").select("file_path", "ts", F.lit(0).alias("side"), "event_id", F.struct("ts", "event_id").alias("w"), F.lit(None).cast("long").alias("target_id"))
-    asked = targets.select("file_path", F.col("target").alias("ts"), F.lit(1).alias("side"), F.lit(None).cast("long").alias("event_id"), F.lit(None).cast(writes.schema["w"].dataType).alias("w"), "target_id")
+    asked = targets.select("file_path", F.col("target").alias("ts"), F.lit(1).alias("side"), F.lit(None).cast(ops.schema["event_id"].dataType).alias("event_id"), F.lit(None).cast(writes.schema["w"].dataType).alias("w"), "target_id")
     line = Window.partitionBy("file_path", "day").orderBy("ts", "side", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     both = writes.unionByName(asked).withColumn("day", day)
     days = both.groupBy("file_path", "day").agg(F.max("w").alias("last"))
@@ -88,7 +88,7 @@ def reconstruct(ops: DataFrame, as_of: Column | None = None) -> DataFrame:
     last = ops.where("op = 'write'").groupBy("file_path").agg(F.max_by(F.struct("ts", "event_id", "content"), F.struct("ts", "event_id")).alias("w"))
     edits = ops.where("op = 'edit'").join(last, "file_path").where("struct(ts, event_id) > struct(w.ts, w.event_id)")
     listed = edits.groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "old_string", "new_string", "replace_all"))).alias("edits"))
-    none = F.array().cast("array<struct<ts:timestamp,event_id:bigint,old_string:string,new_string:string,replace_all:boolean>>")
+    none = F.array().cast(listed.schema["edits"].dataType)
     out = last.join(listed, "file_path", "left").withColumn("r", apply_edits(F.col("w.content"), F.coalesce("edits", none)))
     total = F.col("r.applied") + F.col("r.failed")
     confidence = F.when(total > 0, F.round(0.95 * F.col("r.applied") / total, 4)).otherwise(0.95)

@@ -64,3 +64,31 @@ def test_init_and_report(spark, sf_dir):
     assert 0 < len(start["guidance"]["actions"]) <= 8 and len({a[:50].lower() for a in start["guidance"]["actions"]}) == len(start["guidance"]["actions"])
     assert {a["type"] for a in start["alerts"]} >= {"danger_zone", "prerequisite"} and start["token_estimate"]["tokens"] > 0
     assert who["name"] in report(start) and "Decisions:" in report(start)
+
+
+def test_tools_over_transcripts(spark, tmp_path):
+    """Two sessions whose operations have the same numbers, from files to answers, also from the command line."""
+    import json
+
+    def line(kind, content, at):
+        return json.dumps({"type": kind, "timestamp": f"2025-01-02T10:{at:02d}:00Z", "message": {"content": content}})
+
+    def use(name, **given):
+        return {"type": "tool_use", "name": name, "input": given}
+
+    folder = tmp_path / "-home-me-proj"
+    folder.mkdir()
+    one = [line("user", "my name is Ada, fix the parser", 0), line("assistant", [{"type": "text", "text": "The parser is fixed and working well now."}, use("Write", file_path="a.py", content="def f():\n    x = 1")], 1)]
+    two = [line("user", "ValueError: cannot parse field 7", 2), line("assistant", "The solution was: skip empty lines before parsing", 3), line("assistant", [use("Edit", file_path="a.py", old_string="x = 1", new_string="x = 2"), use("Edit", file_path="a.py", old_string="x = 2", new_string="x = 3")], 4)]
+    (folder / "s1.jsonl").write_text("\n".join(one))
+    (folder / "s2.jsonl").write_text("\n".join(two))
+    memory = Memory.from_transcripts(spark, str(tmp_path), as_of=F.lit("2025-02-01").cast("timestamp"))
+    assert memory.search("parser")["results"][0]["summary"] == "The parser is fixed and working well now"
+    assert memory.code_history("a.py", mode="snapshot")["results"][0]["content"] == "def f():\n    x = 3"
+    assert [(r["op"], r["line_count"]) for r in memory.code_history("a.py")["results"]] == [("edit", None), ("edit", None), ("write", 2)]
+    assert [r["symbol_name"] for r in memory.code_history(symbol="f")["results"]] == ["f"]
+    assert memory.error_lookup("parse")["solutions"][0]["solution_summary"] == "skip empty lines before parsing"
+
+    from mnemospark.__main__ import main
+
+    assert main([str(tmp_path), "recent", "limit=1"]) == 0 and main(["x", "unknown"]) == 2
