@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.operators.staging import discard, materialise
@@ -80,28 +81,36 @@ def join_to_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str,
     return rows.join(large, on).unionByName(rows.join(F.broadcast(groups.where(hot).select(on)), on, "left_anti").join(groups.where(~hot), on))
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of plans and generated classes, for after a loop of many queries, which would fill a small driver."""
+    gc.collect()  # what Python refers to stays in the JVM
+    spark._jvm.System.gc()
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """Components of an undirected graph by alternating large-star and small-star rounds.
 
     ``links`` has long columns a and b. Returns (node, component) for every node that has a link; the component is its
-    smallest node. Every round groups by node with map-side minima; in the join back, the links of nodes that have very
-    many do not move.
+    smallest node. Every round groups by node with map-side minima, so that a node with very many links is no hot task in
+    the aggregation, and the join back meets one row a node, which adaptive execution can split.
     """
+    spark = links.sparkSession
     edges = materialise(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    seen, count = None, edges.count()
+    seen = None
     while True:
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = join_to_groups(both.where("v > u"), least, ["u"], "n", 2 * count).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lower, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(lower.select("u", F.col("m").alias("v"))).distinct()
         after = materialise(small, "links")
         sign = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         discard(edges)
-        edges, count = after, sign[0]
+        edges = after
         if sign == seen or not sign[0]:
             break
         seen = sign
+    release(spark)
     roots = edges.select(F.col("v").alias("node")).distinct()
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots.select("node", F.col("node").alias("component")))
 

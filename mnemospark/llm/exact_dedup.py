@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mnemospark.llm.common import join_to_groups, materialise, unused
+from mnemospark.llm.common import join_to_groups, materialise, release, unused
 
 BLOCK_BYTES = 4096
 
@@ -77,6 +77,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         done = done.union(last)
         level = level.join(sizes.where(f"n_blocks > {1 << depth}").select("rid"), "rid", "left_semi")
 
+    release(rows.sparkSession)
     named = materialise(rows.select("rid", "doc_id", "text_sha256", F.size("hashes").alias("n_blocks")).join(done, "rid"), "identities")
     groups = materialise(named.groupBy("level", "name").agg(F.max(F.struct("doc_id", "rid")).alias("keep"), F.count("*").alias("group_size")), "groups")
     return join_to_groups(named, groups, ["level", "name"], "group_size", named.count()).select(
