@@ -16,7 +16,10 @@ from mnemospark.llm.lm_scoring import score_held_out
 from mnemospark.llm.mixing import mix
 from mnemospark.llm.near_dedup import near_dedup
 from mnemospark.llm.packing import pack
+from mnemospark.llm.phrases import collocations
+from mnemospark.llm.quality import quality_rules
 from mnemospark.llm.substring_dedup import repeated_spans
+from mnemospark.llm.trie import conversation_trie
 from mnemospark.llm.warc import export, read_archives, read_files, write_archives
 from mnemospark.operators.staging import shared_dir, shuffles_removed
 
@@ -85,9 +88,26 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts are empty, a null language is und; repeated rows count again; an empty table gives no rows."""
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal or null turns stand by role and text; rows without a conv_id belong to no conversation; an empty table gives no rows."""
+    conv = F.col("conv_id")
+    return conversation_trie(_table(spark, sf_dir, "conversations"), conv - conv % 20, F.crc32(conv.cast("string").cast("binary")) % 4)
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null and empty texts have no words and fail; repeated rows each get a row; an empty table gives none."""
+    found = quality_rules(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "covered_chars")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_toxicity, op3_exact_dedup, op4_substring_dedup, op5_source_mixing, op6_minhash_dedup,
-    op7_embedding_dedup, op8_lm_scoring, op9_warc, op10_packing,
+    op7_embedding_dedup, op8_lm_scoring, op9_warc, op10_packing, op11_phrases, op12_prefix_trie, op13_quality_rules,
 )}
 
 ORACLES = {
@@ -121,4 +141,40 @@ ORACLES = {
                CAST(floor(floor(target) / greatest(source_size, 1)) * size
                  + greatest(0, least(size, floor(target) - floor(floor(target) / greatest(source_size, 1)) * greatest(source_size, 1) - ahead)) AS BIGINT) AS taken
         FROM p""",
+    "op11_phrases": r"""
+        WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+        t AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+        g AS (SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase, count(*) AS f FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS m)) GROUP BY ALL HAVING count(*) >= 100),
+        c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM g WHERE m > 1),
+        inside AS (SELECT lang, f, array_to_string(v[i : j], ' ') AS phrase FROM (SELECT lang, f, string_split(phrase, ' ') AS v, unnest(range(1, m + 1)) AS i, m FROM g WHERE m > 2), (SELECT unnest(range(2, 6)) AS j) WHERE j <= m AND j > i AND j - i + 1 < m),
+        k AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM inside x WHERE x.lang = c.lang AND x.phrase = c.phrase AND 100 * x.f >= 100 * c.a)),
+        cuts AS (SELECT lang, phrase, a, k, array_to_string(w[1 : k], ' ') AS first_, array_to_string(w[k + 1 :], ' ') AS rest FROM (SELECT *, unnest(range(1, m)) AS k FROM k)),
+        s AS (SELECT u.lang, u.phrase, u.a, u.k, x.f AS l, y.f AS r, t.n, CAST((1000::HUGEINT * u.a * t.n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+              FROM cuts u JOIN g x ON x.lang = u.lang AND x.phrase = u.first_ JOIN g y ON y.lang = u.lang AND y.phrase = u.rest JOIN t ON t.lang = u.lang),
+        b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+        SELECT lang, row_number() OVER o AS rank, phrase, a, l, r, n, score FROM b WINDOW o AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY row_number() OVER o <= 2000""",
+    "op12_prefix_trie": r"""
+        WITH tab AS (SELECT list(list_reduce([i::BIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS tab FROM range(256) r(i)),
+        ids AS (SELECT conv_id AS c, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS w FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+        h AS (SELECT c, w, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda crc, x: xor(crc >> 8, tab[(xor(crc, x) & 255) + 1])), 4294967295) % 4 AS h FROM ids, tab),
+        b AS (SELECT h.c, list_concat(coalesce(x.w[1 : h.h], []), h.w[h.h + 1 :]) AS s FROM h LEFT JOIN ids x ON x.c = h.c - h.c % 20),
+        p AS (SELECT c, d, s[1 : d] AS k, len(s) AS n, s[d]['t'] AS last_ FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM b)),
+        v AS (SELECT d, k, min(c) AS c, count(*) AS m, max(n) AS reach, string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (WHERE n = d) AS ends, any_value(CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(last_, '[^\x20\x09-\x0D]+')) END) AS words FROM p GROUP BY d, k),
+        e AS (SELECT v.*, unnest(range(0, d + 1)) AS up FROM v),
+        sums AS (SELECT up AS d, k[1 : up] AS k, sum((m - 1) * words) AS saved, count(*) FILTER (WHERE reach = d) AS leaves, count(*) FILTER (WHERE d = up + 1) AS kids FROM e GROUP BY 1, 2)
+        SELECT v.c AS conv_id, v.d AS depth, q.c AS parent_conv_id, v.m AS n_convs, s.kids AS n_children, s.leaves AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
+        FROM v JOIN sums s ON s.d = v.d AND s.k = v.k LEFT JOIN v q ON q.d = v.d - 1 AND q.k = v.k[1 : v.d - 1]""",
+    "op13_quality_rules": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        l AS (SELECT r, count(*) - count(DISTINCT line) AS dup FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+        p AS (SELECT r, i, length(w[i]) AS chars, len(w) AS n, array_to_string(w[i : i + 2], ' ') AS g3, array_to_string(w[i : i + 9], ' ') AS g10, md5(array_to_string(w[i : i + 100], ' ')) AS g101 FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+        q AS (SELECT r, i, chars, i + 2 <= n AND count(*) FILTER (WHERE i + 2 <= n) OVER (PARTITION BY r, g3) > 1 AS d3, i + 9 <= n AND count(*) FILTER (WHERE i + 9 <= n) OVER (PARTITION BY r, g10) > 1 AS d10,
+                     i + 100 <= n AND count(*) FILTER (WHERE i + 100 <= n) OVER (PARTITION BY r, g101) > 1 AS d101 FROM p),
+        c AS (SELECT r, chars, d101, bool_or(d3) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS c3, bool_or(d10) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS c10 FROM q),
+        s AS (SELECT r, sum(chars) AS chars, count(*) FILTER (WHERE c3) AS rep, coalesce(sum(chars) FILTER (WHERE c10), 0) AS covered, bool_or(d101) AS long_ FROM c GROUP BY r),
+        m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(chars, 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(dup, 0) AS n_dup_lines,
+                     coalesce(rep, 0) AS n_repeat_words, CAST(coalesce(covered, 0) AS BIGINT) AS covered_chars, coalesce(long_, false) AS long_ FROM d LEFT JOIN l USING (r) LEFT JOIN s USING (r)),
+        f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND 100 * covered_chars <= 30 * word_chars AND NOT long_ AS kept, covered_chars FROM f""",
 }
