@@ -2,9 +2,10 @@
 
 The suffix at a word is that word and the up to four that follow it in its piece of text. Three steps:
 
-1. Tasks count words and pairs of neighbours in a table of ``PLACES`` hashed counters. A place that stays below the least
-   count holds no frequent word or pair, so no frequent phrase goes through it: a suffix ends before such a pair, and does
-   not begin at such a word. The table has a fixed size; where a corpus fills it, it excludes less, and results stay the same.
+1. Words and pairs of neighbours are counted by a hash of 32 bits and more, in shards of hashes. Of those with the least
+   count a bitmap is made, of at most ``MOST_BITS`` places. A word or pair whose place is empty is in no frequent phrase: a
+   suffix ends before such a pair, and does not begin at such a word. Where a corpus has so many frequent pairs that the bitmap
+   fills, it excludes less, and results stay the same.
 2. Equal suffixes of a few megabytes of text become one row with their number. Rows are routed by ranges of their words, so
    that very frequent leading words go on to several tasks, each with other following words.
 3. A task sorts its suffixes by multikey three-way quicksort, word by word to the last: the weight of an equal partition is
@@ -30,10 +31,12 @@ from mnemospark.llm.common import discard, materialise, mix64
 from mnemospark.llm.words import joined, numbered, runs
 
 LEAST, MOST_WORDS, TOP = 100, 5, 2000
-#: Counters, a power of two; they saturate at a byte.
-PLACES, SLICE = 1 << 22, 1 << 16
+#: Bytes of text for a shard of hashes, and the least and most shards; powers of two.
+SHARE, LEAST_SHARDS, MOST_SHARDS = 1 << 28, 256, 1 << 14
+#: Hashes that one task counts, about; places of the bitmap, 64 times as many as there are frequent hashes within these bounds.
+ENTRIES, LEAST_BITS, MOST_BITS = 8_000_000, 1 << 20, 1 << 28
 #: Bytes of text that a task turns into suffixes at a time, and suffixes that one range has, about.
-CHUNK, RANGE = 12_000_000, 250_000
+CHUNK, RANGE = 4_000_000, 200_000
 #: Salts of the first ranking of a language's phrases.
 SALTS = 64
 
@@ -62,13 +65,12 @@ class Words:
         last = np.cumsum(np.bincount(text, minlength=len(texts)))[text]
         self.owned = last - np.arange(len(text)) > np.array(owned, np.int64)[text] if len(texts) else np.empty(0, bool)
 
-    def places(self) -> tuple[np.ndarray, np.ndarray]:
-        """The counters of each word, and of the pair it makes with the next."""
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of each word, and of the pair it makes with the next, in its language."""
         hashed = pd.util.hash_array(np.array(self.words.to_pylist(), object), categorize=False) if len(self.words) else np.empty(0, np.uint64)
         tongue = pd.util.hash_array(self.names.astype(object), categorize=False) if len(self.names) else np.empty(0, np.uint64)
         one = mix64(hashed[self.ids] ^ tongue[self.lang])
-        two = mix64(one * np.uint64(0x9E3779B97F4A7C15) + np.append(one[1:], one[:1]))
-        return (one % np.uint64(PLACES)).astype(np.int64), (two % np.uint64(PLACES)).astype(np.int64)
+        return one, mix64(one * np.uint64(0x9E3779B97F4A7C15) + np.append(one[1:], one[:1]))
 
 
 def _pieces(text: bytes, size: int, most: int) -> Iterator[tuple[bytes, int]]:
@@ -115,65 +117,97 @@ def _chunks(batches: Iterator[pa.RecordBatch], most: int, size: int = CHUNK) ->
         yield Words(texts, langs, owned)
 
 
-COUNTERS = "lang string, n long, slice int, counters binary"
+COUNTED = "lang string, n long, shard int, hashes binary, counts binary"
 
 
-def _counters(least: int, most: int):
+def _hashed(least: int, most: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Words of each language, and the counters of what this task read, in slices; those up to ``least`` matter only."""
-        total, seen = np.zeros(PLACES, np.int64), {}
+        """Words of each language; and, of a chunk, how often its hashes occur (up to ``least``), shard by shard."""
+        shift = np.uint64(32 - shards.bit_length() + 1)
+        seen: dict[str, int] = {}
         for w in _chunks(batches, most):
-            one, two = w.places()
-            total += np.bincount(one[w.owned], minlength=PLACES)
-            total += np.bincount(two[w.owned & w.next], minlength=PLACES)
+            one, two = w.hashes()
+            keys, found = np.unique(np.concatenate((one[w.owned], two[w.owned & w.next])) >> shift, return_counts=True)
             for code, n in enumerate(np.bincount(w.lang[w.owned], minlength=len(w.names)).tolist()):
                 seen[str(w.names[code])] = seen.get(str(w.names[code]), 0) + n
-        parts = np.minimum(total, least).astype(np.uint8).reshape(-1, SLICE)
-        some = np.flatnonzero(parts.any(1))
-        k, names = len(seen), list(seen)
-        yield pa.RecordBatch.from_arrays([
-            pa.array(names + [None] * len(some), pa.string()), pa.array([*seen.values(), *[None] * len(some)], pa.int64()),
-            pa.array([None] * k + some.tolist(), pa.int32()), pa.array([None] * k + [parts[i].tobytes() for i in some], pa.binary()),
-        ], names=["lang", "n", "slice", "counters"])
+            shard = (keys >> np.uint64(32)).astype(np.int32)
+            ends = np.append(np.flatnonzero(shard[1:] != shard[:-1]) + 1, len(shard)) if len(shard) else np.empty(0, np.int64)
+            offsets = np.concatenate(([0], ends)).astype(np.int32)
+            packed = lambda values, width: pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets * width), pa.py_buffer(values)])
+            n = len(ends)
+            yield pa.RecordBatch.from_arrays([
+                pa.nulls(n, pa.string()), pa.nulls(n, pa.int64()), pa.array(shard[offsets[:-1]] if n else shard), packed((keys & np.uint64(0xFFFFFFFF)).astype("<u4"), 4), packed(np.minimum(found, least).astype(np.uint8), 1),
+            ], names=["lang", "n", "shard", "hashes", "counts"])
+        k = len(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary())], names=["lang", "n", "shard", "hashes", "counts"])
 
     return run
 
 
-def _summed(least: int):
+def _frequent(least: int, room: int = 4_000_000):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Slices in order: which of their places hold the least count."""
-        now, total = None, None
+        """Shards in order: their hashes that have the least count. Equal hashes are added up as soon as ``room`` of them are held."""
+        now, parts, held = None, [], 0
+
+        def summed() -> tuple[np.ndarray, np.ndarray]:
+            hashes, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.argsort(hashes, kind="stable")
+            hashes, counts = hashes[order], counts[order].astype(np.int64)
+            new = np.flatnonzero(np.concatenate(([True], hashes[1:] != hashes[:-1])))
+            return hashes[new], np.minimum(np.add.reduceat(counts, new), least).astype(np.uint8)
 
         def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(total >= least).tobytes()], pa.binary())], names=["slice", "bits"])
+            hashes, counts = summed()
+            kept = hashes[counts >= least]
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([len(kept)], pa.int64()), pa.array([kept.tobytes()], pa.binary())], names=["shard", "n", "hashes"])
 
         for batch in batches:
-            for part, counters in zip(batch.column("slice").to_pylist(), batch.column("counters"), strict=True):
-                if part != now:
-                    if now is not None:
+            for shard, hashes, counts in zip(batch.column("shard").to_pylist(), batch.column("hashes"), batch.column("counts"), strict=True):
+                if shard != now:
+                    if parts:
                         yield done()
-                    now, total = part, np.zeros(SLICE, np.int64)
-                total += np.frombuffer(counters.as_buffer(), np.uint8)
-        if now is not None:
+                    now, parts, held = shard, [], 0
+                parts.append((np.frombuffer(hashes.as_buffer(), "<u4"), np.frombuffer(counts.as_buffer(), np.uint8)))
+                held += len(parts[-1][0])
+                if held > room:
+                    parts = [summed()]
+                    held = len(parts[0][0]) // 2  # what cannot be added up counts half
+        if parts:
             yield done()
 
     return run
 
 
+def _bits(shards: int, places: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The part of the bitmap that a shard's hashes are in."""
+        width = places // shards
+        for batch in batches:
+            rows = []
+            for hashes in batch.column("hashes"):
+                part = np.zeros(width, bool)
+                part[(np.frombuffer(hashes.as_buffer(), "<u4").astype(np.uint64) * np.uint64(width)) >> np.uint64(32)] = True
+                rows.append(np.packbits(part).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), pa.array(rows, pa.binary())], names=["shard", "bits"])
+
+    return run
+
+
 SUFFIXES = "lang string, suffix string, n long"
 
 
-def _suffixes(frequent, most: int):
+def _suffixes(frequent, most: int, places: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Suffixes as far as they may be frequent, equal ones of a chunk as one row; every word ends with a line feed."""
-        full = np.unpackbits(np.frombuffer(frequent.value, np.uint8)).astype(bool)
+        bits, shift = np.frombuffer(frequent.value, np.uint8), np.uint64(64 - places.bit_length() + 1)
+        full = lambda hashes: (bits[(at := hashes >> shift) >> np.uint64(3)] >> (np.uint64(7) - (at & np.uint64(7))).astype(np.uint8)) & 1 == 1
         for w in _chunks(batches, most):
-            one, two = w.places()
-            n, alive, pair = len(w.ids), full[one], w.next & full[two]
+            one, two = w.hashes()
+            n, alive, pair = len(w.ids), full(one), w.next & full(two)
             at = np.flatnonzero(alive & w.owned)
             if not len(at):
                 continue
-            table, going = np.full((len(at), most), -1, np.int64), np.ones(len(at), bool)
+            table, going = np.full((len(at), most), -1, np.int32), np.ones(len(at), bool)
             table[:, 0] = w.ids[at]
             for k in range(1, most):
                 before = np.minimum(at + k - 1, n - 1)
@@ -181,7 +215,7 @@ def _suffixes(frequent, most: int):
                 table[going, k] = w.ids[at[going] + k]
             lang = w.lang[at]
             keys = [lang, *table.T]
-            packed = [(a << 32) + b + 1 for a, b in zip(keys[::2], keys[1::2], strict=False)] + ([keys[-1]] if len(keys) % 2 else [])
+            packed = [(a.astype(np.int64) << 32) + b + 1 for a, b in zip(keys[::2], keys[1::2], strict=False)] + ([keys[-1]] if len(keys) % 2 else [])
             order = np.lexsort(packed[::-1])
             new = np.ones(len(order), bool)
             new[1:] = np.any([p[order[1:]] != p[order[:-1]] for p in packed], axis=0)
@@ -268,14 +302,21 @@ def frequent_phrases(docs: DataFrame, text_col: str = "text", lang_col: str = "l
         raise ValueError("the least count is from 1 to 255")
     spark = docs.sparkSession
     given = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("bytes"))
-    counted = materialise(given.mapInArrow(_counters(least, most), COUNTERS), "counters")
+    power = lambda x, low, high: 1 << min(high, max(low, int(x) - 1)).bit_length() if x > low else low
+    size = given.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
+    shards = power(size // SHARE, LEAST_SHARDS, MOST_SHARDS - 1)
+    counted = materialise(given.mapInArrow(_hashed(least, most, shards), COUNTED), "counted")
     totals = materialise(counted.where("lang is not null").groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    summed = counted.where("slice is not null").select("slice", "counters").repartition(max(1, PLACES // SLICE // 8), "slice").sortWithinPartitions("slice").mapInArrow(_summed(least), "slice int, bits binary")
-    bits = bytearray(PLACES // 8)
-    for r in summed.collect():  # half a megabyte
-        bits[r["slice"] * (SLICE // 8) : (r["slice"] + 1) * (SLICE // 8)] = r["bits"]
+    tasks = max(1, (counted.agg(F.sum(F.octet_length("counts"))).first()[0] or 0) // ENTRIES)
+    found = counted.where("shard is not null").select("shard", "hashes", "counts").repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(_frequent(least), "shard int, n long, hashes binary")
+    found = materialise(found, "frequent")
     discard(counted)
-    suffixes = materialise(given.mapInArrow(_suffixes(spark.sparkContext.broadcast(bytes(bits)), most), SUFFIXES), "suffixes")
+    places = power(64 * (found.agg(F.sum("n")).first()[0] or 0), LEAST_BITS, MOST_BITS - 1)
+    width, bits = places // shards // 8, bytearray(places // 8)
+    for r in found.mapInArrow(_bits(shards, places), "shard int, bits binary").toLocalIterator():  # 32 MB at most
+        bits[r["shard"] * width : (r["shard"] + 1) * width] = r["bits"]
+    discard(found)
+    suffixes = materialise(given.mapInArrow(_suffixes(spark.sparkContext.broadcast(bytes(bits)), most, places), SUFFIXES), "suffixes")
     ranges = max(1, -(-suffixes.count() // rows))
     parts = suffixes.repartitionByRange(ranges, "lang", "suffix").mapInArrow(_counted(least, most), PHRASES)
     phrases = materialise(parts.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(F.col("f") >= least), "phrases")
