@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemospark.operators.staging import shared_dir
+from mnemospark.sources.store import Store, Transaction
 
 
 def event_stream(spark: SparkSession, sf_dir: str, watermark: str = "10 minutes") -> DataFrame:
@@ -134,13 +135,26 @@ def run_available(stream: DataFrame, checkpoint: str, mode: str = "append", key:
     return out.drop("batch")
 
 
-def ingest(stream: DataFrame, checkpoint: str, stages: dict[str, Callable[[DataFrame], DataFrame]], target: str) -> None:
-    """Write the tables that ``stages`` derive from each batch of messages, each under the batch's number, so that it may run again."""
+def ingest(stream: DataFrame, checkpoint: str, stages: dict, target: str | Store, name: str = "ingest") -> None:
+    """Write the tables that ``stages`` derive from each batch of messages, so that a batch may run again.
+
+    In a store, a batch is one version: ``stages`` give for each table its key, what a batch gives, and how that is merged with
+    what is there. A batch that was committed changes nothing when it runs again, and one that failed has left nothing. Below
+    a plain folder, each table of a batch is written under the batch's number; ``stages`` are functions of the batch then.
+    """
 
     def batch(rows: DataFrame, number: int) -> None:
+        def change(t: Transaction) -> None:
+            if not t.seen(name, number):
+                for table, (key, derive, how) in stages.items():
+                    t.merge(table, derive(rows), how, key)
+
         rows = rows.persist()
-        for name, stage in stages.items():
-            stage(rows).write.mode("overwrite").parquet(f"{target}/{name}/batch={number:09d}")
+        if isinstance(target, Store):
+            target.update(change)
+        else:
+            for table, stage in stages.items():
+                stage(rows).write.mode("overwrite").parquet(f"{target}/{table}/batch={number:09d}")
         rows.unpersist()
 
     stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(batch).start().awaitTermination()
