@@ -26,6 +26,8 @@ from pyspark.sql.types import StructType
 from mnemospark.operators.staging import shuffles_removed
 
 BUCKET = "_bucket"
+#: A key of this name is the number of the bucket itself.
+SHARD = "_shard"
 
 
 class Conflict(RuntimeError):
@@ -162,7 +164,8 @@ class Snapshot:
 
 
 def bucket(key: Iterable[str], buckets: int):
-    return F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+    key = list(key)
+    return F.pmod(F.col(SHARD) if key == [SHARD] else F.xxhash64(*key), F.lit(buckets)).cast("int")
 
 
 def touched(rows: DataFrame, key: Iterable[str], buckets: int) -> set[int]:
