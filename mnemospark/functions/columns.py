@@ -226,8 +226,8 @@ def line_count(text: Column) -> Column:
 
 
 def like_pattern(path: str) -> str:
-    """A LIKE pattern of a path with * as wildcard; a bare name matches in any folder."""
-    out = path.replace("*", "%")
+    """A LIKE pattern of a path with * as wildcard; _, % and backslashes mean themselves. A bare name matches in any folder."""
+    out = re.sub(r"([\\_%])", r"\\\1", path).replace("*", "%")
     return out if "/" in out or out.startswith("%") else f"%{out}"
 
 

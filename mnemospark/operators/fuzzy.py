@@ -1,7 +1,9 @@
 """Vocabulary and typo correction by Damerau-Levenshtein distance.
 
-Candidates come from an equi-join on what remains of words after up to two deletions: words within two edits, transpositions
-included, always share such a remainder. So no query word is compared with the whole vocabulary.
+Candidates come from equi-joins, so no query word is compared with the whole vocabulary. Short words within two edits,
+transpositions included, share what remains of them after up to two deletions. Of long words, one is cut into two segments
+for each edit and one more; an edit, transpositions included, touches two at most, so another one is left as it is, at most
+as many places further as there are edits. Both give a number of keys that does not depend on the length of long words.
 """
 
 from __future__ import annotations
@@ -72,16 +74,58 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return rows[:, n + 1, m + 1]
 
 
-@F.pandas_udf(T.IntegerType())
-def damerau_levenshtein(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = np.zeros(len(a), np.int32)
-    codes = lambda words, size: np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), size)
-    lengths = pd.DataFrame({"n": a.str.len().to_numpy(), "m": b.str.len().to_numpy()})
-    for (n, m), rows in lengths.groupby(["n", "m"]).indices.items():
-        for at in range(0, len(rows), 5000):
-            some = rows[at : at + 5000]
-            out[some] = distances(codes(a.iloc[some].tolist(), n), codes(b.iloc[some].tolist(), m))
-    return pd.Series(out)
+def distance_within(a: str, b: str, most: int) -> int:
+    """The same distance if it is ``most`` (0 to 2) at most, else ``most`` + 1; in time linear in the words.
+
+    Equal letters at the front are matched, and at the first difference each edit is tried.
+    """
+    n = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    a, b = a[n:], b[n:]
+    if not a or not b or most == 0:
+        return min(len(a) or len(b), most + 1)
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    tries = [(1, 1, 1), (1, 0, 1), (0, 1, 1)]
+    if a[0] == b[1:2] and a[1:2] == b[0]:
+        tries.append((2, 2, 1))
+    if most > 1:  # a transposition over a letter of one side
+        if a[0] == b[1:2] and a[2:3] == b[0]:
+            tries.append((3, 2, 2))
+        if a[0] == b[2:3] and a[1:2] == b[0]:
+            tries.append((2, 3, 2))
+    best = most + 1
+    for i, j, cost in tries:
+        if cost < best:
+            best = min(best, cost + distance_within(a[i:], b[j:], best - 1 - cost))
+    return best
+
+
+#: Longer words are compared by ``distance_within``.
+LONG = 64
+
+
+def edits(most: int):
+    """A column function: edits between two words, or ``most`` + 1 for long words with more."""
+
+    @F.pandas_udf(T.IntegerType())
+    def damerau_levenshtein(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = np.zeros(len(a), np.int32)
+        codes = lambda words, size: np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), size)
+        lengths = pd.DataFrame({"n": a.str.len().to_numpy(), "m": b.str.len().to_numpy()})
+        for (n, m), rows in lengths.groupby(["n", "m"]).indices.items():
+            for at in range(0, len(rows), 5000):
+                some = rows[at : at + 5000]
+                if max(n, m) > LONG:
+                    out[some] = [distance_within(a.iloc[i], b.iloc[i], most) for i in some]
+                else:
+                    out[some] = distances(codes(a.iloc[some].tolist(), n), codes(b.iloc[some].tolist(), m))
+        return pd.Series(out)
+
+    return damerau_levenshtein
+
+
+#: Words up to this length are met by what is left of them, longer ones by segments of two letters or more.
+SHORT = 12
 
 
 def _remainders(word: Column) -> Column:
@@ -91,6 +135,30 @@ def _remainders(word: Column) -> Column:
     return F.array_distinct(F.concat(F.array(word), one, F.flatten(F.transform(one, without))))
 
 
+def _segment(n: str, i: str, parts: int) -> tuple[Column, Column]:
+    """Start (from 0) and length of segment ``i`` of a word of ``n`` letters; the last ones are longer by one."""
+    base, more = f"{n} div {parts}", f"{parts} - {n} % {parts}"
+    return F.expr(f"{i} * ({base}) + greatest(0, {i} - ({more}))"), F.expr(f"({base}) + if({i} >= {more}, 1, 0)")
+
+
+def _pairs(asked: DataFrame, words: DataFrame, most: int) -> DataFrame:
+    """(term, word, frequency) of words that may be within ``most`` edits."""
+    left = asked.where(F.length("term") <= SHORT + most).select("term", F.explode(_remainders(F.col("term"))).alias("key"))
+    right = words.where(F.length("term") <= SHORT + most).select(F.col("term").alias("word"), "frequency", F.explode(_remainders(F.col("term"))).alias("key"))
+    short = left.join(right, "key").select("term", "word", "frequency")
+
+    parts, shifts = 2 * most + 1, 2 * most + 1
+    start, size = _segment("n", "i", parts)
+    key = lambda word, at: F.xxhash64(F.col("n").cast("int"), F.col("i").cast("int"), F.substring(F.col(word), (at + 1).cast("int"), size.cast("int"))).alias("key")
+    cut = words.where(F.length("term") > SHORT).select(F.col("term").alias("word"), "frequency", F.length("term").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("i"))
+    cut = cut.select("word", "frequency", key("word", start))
+    tried = asked.where(F.length("term") > SHORT).select("term", F.explode(F.sequence(F.lit(0), F.lit(shifts * shifts * parts - 1))).alias("c"))
+    tried = tried.select("term", F.expr(f"length(term) + c div {shifts * parts} - {most}").alias("n"), F.expr(f"c div {shifts} % {parts}").alias("i"), F.expr(f"c % {shifts} - {most}").alias("d"))
+    place = start + F.col("d")
+    tried = tried.where((F.col("n") > SHORT) & (place >= 0) & (place + size <= F.length("term"))).select("term", key("term", place)).distinct()
+    return short.union(tried.join(cut, "key").select("term", "word", "frequency"))
+
+
 def closest(terms: DataFrame, words: DataFrame, most: int = P.FUZZY_MOST_EDITS) -> DataFrame:
     """term, correction, edits: for terms not in ``words`` (term, frequency) the nearest word, the more frequent at a tie, then the first.
 
@@ -100,10 +168,8 @@ def closest(terms: DataFrame, words: DataFrame, most: int = P.FUZZY_MOST_EDITS)
     asked = asked.join(words.select("term"), "term", "left_anti")
     lengths = asked.agg((F.min(F.length("term")) - most).alias("shortest"), (F.max(F.length("term")) + most).alias("longest"))
     words = words.crossJoin(F.broadcast(lengths)).where(F.length("term").between(F.col("shortest"), F.col("longest")))  # lengths is one row
-    left = asked.select("term", F.explode(_remainders(F.col("term"))).alias("key"))
-    right = words.select(F.col("term").alias("word"), "frequency", F.explode(_remainders(F.col("term"))).alias("key"))
-    pairs = left.join(right, "key").where((F.abs(F.length("term") - F.length("word")) <= most) & (F.levenshtein("term", "word", 2 * most) >= 0)).select("term", "word", "frequency").distinct()
-    near = pairs.withColumn("edits", damerau_levenshtein("term", "word")).where(F.col("edits") <= most)
+    near = _pairs(asked, words, most).where((F.abs(F.length("term") - F.length("word")) <= most) & (F.levenshtein("term", "word", 2 * most) >= 0)).distinct()
+    near = near.withColumn("edits", edits(most)("term", "word")).where(F.col("edits") <= most)
     best = F.min(F.struct("edits", (-F.col("frequency")).alias("f"), "word"))
     return near.groupBy("term").agg(best.alias("b")).select("term", F.col("b.word").alias("correction"), F.col("b.edits").alias("edits"))
 

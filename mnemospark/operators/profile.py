@@ -25,14 +25,15 @@ def _is_name(name: Column, blocked: list[str]) -> Column:
     return F.regexp_like(name, F.lit("^[A-Z][a-z]{2,14}$")) & ~F.lower(name).isin(blocked)
 
 
-def name_candidates(messages: DataFrame, blocked: list[str] | None = None) -> DataFrame:
+def name_candidates(messages: DataFrame, blocked: list[str] | None = None, products: list[str] | None = None) -> DataFrame:
     """Names that users give themselves: session_id, name, pattern, confidence.
 
     The first pattern of a message that gives a name counts. A sign-off counts only in the first message of a session that
     names anybody. A session keeps for each name the best confidence and its last pattern. ``blocked``: words that are no
-    names, by default technologies, stopwords, words of other domains and some of our own.
+    names, by default those of conversation, technologies, stopwords and words of other domains; ``products``: more of them.
     """
     blocked = blocked if blocked is not None else sorted({*P.NO_NAMES, *P.TECHNOLOGIES, *P.FUZZY_STOPWORDS, *P.FILTER_WORDS})
+    blocked = [*blocked, *(p.lower() for p in products or [])]
     pick = lambda text, p, kind, c: F.when(_is_name(F.regexp_extract(text, p, 1), blocked), F.struct(F.regexp_extract(text, p, 1).alias("name"), F.lit(kind).alias("pattern"), F.lit(c).alias("confidence")))
     intro = F.coalesce(*[pick(F.col("content"), *p) for p in P.NAME_PATTERNS])
     tail = F.when(F.length("content") > 100, F.substring("content", -100, 100)).otherwise(F.col("content"))
