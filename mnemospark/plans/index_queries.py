@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mnemospark.operators import upsert
 from mnemospark.operators.index import KeywordIndex, SubstringIndex
 from mnemospark.operators.staging import shared_dir
+from mnemospark.operators.vector_index import VectorIndex
 from mnemospark.plans.registry import EVENTS, ORACLES, query
 from mnemospark.plans.search_queries import _BM25_OF, TERMS
 from mnemospark.sources.store import Store
@@ -94,3 +95,34 @@ def store_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Some users by key, from their buckets alone."""
     asked = events(spark, sf_dir).where("user_id % 10 = 3").select("user_id").distinct()
     return _batches(spark, sf_dir).snapshot().lookup("users", asked)
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[VectorIndex, DataFrame]:
+    v = table(spark, sf_dir, "embeddings")
+    rows = v.select(F.col("label").cast("long").alias("session_id"), F.col("vec_id").alias("chunk"), "embedding", F.concat(F.lit("/p"), (F.col("label") % 2).cast("string")).alias("project_path"))
+    index = VectorIndex(_store(spark), shards=4)
+    index.build(rows)
+    return index, v.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+def _ranked(found: DataFrame) -> DataFrame:
+    return found.select("query_id", "session_id", "chunk", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(ORACLES["vector_topk_all"])
+def vector_index_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, asked = _vectors(spark, sf_dir)
+    return _ranked(index.search(asked, exact=True))
+
+
+@query(ORACLES["vector_topk_all"].replace("FROM embeddings, q)", "FROM embeddings, q WHERE label % 2 = 1)"))
+def vector_index_of_project(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index, asked = _vectors(spark, sf_dir)
+    return _ranked(index.search(asked, scope=F.col("project_path") == "/p1", exact=True))
+
+
+@query()
+def vector_index_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate: recall against ``vector_topk_all`` is measured in a test."""
+    index, asked = _vectors(spark, sf_dir)
+    return _ranked(index.search(asked))
