@@ -15,6 +15,7 @@ from mnemospark.sources import tail as tails
 from mnemospark.sources.store import Store
 from mnemospark.sources.tables import lines
 from mnemospark.streaming import queries as streams
+from mnemospark.streaming import stateful
 
 
 def _written(given: DataFrame, folder: str, share: float) -> None:
@@ -56,3 +57,13 @@ def stream_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = tails.transcript_tail(spark, f"{folder}/in").select("session_id", "project", "line", F.try_variant_get("data", "$.type", "string").alias("type"))
         streams.ingest(found, f"{folder}/state", {"lines": (["session_id"], lambda b: b, lambda old, new: old.union(new))}, store, "tail")
     return store.snapshot().read("lines").groupBy("session_id", "project").agg(F.count("*").alias("n_lines"), F.count_if(F.col("type") == "summary").alias("n_summaries"))
+
+
+@query("""SELECT user_id, count(*) AS messages, count(*) FILTER (WHERE event_type IN ('error', 'click', 'signup')) AS user_messages, date_trunc('millisecond', min(ts)) AS started_at, date_trunc('millisecond', max(ts)) AS last_at FROM events GROUP BY user_id""")
+def stream_running(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions rewritten in a store's table while they run."""
+    store, folder = Store(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"), f"{shared_dir(spark)}/running-{uuid.uuid4().hex}"
+    role = F.when(F.col("event_type").isin("error", "click", "signup"), "user").otherwise("assistant")
+    said = streams.event_stream(spark, sf_dir).select("user_id", "ts", role.alias("role"))
+    stateful.keep_sessions(said, folder, store, "sessions", "user_id").trigger(once=True).start().awaitTermination()
+    return store.snapshot().read("sessions")
