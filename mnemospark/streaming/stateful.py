@@ -24,7 +24,7 @@ def _ready(spark: SparkSession) -> None:
 
 def _ms(rows: pd.Series) -> tuple[int, int]:
     """The first and the last time, in milliseconds."""
-    return int(rows.min().timestamp() * 1000), int(rows.max().timestamp() * 1000)
+    return rows.min().value // 1_000_000, rows.max().value // 1_000_000
 
 
 class Release(StatefulProcessor):
