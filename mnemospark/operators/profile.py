@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from mnemospark.functions import columns as C
 from mnemospark.functions import gates as G
 from mnemospark.functions import patterns as P
-from mnemospark.operators import graph
+from mnemospark.operators import folding
 from mnemospark.operators.staging import materialise
 
 ORDER = ("session_id", "msg_idx")
@@ -123,7 +123,7 @@ def rule_frequencies(found: DataFrame) -> DataFrame:
     return out.select("rule_type", "rule_text", "frequency", F.round(F.least(F.lit(1.0), F.col("c") + 0.05 * (F.col("frequency") - 1)), 4).alias("confidence"))
 
 
-def similar_sets(sets: DataFrame, least: float = 0.7) -> DataFrame:
+def similar_sets(sets: DataFrame, least: float = 0.7, digits: int | None = 4) -> DataFrame:
     """Pairs of different word sets of one kind (id, kind, words) with at least this Jaccard similarity: a, b, similarity.
 
     Sets this similar have a word in common among the first ``n - ceil(least * n) + 1`` of each in order of frequency, and
@@ -140,7 +140,7 @@ def similar_sets(sets: DataFrame, least: float = 0.7) -> DataFrame:
     pairs = pairs.where(1 + F.least(F.col("n") - F.col("i") - 1, F.col("nb") - F.col("ib") - 1) >= overlap)
     met = F.size(F.array_intersect(F.slice("o", F.lit(1), F.col("i")), F.slice("ob", F.lit(1), F.col("ib")))) == 0
     found = pairs.where(met).withColumn("similarity", C.jaccard(F.col("o"), F.col("ob")))
-    return found.where(F.col("similarity") >= least).select("a", "b", F.round("similarity", 4).alias("similarity"))
+    return found.where(F.col("similarity") >= least).select("a", "b", (F.col("similarity") if digits is None else F.round("similarity", digits)).alias("similarity"))
 
 
 def similar_pairs(texts: DataFrame, key: str, text: str, least: float = 0.7) -> DataFrame:
@@ -150,71 +150,70 @@ def similar_pairs(texts: DataFrame, key: str, text: str, least: float = 0.7) ->
     return similar_sets(sets.withColumn("kind", F.lit("")), least)
 
 
-RULES = "rule_type string, rule_text string, scope string, frequency long, confidence double, first_seen struct<session_id:{0},msg_idx:bigint>, last_seen struct<session_id:{0},msg_idx:bigint>, revoked boolean"
-
-
-def learned_rules(found: DataFrame, revoked: DataFrame, least: float = 0.7, revoking: float = 0.5) -> DataFrame:
+def learned_rules(found: DataFrame, revoked: DataFrame, least: float = 0.7, revoking: float = 0.5, block: int = folding.BLOCK) -> DataFrame:
     """Rules folded in order of statement into similar ones of their type that hold, and revoked when users take them back.
 
-    A rule joins the kept one it resembles most, by Jaccard similarity of its words from ``least`` on, and strengthens it; a
-    revocation ends those that have at least ``revoking`` of their words in it, and a later statement starts anew. Only rules
-    within one component of similar wordings can meet, so a component is folded by itself, over runs: statements of one
-    wording and confidence between two of the component's revocations count as one, at the place of the first.
+    A rule joins the kept one it resembles most, by Jaccard similarity of its words from ``least`` on (the earlier of equals),
+    and strengthens it; a revocation ends those that have at least ``revoking`` of their words in it, and a later statement
+    starts anew. Statements of one wording between two revocations of it or of a similar wording have one fate: the first
+    starts a rule or joins one, which then takes the others too. So only the first of each such span is folded
+    (``folding.first_come``, in rounds); the others find the best rule alive by joins, and counts are sums. Of one place (session, message, number of
+    the match) a revocation comes after a statement. Statements without a word that counts or a type are none.
     """
-    session = found.schema["session_id"].dataType.simpleString()
     place = F.struct(*ORDER, "at")
-    stated = found.select(place.alias("place"), "rule_type", "rule_text", "scope", "confidence", F.array_sort(F.array_distinct(G.rule_words(F.col("rule_text")))).alias("words"))
-    stated = materialise(stated.where(F.size("words") > 0), "stated")
-    sets = materialise(stated.groupBy(F.col("rule_type").alias("kind"), "words").agg(F.min("place").alias("first")).select("kind", "words", F.monotonically_increasing_id().alias("id")), "wordings")
-    parts = graph.components(similar_sets(sets, least).select("a", "b"))
-    placed = sets.join(parts.withColumnRenamed("node", "id"), "id", "left").select(F.col("kind").alias("rule_type"), "words", "id", F.coalesce("component", "id").alias("component"))
-
-    # a wording of n words that shares half of them with a revocation shares one of its n - ceil(n / 2) + 1 first
-    some = placed.select("id", "component", "words", F.explode(F.slice("words", F.lit(1), F.size("words") - F.ceil(F.size("words") * revoking).cast("int") + 1)).alias("word"))
-    ends = revoked.select(place.alias("ended"), F.col("words").alias("gone"))
-    met = some.join(ends.select("ended", "gone", F.explode("gone").alias("word")), "word").where(F.size(F.array_intersect("words", "gone")) >= revoking * F.size("words"))
-    events = met.select("component", "ended", "gone").distinct().groupBy("component").agg(F.array_sort(F.collect_list(F.struct("ended", "gone"))).alias("ends"))
-
-    rows = stated.join(placed, ["rule_type", "words"]).join(events, "component", "left")
-    epoch = F.size(F.filter(F.coalesce("ends", F.array().cast(events.schema["ends"].dataType)), lambda e: e["ended"] < F.col("place")))
-    runs = rows.withColumn("epoch", epoch).groupBy("component", "rule_type", "words", "confidence", "epoch").agg(
-        F.min_by("rule_text", "place").alias("rule_text"), F.min_by("scope", "place").alias("scope"), F.min("place").alias("place"), F.max("place").alias("last"), F.count("*").alias("n"), F.first("ends").alias("ends")
-    )
-    runs = runs.withColumn("key", F.concat_ws(":", F.col("epoch"), F.format_string("%020d", F.row_number().over(Window.partitionBy("component").orderBy("place")))))
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
-        at, ends = 0, part["ends"].iloc[0]
-        ends = [] if ends is None else [set(e["gone"]) for e in ends]
-        pick = lambda p: {"session_id": p["session_id"], "msg_idx": p["msg_idx"]}
-
-        def end(gone: set) -> None:
-            for rule in kept:
-                if not rule["revoked"] and len(gone & rule["words"]) >= revoking * len(rule["words"]):
-                    rule["revoked"] = True
-
-        part = part.assign(order=[int(k.split(":")[0]) for k in part["key"]]).sort_values(["order", "key"])
-        for row in part.itertuples(index=False):
-            while at < row.epoch:
-                end(ends[at])
-                at += 1
-            words, best, score = set(row.words), None, 0.0
-            for rule in kept:
-                if not rule["revoked"]:
-                    s = len(words & rule["words"]) / len(words | rule["words"])
-                    if s > score and s >= least:
-                        best, score = rule, s
-            if best is None:
-                kept.append({"words": words, "rule_type": row.rule_type, "rule_text": row.rule_text, "scope": row.scope, "frequency": row.n, "confidence": min(1.0, row.confidence + 0.05 * (row.n - 1)), "first_seen": pick(row.place), "last_seen": pick(row.last), "revoked": False})
-            else:
-                best["frequency"] += row.n
-                best["confidence"] = min(1.0, max(best["confidence"], row.confidence) + 0.05 * row.n)
-                best["last_seen"] = max(best["last_seen"], pick(row.last), key=lambda p: (p["session_id"], p["msg_idx"]))
-        for gone in ends[at:]:
-            end(gone)
-        return pd.DataFrame(kept)[["rule_type", "rule_text", "scope", "frequency", "confidence", "first_seen", "last_seen", "revoked"]]
-
-    return runs.groupBy("component").applyInPandas(fold, RULES.format(session))
+    stated = found.select(place.alias("place"), F.col("rule_type").alias("kind"), "rule_text", "scope", F.col("confidence").cast("double").alias("confidence"), F.array_sort(F.array_distinct(G.rule_words(F.col("rule_text")))).alias("words"))
+    stated = materialise(stated.where((F.size("words") > 0) & F.col("kind").isNotNull()), "said")
+    sets = materialise(stated.select("kind", "words").distinct().select("kind", "words", F.monotonically_increasing_id().alias("id")), "wordings")
+    stated = materialise(stated.join(sets, ["kind", "words"]).drop("words"), "stated")
+    pairs = similar_sets(sets, least, None)
+    near = pairs.select(F.col("a").alias("id"), F.col("b").alias("other"), "similarity").unionByName(pairs.select(F.col("b").alias("id"), F.col("a").alias("other"), "similarity"))
+    near = materialise(near.unionByName(sets.select("id", F.col("id").alias("other"), F.lit(1.0).alias("similarity"))), "near")
+
+    # a wording of n words that shares half of them with a revocation shares one of its n - ceil(n / 2) + 1 first; equal revocations go as one
+    some = sets.select("id", "words", F.explode(F.slice("words", F.lit(1), F.size("words") - F.ceil(F.size("words") * revoking).cast("int") + 1)).alias("word"))
+    ended = materialise(revoked.select(place.alias("place"), F.array_sort(F.array_distinct("words")).alias("gone")), "revoked")
+    texts = ended.select("gone").distinct()
+    met = some.join(texts.select("gone", F.explode("gone").alias("word")), "word").where(F.size(F.array_intersect("words", "gone")) >= revoking * F.size("words"))
+    ends = materialise(met.select("id", "gone").distinct().join(ended, "gone").select("id", "place").distinct(), "ends")
+    cuts = ends.withColumnRenamed("id", "other").join(near, "other").select("id", "place")
+
+    # the first statement of each span, and where a rule that it starts would end
+    spans = _spans(stated, cuts)
+    firsts = spans.groupBy("id", "span").agg(F.min("place").alias("first"))
+    asked = firsts.select("id", F.col("first").alias("place"), F.lit(0).alias("side")).unionByName(ends.select("id", "place", F.lit(1).alias("side")))
+    counted = materialise(folding.running_count(asked, "id", ["place", "side"], F.col("side") == 1, "n"), "asked")
+    stop = counted.where("side = 1").select("id", "n", F.col("place").alias("end"))
+    nodes = counted.where("side = 0").withColumn("n", F.col("n") + 1).join(stop, ["id", "n"], "left").select("id", F.col("place").alias("first"), "end")
+    rules_ = folding.first_come(materialise(nodes, "firsts"), near.select("id", "other"), block)
+    rules_ = materialise(rules_.select("id", "born", "end", F.monotonically_increasing_id().alias("rule")), "rules")
+
+    # every statement goes to the most similar rule alive, of which there may be a new one since its span's beginning
+    births = rules_.select(F.col("id").alias("other"), F.col("born").alias("place")).join(near.where("id <> other"), "other").select("id", "place")
+    spans = _spans(stated, cuts.unionByName(births))
+    firsts = spans.groupBy("id", "span").agg(F.min("place").alias("first"))
+    alive = firsts.join(near, "id").join(rules_.withColumnRenamed("id", "other"), "other").where(folding.alive(F.col("first"), F.col("born"), F.col("end"), F.col("id") == F.col("other")))
+    best = alive.groupBy("id", "span").agg(F.min_by("rule", F.struct(-F.col("similarity"), "born")).alias("rule"))
+    joined = materialise(spans.join(best, ["id", "span"]).select("rule", "id", "place", "confidence", "rule_text", "scope"), "joined")
+
+    # in order of statement, c = min(1, max(c, own) + 0.05): the largest of each confidence where it comes first, 0.05 more for each statement since
+    kinds = joined.groupBy("rule", "confidence").agg(F.min("place").alias("place"))
+    listed = kinds.groupBy("rule").agg(F.collect_list(F.struct("confidence", "place")).alias("levels"))
+    since = joined.select("rule", "place").join(listed, "rule").select("rule", "place", F.explode("levels").alias("l")).where("place >= l.place")
+    since = since.groupBy("rule", "l").agg(F.count("*").alias("n"), F.min("place").alias("at"))
+    whole = joined.groupBy("rule").agg(F.count("*").alias("frequency"), F.min("place").alias("born"), F.max("place").alias("last"))
+    level = F.col("l.confidence") + F.lit(0.05) * (F.col("n") - F.when(F.col("at") == F.col("born"), 1).otherwise(0))
+    sure = since.join(whole.select("rule", "born"), "rule").groupBy("rule").agg(F.least(F.lit(1.0), F.max(level)).alias("confidence"))
+    heads = joined.join(rules_.select("rule", "id", F.col("born").alias("place")), ["rule", "id", "place"]).groupBy("rule", "id").agg(F.min("rule_text").alias("rule_text"), F.min("scope").alias("scope"))
+    out = whole.join(sure, "rule").join(heads, "rule").join(rules_.select("rule", "end"), "rule").join(sets.select("id", F.col("kind").alias("rule_type")), "id")
+    seen = lambda p: F.struct(*[F.col(f"{p}.{c}").alias(c) for c in ORDER])
+    return out.select("rule_type", "rule_text", "scope", "frequency", "confidence", seen("born").alias("first_seen"), seen("last").alias("last_seen"), F.col("end").isNotNull().alias("revoked"))
+
+
+def _spans(stated: DataFrame, cuts: DataFrame) -> DataFrame:
+    """Statements with the number of cuts of their wording (id, place) before them; a cut at a statement's place comes after it."""
+    marks = cuts.select("id", "place").distinct().select("id", "place", F.lit(1).alias("side"), *[F.lit(None).cast(stated.schema[c].dataType).alias(c) for c in stated.columns if c not in ("id", "place")])
+    both = stated.withColumn("side", F.lit(0)).unionByName(marks)
+    return folding.running_count(both, "id", ["place", "side"], F.col("side") == 1, "span").where("side = 0").drop("side")
 
 
 def decayed_rules(found: DataFrame, as_of: Column, limit: int | None = None) -> DataFrame:

@@ -144,14 +144,14 @@ def _rule_matches() -> str:
         two, conditional = p.count("([a-zA-Z0-9_-]+)") == 2, i >= len(P.RULE_PATTERNS)
         text = f"list_transform(list_zip({g(1)}, {g(2)}), lambda z: z[1] || ' over ' || z[2])" if two else g(2) if conditional else g(1)
         own = g(1) if conditional else f"list_transform({g(1)}, lambda z: NULL::VARCHAR)"
-        parts.append(f"SELECT session_id, msg_idx, content, {i} AS place, '{kind}' AS rule_type, {c}::DOUBLE AS confidence, unnest({text}) AS found, unnest({own}) AS own FROM {user}")
+        parts.append(f"SELECT session_id, msg_idx, content, {i} AS place, '{kind}' AS rule_type, {c}::DOUBLE AS confidence, unnest({text}) AS found, unnest({own}) AS own, generate_subscripts({g(1)}, 1) AS pos FROM {user}")
     return " UNION ALL ".join(parts)
 
 
 _SCOPE = "coalesce(" + ", ".join(f"CASE WHEN x{i} <> '' AND x{i} NOT IN ({_ISIN(P.NO_SCOPES)}) THEN x{i} END" for i in range(len(P.SCOPE_PATTERNS))) + ")"
-_ALL_RULES = f"""ra AS ({_rule_matches()}),
+_ALL_RULES = f"""ra AS (SELECT *, row_number() OVER (PARTITION BY session_id, msg_idx ORDER BY place, pos) - 1 AS nth FROM ({_rule_matches()})),
   rb AS (SELECT *, {strip("found")} AS rule_text, {", ".join(f"{strip(f'regexp_extract(lower(content), {_LITERAL(p)}, 1)')} AS x{i}" for i, p in enumerate(P.SCOPE_PATTERNS))} FROM ra),
-  rc AS (SELECT session_id, msg_idx, place, rule_type, rule_text, confidence, CASE WHEN place < {len(P.RULE_PATTERNS)} THEN {_SCOPE} ELSE {strip("own")} END AS scope FROM rb
+  rc AS (SELECT session_id, msg_idx, nth, place, rule_type, rule_text, confidence, CASE WHEN place < {len(P.RULE_PATTERNS)} THEN {_SCOPE} ELSE {strip("own")} END AS scope FROM rb
     WHERE length(rule_text) BETWEEN 5 AND 150 AND NOT suffix({strip("content")}, '?') AND NOT {any_of("lower(content)", P.NO_RULE_MESSAGES)} AND NOT {any_of("lower(rule_text)", P.RULE_FILTER_WORDS)}
       AND NOT {any_of("rule_text", P.NO_RULE_SIGNS)} AND NOT regexp_matches(rule_text, '^[-*]') AND NOT regexp_matches(rule_text, '^[0-9][.):]') AND {letters("rule_text")} >= 0.75 AND NOT {any_of("lower(rule_text)", P.NO_RULE_PHRASES)})"""
 
@@ -161,19 +161,35 @@ def rules_all_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.rules(said(spark, sf_dir)).select("session_id", "msg_idx", "rule_type", "rule_text", "scope", F.col("confidence").cast("double").alias("confidence"))
 
 
-@query()
+_WORDS = lambda text: f"list_filter(string_split_regex(trim(regexp_replace(lower({text}), '[^\\w\\s]', ' ', 'g')), '\\s+'), lambda w: w NOT IN ({_ISIN(P.RULE_FILLERS)}) AND length(w) > 1)"
+
+_REVOCATIONS = f"""va AS (SELECT *, row_number() OVER (PARTITION BY session_id, msg_idx ORDER BY place, pos) - 1 AS nth FROM ({matches(f"(SELECT session_id, msg_idx, lower(content) AS content FROM s WHERE role = 'user' AND NOT {any_of('lower(content)', P.RULE_NOISE)})", [(p, 1, {}) for p in P.REVOCATION_PATTERNS])})),
+  vb AS (SELECT session_id, msg_idx, nth, {_WORDS("found")} AS w FROM va), vc AS (SELECT session_id, msg_idx, nth, list_distinct(w) AS words FROM vb WHERE length(array_to_string(w, ' ')) >= 5)"""
+_RULE = "STRUCT(kind VARCHAR, words VARCHAR[], text VARCHAR, scope VARCHAR, n BIGINT, c DOUBLE, s BIGINT, m BIGINT, revoked BOOLEAN)"
+_COMMON = "len(list_intersect(x.words, ev.words))::DOUBLE"
+_LIKE = f"CASE WHEN x.kind = ev.kind AND NOT x.revoked THEN {_COMMON} / (len(x.words) + len(ev.words) - {_COMMON}) ELSE 0.0::DOUBLE END"
+_FIELDS = "kind := x.kind, words := x.words, text := x.text, scope := x.scope"
+
+
+@query(f"""WITH RECURSIVE {SAID}, {_ALL_RULES}, {_REVOCATIONS},
+  said AS (SELECT session_id, msg_idx, nth, 0 AS side, rule_type AS kind, substr(rule_text, 1, 200) AS text, scope, confidence, list_distinct({_WORDS("substr(rule_text, 1, 200)")}) AS words FROM rc
+    UNION ALL SELECT session_id, msg_idx, nth, 1, NULL, NULL, NULL, NULL, words FROM vc),
+  ev AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY session_id, msg_idx, nth, side) AS i FROM said WHERE len(words) > 0),
+  fold AS (SELECT 0::BIGINT AS i, []::{_RULE}[] AS kept
+    UNION ALL SELECT i, CASE WHEN kind IS NULL THEN list_transform(kept, lambda x: struct_pack({_FIELDS}, n := x.n, c := x.c, s := x.s, m := x.m, revoked := x.revoked OR common(x.words, words)))
+      WHEN best IS NULL THEN list_append(kept, struct_pack(kind := kind, words := words, text := text, scope := scope, n := 1::BIGINT, c := confidence, s := session_id, m := msg_idx, revoked := false))
+      ELSE list_transform(kept, lambda x, j: struct_pack({_FIELDS}, n := x.n + (j = best)::BIGINT, c := CASE WHEN j = best THEN least(1.0::DOUBLE, greatest(x.c, confidence) + 0.05::DOUBLE) ELSE x.c END, s := x.s, m := x.m, revoked := x.revoked)) END
+    FROM (SELECT ev.*, kept, list_transform(kept, lambda x: {_LIKE}) AS likes, CASE WHEN len(kept) > 0 AND list_max(likes) >= 0.7 THEN list_position(likes, list_max(likes)) END AS best FROM fold JOIN ev ON ev.i = fold.i + 1)),
+  last AS (SELECT unnest(kept) AS r FROM (SELECT kept FROM fold ORDER BY i DESC LIMIT 1))
+  SELECT r.kind AS rule_type, r.text AS rule_text, r.scope AS scope, r.n AS frequency, round(r.c, 4) AS confidence, r.s AS first_session, r.m AS first_msg, r.revoked AS revoked FROM last""".replace("common(x.words, words)", "len(list_intersect(x.words, words)) >= 0.5 * len(x.words)"))
 def rules_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rules after folding similar ones and revocations, which depends on order; tested against a plain fold."""
+    """Rules after folding similar ones and revocations in order; the SQL folds statement by statement."""
     m = said(spark, sf_dir)
     out = profile.learned_rules(profile.rules(m), profile.revocations(m))
     return out.select("rule_type", "rule_text", "scope", "frequency", F.round("confidence", 4).alias("confidence"), F.col("first_seen.session_id").alias("first_session"), F.col("first_seen.msg_idx").alias("first_msg"), "revoked")
 
 
-_WORDS = lambda text: f"list_filter(string_split_regex(trim(regexp_replace(lower({text}), '[^\\w\\s]', ' ', 'g')), '\\s+'), lambda w: w NOT IN ({_ISIN(P.RULE_FILLERS)}) AND length(w) > 1)"
-
-
-@query(f"""WITH {SAID}, va AS ({matches(f"(SELECT session_id, msg_idx, lower(content) AS content FROM s WHERE role = 'user' AND NOT {any_of('lower(content)', P.RULE_NOISE)})", [(p, 1, {}) for p in P.REVOCATION_PATTERNS])}),
-  vb AS (SELECT session_id, msg_idx, {_WORDS("found")} AS w FROM va) SELECT session_id, msg_idx, array_to_string(list_sort(list_distinct(w)), ' ') AS words FROM vb WHERE length(array_to_string(w, ' ')) >= 5""")
+@query(f"WITH {SAID}, {_REVOCATIONS} SELECT session_id, msg_idx, array_to_string(list_sort(words), ' ') AS words FROM vc")
 def rule_revocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.revocations(said(spark, sf_dir)).select("session_id", "msg_idx", F.array_join(F.array_sort("words"), " ").alias("words"))
 
