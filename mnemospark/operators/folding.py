@@ -16,7 +16,7 @@ BLOCK = 20_000
 
 
 def running_count(rows: DataFrame, key: str, order: list[str], flag: Column, name: str) -> DataFrame:
-    """``rows`` with the number of flagged rows of the same key at or before each, by ``order``.
+    """``rows`` with the number of flagged rows (or the sum of whole numbers) of the same key at or before each, by ``order``.
 
     Rows are dealt out by ranges of key and order, so that a hot key lies in many tasks; counts go from range to range with
     one row a key and range. Rows equal in key and order count as one place: flags among them count for all of them.

@@ -195,16 +195,14 @@ def learned_rules(found: DataFrame, revoked: DataFrame, least: float = 0.7, revo
     best = alive.groupBy("id", "span").agg(F.min_by("rule", F.struct(-F.col("similarity"), "born")).alias("rule"))
     joined = materialise(spans.join(best, ["id", "span"]).select("rule", "id", "place", "confidence", "rule_text", "scope"), "joined")
 
-    # in order of statement, c = min(1, max(c, own) + 0.05): the largest of each confidence where it comes first, 0.05 more for each statement since
-    kinds = joined.groupBy("rule", "confidence").agg(F.min("place").alias("place"))
-    listed = kinds.groupBy("rule").agg(F.collect_list(F.struct("confidence", "place")).alias("levels"))
-    since = joined.select("rule", "place").join(listed, "rule").select("rule", "place", F.explode("levels").alias("l")).where("place >= l.place")
-    since = since.groupBy("rule", "l").agg(F.count("*").alias("n"), F.min("place").alias("at"))
-    whole = joined.groupBy("rule").agg(F.count("*").alias("frequency"), F.min("place").alias("born"), F.max("place").alias("last"))
-    level = F.col("l.confidence") + F.lit(0.05) * (F.col("n") - F.when(F.col("at") == F.col("born"), 1).otherwise(0))
-    sure = since.join(whole.select("rule", "born"), "rule").groupBy("rule").agg(F.least(F.lit(1.0), F.max(level)).alias("confidence"))
+    # in order of statement, c = min(1, max(c, own) + 0.05), so in the end the largest of own plus 0.05 for each statement from it on
+    at = joined.groupBy("rule", "place").agg(F.count("*").alias("k"), F.max("confidence").alias("own"))
+    ranked = folding.running_count(at, "rule", ["place"], F.col("k"), "through")
+    level = F.col("own") - F.lit(0.05) * (F.col("through") - F.col("k") + F.when(F.col("through") == F.col("k"), 1).otherwise(0))
+    whole = ranked.groupBy("rule").agg(F.sum("k").alias("frequency"), F.min("place").alias("born"), F.max("place").alias("last"), F.max(level).alias("level"))
+    whole = whole.withColumn("confidence", F.least(F.lit(1.0), F.col("level") + F.lit(0.05) * F.col("frequency"))).drop("level")
     heads = joined.join(rules_.select("rule", "id", F.col("born").alias("place")), ["rule", "id", "place"]).groupBy("rule", "id").agg(F.min("rule_text").alias("rule_text"), F.min("scope").alias("scope"))
-    out = whole.join(sure, "rule").join(heads, "rule").join(rules_.select("rule", "end"), "rule").join(sets.select("id", F.col("kind").alias("rule_type")), "id")
+    out = whole.join(heads, "rule").join(rules_.select("rule", "end"), "rule").join(sets.select("id", F.col("kind").alias("rule_type")), "id")
     seen = lambda p: F.struct(*[F.col(f"{p}.{c}").alias(c) for c in ORDER])
     return out.select("rule_type", "rule_text", "scope", "frequency", "confidence", seen("born").alias("first_seen"), seen("last").alias("last_seen"), F.col("end").isNotNull().alias("revoked"))
 
