@@ -56,18 +56,9 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
 
 
-#: Endings that an English stem loses, our own rule: the longest that leaves three letters.
-_ENDINGS = "ational|ations|ation|ingly|edly|ings|ness|ment|able|ing|ies|ied|est|ed|es|er|ly|s|e|y"
-
-
-def stem(word: str) -> str:
-    return re.sub(rf"^([a-z]{{3,}}?)(?:{_ENDINGS})$", r"\1", word)
-
-
-def stems(text: Column) -> Column:
-    """English stems of the lower-cased words of a text, without stopwords."""
-    kept = F.filter(tokens(text), lambda w: ~w.isin(P.SEARCH_STOPWORDS))
-    return F.transform(kept, lambda w: F.regexp_replace(w, f"^([a-z]{{3,}}?)(?:{_ENDINGS})$", "$1"))
+def content_tokens(text: Column) -> Column:
+    """Lower-cased runs of ASCII letters and digits that are no stopwords."""
+    return F.filter(tokens(text), lambda w: ~w.isin(P.SEARCH_STOPWORDS))
 
 
 def vocabulary_terms(text: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql.window import Window
 
 from mnemospark.functions import columns as C
 from mnemospark.functions import patterns as P
+from mnemospark.functions import stemming
 
 
 def parse(query: str) -> tuple[list[str], bool]:
@@ -25,15 +27,36 @@ def _equals(term: str):
     return lambda x: x == F.lit(term)
 
 
-def bm25(docs: DataFrame, key: str, text: Column, terms: list[str], all_terms: bool = False, analyse=C.tokens) -> DataFrame:
+#: So many different words of a query's stems go into an expression; beyond that, words are stemmed where they stand.
+MOST_FORMS = 10_000
+
+
+def _by_stem(docs: DataFrame, text: Column, terms: list[str], most: int = MOST_FORMS):
+    """For each stem, what tells whether a word has it.
+
+    Distinct words that begin as every word of a stem does are stemmed once; the few that have a wanted stem become a list. The
+    count in the condition keeps it above the aggregation, which would else stem every word of every text.
+    """
+    beginnings = sorted({stemming.kept_beginning(t) for t in terms})
+    words = docs.select(F.explode(F.array_distinct(F.filter(C.tokens(text), lambda x: C.starts_with_any(x, beginnings)))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    found = [r["word"] for r in words.where((F.col("n") == 0) | stemming.stem_column(F.col("word")).isin(terms)).select("word").limit(most + 1).collect()]
+    if len(found) > most:
+        return lambda term: lambda x: F.startswith(x, F.lit(stemming.kept_beginning(term))) & (stemming.stem_column(x) == F.lit(term))
+    forms = {t: sorted(w for w in found if stemming.stem(w) == t) for t in terms}
+    return lambda term: lambda x: x.isin(forms[term])
+
+
+def bm25(docs: DataFrame, key: str, text: Column, terms: list[str], all_terms: bool = False, stems: bool = False) -> DataFrame:
     """(key, score) of the documents that hold a term, or all of them. Rows of one key are one document.
 
     Every row counts the query's terms and its own length, and rows of a key are added up with map-side sums, so that no
-    document is ever put together. The corpus statistics are one row. ``analyse`` makes the terms of a text.
+    document is ever put together. The corpus statistics are one row. With ``stems``, the terms are English stems, and
+    stopwords of the documents do not count.
     """
-    wanted = sorted(set(t.lower() for t in terms))
+    wanted, analyse = sorted(set(t.lower() for t in terms)), C.content_tokens if stems else C.tokens
+    same = _by_stem(docs, text, wanted) if stems else _equals
     counted = docs.select(key, analyse(text).alias("tokens")).select(
-        key, F.size("tokens").alias("dl"), *[F.size(F.filter("tokens", _equals(t))).alias(f"tf{i}") for i, t in enumerate(wanted)]
+        key, F.size("tokens").alias("dl"), *[F.size(F.filter("tokens", same(t))).alias(f"tf{i}") for i, t in enumerate(wanted)]
     )
     counted = counted.groupBy(key).agg(F.sum("dl").alias("dl"), *[F.sum(f"tf{i}").alias(f"tf{i}") for i in range(len(wanted))])
     totals = counted.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))])
@@ -57,10 +80,47 @@ def keyword_top(docs: DataFrame, key: str, columns: list[str], query: str, limit
     terms, every = parse(query)
     parts = [F.array_join(c, " ") if dict(docs.dtypes)[c].startswith("array") else F.col(c) for c in columns]
     if stems:
-        terms = sorted({C.stem(t) for t in terms if t not in P.SEARCH_STOPWORDS})
+        terms = sorted({stemming.stem(t) for t in terms if t not in P.SEARCH_STOPWORDS})
     if not terms:
         return docs.select(key, F.lit(0.0).alias("score")).limit(0)
-    return bm25(docs, key, F.concat_ws(" ", *parts), terms, every, C.stems if stems else C.tokens).orderBy(F.desc(F.round("score", 9)), key).limit(limit)
+    return bm25(docs, key, F.concat_ws(" ", *parts), terms, every, stems).orderBy(F.desc(F.round("score", 9)), key).limit(limit)
+
+
+#: Fixed values of the public full-text rank: the weight of a word without a label, the sum of 1/k**2, the reach of a pair.
+WORD_WEIGHT, INVERSE_SQUARES, RANK_REACH = 0.1, 1.64493406685, 100
+
+
+def ranked(docs: DataFrame, keys: list[str], columns: list[str], query: str, limit: int | None = None, most: int = MOST_FORMS) -> DataFrame:
+    """(keys, rank): rows that hold the English stems of all words of a query in some columns, by how near the words stand.
+
+    Stop words neither ask nor match, but have positions; a query of stop words alone finds nothing. Two different words at
+    distance d weigh 0.1 * sqrt(1 / (1.005 + 0.05 * exp(d / 1.5 - 2))), and a row ranks at 1 minus the product of what the
+    weights leave; pairs more than 100 words apart weigh less than 1e-16 and are left out, so that a row whose words never
+    come nearer ranks at 0. A single word ranks at 0.1 / 1.64493 times the sum of 1 / k**2 over its occurrences. Null columns are
+    empty; a repeated row is a row of its own. Equal ranks (nine digits) go by keys.
+
+    The words of the wanted stems come from one aggregation over distinct words. The rest happens inside a row, so that nothing
+    is shuffled but the best ``limit`` rows a task; a hit meets at most the 100 hits before it.
+    """
+    terms = sorted({stemming.stem(t) for t in parse(query)[0] if t not in stemming.ENGLISH_STOPWORDS})
+    if not terms:
+        return docs.select(*keys, F.lit(0.0).alias("rank")).limit(0)
+    text = F.concat_ws(" ", *columns)
+    same = _by_stem(docs, text, terms, most)
+    asked = lambda x: ~x.isin(stemming.ENGLISH_STOPWORDS) & reduce(lambda a, b: a | b, [same(t)(x) for t in terms])
+    which = lambda x: F.coalesce(*[F.when(same(t)(x), i) for i, t in enumerate(terms)])
+    placed = F.filter(F.transform(C.tokens(text), lambda w, i: F.struct(i.alias("pos"), w.alias("word"))), lambda x: asked(x["word"]))
+    rows = docs.select(*keys, F.transform(placed, lambda x: F.struct(x["pos"].alias("pos"), which(x["word"]).alias("term"))).alias("hits"))
+    rows = rows.where(F.size(F.array_distinct(F.transform("hits", lambda x: x["term"]))) == len(terms))
+    if len(terms) == 1:
+        rank = F.aggregate(F.sequence(F.lit(1), F.size("hits")), F.lit(0.0), lambda s, k: s + WORD_WEIGHT / (k.cast("double") * k)) / INVERSE_SQUARES
+    else:
+        left = lambda h, o: 1 - WORD_WEIGHT * F.sqrt(1 / (1.005 + 0.05 * F.exp((h["pos"] - o["pos"]) / 1.5 - 2)))
+        near = lambda h, o: (o["term"] != h["term"]) & (h["pos"] - o["pos"] <= RANK_REACH)
+        before = lambda i: F.slice("hits", F.greatest(i - RANK_REACH, F.lit(0)) + 1, F.least(i, F.lit(RANK_REACH)))
+        rank = 1 - F.aggregate(F.transform("hits", lambda h, i: F.aggregate(before(i), F.lit(1.0), lambda p, o: F.when(near(h, o), p * left(h, o)).otherwise(p))), F.lit(1.0), lambda p, q: p * q)
+    out = rows.select(*keys, rank.alias("rank"))
+    return out if limit is None else out.orderBy(F.desc(F.round("rank", 9)), *keys).limit(limit)
 
 
 def with_decay(results: DataFrame, score: str, ts: str, as_of: Column, half_life: float = P.HALF_LIFE_DAYS) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions import columns as C
 from mnemospark.functions import patterns as P
+from mnemospark.functions import stemming
 from mnemospark.operators import fuzzy, search, vectors
 from mnemospark.plans.registry import AS_OF, EVENTS, TURNS, query, strip
 from mnemospark.sources.tables import events, table, turns
@@ -57,15 +58,36 @@ def search_keyword_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.keyword_top(table(spark, sf_dir, "conversations"), "conv_id", ["text"], "with OR avec OR der", 25).select("conv_id", F.round("score", 4).alias("score"))
 
 
-_STEM = lambda w: f"regexp_replace({w}, '^([a-z]{{3,}}?)(?:{C._ENDINGS})$', '\\1')"
-_STEMMED = _BM25_OF.replace("regexp_extract_all(lower(text), '[a-z0-9]+')", f"list_transform(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: x NOT IN ({', '.join(repr(w) for w in P.SEARCH_STOPWORDS)})), lambda x: {_STEM('x')})")
+_STEMMED = _BM25_OF.replace("regexp_extract_all(lower(text), '[a-z0-9]+')", f"list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: x NOT IN ({', '.join(repr(w) for w in P.SEARCH_STOPWORDS)}))")
+_STEMMED = _STEMMED.replace("lambda x: x = term", f"lambda x: starts_with(x, term[:-3]) AND ({stemming.stem_sql('x')}) = term")
 
 
-@query("WITH" + _STEMMED.replace("TERMS", ", ".join(repr(w) for w in sorted({C.stem("thtion"), C.stem("threedin")}))) + " SELECT conv_id, round(score, 4) AS score FROM s WHERE hits > 0 ORDER BY round(s.score, 9) DESC, conv_id LIMIT 25")
+@query("WITH" + _STEMMED.replace("TERMS", "'thtion', 'threedin'") + " SELECT conv_id, round(score, 4) AS score FROM s WHERE hits > 0 ORDER BY round(s.score, 9) DESC, conv_id LIMIT 25")
 def search_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.keyword_top(table(spark, sf_dir, "conversations"), "conv_id", ["text"], "thtions OR threedin", 25, stems=True).select("conv_id", F.round("score", 4).alias("score"))
 
 
+_STOPPED = ", ".join(repr(w) for w in stemming.ENGLISH_STOPWORDS)
+_HITS = """w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word, generate_subscripts(regexp_extract_all(lower(text), '[a-z0-9]+'), 1) AS pos FROM documents),
+  c AS (SELECT * FROM w WHERE regexp_matches(word, '^(BEGINNINGS)') AND word NOT IN (""" + _STOPPED + f""")),
+  h AS (SELECT doc_id, pos, {stemming.stem_sql('word')} AS term FROM c),
+  k AS (SELECT * FROM h WHERE term IN (TERMS))"""
+
+
+@query("WITH " + _HITS.replace("BEGINNINGS", "o|e").replace("TERMS", "'one', 'ere'") + """, pairs AS (
+    SELECT a.doc_id, sum(ln(1 - 0.1::DOUBLE * sqrt(1 / (1.005::DOUBLE + 0.05::DOUBLE * exp((b.pos - a.pos) / 1.5::DOUBLE - 2))))) AS left_over FROM k a JOIN k b ON a.doc_id = b.doc_id AND b.pos > a.pos AND b.pos <= a.pos + 100 AND a.term <> b.term GROUP BY a.doc_id),
+  r AS (SELECT doc_id, 1 - exp(coalesce(left_over, 0)) AS rank FROM (SELECT doc_id FROM k GROUP BY doc_id HAVING count(DISTINCT term) = 2) JOIN pairs USING (doc_id))
+  SELECT doc_id, round(rank, 6) AS rank FROM r ORDER BY round(r.rank, 9) DESC, doc_id LIMIT 30""")
+def search_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(table(spark, sf_dir, "documents"), ["doc_id"], ["text"], "ered the oning", 30).select("doc_id", F.round("rank", 6).alias("rank"))
+
+
+@query("WITH " + _HITS.replace("BEGINNINGS", "o").replace("TERMS", "'one'") + """, n AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS j FROM k), r AS (SELECT doc_id, 0.1::DOUBLE * sum(1::DOUBLE / (j * j)) / 1.64493406685::DOUBLE AS rank FROM n GROUP BY doc_id)
+  SELECT doc_id, round(rank, 6) AS rank FROM r""")
+def search_ranked_word(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.ranked(table(spark, sf_dir, "documents"), ["doc_id"], ["text"], "onedly").select("doc_id", F.round("rank", 6).alias("rank"))
+
+
 _NEAREST = """v AS (SELECT label AS session_id, max(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings ORDER BY vec_id LIMIT 1))) AS score FROM embeddings GROUP BY label ORDER BY score DESC, session_id LIMIT 10)"""
 
 
