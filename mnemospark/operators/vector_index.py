@@ -3,7 +3,9 @@
 Cells and codes are learned by k-means on a bounded sample (``SAMPLE`` vectors a cell, at most ``MOST_CELLS`` cells); then
 every vector is placed. A row holds its cell, its session and chunk, further columns to filter by, the vector, and a byte for
 each part of what is left of it after its cell's centre. A search scores the codes of the nearest cells only, and computes
-cosines for the best of these. A cell with very many vectors is dealt out in blocks, which all meet the cell's queries.
+cosines for the best of these. Cells are put together to blocks of about equal size (one with very many vectors is dealt out
+to several), queries go to the blocks of their cells in groups. Vectors travel with their block, so that cosines are computed
+there, and only the best sessions of a query and block leave it.
 """
 
 from __future__ import annotations
@@ -21,8 +23,8 @@ from mnemospark.operators.staging import materialise
 from mnemospark.sources.store import SHARD, Store
 
 SAMPLE, MOST_CELLS, PARTS, CODES = 32, 1024, 16, 256
-#: Vectors of a cell that one task scores; candidates that are re-ranked for each result, at least.
-BLOCK, RERANKED = 50_000, 20
+#: Vectors and queries that meet in one task; queries whose scores are held at a time; candidates that are re-ranked for each result, at least.
+BLOCK, GROUP, SLICE, RERANKED = 20_000, 4096, 64, 20
 #: Share of the nearest neighbours within the sample that cells and candidates are to hold; vectors of the sample that are asked for them.
 HELD, ASKED = 0.98, 500
 
@@ -47,6 +49,41 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) ->
     return centres
 
 
+def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products row by row, added up in the order of dimensions, so that equal vectors have equal ones."""
+    out = np.zeros(len(a))
+    for d in range(a.shape[1]):
+        out += a[:, d] * b[:, d]
+    return out
+
+
+def best_sessions(x: np.ndarray, v: np.ndarray, near: np.ndarray, kept: np.ndarray | None, session: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, row, cosine to 12 digits) of the best row of each of the best ``limit`` sessions of every query.
+
+    ``near`` holds the cosines as matrix products give them, ``kept`` which rows count for which query (all, if None). Rows stand
+    in the order of session (given as numbers) and chunk; of equal ones the first counts. All that may be among the best by
+    ``near`` is computed anew.
+    """
+    if kept is not None:
+        near = np.where(kept, near, -np.inf)
+    starts = np.flatnonzero(np.concatenate(([True], session[1:] != session[:-1])))
+    top = np.maximum.reduceat(near, starts, axis=1)
+    k = min(limit, top.shape[1])
+    least = np.partition(top, top.shape[1] - k, axis=1)[:, top.shape[1] - k]
+    top = np.where(top >= least[:, None] - 1e-9, top, np.inf)
+    number = np.cumsum(np.isin(np.arange(len(session)), starts)) - 1
+    q, row = np.nonzero((near >= top[:, number] - 1e-9) & np.isfinite(near))
+    score = np.round(dots(v[row], x[q]) / (np.sqrt(dots(v, v))[row] * np.sqrt(dots(x, x))[q]), 12)
+    order = np.lexsort((row, -score, number[row], q))
+    q, row, score = q[order], row[order], score[order]
+    first = np.concatenate(([True], (q[1:] != q[:-1]) | (number[row[1:]] != number[row[:-1]])))[: len(q)]
+    q, row, score = q[first], row[first], score[first]
+    order = np.lexsort((row, -score, q))
+    q, row, score = q[order], row[order], score[order]
+    place = np.arange(len(q)) - np.searchsorted(q, q)
+    return q[place < limit], row[place < limit], score[place < limit]
+
+
 class Quantiser:
     """Centres of cells, and for each part of the dimensions the centres of its codes."""
 
@@ -65,7 +102,8 @@ class Quantiser:
 
     @staticmethod
     def _nearest(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
-        return np.argsort((centres * centres).sum(1) - 2 * x @ centres.T, axis=1, kind="stable")[:, :n]
+        away = (centres * centres).sum(1) - 2 * x @ centres.T
+        return away.argmin(1)[:, None] if n == 1 else np.argsort(away, axis=1, kind="stable")[:, :n]
 
     def padded(self, x: np.ndarray) -> np.ndarray:
         return np.pad(x, ((0, 0), (0, self.centres.shape[1] - x.shape[1])))
@@ -93,17 +131,17 @@ class Quantiser:
         n = min(limit + 1, len(x))
         home = self.cells(x)[:, 0]
         cell_places, vector_places = [], []
-        codes = self.encode(x, home)
-        for q in range(min(ASKED, len(x))):
+        codes, asked = self.encode(x, home), min(ASKED, len(x))
+        guesses = np.empty((asked, len(x)))
+        for c in np.unique(home):
+            guesses[:, home == c] = self.scores(x[:asked], codes[home == c], c)
+        for q in range(asked):
             near = np.argsort(-(x @ x[q]), kind="stable")[:n]
             place = np.empty(len(self.centres), np.int64)
             place[self.cells(x[q : q + 1], len(self.centres))[0]] = np.arange(len(self.centres))
             cell_places.append(place[home[near]])
-            guess = np.empty(len(x))
-            for c in np.unique(home):
-                guess[home == c] = self.scores(x[q : q + 1], codes[home == c], c)[0]
             order = np.empty(len(x), np.int64)
-            order[np.argsort(-guess, kind="stable")] = np.arange(len(x))
+            order[np.argsort(-guesses[q], kind="stable")] = np.arange(len(x))
             vector_places.append(order[near])
         most = lambda places: int(np.quantile(np.concatenate(places), HELD, method="higher")) + 1 if places else 1
         return most(cell_places), -(-most(vector_places) // limit)
@@ -184,8 +222,8 @@ class VectorIndex:
         """(query_id, session_id, chunk, score, rank): for queries (query_id, query), the best chunk of each session, best sessions first.
 
         ``probes`` cells are looked at and ``reranked`` candidates compared, by default as many as held nearly all neighbours within
-        the sample. ``scope`` is a condition on the rows; as many more cells are looked at as it leaves fewer rows. ``exact`` looks
-        at all cells and re-ranks all their vectors. Scores are compared to 12 digits.
+        the sample. ``scope`` is a condition on the rows; as many more cells are looked at as it leaves fewer rows. ``exact`` compares
+        every query with every vector, whose number of comparisons is by nature their product; what leaves a block is ``limit`` rows a query. Scores are compared to 12 digits.
         """
         found = self.store.snapshot().read(f"{self.name}_model").first()
         model, probes = Quantiser.loaded(bytes(found["model"])), probes or found["probes"]
@@ -194,12 +232,15 @@ class VectorIndex:
         total, kept = sum(r.n for r in sizes), sum(r.kept for r in sizes)
         cells = len(model.centres)
         probes = cells if exact else max(1, min(cells, -(-probes * total // max(1, kept))))
-        reranked = 1 << 62 if exact else reranked or found["reranked"] * limit
+        reranked = reranked or found["reranked"] * limit
         if scope is not None:
             lists = lists.where(scope)
         spark = lists.sparkSession
         shared = spark.sparkContext.broadcast(model.dumped())
         ids = {c: queries.schema[c].dataType.simpleString() for c in ("query_id",)} | {c: lists.schema[c].dataType.simpleString() for c in ("session_id", "chunk")}
+        first, blocks = _blocks({r.cell: r.kept for r in sizes}, cells)  # of each cell
+        every = int((first + blocks).max())
+        groups = max(1, -(-queries.count() // GROUP))
 
         def probed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             q = Quantiser.loaded(shared.value)
@@ -211,37 +252,54 @@ class VectorIndex:
                     batch, x = batch[some], x[some]
                     if not len(batch):
                         continue
-                    near = q.cells(x, probes)
-                    yield pd.DataFrame({"query_id": np.repeat(batch["query_id"].to_numpy(), near.shape[1]), "cell": near.ravel(), "query": [v for v in x for _ in range(near.shape[1])]})
+                    if exact:
+                        of = [np.arange(every)] * len(batch)
+                    else:
+                        of = [np.unique(np.concatenate([np.arange(first[c], first[c] + blocks[c]) for c in near])) for near in q.cells(x, probes)]
+                    n = [len(b) for b in of]
+                    yield pd.DataFrame({"query_id": np.repeat(batch["query_id"].to_numpy(), n), "block": np.concatenate(of), "query": [v for v, k in zip(batch["query"], n, strict=True) for _ in range(k)]})
 
         def scored(key: tuple, own: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-            q, out = Quantiser.loaded(shared.value), []
+            out = []
             if len(own) and len(rows):
-                rows = rows.sort_values(["session_id", "chunk"]).reset_index(drop=True)
-                codes = np.frombuffer(b"".join(rows["codes"]), np.uint8).reshape(len(rows), -1)
-                for at in range(0, len(own), 64):
-                    part = own.iloc[at : at + 64]
-                    found = q.scores(np.stack(part["query"]), codes, key[0])
-                    top = np.argsort(-found, axis=1, kind="stable")[:, : min(reranked, len(rows))]
-                    for k, name in enumerate(part["query_id"]):
-                        chosen = rows.iloc[top[k]]
-                        out.append(pd.DataFrame({"query_id": name, "session_id": chosen["session_id"], "chunk": chosen["chunk"], "cell": key[0], "guess": found[k, top[k]]}))
-            return pd.concat(out) if out else pd.DataFrame({"query_id": [], "session_id": [], "chunk": [], "cell": [], "guess": []})
-
-        blocks = F.expr("map(" + ", ".join(f"{r.cell}, {-(-r.n // BLOCK)}" for r in sizes) + ")")[F.col("cell")] if sizes else F.lit(1)
-        dealt = lists.select("cell", F.pmod(F.xxhash64("session_id", "chunk"), blocks).cast("int").alias("block"), "session_id", "chunk", "codes")
-        asked = queries.select("query_id", "query").mapInPandas(probed, f"query_id {ids['query_id']}, cell int, query array<double>")
-        asked = asked.withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce(blocks, F.lit(1)).cast("int") - 1)))
-        near = asked.groupBy("cell", "block").cogroup(dealt.groupBy("cell", "block")).applyInPandas(scored, f"query_id {ids['query_id']}, session_id {ids['session_id']}, chunk {ids['chunk']}, cell int, guess double")
-        if not exact:
-            place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("guess"), "session_id", "chunk"))
-            near = near.withColumn("place", place).where(F.col("place") <= reranked)
-
-        vector = lambda c: F.transform(c, lambda x: x.cast("double"))
-        full = near.select("query_id", "session_id", "chunk", "cell").join(lists.select("cell", "session_id", "chunk", vector("embedding").alias("v")), ["cell", "session_id", "chunk"])
-        full = full.join(queries.select("query_id", vector("query").alias("q")), "query_id")
-        dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-        full = full.select("query_id", "session_id", "chunk", F.round(dot("v", "q") / (F.sqrt(dot("v", "v")) * F.sqrt(dot("q", "q"))), 12).alias("score"))
-        best = full.groupBy("query_id", "session_id").agg(F.max_by(F.struct("chunk", "score"), F.struct("score", -F.col("chunk"))).alias("b")).select("query_id", "session_id", "b.*")
+                q, rows = Quantiser.loaded(shared.value), rows.sort_values(["session_id", "chunk"]).reset_index(drop=True)
+                v, session, cell = np.stack(rows["embedding"]).astype(np.float64), pd.factorize(rows["session_id"])[0], rows["cell"].to_numpy()
+                codes, direction = np.frombuffer(b"".join(rows["codes"]), np.uint8).reshape(len(rows), -1), unit(rows["embedding"])
+                for at in range(0, len(own), SLICE):
+                    part = own.iloc[at : at + SLICE]
+                    x, asked, kept = np.stack(part["query"]).astype(np.float64), unit(part["query"]), None
+                    if not exact:
+                        guess, near = np.full((len(x), len(rows)), -np.inf), q.cells(asked, probes)
+                        for c in np.unique(cell):
+                            some, here = np.flatnonzero((near == c).any(1)), np.flatnonzero(cell == c)
+                            if len(some):
+                                guess[np.ix_(some, here)] = q.scores(asked[some], codes[here], c)
+                        kept = guess > -np.inf
+                        if reranked < len(rows):
+                            kept &= guess >= -np.partition(-guess, reranked - 1, axis=1)[:, reranked - 1 : reranked]
+                    of, row, score = best_sessions(x, v, asked @ direction.T, kept, session, limit)
+                    out.append(pd.DataFrame({"query_id": part["query_id"].to_numpy()[of], "session_id": rows["session_id"].to_numpy()[row], "chunk": rows["chunk"].to_numpy()[row], "score": score}))
+            return pd.concat(out) if out else pd.DataFrame({"query_id": [], "session_id": [], "chunk": [], "score": []})
+
+        of_cell = lambda x: F.get(F.array(*[F.lit(int(i)) for i in x]), F.col("cell"))
+        dealt = lists.withColumn("block", of_cell(first) + F.pmod(F.xxhash64("session_id", "chunk"), of_cell(blocks)).cast("int"))
+        dealt = dealt.select("block", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"), "cell", "session_id", "chunk", "codes", "embedding")
+        asked = queries.select("query_id", F.transform("query", lambda x: x.cast("double")).alias("query"))
+        asked = asked.mapInPandas(probed, f"query_id {ids['query_id']}, block int, query array<double>").withColumn("group", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int"))
+        near = asked.groupBy("block", "group").cogroup(dealt.groupBy("block", "group")).applyInPandas(scored, f"query_id {ids['query_id']}, session_id {ids['session_id']}, chunk {ids['chunk']}, score double")
+        best = near.groupBy("query_id", "session_id").agg(F.max_by(F.struct("chunk", "score"), F.struct("score", -F.col("chunk"))).alias("b")).select("query_id", "session_id", "b.*")
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "session_id"))
         return best.withColumn("rank", rank).where(F.col("rank") <= limit)
+
+
+def _blocks(sizes: dict[int, int], cells: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first block of each cell and how many it is dealt out to: cells in order fill blocks of up to ``BLOCK`` vectors."""
+    first, blocks = np.zeros(cells, np.int64), np.ones(cells, np.int64)
+    at, held = 0, 0
+    for c in range(cells):
+        n = sizes.get(c, 0)
+        if held and held + n > BLOCK:
+            at, held = at + 1, 0
+        first[c], blocks[c] = at, max(1, -(-n // BLOCK))
+        at, held = (at + blocks[c], 0) if blocks[c] > 1 else (at, held + n)
+    return first, blocks

@@ -56,3 +56,31 @@ def test_registered_index_has_recall(spark, sf_dir):
     index, asked = _vectors(spark, sf_dir)
     few, every = ({(r.query_id, r.session_id, r.chunk) for r in index.search(asked, exact=e).collect()} for e in (False, True))
     assert len(few & every) >= 0.9 * len(every)
+
+
+@pytest.mark.parametrize("scoped", [False, True])
+def test_only_the_best_leave_a_block(spark, tmp_path, monkeypatch, scoped):
+    """Exact search, blocks and groups of a few rows, with copies in and across sessions: no join brings the vectors to pairs of queries and rows."""
+    rng = np.random.default_rng(3)
+    made = [[float(x) for x in rng.normal(size=5)] for _ in range(60)]
+    rows = [(i % 23, i, made[i * i % 60], i % 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "session_id long, chunk int, embedding array<float>, kind int")
+    asked = spark.createDataFrame([(i, made[i]) for i in range(12)], "query_id int, query array<double>")
+    index = vi.VectorIndex(Store(spark, str(tmp_path / "s")), shards=2)
+    index.build(df, cells=6)
+    monkeypatch.setattr(vi, "BLOCK", 11)
+    monkeypatch.setattr(vi, "GROUP", 5)
+    scope = F.col("kind") == 1 if scoped else None
+    found = index.search(asked, 4, scope=scope, exact=True)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    told = lambda df: sorted((r.query_id, r["rank"], r.session_id, r.chunk, round(r.score, 9)) for r in df.collect())
+    assert told(found) == told(search.vector_top_all(df.where(scope) if scoped else df, asked, "session_id", "chunk", "embedding", 4))
+
+
+def test_best_sessions():
+    """At most ``limit`` rows a query, of equal cosines the first row and the first sessions."""
+    v = np.array([[1.0, 0], [2, 0], [0, 1], [3, 0], [1, 1]])
+    q, row, score = vi.best_sessions(np.array([[1.0, 0]]), v, vi.unit([[1.0, 0]]) @ vi.unit(v).T, None, np.array([0, 0, 1, 2, 3]), 2)
+    assert (q.tolist(), row.tolist(), score.tolist()) == ([0, 0], [0, 3], [1.0, 1.0])
+    q, row, _ = vi.best_sessions(np.array([[1.0, 0]]), v, vi.unit([[1.0, 0]]) @ vi.unit(v).T, np.array([[False, True, True, False, True]]), np.array([0, 0, 1, 2, 3]), 2)
+    assert row.tolist() == [1, 4]
