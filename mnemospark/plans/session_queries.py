@@ -266,7 +266,7 @@ def remotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", C.normalise_remote(url).alias("remote"))
 
 
-@query("SELECT p_partkey, CASE WHEN b < 1024 THEN format('{:.1f} B', b::DOUBLE) WHEN b < 1048576 THEN format('{:.1f} KB', b / 1024.0::DOUBLE) ELSE format('{:.1f} MB', b / 1048576.0::DOUBLE) END AS shown FROM (SELECT p_partkey, p_size::BIGINT * p_size * p_partkey AS b FROM part)")
+@query("SELECT p_partkey, CASE WHEN b < 1024 THEN format('{:.1f} B', b::DOUBLE) WHEN b < 1048576 THEN format('{:.1f} KB', b / 1024.0::DOUBLE) WHEN b < 1073741824 THEN format('{:.1f} MB', b / 1048576.0::DOUBLE) WHEN b < 1099511627776 THEN format('{:.1f} GB', b / 1073741824.0::DOUBLE) ELSE format('{:.1f} TB', b / 1099511627776.0::DOUBLE) END AS shown FROM (SELECT p_partkey, p_size::BIGINT * p_size * p_partkey AS b FROM part)")
 def sizes_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = F.col("p_size").cast("long") * F.col("p_size") * F.col("p_partkey")
     return table(spark, sf_dir, "part").select("p_partkey", G.shown_bytes(b).alias("shown"))
