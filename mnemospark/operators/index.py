@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -163,20 +164,70 @@ class KeywordIndex:
         return self._keys(at, top, {r[SHARD] for r in found}).select("key", "score").orderBy(F.desc(F.round("score", 9)), "key").limit(limit)
 
 
+def grams(text: str, piece: int) -> np.ndarray:
+    """The different three-letter strings of a text as numbers, 21 bits a letter; ``piece`` letters are looked at together."""
+    out = [np.empty(0, np.int64)]
+    for i in range(0, len(text) - 2, piece):
+        p = np.frombuffer(text[i : i + piece + 2].encode("utf-32-le"), np.uint32).astype(np.int64)
+        out.append(np.unique(p[:-2] << 42 | p[1:-1] << 21 | p[2:]))
+    return np.unique(np.concatenate(out)) if len(out) > 2 else out[-1]
+
+
 class SubstringIndex(KeywordIndex):
-    """An index of the three-letter strings of lower-cased texts. Long texts are taken in overlapping pieces."""
+    """An index of the three-letter strings of lower-cased texts. Long texts are taken in overlapping pieces.
+
+    A task takes the texts of whole windows in the order of their documents' numbers and makes their blocks, so that texts and
+    blocks are shuffled and no posting is. Beyond ``HELD`` postings, a window has more than one block of a string.
+    """
 
-    PIECE, RAREST = 10_000, 4
+    PIECE, RAREST, HELD = 1 << 20, 4, 4_000_000
+    BLOCKS = f"{SHARD} int, window long, term string, n long, numbers binary"
 
     def __init__(self, store: Store, name: str = "substrings", shards: int = 16, parts: int = 32):
         super().__init__(store, name, shards, parts)
 
-    def _terms(self, docs: DataFrame, text: str) -> DataFrame:
-        low = F.lower(text)
-        pieces = docs.select("key", low.alias("low"), F.explode(F.sequence(F.lit(0), F.expr(f"greatest(0, length(`{text}`) - 3) div {self.PIECE}"))).alias("i"))
-        cut = pieces.select("key", F.substring(F.col("low"), (F.col("i") * self.PIECE + 1).cast("int"), F.lit(self.PIECE + 2)).alias("piece"))
-        letters = F.regexp_extract_all("piece", F.lit("(?s)(?=(.{3}))"), F.lit(1))  # at every place
-        return cut.select("key", F.array_distinct(letters).alias("tokens"))
+    def _tables(self, docs: DataFrame, key: str, text: str) -> dict[str, tuple[DataFrame, tuple[str, ...]]]:
+        rows = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.lower(text).alias("low"))
+        number = F.row_number().over(Window.partitionBy(SHARD).orderBy("key")) - 1  # a shard is a bounded share
+        known = rows.select("key").distinct().withColumn(SHARD, bucket(["key"], self.shards)).withColumn("no", number.cast("long"))
+        known = materialise(known.select(SHARD, "no", "key"), "index")
+        placed = rows.where(F.length("low") > 2).join(known, "key").select(SHARD, F.expr(f"no div {WINDOW}").alias("window"), (F.col("no") % WINDOW).alias("at"), "low")
+        placed = placed.repartition(SHARD, "window").sortWithinPartitions(SHARD, "window", "at")
+        piece, most, names = self.PIECE, self.HELD, [x.split()[0] for x in self.BLOCKS.split(", ")]
+
+        def made(shard: int, window: int, held: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+            gram, at = np.concatenate([g for _, g in held]), np.repeat([a for a, _ in held], [len(g) for _, g in held])
+            order = np.argsort(gram, kind="stable")  # documents stand in order
+            gram, at = gram[order], at[order]
+            new = np.concatenate(([True], gram[1:] != gram[:-1]))
+            once = new | np.concatenate(([True], at[1:] != at[:-1]))  # rows of one document may have a string in common
+            gram, at, new = gram[once], at[once], new[once]
+            starts = np.flatnonzero(new)
+            steps = np.where(new, at, np.diff(at, prepend=0))
+            wide, ends = np.maximum.reduceat(steps, starts) > 255, np.append(starts[1:], len(gram))
+            one, two = steps.astype("<u1").tobytes(), steps.astype("<u2").tobytes()  # as ``packed`` does
+            numbers = [b"\2" + two[2 * i : 2 * j] if w else b"\1" + one[i:j] for i, j, w in zip(starts.tolist(), ends.tolist(), wide.tolist(), strict=True)]
+            letters = np.stack([gram[starts] >> 42, gram[starts] >> 21 & 0x1FFFFF, gram[starts] & 0x1FFFFF], 1).astype("<u4").tobytes().decode("utf-32-le")
+            terms = [letters[i : i + 3] for i in range(0, len(letters), 3)]
+            size = len(starts)
+            columns = [pa.array(np.full(size, shard, np.int32)), pa.array(np.full(size, window, np.int64)), pa.array(terms, pa.string()), pa.array(ends - starts, pa.int64()), pa.array(numbers, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=names)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            place, held, size = None, [], 0
+            for batch in batches:
+                for shard, window, at, low in zip(*(batch.column(c).to_pylist() for c in (SHARD, "window", "at", "low")), strict=True):
+                    if held and (place != (shard, window) or size >= most and held[-1][0] != at):
+                        yield made(*place, held)
+                        held, size = [], 0
+                    place = (shard, window)
+                    held.append((at, grams(low, piece)))
+                    size += len(held[-1][1])
+            if held:
+                yield made(*place, held)
+
+        blocks = placed.mapInArrow(run, self.BLOCKS).withColumn("part", self._part(F.col("term")))
+        return {"documents": (known, ()), "postings": (blocks, ("part",))}
 
     def candidates(self, query: str, version: int | None = None) -> DataFrame:
         """Keys of documents that hold the rarest three-letter strings of a query of three letters or more."""
@@ -192,8 +243,9 @@ class SubstringIndex(KeywordIndex):
         def common(frame: pd.DataFrame) -> pd.DataFrame:
             out = []
             for window, own in frame.groupby("window"):
-                if len(own) == len(rarest):
-                    sets = sorted((np.cumsum(unpacked(x)) for x in own["numbers"]), key=len)
+                terms = [np.concatenate([np.cumsum(unpacked(x)) for x in blocks]) for _, blocks in own.groupby("term")["numbers"]]
+                if len(terms) == len(rarest):
+                    sets = sorted(terms, key=len)
                     at = sets[0]
                     for other in sets[1:]:
                         at = at[np.isin(at, other, assume_unique=True)]

@@ -155,8 +155,10 @@ def substring_matches(docs: DataFrame, key: str, text: str, query: str, newest:
 
     % and _ mean themselves.
     """
-    out = docs.where(F.contains(F.lower(text), F.lit(query.lower()))).withColumn("score", F.lit(1.0)).withColumn("excerpts", C.excerpts_of(F.col(text), query))
-    return out if limit is None else out.orderBy(*([F.desc_nulls_last(newest)] if newest else []), key).limit(limit)
+    out = docs.where(F.contains(F.lower(text), F.lit(query.lower())))
+    if limit is not None:  # before the excerpts, so that only what is shown is cut
+        out = out.orderBy(*([F.desc_nulls_last(newest)] if newest else []), key).limit(limit)
+    return out.withColumn("score", F.lit(1.0)).withColumn("excerpts", C.excerpts_of(F.col(text), query))
 
 
 def excerpts(messages: DataFrame, terms: list[str], per_session: int = 3) -> DataFrame:

@@ -100,3 +100,20 @@ def test_substrings(spark, tmp_path, monkeypatch, query):
     got = [(r.id, r.excerpts) for r in index.matches(docs, "id", "text", query).orderBy("id").collect()]
     assert got == [(r.id, r.excerpts) for r in search.substring_matches(docs, "id", "text", query).orderBy("id").collect()]
     assert [i for i, _ in got] == [i for i, t in rows if t and query.lower() in t.lower()]
+
+
+def test_substring_blocks_take_a_text_at_once(spark, tmp_path, monkeypatch):
+    """No row of a shuffle is a posting: what is written has a row a string and window, whatever the number of documents; rows of one key are one document."""
+    rows = [(i // 2, f"abcd{chr(97 + i % 5)}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    for held in (ix.SubstringIndex.HELD, 50):
+        monkeypatch.setattr(ix.SubstringIndex, "HELD", held)
+        index = ix.SubstringIndex(Store(spark, str(tmp_path / f"s{held}")), shards=2, parts=4)
+        tables = index._tables(docs, "id", "text")
+        assert "Generate" not in tables["postings"][0]._jdf.queryExecution().executedPlan().toString()
+        index.build(docs, "id", "text")
+        blocks = index.store.snapshot().read("substrings_postings")
+        df = {r.term: r.n for r in blocks.groupBy("term").agg(F.sum("n").alias("n")).collect()}
+        assert df["abc"] == df["bcd"] == 200 and sum(df.values()) == 200 * 2 + 400
+        assert (blocks.count() == 2 * 7) == (held > 50)
+        assert index.candidates("bcdb").count() == len({i // 2 for i in range(400) if i % 5 == 1})
