@@ -33,6 +33,21 @@ def alive(first: Column, born: Column, end: Column, own: Column) -> Column:
     return ((born < first) | (own & (born == first))) & (end.isNull() | (first <= end))
 
 
+def latest_alive(asked: DataFrame, groups: DataFrame) -> DataFrame:
+    """``asked`` (id, other, first, more) with the group of kind ``other`` (id, born, end, more) that is alive at ``first``, if there is one.
+
+    Groups of one kind are near each other, so that no two are alive at once: only the latest before ``first`` can be. Births before
+    a place are counted, and the group with that number is joined, so that each row meets one group, however many a kind has.
+    """
+    own, births = F.col("id") == F.col("other"), groups.select(F.col("id").alias("other"), F.col("born").alias("place")).distinct()
+    rows = asked.withColumn("side", F.when(own, 2).otherwise(0)).withColumnRenamed("first", "place")
+    marks = births.select("other", "place", F.lit(1).alias("side"), *[F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in asked.columns if c not in ("other", "first")])
+    counted = materialise(running_count(rows.unionByName(marks), "other", ["place", "side"], F.col("side") == 1, "nth"), "counted")
+    named = counted.where("side = 1").select("other", F.col("place").alias("born"), "nth").join(groups.withColumnRenamed("id", "other"), ["other", "born"])
+    found = counted.where("side <> 1").drop("side").withColumnRenamed("place", "first").join(named, ["other", "nth"]).drop("nth")
+    return found.where(alive(F.col("first"), F.col("born"), F.col("end"), own))
+
+
 def _decide(nodes: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
     """Nodes of a block in order: one starts a group (True) if no group near it is alive, or waits (False) if that is open."""
     near: dict[int, list[int]] = {}
@@ -78,8 +93,11 @@ def first_come(nodes: DataFrame, near: DataFrame, block: int = BLOCK) -> DataFra
     while True:
         held = open_.withColumn("blocked", F.lit(False))
         if ranges > 1:
-            units = open_.groupBy(F.col("id").alias("other"), F.col("end").alias("until")).agg(F.min("block").alias("least"))
-            waits = open_.join(near, "id").join(units, "other").where((F.col("least") < F.col("block")) & (F.col("until").isNull() | (F.col("first") <= F.col("until"))))
+            here = open_.groupBy(F.col("id").alias("other"), "block").agg(F.max(F.col("end").isNull()).alias("ever"), F.max("end").alias("until"))
+            places = open_.select("block", "id").distinct().join(near, "id").select("other", "block").distinct().join(here, ["other", "block"], "full")
+            earlier = Window.partitionBy("other").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row a kind and range
+            before = places.select("other", "block", F.coalesce(F.max("ever").over(earlier), F.lit(False)).alias("ever"), F.max("until").over(earlier).alias("until"))
+            waits = open_.join(near, "id").join(before, ["other", "block"]).where(F.col("ever") | (F.col("first") <= F.col("until")))
             held = open_.join(waits.select("node", F.lit(True).alias("w")).distinct(), "node", "left").withColumn("blocked", F.coalesce("w", F.lit(False))).drop("w")
         kinds = open_.select("block", "id").distinct()
         edges = kinds.join(near, "id").join(kinds.select("block", F.col("id").alias("other")), ["block", "other"])
@@ -92,8 +110,7 @@ def first_come(nodes: DataFrame, near: DataFrame, block: int = BLOCK) -> DataFra
         discard(open_)
         if rest.isEmpty():
             return reduce(DataFrame.unionByName, begun)
-        here = groups.select(F.col("id").alias("other"), "born", F.col("end").alias("until"))
-        taken = rest.join(near, "id").join(here, "other").where(alive(F.col("first"), F.col("born"), F.col("until"), F.col("id") == F.col("other")))
+        taken = latest_alive(rest.select("node", "id", "first").join(near, "id"), groups)
         open_ = materialise(rest.join(taken.select("node").distinct(), "node", "left_anti"), "nodes")
         if open_.isEmpty():
             return reduce(DataFrame.unionByName, begun)

@@ -191,7 +191,7 @@ def learned_rules(found: DataFrame, revoked: DataFrame, least: float = 0.7, revo
     births = rules_.select(F.col("id").alias("other"), F.col("born").alias("place")).join(near.where("id <> other"), "other").select("id", "place")
     spans = _spans(stated, cuts.unionByName(births))
     firsts = spans.groupBy("id", "span").agg(F.min("place").alias("first"))
-    alive = firsts.join(near, "id").join(rules_.withColumnRenamed("id", "other"), "other").where(folding.alive(F.col("first"), F.col("born"), F.col("end"), F.col("id") == F.col("other")))
+    alive = folding.latest_alive(firsts.join(near, "id"), rules_)
     best = alive.groupBy("id", "span").agg(F.min_by("rule", F.struct(-F.col("similarity"), "born")).alias("rule"))
     joined = materialise(spans.join(best, ["id", "span"]).select("rule", "id", "place", "confidence", "rule_text", "scope"), "joined")
 

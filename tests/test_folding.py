@@ -62,3 +62,13 @@ def test_rules_over_ranges_ties_and_nulls(spark):
     found, gone = spark.createDataFrame(rules + odd, FOUND), spark.createDataFrame(ends + [(1, 5, 1, []), (1, 5, 2, None)], "session_id long, msg_idx long, at int, words array<string>")
     got = sorted((r.rule_type, r.rule_text, r.frequency, round(r.confidence, 6), r.revoked) for r in profile.learned_rules(found, gone, block=7).collect())
     assert got == _plain_rules([((s, i, a), k, t, set(t.split()), c) for s, i, a, k, t, _, c in rules], [((s, i, a), set(w)) for s, i, a, w in ends])
+
+
+def test_a_kind_with_many_groups_meets_each_row_once(spark):
+    """Groups of one kind that end and start anew: a row finds the one alive at its place, own ones from their birth on."""
+    groups = [(k, (10 * i,), (10 * i + 4 + k,)) for k in (0, 1) for i in range(200)] + [(0, (2000,), None)]
+    asked = [(n, n % 3, n % 2, (n * 7 % 2100,)) for n in range(600)]
+    schema = "id long, born struct<t:long>, end struct<t:long>"
+    out = folding.latest_alive(spark.createDataFrame(asked, "n long, id long, other long, first struct<t:long>"), spark.createDataFrame(groups, schema))
+    want = sorted((n, b[0]) for n, i, o, (t,) in asked for k, b, e in groups if k == o and (b[0] < t or i == o and b[0] == t) and (e is None or t <= e[0]))
+    assert sorted((r.n, r.born.t) for r in out.collect()) == want
