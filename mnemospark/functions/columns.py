@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 
 from mnemospark.functions import patterns as P
 
-
+#: Characters that Unicode calls white space.
+SPACES = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: Words in any script, with hyphens inside.
 WORDS = r"[\p{L}\p{N}_]+(?:-+[\p{L}\p{N}_]+)*"
 
@@ -19,7 +21,7 @@ WORDS = r"[\p{L}\p{N}_]+(?:-+[\p{L}\p{N}_]+)*"
 # --- texts ----------------------------------------------------------------------------------------------------------
 def strip(text: Column) -> Column:
     """Without white space of any kind at both ends."""
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    return F.trim(text, F.lit(SPACES))
 
 
 def squeeze(text: Column) -> Column:
@@ -129,18 +131,25 @@ def truncate_words(text: Column, most: int, least: int) -> Column:
     return F.when(F.length(text) <= most, text).otherwise(F.concat(F.when(F.length(at_space) > least, at_space).otherwise(cut), F.lit("...")))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often ``use`` names it: expressions that nest otherwise multiply."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def clean_task(text: Column) -> Column:
     """A task description: greetings and polite prefixes removed, first letter raised, at most about 200 characters."""
     out = strip(text)
     for pattern in P.TASK_GREETINGS:
         out = strip(F.regexp_replace(out, pattern, ""))
-    sentences = F.split(out, r"(?<=[.!?])\s+")
     greeting = r"(?i)^(?:hi|hello|hey|thanks?|good\s+(?:morning|afternoon|evening))"
-    first = F.filter(F.transform(sentences, strip), lambda s: (F.length(s) >= 15) & ~F.regexp_like(s, F.lit(greeting)))
-    out = F.when((F.size(sentences) > 1) & (F.size(first) > 0), F.element_at(first, 1)).otherwise(out)
-    out = F.regexp_replace(out, "(?i)^(?:" + "|".join(P.TASK_PREFIXES) + ")+", "")
-    out = F.concat(F.upper(F.substring(out, 1, 1)), F.substring(out, 2, 1 << 30))
-    return F.coalesce(strip(truncate_words(out, 200, 100)), F.lit(""))
+
+    def main(whole: Column) -> Column:
+        real = lambda sentences: F.filter(F.transform(sentences, strip), lambda s: (F.length(s) >= 15) & ~F.regexp_like(s, F.lit(greeting)))
+        return let(F.split(whole, r"(?<=[.!?])\s+"), lambda all_: F.coalesce(F.when(F.size(all_) > 1, F.get(real(all_), F.lit(0))), whole))
+
+    out = F.regexp_replace(let(out, main), "(?i)^(?:" + "|".join(P.TASK_PREFIXES) + ")+", "")
+    out = let(out, lambda t: F.concat(F.upper(F.substring(t, 1, 1)), F.substring(t, 2, 1 << 30)))
+    return F.coalesce(strip(let(out, lambda t: truncate_words(t, 200, 100))), F.lit(""))
 
 
 def normalise_error(message: Column) -> Column:

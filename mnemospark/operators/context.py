@@ -29,7 +29,8 @@ def newest(sessions: DataFrame, limit: int, key: list[str] | None = None) -> Dat
 
 def recent_tasks(sessions: DataFrame, key: str, limit: int = 5) -> DataFrame:
     """Distinct tasks of each ``key``, latest first: key, task, n, rank. ``sessions``: key, place, task_description."""
-    real = sessions.select(key, "place", F.col("task_description").alias("task")).where((F.col("task") != "") & ~F.startswith("task", F.lit("<command-")) & ~F.startswith("task", F.lit("/")))
+    kept = lambda t: (t != "") & ~F.startswith(t, F.lit("<command-")) & ~F.startswith(t, F.lit("/"))
+    real = sessions.select(key, "place", F.explode(F.filter(F.array("task_description"), kept)).alias("task"))  # one computation of the task; conditions on a column would repeat it
     folded = profile.distinct_tasks(real, key=key)
     rank = F.row_number().over(Window.partitionBy(key).orderBy("place"))
     return folded.withColumn("rank", rank).where(F.col("rank") <= limit).select(key, "task", "n", "rank")

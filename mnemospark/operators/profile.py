@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -359,37 +360,60 @@ def _bigrams(t: str) -> set[str]:
     return {t[i : i + 2] for i in range(len(t) - 1)}
 
 
+def _forms(t: str) -> tuple[str, set[str], set[str]]:
+    return t, set(t.split()), _bigrams(t)
+
+
 def _alike(a: str, b: str) -> float:
     """As ``columns.text_similarity``, of texts in lower case with single spaces."""
-    if not a or not b:
+    return _likeness(_forms(a), _forms(b))
+
+
+def _likeness(a: tuple, b: tuple) -> float:
+    if not a[0] or not b[0]:
         return 0.0
-    if a == b:
+    if a[0] == b[0]:
         return 1.0
     share = lambda x, y: len(x & y) / len(x | y) if x and y else 0.0
-    return max(share(set(a.split()), set(b.split())), share(_bigrams(a), _bigrams(b)))
+    return max(share(a[1], b[1]), share(a[2], b[2]))
 
 
 def distinct_tasks(tasks: DataFrame, least: float = 0.5, key: str = "session_id") -> DataFrame:
     """Tasks of a session, or of another ``key``, in groups of similar ones, the shortest of each: key, task, n, place.
 
-    Groups depend on order; each key is folded on its own, and tasks that compare equal are one before.
+    Groups depend on order; each key is folded on its own, and tasks that compare equal are one before. Keys stream through a
+    task in order, as a frame for each of very many small ones takes longer than its fold.
     """
     once = tasks.groupBy(key, G.task_key(F.col("task")).alias("norm")).agg(F.min_by("task", F.struct(F.length("task"), "place")).alias("task"), F.min("place").alias("place"), F.count("*").alias("n"))
 
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        groups: list[list] = []  # the first one's comparison text, place, count, shortest
-        for norm, task, place, n in rows.sort_values("place")[["norm", "task", "place", "n"]].itertuples(index=False, name=None):
-            for group in groups:
-                if norm.startswith(group[0][:35]) or group[0].startswith(norm[:35]) or _alike(norm, group[0]) > least:
-                    group[2] += n
-                    group[3] = min(group[3], task, key=len)
-                    break
-            else:
-                groups.append([norm, place, n, task])
-        return pd.DataFrame([(rows[key].iat[0], g[3], g[2], g[1]) for g in groups], columns=[key, "task", "n", "place"])
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, groups = None, []  # of a group: the forms of the first one's comparison text, place, count, shortest
+        for batch in batches:
+            done = []
+            for own, norm, task, place, n in zip(*(batch.column(c).to_pylist() for c in ("own", "norm", "task", "place", "n")), strict=True):
+                if groups and own != now:
+                    done += [(now, g) for g in groups]
+                    groups = []
+                now, forms = own, _forms(norm)
+                for group in groups:
+                    if norm.startswith(group[0][0][:35]) or group[0][0].startswith(norm[:35]) or _likeness(forms, group[0]) > least:
+                        group[2] += n
+                        group[3] = min(group[3], task, key=len)
+                        break
+                else:
+                    groups.append([forms, place, n, task])
+            types = [batch.schema.field(c).type for c in ("own", "place")]
+            yield folded(done, *types)
+        if groups:
+            yield folded([(now, g) for g in groups], *types)
+
+    def folded(done: list[tuple], of: pa.DataType, at: pa.DataType) -> pa.RecordBatch:
+        columns = [pa.array([k for k, _ in done], of), pa.array([g[3] for _, g in done], pa.string()), pa.array([g[2] for _, g in done], pa.int64()), pa.array([g[1] for _, g in done], at)]
+        return pa.RecordBatch.from_arrays(columns, names=[key, "task", "n", "place"])
 
     kinds = {f.name: f.dataType.simpleString() for f in tasks.schema.fields}
-    return once.groupBy(key).applyInPandas(fold, f"{key} {kinds[key]}, task string, n long, place {kinds['place']}")
+    ordered = once.withColumnRenamed(key, "own").repartition("own").sortWithinPartitions("own", "place")
+    return ordered.mapInArrow(fold, f"{key} {kinds[key]}, task string, n long, place {kinds['place']}")
 
 
 def embed(texts: DataFrame, text: str, width: int = 64) -> DataFrame:

@@ -433,3 +433,12 @@ def test_vector_top_all_answers_every_query(spark):
                 want[k, rank] = (s, i, -score)
     assert len(want) > 250 and got.keys() == want.keys()
     assert all(got[k][:2] == want[k][:2] and abs(got[k][2] - want[k][2]) < 1e-8 for k in want)
+
+
+def test_tasks_of_small_sessions_stream(spark):
+    """Sessions are folded as they stream, not in a frame each; null keys are one, structs are places, white space of any kind goes."""
+    rows = [(None if i == 7 else i, (i, n), t) for i in range(40) for n, t in enumerate(["Fix the parser bug ", "write documentation", "fix the parser bug now please"])]
+    out = profile.distinct_tasks(spark.createDataFrame(rows, "session_id long, place struct<a:long,b:int>, task string"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+    assert {(r.session_id, r.task.strip(), r.n, r.place.b) for r in out.collect()} == {(None if i == 7 else i, t, n, b) for i in range(40) for t, n, b in [("Fix the parser bug", 2, 0), ("write documentation", 1, 1)]}
