@@ -8,8 +8,8 @@ about the square root of their number), then of the symbols inside the group, bo
 the symbol's probability times its share in it by additively smoothed counts.
 
 Spark counts the words of all training texts, then turns every text into symbols once. Tasks train on partitions of the
-symbols of the training texts, with draws in proportion to the tokens, from common vectors; after each round the vectors are
-averaged by blocks. Tasks grow in number with the root of the tokens, so that what they send back stays small beside the
+symbols of the training texts from common vectors, in an order drawn anew, so that every token of every training text is learned
+from at least once; after each round the vectors are averaged by blocks. Tasks grow in number with the root of the tokens, so that what they send back stays small beside the
 corpus. Words with symbols of their own, at least ``HEAD``, are broadcast with their counts; the other words of a text are
 looked up by a join on the word.
 """
@@ -38,8 +38,8 @@ LEAST, FINE = 3, 16
 #: Rarer words share symbols by a hash, one for so many words with symbols of their own; a hash says nothing of a word, so few do.
 SHARED = 16
 WIDTH, NOISE, INNER, STEPS, BATCH = 32, 12, 5, 5000, 1024
-#: Draws a token, where that is more than ``STEPS`` batches; vectors are averaged after each of so many rounds.
-DRAWS, ROUNDS = 0.25, 4
+#: All tokens are visited once, or more often where that is fewer than ``STEPS`` batches; vectors are averaged after each of so many rounds.
+ROUNDS = 4
 #: A worker counts so many different words before it hands them on; it trains on so many tokens at a time.
 COUNTED, HELD = 500_000, 1_000_000
 #: As many tasks train as the root of the tokens over this.
@@ -108,13 +108,14 @@ class Bilinear:
             x[...] = flat[at : at + x.size].reshape(x.shape)
             at += x.size
 
-    def descend(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, steps: int, rate: Callable[[float], float], rng: np.random.Generator, batch: int = BATCH) -> None:
-        """Noise-contrastive steps on draws of the tokens w, each after u and v."""
+    def descend(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, steps: int, rate: Callable[[float], float], rng: np.random.Generator, batch: int = BATCH, order: np.ndarray | None = None) -> None:
+        """Noise-contrastive steps on the tokens w, each after u and v, in an order that is repeated as needed, or else on draws."""
+        order = None if order is None else np.resize(order, steps * batch)
         (r, c, q, g), (before, last, now) = (self.r, self.c, self.q, self.g), (u, v, w)
         one = np.arange(batch)[:, None] * len(g)
         for step in range(steps):
             eta = np.float32(rate(step / steps))
-            drawn = rng.integers(0, len(now), batch)
+            drawn = rng.integers(0, len(now), batch) if order is None else order[step * batch : (step + 1) * batch]
             u, v, w = before[drawn], last[drawn], now[drawn]
             h = r[u] @ c[0] + r[v] @ c[1]
             at = w // self.size
@@ -214,6 +215,18 @@ def _rate(progress: float) -> float:
     return 0.15 * (1 - progress) + 0.005
 
 
+def visits(n: int, total: int, turn: int, seed: list[int]) -> np.ndarray:
+    """The places a round visits of ``n``: over all rounds at least ``total`` visits, as equal in number as can be, at least one each.
+
+    Shuffled runs of all places follow one another, and rounds cut them; short ones are shuffled several at a time.
+    """
+    total = max(n, total)
+    run = np.tile(np.arange(n), max(1, min(4 * BATCH // n, total // n)))
+    a, b = total * turn // ROUNDS, total * (turn + 1) // ROUNDS
+    parts = [np.random.default_rng([*seed, k]).permutation(run)[max(a - k * len(run), 0) : b - k * len(run)] for k in range(a // len(run), -(-b // len(run)))]
+    return np.concatenate(parts) if parts else np.empty(0, np.int64)
+
+
 def train(symbols: np.ndarray, n: int, width: int = WIDTH, steps: int = STEPS, batch: int = BATCH, seed: int = 11) -> np.ndarray:
     """Normalised natural log-probabilities, [pair of predecessors, target], of a small model of one run of ``n`` symbols; the last is never predicted."""
     model = Bilinear(np.bincount(symbols[2:], minlength=n - 1).astype(np.float64), width, seed)
@@ -340,9 +353,9 @@ def _before(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def train_on(encoded: DataFrame, known: Lexicon, steps: int = STEPS) -> Table:
-    """Rounds of training by tasks that each read partitions of encoded texts, and the mean of what they learned."""
+    """Rounds of training by tasks that each read partitions of encoded texts, and the mean of what they learned; no token is left out."""
     spark, model, total = encoded.sparkSession, Bilinear(known.frequency), known.total
-    draws, parts = max(steps * BATCH, DRAWS * total), max(1, math.ceil(math.sqrt(total / PART)))
+    least, parts = max(steps * BATCH, total), max(1, math.ceil(math.sqrt(total / PART)))
     for turn in range(ROUNDS if total else 0):
         start = spark.sparkContext.broadcast((known.frequency, known.start, model.flat()))
 
@@ -355,8 +368,9 @@ def train_on(encoded: DataFrame, known: Lexicon, steps: int = STEPS) -> Table:
             def learn_held() -> None:
                 nonlocal mass
                 u, v, w = _before(held)
-                most = math.ceil(draws / ROUNDS * len(w) / total / BATCH)
-                mine.descend(u, v, w, most, lambda p: _rate((turn + p) / ROUNDS), np.random.default_rng([turn, name, mass]))
+                order = visits(len(w), math.ceil(least * len(w) / total), turn, [name, mass])
+                if len(order):
+                    mine.descend(u, v, w, math.ceil(len(order) / BATCH), lambda p: _rate((turn + p) / ROUNDS), np.random.default_rng([turn, name, mass]), order=order)
                 mass += len(w)
 
             for b in batches:
