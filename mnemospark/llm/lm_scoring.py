@@ -40,6 +40,8 @@ SHARED = 16
 WIDTH, NOISE, INNER, STEPS, BATCH = 32, 12, 5, 5000, 1024
 #: All tokens are visited once, or more often where that is fewer than ``STEPS`` batches; vectors are averaged after each of so many rounds.
 ROUNDS = 4
+#: Draws of noise among the groups and inside each, shared by the tokens of a batch; so many batches follow before they are drawn anew.
+DRAWN, KEPT = 128, 8
 #: A worker counts so many different words before it hands them on; it trains on so many tokens at a time.
 COUNTED, HELD = 500_000, 1_000_000
 #: As many tasks train as the root of the tokens over this.
@@ -68,15 +70,18 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The different row numbers, and the sum of the values of each."""
+    """The different row numbers, and the sum of the values of each: an even number of single-precision columns, added up two by two as complex numbers, which is faster."""
     order = np.argsort(rows, kind="stable")
     ordered = rows[order]
     first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-    return ordered[first], np.add.reduceat(values[order], first, axis=0)
+    return ordered[first], np.add.reduceat(np.take(values, order, axis=0).view(np.complex64), first, axis=0).view(np.float32)
 
 
 class Bilinear:
-    """Vectors of ``len(frequency) + 1`` symbols as predecessors and of all but the last as targets, and how to train them."""
+    """Vectors of ``len(frequency) + 1`` symbols as predecessors and of all but the last as targets, and how to train them.
+
+    Groups and targets have their biases behind their vectors, as what is learned beyond the logarithm of the noise's rate.
+    """
 
     def __init__(self, frequency: np.ndarray, width: int = WIDTH, seed: int = 11):
         rng = np.random.default_rng(seed)
@@ -89,15 +94,16 @@ class Bilinear:
         self.groups, self.up = np.cumsum(group), np.concatenate(([0.0], np.cumsum(share)))
         f4 = lambda x: np.asarray(x, np.float32)
         self.log_group, self.log_inner = f4(np.log(NOISE * group)), f4(np.log(INNER * inner))
-        self.r, self.q = f4(rng.normal(0, 0.1, (self.n, width))), f4(rng.normal(0, 0.1, (targets, width)))
-        self.c = f4(np.stack([np.eye(width) * 0.5, np.eye(width)]))
-        self.g, self.bg, self.b = f4(rng.normal(0, 0.1, (len(group), width))), f4(np.log(group)), f4(np.log(inner))
+        vectors = lambda k, rate: np.hstack((f4(rng.normal(0, 0.1, (k, width))), np.full((k, 1), -math.log(rate), np.float32)))
+        self.r, self.q = f4(rng.normal(0, 0.1, (self.n, width))), np.zeros((len(group) * self.size, width + 1), np.float32)
+        self.q[:targets] = vectors(targets, INNER)
+        self.c, self.g = f4(np.stack([np.eye(width) * 0.5, np.eye(width)])), vectors(len(group), NOISE)
         # sums of squared gradients: one a row of r and q
-        self.sr, self.sq, self.sb = (np.full(k, 1e-2, np.float32) for k in (self.n, targets, targets))
-        self.sc, self.sg, self.sbg = (np.full_like(x, 1e-2) for x in (self.c, self.g, self.bg))
+        self.sr, self.sq, self.sb = (np.full(k, 1e-2, np.float32) for k in (self.n, len(self.q), len(self.q)))
+        self.sc, self.sg = (np.full_like(x, 1e-2) for x in (self.c, self.g))
 
     def _arrays(self) -> list[np.ndarray]:
-        return [self.r, self.c, self.q, self.g, self.bg, self.b, self.sr, self.sc, self.sq, self.sg, self.sbg, self.sb]
+        return [self.r, self.c, self.q, self.g, self.sr, self.sc, self.sq, self.sg, self.sb]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in self._arrays()])
@@ -108,54 +114,84 @@ class Bilinear:
             x[...] = flat[at : at + x.size].reshape(x.shape)
             at += x.size
 
+    def noise(self, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+        """How often noise names each group, and each target inside its group, for every token: shares of ``DRAWN`` draws of each."""
+        of_group = np.bincount(np.minimum(np.searchsorted(self.groups, rng.random(DRAWN)), len(self.g) - 1), minlength=len(self.g))
+        low, high = self.starts, np.minimum(self.starts + self.size, self.n - 1)
+        base = self.up[low][:, None]
+        drawn = np.searchsorted(self.up, base + rng.random((len(low), DRAWN)) * (self.up[high][:, None] - base), "right") - 1
+        of_word = np.bincount(np.clip(drawn, low[:, None], high[:, None] - 1).ravel(), minlength=len(self.q))
+        return (of_group * (NOISE / DRAWN)).astype(np.float32), (of_word * (INNER / DRAWN)).astype(np.float32).reshape(-1, self.size)
+
     def descend(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, steps: int, rate: Callable[[float], float], rng: np.random.Generator, batch: int = BATCH, order: np.ndarray | None = None) -> None:
-        """Noise-contrastive steps on the tokens w, each after u and v, in an order that is repeated as needed, or else on draws."""
+        """Noise-contrastive steps on the tokens w, each after u and v, in an order that is repeated as needed, or else on draws.
+
+        The tokens of a batch share their noise. They stand by group, so that those of one meet its targets in one product.
+        """
         order = None if order is None else np.resize(order, steps * batch)
-        (r, c, q, g), (before, last, now) = (self.r, self.c, self.q, self.g), (u, v, w)
-        one = np.arange(batch)[:, None] * len(g)
+        (r, c, q, g), (before, last, now) = (self.r, self.c.reshape(-1, self.c.shape[2]), self.q, self.g), (u, v, w)
+        targets, theirs = q.reshape(len(g), self.size, -1), np.empty_like(q)
+        sums, narrow = theirs.reshape(targets.shape), np.uint16 if self.n < 1 << 16 else np.int64  # short numbers are sorted by their digits
+        h, near, every = np.ones((batch, q.shape[1]), np.float32), np.empty((batch, self.size), np.float32), np.arange(batch)
+        gh, more = np.empty((2, batch, r.shape[1]), np.float32)
         for step in range(steps):
             eta = np.float32(rate(step / steps))
+            if step % KEPT == 0:
+                of_group, of_word = self.noise(rng)
             drawn = rng.integers(0, len(now), batch) if order is None else order[step * batch : (step + 1) * batch]
-            u, v, w = before[drawn], last[drawn], now[drawn]
-            h = r[u] @ c[0] + r[v] @ c[1]
-            at = w // self.size
-            some = np.concatenate((at[:, None], np.minimum(np.searchsorted(self.groups, rng.random((batch, NOISE))), len(g) - 1)), axis=1)
-            error = self._error(np.take_along_axis(h @ g.T + (self.bg - self.log_group), some, 1))
-            hot = np.bincount((one + some).ravel(), error.ravel(), batch * len(g)).astype(np.float32).reshape(batch, -1)
-            gh, gg, gbg = hot @ g, hot.T @ h, hot.sum(0)
-            low, high = self.starts[at], np.minimum(self.starts[at] + self.size, self.n - 1)
-            base = self.up[low][:, None]
-            noise = np.searchsorted(self.up, base + rng.random((batch, INNER)) * (self.up[high][:, None] - base), "right") - 1
-            words = np.concatenate((w[:, None], np.clip(noise, low[:, None], high[:, None] - 1)), axis=1)
-            rows = q[words]
-            error = self._error((rows @ h[:, :, None])[:, :, 0] + self.b[words] - self.log_inner[words])
-            gh += (error[:, None, :] @ rows)[:, 0]
-            gc = np.stack([r[u].T @ gh, r[v].T @ gh])
-            theirs = np.concatenate(((error[:, :, None] * h[:, None, :]).reshape(-1, h.shape[1]), error.reshape(-1, 1)), axis=1)
-            to, sums = _sums(words.ravel(), theirs)
-            self._rows(q, self.sq, to, sums[:, :-1], eta)
-            self.sb[to] += sums[:, -1] ** 2
-            self.b[to] -= eta * sums[:, -1] / np.sqrt(self.sb[to])
-            to, sums = _sums(np.concatenate((u, v)), np.concatenate((gh @ c[0].T, gh @ c[1].T)))
-            self._rows(r, self.sr, to, sums, eta)
-            for x, grad, s, slow in ((c, gc, self.sc, 0.2), (g, gg, self.sg, 1), (self.bg, gbg, self.sbg, 1)):
+            at = np.take(now, drawn) // self.size
+            by = np.argsort(at.astype(narrow), kind="stable")
+            at, drawn = at[by], drawn[by]
+            w, pair = np.take(now, drawn), np.stack((np.take(before, drawn), np.take(last, drawn)), 1)
+            known = np.take(r, pair, axis=0).reshape(batch, -1)
+            np.matmul(known, c, out=h[:, :-1])
+            error = self._error(h @ g.T, of_group, every, at)
+            gg = error.T @ h
+            np.matmul(error, g[:, :-1], out=gh)
+            cuts = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), batch]
+            runs = [(k, slice(x, y)) for k, x, y in zip(at[cuts[:-1]].tolist(), cuts, cuts[1:], strict=False)]
+            for k, some in runs:
+                np.matmul(h[some], targets[k].T, out=near[some])
+            error = self._error(near, np.take(of_word, at, axis=0), every, w - at * self.size)
+            if len(runs) < len(g):
+                theirs[...] = 0
+            for k, some in runs:
+                wrong = error[some]
+                np.matmul(wrong, targets[k, :, :-1], out=more[some])
+                np.matmul(wrong.T, h[some], out=sums[k])
+            gh += more
+            gc = known.T @ gh
+            vectors, biases = theirs[:, :-1], theirs[:, -1]
+            self.sq += np.einsum("ij,ij->i", vectors, vectors) / np.float32(vectors.shape[1])
+            self.sb += biases * biases
+            biases /= np.sqrt(self.sb)
+            vectors *= (1 / np.sqrt(self.sq))[:, None]
+            theirs *= eta
+            q -= theirs
+            to, grad = _sums(pair.ravel().astype(narrow), (gh @ c.T).reshape(2 * batch, -1))
+            self.sr[to] += np.einsum("ij,ij->i", grad, grad) / np.float32(grad.shape[1])
+            grad *= (eta / np.sqrt(self.sr[to]))[:, None]
+            r[to] -= grad
+            for x, grad, s, slow in ((self.c, gc.reshape(self.c.shape), self.sc, 0.2), (g, gg, self.sg, 1)):
                 s += grad * grad
                 x -= np.float32(slow) * eta * grad / np.sqrt(s)
 
     @staticmethod
-    def _error(delta: np.ndarray) -> np.ndarray:
-        """Derivative of the loss by the scores; the first of a row is the observed one."""
-        error = 1 / (1 + np.exp(-np.clip(delta, -30, 30)))
-        error[:, 0] -= 1
-        return error.astype(np.float32)
-
-    @staticmethod
-    def _rows(x: np.ndarray, s: np.ndarray, to: np.ndarray, grad: np.ndarray, eta: np.float32) -> None:
-        s[to] += (grad * grad).mean(1)
-        x[to] -= eta * grad / np.sqrt(s[to])[:, None]
+    def _error(delta: np.ndarray, noise: np.ndarray, row: np.ndarray, seen: np.ndarray) -> np.ndarray:
+        """Derivative of the loss by the scores, in their place: every row has one observed column, and all by the noise's rates."""
+        np.negative(delta, out=delta)
+        np.clip(delta, np.float32(-30), np.float32(30), out=delta)
+        np.exp(delta, out=delta)
+        delta += 1
+        np.reciprocal(delta, out=delta)
+        own = delta[row, seen] - 1
+        delta *= noise
+        delta[row, seen] += own
+        return delta
 
     def table(self) -> Table:
-        return Table(self.n, self.size, self.r @ self.c[0], self.r @ self.c[1], self.g, self.bg, self.q, self.b)
+        g, q = self.g, self.q[: self.n - 1]
+        return Table(self.n, self.size, self.r @ self.c[0], self.r @ self.c[1], g[:, :-1], g[:, -1] + self.log_group, q[:, :-1], q[:, -1] + self.log_inner)
 
 
 #: Tokens that are scored at a time, few enough for a processor's cache.
@@ -200,8 +236,8 @@ class Table:
         for i in range(0, len(w), ROWS):
             rows = order[i : i + ROWS]
             group = at[rows]
-            h = self.left[u[rows]]
-            h += self.right[v[rows]]
+            h = np.take(self.left, np.take(u, rows), axis=0)
+            h += np.take(self.right, np.take(v, rows), axis=0)
             found = self._chosen(h, self.groups, group).astype(np.float64)
             cut = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(rows)]
             for x, y in zip(cut, cut[1:], strict=False):
@@ -356,6 +392,7 @@ def train_on(encoded: DataFrame, known: Lexicon, steps: int = STEPS) -> Table:
     """Rounds of training by tasks that each read partitions of encoded texts, and the mean of what they learned; no token is left out."""
     spark, model, total = encoded.sparkSession, Bilinear(known.frequency), known.total
     least, parts = max(steps * BATCH, total), max(1, math.ceil(math.sqrt(total / PART)))
+    batch = BATCH if total <= STEPS * BATCH else 2 * BATCH  # with more tokens than that there are steps enough
     for turn in range(ROUNDS if total else 0):
         start = spark.sparkContext.broadcast((known.frequency, known.start, model.flat()))
 
@@ -370,7 +407,7 @@ def train_on(encoded: DataFrame, known: Lexicon, steps: int = STEPS) -> Table:
                 u, v, w = _before(held)
                 order = visits(len(w), math.ceil(least * len(w) / total), turn, [name, mass])
                 if len(order):
-                    mine.descend(u, v, w, math.ceil(len(order) / BATCH), lambda p: _rate((turn + p) / ROUNDS), np.random.default_rng([turn, name, mass]), order=order)
+                    mine.descend(u, v, w, math.ceil(len(order) / batch), lambda p: _rate((turn + p) / ROUNDS), np.random.default_rng([turn, name, mass]), batch, order)
                 mass += len(w)
 
             for b in batches:
