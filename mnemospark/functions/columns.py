@@ -66,7 +66,7 @@ def content_tokens(text: Column) -> Column:
 def vocabulary_terms(text: Column) -> Column:
     """Distinct lower-cased ASCII words of four or more characters that are no stopwords."""
     found = F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0))
-    return F.array_distinct(F.filter(found, lambda t: F.regexp_like(t, F.lit("^[a-z][a-z0-9_-]*$")) & (F.length(t) >= P.FUZZY_LEAST_LENGTH) & ~t.isin(P.FUZZY_STOPWORDS)))
+    return F.filter(F.array_distinct(found), lambda t: F.regexp_like(t, F.lit("^[a-z][a-z0-9_-]*$")) & (F.length(t) >= P.FUZZY_LEAST_LENGTH) & ~t.isin(P.FUZZY_STOPWORDS))
 
 
 def excerpt_around(text: Column, terms: Column, context: int = 200) -> Column:

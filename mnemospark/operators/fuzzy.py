@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from mnemospark.functions import columns as C
 from mnemospark.functions import patterns as P
+from mnemospark.operators.staging import materialise
 
 
 def vocabulary(docs: DataFrame, text: Column, source: str) -> DataFrame:
@@ -126,6 +127,8 @@ def edits(most: int):
 
 #: Words up to this length are met by what is left of them, longer ones by segments of two letters or more.
 SHORT = 12
+#: The keys of up to so many asked words (a hundred or so each) are broadcast, so that those of the vocabulary need no shuffle.
+FEW = 10_000
 
 
 def _remainders(word: Column) -> Column:
@@ -141,11 +144,12 @@ def _segment(n: str, i: str, parts: int) -> tuple[Column, Column]:
     return F.expr(f"{i} * ({base}) + greatest(0, {i} - ({more}))"), F.expr(f"({base}) + if({i} >= {more}, 1, 0)")
 
 
-def _pairs(asked: DataFrame, words: DataFrame, most: int) -> DataFrame:
-    """(term, word, frequency) of words that may be within ``most`` edits."""
+def _pairs(asked: DataFrame, words: DataFrame, most: int, few: bool = False) -> DataFrame:
+    """(term, word, frequency) of words that may be within ``most`` edits; with ``few`` asked ones."""
+    sent = F.broadcast if few else lambda keys: keys
     left = asked.where(F.length("term") <= SHORT + most).select("term", F.explode(_remainders(F.col("term"))).alias("key"))
     right = words.where(F.length("term") <= SHORT + most).select(F.col("term").alias("word"), "frequency", F.explode(_remainders(F.col("term"))).alias("key"))
-    short = left.join(right, "key").select("term", "word", "frequency")
+    short = right.join(sent(left), "key").select("term", "word", "frequency")
 
     parts, shifts = 2 * most + 1, 2 * most + 1
     start, size = _segment("n", "i", parts)
@@ -156,7 +160,7 @@ def _pairs(asked: DataFrame, words: DataFrame, most: int) -> DataFrame:
     tried = tried.select("term", F.expr(f"length(term) + c div {shifts * parts} - {most}").alias("n"), F.expr(f"c div {shifts} % {parts}").alias("i"), F.expr(f"c % {shifts} - {most}").alias("d"))
     place = start + F.col("d")
     tried = tried.where((F.col("n") > SHORT) & (place >= 0) & (place + size <= F.length("term"))).select("term", key("term", place)).distinct()
-    return short.union(tried.join(cut, "key").select("term", "word", "frequency"))
+    return short.union(cut.join(sent(tried), "key").select("term", "word", "frequency"))
 
 
 def closest(terms: DataFrame, words: DataFrame, most: int = P.FUZZY_MOST_EDITS) -> DataFrame:
@@ -165,10 +169,11 @@ def closest(terms: DataFrame, words: DataFrame, most: int = P.FUZZY_MOST_EDITS)
     Terms that are short, stopwords or numbers have no correction.
     """
     asked = terms.select("term").distinct().where((F.length("term") >= P.FUZZY_LEAST_LENGTH) & ~F.col("term").isin(P.FUZZY_STOPWORDS) & ~F.regexp_like("term", F.lit(r"^\d+$")))
-    asked = asked.join(words.select("term"), "term", "left_anti")
+    words = materialise(words.select("term", "frequency"), "words")  # read by several joins
+    asked = materialise(asked.join(words.select("term"), "term", "left_anti"), "asked")
     lengths = asked.agg((F.min(F.length("term")) - most).alias("shortest"), (F.max(F.length("term")) + most).alias("longest"))
     words = words.crossJoin(F.broadcast(lengths)).where(F.length("term").between(F.col("shortest"), F.col("longest")))  # lengths is one row
-    near = _pairs(asked, words, most).where((F.abs(F.length("term") - F.length("word")) <= most) & (F.levenshtein("term", "word", 2 * most) >= 0)).distinct()
+    near = _pairs(asked, words, most, asked.count() <= FEW).where((F.abs(F.length("term") - F.length("word")) <= most) & (F.levenshtein("term", "word", 2 * most) >= 0)).distinct()
     near = near.withColumn("edits", edits(most)("term", "word")).where(F.col("edits") <= most)
     best = F.min(F.struct("edits", (-F.col("frequency")).alias("f"), "word"))
     return near.groupBy("term").agg(best.alias("b")).select("term", F.col("b.word").alias("correction"), F.col("b.edits").alias("edits"))

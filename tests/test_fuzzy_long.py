@@ -59,3 +59,22 @@ def test_no_names(spark):
     rows = spark.createDataFrame([(i, 0, "user", t) for i, t in enumerate(said)], "session_id long, msg_idx long, role string, content string")
     assert {r.name for r in profile.name_candidates(rows).collect()} == {"Bruno", "Tailscale"}
     assert {r.name for r in profile.name_candidates(rows, products=["tailscale"]).collect()} == {"Bruno"}
+
+
+@pytest.mark.parametrize("few", [0, 10_000])
+def test_vocabulary_is_computed_once(spark, monkeypatch, few):
+    """However many joins read it; keys of few asked words are broadcast, and the corrections are the same."""
+    monkeypatch.setattr(fuzzy, "FEW", few)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    rows = [("database", 3), ("search", 5), ("seared", 2), ("internationalisation", 1), ("aaa-" * 20 + "b", 1)]
+    words = spark.createDataFrame(rows, "term string, frequency long").mapInPandas(counted, "term string, frequency long")
+    asked = spark.createDataFrame([("databsae",), ("searc",), ("internationalization",), ("search",), ("zzzzzz",)], "term string")
+    out = fuzzy.closest(asked, words)
+    assert sorted((r.term, r.correction, r.edits) for r in out.collect()) == [("databsae", "database", 1), ("internationalization", "internationalisation", 1), ("searc", "search", 1)]
+    assert seen.value == len(rows)
