@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemospark.operators.staging import shared_dir
+from mnemospark.operators.staging import materialise, shared_dir
 from mnemospark.plans.registry import LINES, query
 from mnemospark.sources import tail as tails
 from mnemospark.sources.store import Store
@@ -18,40 +18,37 @@ from mnemospark.streaming import queries as streams
 from mnemospark.streaming import stateful
 
 
-def _written(given: DataFrame, folder: str, share: float) -> None:
+def _transcripts(given: DataFrame) -> DataFrame:
+    """The text of each session's transcript: project, session_id, text."""
+    line = F.struct("line", F.to_json("data").alias("value"))
+    lines_ = F.array_sort(F.collect_list(line))["value"]
+    return given.groupBy("project", "session_id").agg(F.concat(F.array_join(lines_, "\n"), F.lit("\n")).alias("text"))
+
+
+def _written(transcripts: DataFrame, folder: str, share: float) -> None:
     """Write the first ``share`` of the bytes of each session's transcript, most often half a line at the end."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = tails.opened(folder)
-        held: dict[tuple, list[str]] = {}
-
-        def close(key: tuple) -> None:
-            data = "".join(x + "\n" for x in held.pop(key)).encode()
-            fs.create_dir(f"{base}/{key[0]}")
-            with fs.open_output_stream(f"{base}/{key[0]}/{key[1]}.jsonl") as f:
-                f.write(data[: int(len(data) * share)])
-
-        n = 0
+        made: set[str] = set()
         for batch in batches:
-            for project, session, line in batch[["project", "session_id", "value"]].itertuples(index=False, name=None):
-                if held and (project, session) not in held:
-                    close(next(iter(held)))
-                    n += 1
-                held.setdefault((project, session), []).append(line)
-        if held:
-            close(next(iter(held)))
-            n += 1
-        yield pd.DataFrame({"files": [n]})
+            for project, session, text in batch[["project", "session_id", "text"]].itertuples(index=False, name=None):
+                if project not in made:
+                    fs.create_dir(f"{base}/{project}")
+                    made.add(project)
+                data = text.encode()
+                with fs.open_output_stream(f"{base}/{project}/{session}.jsonl") as f:
+                    f.write(data[: int(len(data) * share)])
+            yield pd.DataFrame({"files": [len(batch)]})
 
-    told = given.select("project", "session_id", "line", F.to_json("data").alias("value")).repartition("project", "session_id").sortWithinPartitions("project", "session_id", "line")
-    told.select("project", "session_id", "value").mapInPandas(run, "files long").agg(F.sum("files")).first()
+    transcripts.mapInPandas(run, "files long").agg(F.sum("files")).first()
 
 
 @query(f"WITH {LINES} SELECT session_id, project, count(*) AS n_lines, count(*) FILTER (WHERE event_type = 'view') AS n_summaries FROM l GROUP BY ALL")
 def stream_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transcripts that grow between the runs of a stream, which cuts lines in two; every line comes once, whole."""
     folder = f"{shared_dir(spark)}/tail-{uuid.uuid4().hex}"
-    given, store = lines(spark, sf_dir), Store(spark, f"{folder}/store")
+    given, store = materialise(_transcripts(lines(spark, sf_dir)), "transcripts"), Store(spark, f"{folder}/store")
     for share in (0.37, 0.8, 1.0):
         _written(given, f"{folder}/in", share)
         found = tails.transcript_tail(spark, f"{folder}/in").select("session_id", "project", "line", F.try_variant_get("data", "$.type", "string").alias("type"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 import posixpath
 import re
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -21,6 +22,8 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 SCHEMA = "path string, session_id string, project string, offset bigint, value string"
 #: Bytes of a task, of a read, and of a batch of rows.
 TASK, READ = 64 << 20, 4 << 20
+#: Ends of files are looked for by so many threads, as this is waiting for a file system.
+THREADS = 16
 
 
 def opened(root: str) -> tuple[pafs.FileSystem, str]:
@@ -89,15 +92,16 @@ class TailReader(DataSourceStreamReader):
     def latestOffset(self) -> dict:
         fs, root = opened(self.root)
         found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True, recursive=True))
-        out = {}
-        for info in found:
-            if info.type == pafs.FileType.File and info.path.endswith(self.suffix):
-                size, end = self.ends.get(info.path, (-1, 0))
-                if size != info.size:
-                    end = last_line_end(fs, info.path, info.size, end if size < info.size else 0)
-                    self.ends[info.path] = (info.size, end)
-                out[info.path] = end
-        return out
+        found = [i for i in found if i.type == pafs.FileType.File and i.path.endswith(self.suffix)]
+        changed = [i for i in found if self.ends.get(i.path, (-1, 0))[0] != i.size]
+
+        def ends(info: pafs.FileInfo) -> tuple[int, int]:
+            size, end = self.ends.get(info.path, (-1, 0))
+            return info.size, last_line_end(fs, info.path, info.size, end if size < info.size else 0)
+
+        with ThreadPoolExecutor(THREADS) as pool:
+            self.ends.update(zip([i.path for i in changed], pool.map(ends, changed), strict=True))
+        return {i.path: self.ends[i.path][1] for i in found}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
         out, held, size = [], [], 0
@@ -115,24 +119,25 @@ class TailReader(DataSourceStreamReader):
 
     def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
         fs, root = opened(self.root)
+        rows, held = [], 0  # of as many files as a batch holds
         for path, start, stop in partition.value:
             *_, project, name = ("", *path.split("/"))
+            own = (path, name.removesuffix(self.suffix), project)
             with fs.open_input_file(path) as f:
-                offsets, values, held = [], [], 0
                 for at, line in whole_lines(f, start, stop):
                     if line.strip():
-                        offsets.append(at)
-                        values.append(line.decode(errors="replace"))
+                        rows.append((*own, at, line.decode(errors="replace")))
                         held += len(line)
                     if held >= READ:
-                        yield self._batch(path, name, project, offsets, values)
-                        offsets, values, held = [], [], 0
-                if offsets:
-                    yield self._batch(path, name, project, offsets, values)
-
-    def _batch(self, path: str, name: str, project: str, offsets: list[int], values: list[str]) -> pa.RecordBatch:
-        same = lambda x: pa.array([x] * len(offsets), pa.string())
-        return pa.RecordBatch.from_arrays([same(path), same(name.removesuffix(self.suffix)), same(project), pa.array(offsets, pa.int64()), pa.array(values, pa.string())], names=[x.split()[0] for x in SCHEMA.split(", ")])
+                        yield self._batch(rows)
+                        rows, held = [], 0
+        if rows:
+            yield self._batch(rows)
+
+    @staticmethod
+    def _batch(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = [pa.int64() if x.endswith("bigint") else pa.string() for x in SCHEMA.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
     def commit(self, end: dict) -> None:
         pass

@@ -84,3 +84,16 @@ def test_parsed_lines(spark, tmp_path):
     lines = tails.transcript_tail(spark, str(tmp_path))
     got = streams.run_available(lines.select("session_id", "project", "line", F.to_json("data").alias("j")), streams.folder(spark))
     assert sorted((r.session_id, r.project, r.line, r.j) for r in got.collect()) == [("s", "-q", 0, '{"message":{"content":"x"},"type":"user"}'), ("s", "-q", 47, "[1]")]
+
+
+def test_small_files_share_batches(tmp_path):
+    """A task's files come in batches of a size in bytes, not one or more each."""
+    for i in range(50):
+        (tmp_path / f"s{i:02}.jsonl").write_text("".join(f"{i}:{k}\n" for k in range(i % 3)) + "half")
+    reader = tails.TailReader(str(tmp_path), ".jsonl")
+    end = reader.latestOffset()
+    assert len(end) == 50 and reader.latestOffset() == end
+    (part,) = reader.partitions({}, end)
+    (batch,) = reader.read(part)
+    want = [(f"s{i:02}", 5 * k if i > 9 else 4 * k, f"{i}:{k}") for i in range(50) for k in range(i % 3)]
+    assert list(zip(*(batch.column(c).to_pylist() for c in ("session_id", "offset", "value")), strict=True)) == want
