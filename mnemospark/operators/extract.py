@@ -138,7 +138,9 @@ def knowledge(found: DataFrame) -> DataFrame:
 
 def facts(messages: DataFrame, most: int = 10) -> DataFrame:
     """Key facts in assistants' messages by priority: session_id, msg_idx, fact, priority, rank. Of a pattern, the first three of a message count."""
-    patterns = [(F.slice(F.regexp_extract_all("content", F.lit(p), F.lit(1)), 1, 3), F.struct(F.lit(n).alias("priority"))) for n, p in P.FACT_PATTERNS]
+    # the patterns try every letter of a text as a beginning, so only texts that hold one of their words are given to them
+    within = lambda n, found: F.when(C.any_of(F.lower("content"), P.FACT_WORDS[n]), found) if n in P.FACT_WORDS else found
+    patterns = [(within(n, F.slice(F.regexp_extract_all("content", F.lit(p), F.lit(1)), 1, 3)), F.struct(F.lit(n).alias("priority"))) for n, p in P.FACT_PATTERNS]
     out = _found(messages.where("role = 'assistant'"), patterns)
     out = out.select("session_id", "msg_idx", "pattern", "match", "extra.priority", C.squeeze(F.col("found")).alias("fact")).where("length(fact) between 20 and 200")
     fact = F.col("fact")

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from mnemospark.functions import columns as C
 from mnemospark.functions import patterns as P
+from mnemospark.operators.staging import materialise
 
 
 def rollup(messages: DataFrame) -> DataFrame:
@@ -116,6 +117,7 @@ def metadata(messages: DataFrame, files: DataFrame | None = None, todos: DataFra
 
     listed = lambda rows, what: rows.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("rank", F.col(what).alias("x"))))["x"].alias("x"))
     user = F.col("role") == "user"
+    messages = materialise(messages.select("session_id", "msg_idx", "role", "content"), "messages")  # each part reads them
     out = messages.groupBy("session_id").agg(F.count("*").alias("message_count"), F.min_by(F.when(user, F.col("content")), F.when(user, F.col("msg_idx"))).alias("first"))
     out = out.join(outcomes(messages), "session_id", "left")
     for name, rows in (
