@@ -123,6 +123,11 @@ class Quantiser:
             out += (part @ self.codes[p].T)[:, codes[:, p]]
         return out
 
+    def decoded(self, codes: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        """The vectors that cells and codes stand for; products with them are the estimated cosines, of all cells at once."""
+        rest = np.stack([part[codes[:, p]] for p, part in enumerate(self.codes)], 1).reshape(len(codes), -1)
+        return self.centres[cells] + rest
+
     def calibrated(self, x: np.ndarray, limit: int = 10) -> tuple[int, int]:
         """How many cells, and candidates for each result, hold the share ``HELD`` of the nearest neighbours within a sample.
 
@@ -265,16 +270,15 @@ class VectorIndex:
                 q, rows = Quantiser.loaded(shared.value), rows.sort_values(["session_id", "chunk"]).reset_index(drop=True)
                 v, session, cell = np.stack(rows["embedding"]).astype(np.float64), pd.factorize(rows["session_id"])[0], rows["cell"].to_numpy()
                 codes, direction = np.frombuffer(b"".join(rows["codes"]), np.uint8).reshape(len(rows), -1), unit(rows["embedding"])
+                told = None if exact else q.decoded(codes, cell)
                 for at in range(0, len(own), SLICE):
                     part = own.iloc[at : at + SLICE]
                     x, asked, kept = np.stack(part["query"]).astype(np.float64), unit(part["query"]), None
                     if not exact:
-                        guess, near = np.full((len(x), len(rows)), -np.inf), q.cells(asked, probes)
-                        for c in np.unique(cell):
-                            some, here = np.flatnonzero((near == c).any(1)), np.flatnonzero(cell == c)
-                            if len(some):
-                                guess[np.ix_(some, here)] = q.scores(asked[some], codes[here], c)
-                        kept = guess > -np.inf
+                        looked = np.zeros((len(x), len(q.centres)), bool)
+                        np.put_along_axis(looked, q.cells(asked, probes), True, 1)
+                        kept = looked[:, cell]
+                        guess = np.where(kept, q.padded(asked) @ told.T, -np.inf)
                         if reranked < len(rows):
                             kept &= guess >= -np.partition(-guess, reranked - 1, axis=1)[:, reranked - 1 : reranked]
                     of, row, score = best_sessions(x, v, asked @ direction.T, kept, session, limit)

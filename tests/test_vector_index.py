@@ -84,3 +84,15 @@ def test_best_sessions():
     assert (q.tolist(), row.tolist(), score.tolist()) == ([0, 0], [0, 3], [1.0, 1.0])
     q, row, _ = vi.best_sessions(np.array([[1.0, 0]]), v, vi.unit([[1.0, 0]]) @ vi.unit(v).T, np.array([[False, True, True, False, True]]), np.array([0, 0, 1, 2, 3]), 2)
     assert row.tolist() == [1, 4]
+
+
+def test_decoded_vectors_give_the_scores_of_codes():
+    """One product with what codes stand for is what their tables add up to, cell by cell, dimensions that parts do not divide included."""
+    rng = np.random.default_rng(5)
+    x = vi.unit(rng.normal(size=(300, 22)))
+    q = vi.Quantiser.fit(x, 5)
+    cells = q.cells(x)[:, 0]
+    codes = q.encode(x, cells)
+    got = q.padded(x[:9]) @ q.decoded(codes, cells).T
+    for c in range(5):
+        assert np.allclose(got[:, cells == c], q.scores(x[:9], codes[cells == c], c))
