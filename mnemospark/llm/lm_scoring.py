@@ -17,15 +17,14 @@ looked up by a join on the word.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import repeat
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,31 +41,40 @@ WIDTH, NOISE, INNER, STEPS, BATCH = 32, 12, 5, 5000, 1024
 ROUNDS = 4
 #: Draws of noise among the groups and inside each, shared by the tokens of a batch; so many batches follow before they are drawn anew.
 DRAWN, KEPT = 128, 8
-#: A worker counts so many different words before it hands them on; it trains on so many tokens at a time.
-COUNTED, HELD = 500_000, 1_000_000
+#: A group of at most one in so many of the tokens of those batches is met by one of them only.
+RARE = 16
+#: A worker counts words of so many bytes before it hands them on; it trains on so many tokens at a time.
+COUNTED, HELD = 64_000_000, 1_000_000
 #: As many tasks train as the root of the tokens over this.
 PART = 500_000
 #: Floats of a block of the vectors.
 BLOCK = 32_768
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    """Words of a text between ASCII white space, A to Z in lower case."""
-    return (text or b"").lower().split()
+def words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of UTF-8 texts between ASCII white space, A to Z in lower case, as binary, and how many each text has."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts.view(pa.string())))  # works on bytes, whatever they encode
+    found = parts.flatten().view(pa.binary())
+    full = pc.greater(pc.binary_length(found), 0)  # white space at an end of a text has an empty part beyond it
+    owner = pc.list_parent_indices(parts).filter(full).to_numpy(zero_copy_only=False)
+    return found.filter(full), np.bincount(owner, minlength=len(texts))
 
 
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def made() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+        seen = pa.concat_arrays(held).value_counts()
+        return pa.RecordBatch.from_arrays(seen.flatten(), names=["word", "n"])
 
-    seen: Counter = Counter()
+    held, size = [], 0
     for batch in small_slices(batches, "text"):
-        for t in batch.column("text").to_pylist():
-            seen.update(tokens(t))
-        if len(seen) >= COUNTED:
+        found = words(batch.column("text"))[0]
+        if held and size + found.nbytes > COUNTED:
             yield made()
-            seen = Counter()
-    yield made()
+            held, size = [], 0
+        held.append(found)
+        size += found.nbytes
+    if held:
+        yield made()
 
 
 def _sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,6 +85,24 @@ def _sums(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return ordered[first], np.add.reduceat(np.take(values, order, axis=0).view(np.complex64), first, axis=0).view(np.float32)
 
 
+def deal(at: np.ndarray, batch: int, groups: int, rng: np.random.Generator) -> np.ndarray:
+    """An order of a window's tokens, which stand in the groups ``at``, for batches of ``batch``.
+
+    Tokens of a rare group follow one another, so that few batches meet its targets; those of others are spread over the window
+    by chance.
+    """
+    count = np.bincount(at, minlength=groups)
+    batches = len(at) // batch
+    common = count[at] * RARE > len(at)
+    of = np.arange(groups) % max(1, batches)
+    rare = np.flatnonzero(~common)
+    rare = rare[np.argsort(of[at[rare]], kind="stable")]
+    room = np.maximum(batch - np.bincount(of[at[rare]], minlength=batches), 0)
+    to = rng.permutation(np.resize(np.repeat(np.arange(batches), room), int(common.sum())))
+    every = np.concatenate((rare, np.flatnonzero(common)))
+    return every[np.argsort(np.concatenate((of[at[rare]], to)), kind="stable")]
+
+
 class Bilinear:
     """Vectors of ``len(frequency) + 1`` symbols as predecessors and of all but the last as targets, and how to train them.
 
@@ -126,68 +152,84 @@ class Bilinear:
     def descend(self, u: np.ndarray, v: np.ndarray, w: np.ndarray, steps: int, rate: Callable[[float], float], rng: np.random.Generator, batch: int = BATCH, order: np.ndarray | None = None) -> None:
         """Noise-contrastive steps on the tokens w, each after u and v, in an order that is repeated as needed, or else on draws.
 
-        The tokens of a batch share their noise. They stand by group, so that those of one meet its targets in one product.
+        The tokens of a batch share their noise. They stand by group, so that those of one meet its targets in one product, and
+        the group's own vector with them, as a target behind the others; other groups are only met where noise names them.
         """
-        order = None if order is None else np.resize(order, steps * batch)
-        (r, c, q, g), (before, last, now) = (self.r, self.c.reshape(-1, self.c.shape[2]), self.q, self.g), (u, v, w)
-        targets, theirs = q.reshape(len(g), self.size, -1), np.empty_like(q)
-        sums, narrow = theirs.reshape(targets.shape), np.uint16 if self.n < 1 << 16 else np.int64  # short numbers are sorted by their digits
-        h, near, every = np.ones((batch, q.shape[1]), np.float32), np.empty((batch, self.size), np.float32), np.arange(batch)
-        gh, more = np.empty((2, batch, r.shape[1]), np.float32)
+        order = rng.integers(0, len(w), steps * batch) if order is None else np.resize(order, steps * batch)
+        (r, c, g), (before, last, now) = (self.r, self.c.reshape(-1, self.c.shape[2]), self.g), (u, v, w)
+        groups, size, width = len(g), self.size, r.shape[1]
+        narrow = np.uint16 if self.n < 1 << 16 else np.int64  # short numbers are sorted by their digits
+        q = np.zeros((groups, width + 1, size + 1), np.float32)  # targets in columns, so that sums over a vector run along rows
+        q[:, :, :-1] = self.q.reshape(groups, size, -1).transpose(0, 2, 1)
+        sq, sb = np.ones((groups, size + 1), np.float32), np.ones((groups, size + 1), np.float32)
+        sq[:, :-1], sb[:, :-1] = self.sq.reshape(groups, size), self.sb.reshape(groups, size)
+        sums, rates = np.empty_like(q), np.zeros((groups, size + 1), np.float32)
+        across, back, into = list(q), [x[:-1].T for x in q], list(sums)
+        h, near, every = np.ones((batch, width + 1), np.float32), np.empty((batch, size + 1), np.float32), np.arange(batch)
+        gh, more = np.empty((2, batch, width), np.float32)
         for step in range(steps):
             eta = np.float32(rate(step / steps))
             if step % KEPT == 0:
-                of_group, of_word = self.noise(rng)
-            drawn = rng.integers(0, len(now), batch) if order is None else order[step * batch : (step + 1) * batch]
-            at = np.take(now, drawn) // self.size
+                of_group, rates[:, :-1] = self.noise(rng)
+                named = np.flatnonzero(of_group)
+                of_group = of_group[named]
+                window = order[step * batch : (step + KEPT) * batch]
+                window = window[deal(np.take(now, window) // size, batch, groups, rng)]
+            drawn = window[step % KEPT * batch :][:batch]
+            at = np.take(now, drawn) // size
             by = np.argsort(at.astype(narrow), kind="stable")
             at, drawn = at[by], drawn[by]
             w, pair = np.take(now, drawn), np.stack((np.take(before, drawn), np.take(last, drawn)), 1)
             known = np.take(r, pair, axis=0).reshape(batch, -1)
             np.matmul(known, c, out=h[:, :-1])
-            error = self._error(h @ g.T, of_group, every, at)
-            gg = error.T @ h
-            np.matmul(error, g[:, :-1], out=gh)
+            q[:, :, -1] = g
+            some = g[named]
+            error = self._sigmoid(h @ some.T)
+            error *= of_group
+            np.matmul(error, some[:, :-1], out=gh)
             cuts = [0, *(np.flatnonzero(at[1:] != at[:-1]) + 1).tolist(), batch]
-            runs = [(k, slice(x, y)) for k, x, y in zip(at[cuts[:-1]].tolist(), cuts, cuts[1:], strict=False)]
-            for k, some in runs:
-                np.matmul(h[some], targets[k].T, out=near[some])
-            error = self._error(near, np.take(of_word, at, axis=0), every, w - at * self.size)
-            if len(runs) < len(g):
-                theirs[...] = 0
-            for k, some in runs:
-                wrong = error[some]
-                np.matmul(wrong, targets[k, :, :-1], out=more[some])
-                np.matmul(wrong.T, h[some], out=sums[k])
+            seen = at[cuts[:-1]]
+            runs = [(k, h[x:y], near[x:y], more[x:y]) for k, x, y in zip(seen.tolist(), cuts, cuts[1:], strict=False)]
+            for k, mine, score, _ in runs:
+                np.dot(mine, across[k], out=score)
+            self._sigmoid(near)
+            place = w - at * size
+            own, of = near[every, place] - 1, near[:, -1] - 1
+            near *= np.take(rates, at, axis=0)
+            near[every, place] += own
+            near[:, -1] = of
+            for (k, mine, wrong, out), gradient in zip(runs, into, strict=False):
+                np.dot(wrong, back[k], out=out)
+                np.dot(mine.T, wrong, out=gradient)
             gh += more
             gc = known.T @ gh
+            gg, theirs = np.zeros_like(g), sums[: len(runs)]
+            gg[seen] = theirs[:, :, -1]
+            gg[named] += error.T @ h
             vectors, biases = theirs[:, :-1], theirs[:, -1]
-            self.sq += np.einsum("ij,ij->i", vectors, vectors) / np.float32(vectors.shape[1])
-            self.sb += biases * biases
-            biases /= np.sqrt(self.sb)
-            vectors *= (1 / np.sqrt(self.sq))[:, None]
-            theirs *= eta
-            q -= theirs
+            sq[seen] += np.einsum("kij,kij->kj", vectors, vectors) / np.float32(width)
+            sb[seen] += biases * biases
+            biases *= eta / np.sqrt(sb[seen])
+            vectors *= (eta / np.sqrt(sq[seen]))[:, None]
+            q[seen] -= theirs
             to, grad = _sums(pair.ravel().astype(narrow), (gh @ c.T).reshape(2 * batch, -1))
-            self.sr[to] += np.einsum("ij,ij->i", grad, grad) / np.float32(grad.shape[1])
+            self.sr[to] += np.einsum("ij,ij->i", grad, grad) / np.float32(width)
             grad *= (eta / np.sqrt(self.sr[to]))[:, None]
             r[to] -= grad
             for x, grad, s, slow in ((self.c, gc.reshape(self.c.shape), self.sc, 0.2), (g, gg, self.sg, 1)):
                 s += grad * grad
                 x -= np.float32(slow) * eta * grad / np.sqrt(s)
+        self.q[...] = q[:, :, :-1].transpose(0, 2, 1).reshape(self.q.shape)
+        self.sq[...], self.sb[...] = sq[:, :-1].ravel(), sb[:, :-1].ravel()
 
     @staticmethod
-    def _error(delta: np.ndarray, noise: np.ndarray, row: np.ndarray, seen: np.ndarray) -> np.ndarray:
-        """Derivative of the loss by the scores, in their place: every row has one observed column, and all by the noise's rates."""
-        np.negative(delta, out=delta)
-        np.clip(delta, np.float32(-30), np.float32(30), out=delta)
-        np.exp(delta, out=delta)
-        delta += 1
-        np.reciprocal(delta, out=delta)
-        own = delta[row, seen] - 1
-        delta *= noise
-        delta[row, seen] += own
-        return delta
+    def _sigmoid(x: np.ndarray) -> np.ndarray:
+        """1 / (1 + exp(-x)), in its place."""
+        np.negative(x, out=x)
+        with np.errstate(over="ignore"):  # the reciprocal of infinity is the zero it should be
+            np.exp(x, out=x)
+        x += 1
+        return np.reciprocal(x, out=x)
 
     def table(self) -> Table:
         g, q = self.g, self.q[: self.n - 1]
@@ -218,12 +260,12 @@ class Table:
         self.left, self.right = np.hstack((self.first, one)), np.hstack((self.second, zero))
         self.groups, self.words = np.hstack((self.g, self.bg[:, None])).T.copy(), np.hstack((self.q, self.b[:, None]))
         norm = lambda x: float(np.sqrt((np.float64(x) ** 2).sum(1)).max()) if len(x) else 0.0
-        self.shift = (norm(self.left) + norm(self.second)) * max(norm(self.groups.T), norm(self.words)) > SAFE
+        self.longest = max(norm(self.groups.T), norm(self.words))
 
-    def _chosen(self, h: np.ndarray, vectors: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def _chosen(self, h: np.ndarray, vectors: np.ndarray, at: np.ndarray, shift: bool) -> np.ndarray:
         """Normalised natural log-probability, in each row of h, of the column of ``vectors`` that ``at`` names."""
         scores = h @ vectors
-        if self.shift:
+        if shift:
             scores -= scores.max(1, keepdims=True)
         own = scores[np.arange(len(h)), at]
         return own - np.log(np.exp(scores, out=scores) @ np.ones(vectors.shape[1], h.dtype))
@@ -238,11 +280,12 @@ class Table:
             group = at[rows]
             h = np.take(self.left, np.take(u, rows), axis=0)
             h += np.take(self.right, np.take(v, rows), axis=0)
-            found = self._chosen(h, self.groups, group).astype(np.float64)
+            shift = math.sqrt(np.einsum("ij,ij->i", h, h).max()) * self.longest > SAFE  # no score is beyond the product of lengths
+            found = self._chosen(h, self.groups, group, shift).astype(np.float64)
             cut = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(rows)]
             for x, y in zip(cut, cut[1:], strict=False):
                 low = int(group[x]) * self.size
-                found[x:y] += self._chosen(h[x:y], self.words[low : low + self.size].T, w[rows[x:y]] - low)
+                found[x:y] += self._chosen(h[x:y], self.words[low : low + self.size].T, w[rows[x:y]] - low, shift)
             out[rows] = found
         return out
 
@@ -344,33 +387,30 @@ def encode(docs: DataFrame, known: Lexicon, id_col: str = "doc_id", text_col: st
         m = shared.value
         logs = np.log10(np.append(m.counts, m.ends) + 0.5)
         words_of_head = list(m.head)
-        symbol = np.concatenate((np.arange(min(m.own, len(words_of_head))), m.by_hash(words_of_head[m.own :])))
-        beyond = np.where(np.arange(len(m.counts) + 1) >= m.own, logs, 0.0)
-        beyond[-1] = 0.0
-        get = m.head.get
-        for batch in small_slices(batches, "text"):
-            words, sizes = [], []
-            for t in batch.column("text").to_pylist():
-                mine = tokens(t)
-                words += mine
-                sizes.append(len(mine))
-            sizes = np.array(sizes, np.int64)
-            number = np.fromiter(map(get, words, repeat(-1)), np.int64, len(words))
+        names = pa.array(words_of_head, pa.binary())
+        symbol = np.concatenate((np.arange(min(m.own, len(words_of_head))), m.by_hash(words_of_head[m.own :]), [0]))
+        of_known = np.append(logs[:-1], 0.0)  # the last place is that of words beyond the head
+        beyond = np.where(np.arange(len(of_known)) >= m.own, of_known, 0.0)
+        for batch in small_slices(batches, "text", 8192, 12_000_000):  # a lookup begins with a table of the head
+            found, sizes = words(batch.column("text"))
+            number = pc.index_in(found, value_set=names)
+            rare = found.filter(number.is_null())
+            number = number.fill_null(-1).to_numpy(zero_copy_only=False)
             unknown = np.flatnonzero(number < 0)
-            rare = [words[i] for i in unknown.tolist()]
-            taken = np.empty(len(words), np.int64)
-            taken[number >= 0] = symbol[number[number >= 0]]
-            taken[unknown] = m.by_hash(rare)
+            taken = np.take(symbol, number)
+            taken[unknown] = m.by_hash(rare.to_pylist())
             owner = np.repeat(np.arange(len(sizes)), sizes)
-            number[unknown] = len(m.counts)
-            sums = [np.bincount(owner, np.where(number < len(m.counts), x[number], 0.0), len(sizes)) for x in (logs, beyond)]
+            sums = [np.bincount(owner, np.take(x, number), len(sizes)) for x in (of_known, beyond)]
             some = np.bincount(owner[unknown], minlength=len(sizes))
             ends = np.cumsum(sizes)
-            rows = [np.concatenate(([m.start, m.start], taken[e - n : e], [m.start - 1])).astype(width).tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+            after = 3 * np.arange(len(sizes)) + ends  # where texts end, with what stands around them
+            around = np.full(len(taken) + 3 * len(sizes), m.start, width)
+            around[after + 2] = m.start - 1
+            around[np.arange(len(taken)) + 3 * owner + 2] = taken
+            rows = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(np.append(0, (after + 3) * around.itemsize).astype(np.int32)), pa.py_buffer(around)])
             offsets = pa.array(np.concatenate(([0], np.cumsum(some))), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("rid"), pa.array(sizes + 1), pa.array(sizes - some + (m.ends > 0), pa.int64()), pa.array(sums[0] + logs[-1], pa.float64()), pa.array(sums[1].astype(np.float64)), pa.array(rows, pa.binary()),
-                 pa.ListArray.from_arrays(offsets, pa.array(rare, pa.binary()))],
+                [batch.column("doc_id"), batch.column("rid"), pa.array(sizes + 1), pa.array(sizes - some + (m.ends > 0), pa.int64()), pa.array(sums[0] + logs[-1], pa.float64()), pa.array(sums[1].astype(np.float64)), rows, pa.ListArray.from_arrays(offsets, rare)],
                 names=[x.split()[0] for x in ENCODED.split(", ")],
             )
 

@@ -1,6 +1,7 @@
 """Training of the language model visits every token."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from mnemospark.llm import lm_scoring
@@ -47,3 +48,25 @@ def test_a_step_is_the_gradient_of_the_contrast():
     model.descend(u, v, w, 1, lambda _: 0.1, np.random.default_rng(9), 40, np.arange(40))
     assert np.allclose(model.q[:, -1], q[:, -1] - 0.1 * bias / np.sqrt(0.01 + bias**2), atol=1e-4)
     assert np.allclose(model.g[:, -1], g[:, -1] - 0.1 * of / np.sqrt(0.01 + of**2), atol=1e-4)
+
+
+@pytest.mark.parametrize(("n", "batch", "groups"), [(1, 1, 1), (4096, 512, 40), (4000, 500, 9), (3 * 64, 64, 100)])
+def test_a_window_is_dealt_whole_and_a_rare_group_meets_few_batches(n, batch, groups):
+    rng = np.random.default_rng(2)
+    at = np.minimum((rng.pareto(1, n) * 2).astype(int), groups - 1)
+    order = lm_scoring.deal(at, batch, groups, rng)
+    assert sorted(order.tolist()) == list(range(n))
+    count, batches = np.bincount(at, minlength=groups), at[order].reshape(-1, batch)
+    met = sum(len(np.unique(b)) for b in batches)
+    rare = (count > 0) & (count * lm_scoring.RARE <= n)
+    assert met <= (count > 0).sum() + len(batches) + (len(batches) - 1) * ((count > 0) & ~rare).sum()
+
+
+def test_words_are_those_between_ascii_white_space():
+    rng = np.random.default_rng(3)
+    parts = [b"A", b"z", b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r", b"\x1c", b"\x85", b"\xc2\xa0", b"\xff", b"\xc3\x84", b"\x00", b"\xe2\x80\x83"]
+    texts = [b"", b" ", b"\n\n", *(b"".join(parts[i] for i in rng.integers(0, len(parts), k)) for k in rng.integers(0, 30, 500))]
+    for some in (texts, texts[3:], []):
+        found, sizes = lm_scoring.words(pa.array(texts, pa.binary()).slice(len(texts) - len(some)))
+        expected = [t.lower().split() for t in some]
+        assert sizes.tolist() == [len(x) for x in expected] and found.to_pylist() == [w for x in expected for w in x]
