@@ -51,7 +51,7 @@ def stream_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     given, store = materialise(_transcripts(lines(spark, sf_dir)), "transcripts"), Store(spark, f"{folder}/store")
     for share in (0.37, 0.8, 1.0):
         _written(given, f"{folder}/in", share)
-        found = tails.transcript_tail(spark, f"{folder}/in").select("session_id", "project", "line", F.try_variant_get("data", "$.type", "string").alias("type"))
+        found = tails.transcript_tail(spark, f"{folder}/in", f"{folder}/offsets").select("session_id", "project", "line", F.try_variant_get("data", "$.type", "string").alias("type"))
         streams.ingest(found, f"{folder}/state", {"lines": (["session_id"], lambda b: b, lambda old, new: old.union(new))}, store, "tail")
     return store.snapshot().read("lines").groupBy("session_id", "project").agg(F.count("*").alias("n_lines"), F.count_if(F.col("type") == "summary").alias("n_summaries"))
 

@@ -1,6 +1,8 @@
 """Streams of growing files."""
 
 import io
+import json
+import pickle
 import random
 
 import pytest
@@ -97,3 +99,74 @@ def test_small_files_share_batches(tmp_path):
     (batch,) = reader.read(part)
     want = [(f"s{i:02}", 5 * k if i > 9 else 4 * k, f"{i}:{k}") for i in range(50) for k in range(i % 3)]
     assert list(zip(*(batch.column(c).to_pylist() for c in ("session_id", "offset", "value")), strict=True)) == want
+
+
+@pytest.mark.parametrize("n", [20, 400])
+def test_many_files_are_a_name_to_the_driver(monkeypatch, tmp_path, n):
+    """Offsets and tasks are as long for many files as for some."""
+    for name, value in (("HELD", 10), ("FILES", 25), ("ROWS", 7)):
+        monkeypatch.setattr(tails, name, value)
+    (tmp_path / "in").mkdir()
+    for i in range(n):
+        (tmp_path / "in" / f"s{i:03}.jsonl").write_text(f"{i}\nhalf")
+    reader = tails.TailReader(str(tmp_path / "in"), ".jsonl", str(tmp_path / "state"))
+    end = reader.latestOffset()
+    parts = reader.partitions({}, end)
+    assert len(json.dumps(end)) < 120 and all(len(pickle.dumps(p)) < 300 for p in parts)
+    assert len(parts) == (n + 24) // 25
+    assert [v for p in parts for b in reader.read(p) for v in b.column("value").to_pylist()] == [str(i) for i in range(n)]
+
+
+def test_listed_offsets_are_as_held_ones(monkeypatch, tmp_path):
+    """Files that come, grow, shrink and go, readers that start anew: ranges are those of offsets that hold all files."""
+    for name, value in (("HELD", 4), ("ROWS", 3), ("TASK", 20)):
+        monkeypatch.setattr(tails, name, value)
+    rng, root, state = random.Random(1), tmp_path / "in", str(tmp_path / "state")
+    names = [f"{folder}{x}.jsonl" for folder in ("", "a/", "a-b/", "a/c/", "z/") for x in ("a", "a-b", "b", "é")]
+    plain = tails.TailReader(str(root), ".jsonl")
+    listed = tails.TailReader(str(root), ".jsonl", state)
+    start, listed_start, kinds = {}, {}, set()
+    for i in range(60):
+        for name in rng.sample(names, 1 if i < 8 else 6):
+            path = root / name
+            path.parent.mkdir(parents=True, exist_ok=True)
+            if path.exists() and rng.random() < 0.2:
+                path.unlink() if rng.random() < 0.5 else path.write_text("n\n")
+            else:
+                with path.open("a") as f:
+                    f.write("".join(rng.choice(["a", "b\n", "\n"]) for _ in range(rng.randint(0, 20))))
+        if rng.random() < 0.3:
+            listed = tails.TailReader(str(root), ".jsonl", state)
+        end, listed_end = plain.latestOffset(), listed.latestOffset()
+        if start:
+            listed.commit(listed_start)
+        kinds.add("listing" in listed_end)
+        assert dict(listed._offsets(listed_end)) == end
+        ranges = [p.value for p in plain.partitions(start, end)]
+        tasks = listed.partitions(listed_start, listed_end)
+        assert [list(listed._listed(p.value)) if isinstance(p.value, str) else p.value for p in tasks] == ranges
+        assert listed.latestOffset() == listed_end == tails.TailReader(str(root), ".jsonl", state).latestOffset()
+        assert [b.to_pylist() for p in tasks for b in listed.read(p)] == [b.to_pylist() for p in plain.partitions(start, end) for b in plain.read(p)]
+        start, listed_start = end, listed_end
+        assert len(list((tmp_path / "state").glob("listing-" + "?" * 64))) <= 3
+    assert kinds == {True, False}
+
+
+def test_stream_of_many_files_logs_names(spark, monkeypatch, tmp_path):
+    """Spark's log of offsets and its progress do not grow with the files; every line comes once; a run without news is no batch."""
+    monkeypatch.setattr(tails, "HELD", 3)
+    store, folder = Store(spark, str(tmp_path / "s")), tmp_path / "in" / "-p"
+    folder.mkdir(parents=True)
+    for run, text in enumerate(['{"a":1}\n{"a"', ":2}\n", "", "3\n"]):
+        for i in range(40):
+            with (folder / f"s{i}.jsonl").open("a") as f:
+                f.write(text)
+        lines = tails.tail(spark, str(tmp_path / "in"), state=str(tmp_path / "offsets")).select("session_id", "offset", "value")
+        streams.ingest(lines, str(tmp_path / "state"), {"lines": (["session_id", "offset"], lambda b: b, lambda old, new: old.union(new))}, store, "tail")
+        assert len(store.versions()) == (1, 2, 2, 3)[run]
+    got = {(r.session_id, r.offset, r.value) for r in store.snapshot().read("lines").collect()}
+    assert got == {(f"s{i}", at, value) for i in range(40) for at, value in ((0, '{"a":1}'), (8, '{"a":2}'), (16, "3"))}
+    assert store.snapshot().read("lines").count() == 120
+    logs = [p for p in (tmp_path / "state" / "offsets").iterdir() if p.name.isdigit()]
+    assert len(logs) == 3 and all("listing" in p.read_text() and len(p.read_text()) < 3000 for p in logs)
+    assert len([p for p in (tmp_path / "offsets").iterdir() if len(p.name) == len("listing-") + 64]) == 2
